@@ -79,11 +79,11 @@ class Lengths(dict):
         words = text.split()
         misses = [w for w in dict.fromkeys(words) if w not in self]
         if misses:
-            known = lengths(self.path, misses)
             if len(self) + len(misses) > self.fixed + CACHED:
                 for w in list(self)[self.fixed :]:
                     del self[w]
-            self.update(zip(misses, known, strict=True))
+                misses = [w for w in dict.fromkeys(words) if w not in self]
+            self.update(zip(misses, lengths(self.path, misses), strict=True))
             self.missed += len(misses)
         return sum(map(self.__getitem__, words))
 
