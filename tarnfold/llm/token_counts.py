@@ -8,6 +8,7 @@ and keeps it in a bounded cache. No pre-token is shuffled: only each task's shor
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from .common import ship, texts
 FREQUENT, PER_TASK, CACHED = 65_536, 8_192, 400_000
 
 _TOKENIZERS: dict = {}
-_TABLES: dict = {}
+_MODELS: dict = {}
 _CACHES: dict = {}
 
 
@@ -43,8 +44,37 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabets write a printable byte as itself and the n-th other byte as the character 256 + n."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
+_BYTES = _byte_letters()
+
+
+def _word_model(path: str):
+    """The model itself for words of Latin letters, if the file's steps leave those whole: it skips per-call set-up."""
+    t = json.loads(tokenizer(path).to_str())
+    steps = [x["type"] for x in (t["normalizer"] or {}).get("normalizers", [])]
+    split, level = ((t["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}])[:2]
+    plain = steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and r"[\p{L}]+" in split["pattern"].get("Regex", "") and level.get("type") == "ByteLevel"
+    return tokenizer(path).model if plain else None
+
+
+def length(path: str, word: bytes, model) -> int:
+    if model is not None:
+        s = word.decode("utf-8", "replace")
+        if s.isalpha() and max(s) < "\u0250" and "\u0130" not in s:
+            return len(model.tokenize(s.lower().encode().decode("latin-1").translate(_BYTES)))
+    return len(tokenizer(path).encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+
 def lengths(path: str, words: list[bytes]) -> list[int]:
-    return [len(e.ids) for e in tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    if path not in _MODELS:
+        _MODELS[path] = _word_model(path)
+    model = _MODELS[path]
+    return [length(path, w, model) for w in words]
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], per_task: int) -> Iterator[pa.RecordBatch]:
@@ -53,7 +83,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], per_task: int) -> Iterator[pa.R
         for text in batch.column(0).cast(pa.large_binary()):
             counts.update((text.as_py() or b"").split())
             if len(counts) > 50 * per_task:  # what is rare so far goes; a table that misses it costs time, not truth
-                counts = Counter(dict(counts.most_common(25 * per_task)))
+                counts = Counter({w: n for w, n in counts.items() if n > 1} if sum(n > 1 for n in counts.values()) < 25 * per_task else dict(counts.most_common(25 * per_task)))
     top = [(w, n) for w, n in counts.most_common(per_task) if n > 1 and len(w) <= 64]
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
@@ -74,6 +104,7 @@ class Lengths(dict):
     def __init__(self, path: str, words: bytes, n: np.ndarray):
         super().__init__(zip(words.split(), n.tolist(), strict=True))
         self.path, self.fixed, self.missed = path, len(self), 0
+        self.marks = lengths(path, [b"a", b"a,", b"a."]) == [1, 2, 2] and _MODELS[path] is not None
 
     def count(self, text: bytes) -> int:
         words = text.split()
@@ -83,7 +114,11 @@ class Lengths(dict):
                 for w in list(self)[self.fixed :]:
                     del self[w]
                 misses = [w for w in dict.fromkeys(words) if w not in self]
-            self.update(zip(misses, lengths(self.path, misses), strict=True))
+            # a word before one comma or stop: both are pre-tokens of their own for the splitter, and the mark is one token
+            short = [w[:-1] if self.marks and w[-1:] in b",." and w[-2:-1].isalpha() else w for w in misses]
+            need = [w for w in dict.fromkeys(short) if w not in self]
+            self.update(zip(need, lengths(self.path, need), strict=True))
+            self.update((w, self[x] + 1) for w, x in zip(misses, short, strict=True) if w is not x)
             self.missed += len(misses)
         return sum(map(self.__getitem__, words))
 
