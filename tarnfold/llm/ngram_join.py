@@ -5,11 +5,14 @@
    first and widely shared shingles last. Two linked sets share one of their n - ceil(0.75 n) + 1 first shingles.
 3. Those go to inverted lists. The least class of a list is its hub, and all its classes join the hub's group:
    any two classes that share a list meet in one group, without any pairs being written.
-4. In a group (dealt over chunks of bounded size, the hub in each) the classes are indexed, and DivideSkip finds
+4. Each class has a parity bitmap of about a bit a shingle. Bits in which two differ are no more than the shingles
+   that only one has, so most members of a group are seen to link with none; the others make up smaller groups, equal
+   ones from several hubs just once. Only these get their texts.
+5. In a group (dealt over chunks of bounded size, a centre in each) the classes are indexed, and DivideSkip finds
    those that share enough shingles with a query: short lists are heap-merged, long ones probed by bisection.
-   The hub is queried first; what links to it needs no further query, as links only matter for components.
+   The centre is queried first; what links to it needs no further query, as links only matter for components.
    All others are queried, and in groups of several chunks they are also sent to the other chunks.
-5. Links between classes make components, whose least doc_id every document gets.
+6. Links between classes make components, whose least doc_id every document gets.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import parts, ship, stored, texts
 from .components import components
+from .packs import packed, unpacked
 from .textnum import chain, column_bytes, runs, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 SKETCH, SKETCH_BLOCKS = 1 << 19, 8
-CHUNK = 2048
+CHUNK, BLOCK_BYTES = 2048, 8 << 20
 #: Shorter lists than this many entries in all are merged by a heap, longer ones by counting.
 HEAPED = 30_000
 
@@ -61,15 +65,43 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
 
-_SUMMARY = "doc_id long, n int, class long, block int, counts binary"
-_SUMMARY_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parities of how many hashes end in each pattern of so many bits that there is a pattern a shingle, 64 to 65,536."""
+    m = 1 << min(16, max(6, (len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """(k, 2) pairs of members (ascending sizes; maps of 64-bit words) whose sizes and bitmaps do not rule a link out."""
+    out = []
+    level = np.array([len(m) for m in maps])
+    rows = {w: np.stack([m for m in maps if len(m) == w]) for w in np.unique(level)}
+    first = {w: int(np.flatnonzero(level == w)[0]) for w in rows}
+    for i, m in enumerate(maps[:-1]):
+        last = int(np.searchsorted(sizes, 100 * sizes[i] / percent, "right"))
+        for w, own in rows.items():  # sizes ascend, so maps of a length are neighbours
+            lo, hi = max(i + 1, first[w]), min(last, first[w] + len(own))
+            if lo >= hi:
+                continue
+            others = own[lo - first[w] : hi - first[w]]
+            while others.shape[1] > len(m):
+                others = others[:, : others.shape[1] // 2] ^ others[:, others.shape[1] // 2 :]
+            apart = np.bitwise_count(others ^ m).sum(1, dtype=np.int64)
+            # the sets differ in at most (100 - percent) / (100 + percent) of both sizes
+            ok = np.flatnonzero((100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[lo:hi])) + lo
+            out.append(np.stack([np.full(len(ok), i), ok], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+_SUMMARY = "doc_id long, n int, class long, bits binary, block int, counts binary"
+_SUMMARY_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(2 * SKETCH, np.uint32)  # of words, then of shingles
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
-        n, names = [], []
+        n, names, maps = [], [], []
         for i, j in runs(offsets):
             ws, ss = [], []
             for s, w in shingled(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
@@ -78,10 +110,11 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ss.append(u)
                 n.append(len(u))
                 names.append(class_of(u) if len(u) else 0)
+                maps.append(bitmap(u) if len(u) else None)
             sketch[:SKETCH] += np.bincount(_bucket(np.concatenate(ws)), minlength=SKETCH).astype(np.uint32)
             sketch[SKETCH:] += np.bincount(_bucket(np.concatenate(ss)), minlength=SKETCH).astype(np.uint32)
         none = pa.nulls(len(n))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(names, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SUMMARY_ARROW)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(names, pa.int64()), pa.array(maps, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SUMMARY_ARROW)
     if sketch.any():
         cut = np.split(sketch, SKETCH_BLOCKS)
         rows = [{"block": k, "counts": zlib.compress(x.tobytes(), 1)} for k, x in enumerate(cut)]
@@ -100,14 +133,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, class) of every row, and the sketches' logarithms: 2 * SKETCH bytes, whatever the input."""
+    """(doc_id, n, class, bits) of every row, and the sketches' logarithms: 2 * SKETCH bytes, whatever the input."""
     both = stored(texts(docs).mapInArrow(_summarise, _SUMMARY), "shingles")
     rows = both.where("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(_summed, "block int, logs binary").collect()
     logs = np.zeros(2 * SKETCH, np.uint8)
     for r in rows:
         part = np.frombuffer(r.logs, np.uint8)
         logs[r.block * len(part) : (r.block + 1) * len(part)] = part
-    return both.where("block is null").select("doc_id", "n", "class"), logs
+    return both.where("block is null").select("doc_id", "n", "class", "bits"), logs
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -228,8 +261,8 @@ class Index:
         return found[100 * counts >= percent * (len(s) + self.sizes[found] - counts)]
 
 
-def links_of_group(names: list[int], sets: list[np.ndarray], hub: int, foreign: list[bool]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links (class, class) that connect all linked members of one chunk, and the members that don't link with the hub.
+def links_of_group(names: list[int], sets: list[np.ndarray], centre: int, foreign: list[bool]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links (class, class) that connect all linked members of one chunk, and the members that don't link with the centre.
 
     Foreign members belong to other chunks and are only queried.
     """
@@ -237,49 +270,128 @@ def links_of_group(names: list[int], sets: list[np.ndarray], hub: int, foreign:
     index = Index([sets[i] for i in own])
     edges: list[tuple[int, int]] = []
     core: set[int] = set()
-    order = sorted(range(len(names)), key=lambda i: names[i] != hub)
+    order = sorted(range(len(names)), key=lambda i: names[i] != centre)
     for i in order:
         if i in core:
             continue
         found = [own[k] for k in index.links(sets[i], apart=1 if foreign[i] else 2)]
         edges += [(names[i], names[k]) for k in found if k != i]
-        if names[i] == hub:
+        if names[i] == centre:
             core.update(found)
-    return edges, [names[i] for i in own if i not in core and names[i] != hub]
+    return edges, [names[i] for i in own if i not in core and names[i] != centre]
 
 
-_FOUND = "u long, v long, hub long, outlier long"
-_FOUND_ARROW = pa.schema([(c, pa.int64()) for c in ("u", "v", "hub", "outlier")])
+def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows of one key each, from rows sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(batch.schema.get_field_index(k))) for k in key]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        at = [0, *cut.tolist(), batch.num_rows]
+        for a, b in zip(at, at[1:], strict=False):
+            now = tuple(c[a] for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, chunk, chunks, class, foreign, text) sorted by hub and chunk: links, and outliers of groups of several chunks."""
-    held: list = []
-    key = None
-
-    def flush() -> pa.RecordBatch | None:
-        if len(held) < 2:
-            return None
-        data = b"".join(x[4] for x in held)
-        offsets = np.concatenate([[0], np.cumsum([len(x[4]) for x in held])]).astype(np.int64)
-        sets = [np.unique(s) for i, j in runs(offsets) for s, _ in shingled(np.frombuffer(data, np.uint8)[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-        edges, out = links_of_group([x[2] for x in held], sets, held[0][0], [x[3] for x in held])
-        several = held[0][1] > 1 and not any(x[3] for x in held)
-        rows = [(u, v, None, None) for u, v in edges] + [(None, None, held[0][0], x) for x in out if several]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_FOUND_ARROW) if rows else None
+_GROUP = "gid long, chunk int, chunks int, centre long, class long"
+_GROUP_ARROW = pa.schema([("gid", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("centre", pa.int64()), ("class", pa.int64())])
 
-    for batch in batches:
-        cols = batch.select(["hub", "chunk", "chunks", "class", "foreign"]).to_pydict()
-        text = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
-        for i in range(batch.num_rows):
-            now = (cols["hub"][i], cols["chunk"][i])
-            if now != key:
-                if (got := flush()) is not None:
-                    yield got
-                held, key = [], now
-            held.append((cols["hub"][i], cols["chunks"][i], cols["class"][i], cols["foreign"][i], text[i].as_py() or b""))
-    if (got := flush()) is not None:
-        yield got
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, chunk, chunks, class, n, bits) sorted by hub and chunk: the groups of members that may link.
+
+    The members of a group of one chunk fall into those that bitmaps connect; such a group is named by its members, so
+    that equal ones coincide. Groups of several chunks stay as they are.
+    """
+    rows: list[tuple] = []
+    for g in _grouped(batches, ["hub", "chunk"]):
+        hub, chunk, chunks = (g.column(c)[0].as_py() for c in ("hub", "chunk", "chunks"))
+        names = g.column("class").to_pylist()
+        if chunks > 1:
+            rows += [(hub, chunk, chunks, hub, x) for x in names]
+        elif len(names) > 1:
+            sizes = g.column("n").to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            maps = [np.frombuffer(g.column("bits")[int(k)].as_py(), np.uint64) for k in order]
+            pairs = may_link(sizes[order].astype(np.int64), maps)
+            if len(pairs):
+                root = list(range(len(names)))
+
+                def find(x: int, root: list[int] = root) -> int:
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for a, b in pairs.tolist():
+                    root[find(a)] = find(b)
+                degree = np.bincount(pairs.ravel(), minlength=len(names))
+                groups: dict[int, list[int]] = {}
+                for x in range(len(names)):
+                    if degree[x]:
+                        groups.setdefault(find(x), []).append(x)
+                for own in groups.values():
+                    ids = np.sort(np.array([names[order[x]] for x in own], np.int64))
+                    centre = min((-int(degree[x]), names[order[x]]) for x in own)[1]
+                    gid = class_of(ids)
+                    rows += [(gid, 0, 1, centre, int(x)) for x in ids]
+        if len(rows) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
+
+
+_MEMBER = _GROUP + ", foreign boolean, text binary"
+_MEMBER_ARROW = pa.schema([*_GROUP_ARROW, ("foreign", pa.bool_()), ("text", pa.binary())])
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def _fetch(packs: pa.Table, members: pa.Table) -> pa.Table:
+    """Members with the compressed texts (after their lengths) of a block's documents."""
+    if not members.num_rows or not packs.num_rows:
+        return _MEMBER_ARROW.empty_table()
+    wanted = set(members.column("doc_id").to_pylist())
+    docs = unpacked(packs.column("pack"))
+    found: dict[tuple[int, int], bytes] = {}
+    ids, text = docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.large_binary()).combine_chunks()
+    for k, d in enumerate(ids):
+        if d in wanted:
+            x = text[k].as_py() or b""
+            data = np.frombuffer(x, np.uint8)
+            name = class_of(np.unique(next(shingled(data, np.array([0, len(x)])))[0]))
+            found[d, name] = len(x).to_bytes(8, "little") + _ZSTD.compress(x, asbytes=True)
+    texts_ = [found[k] for k in zip(members.column("doc_id").to_pylist(), members.column("class").to_pylist(), strict=True)]
+    return members.select([f.name for f in _MEMBER_ARROW][:-1]).append_column("text", pa.array(texts_, pa.binary())).cast(_MEMBER_ARROW)
+
+
+_FOUND = "u long, v long, gid long, outlier long"
+_FOUND_ARROW = pa.schema([(c, pa.int64()) for c in ("u", "v", "gid", "outlier")])
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members sorted by group and chunk: links, and outliers of groups of several chunks."""
+    for g in _grouped(batches, ["gid", "chunk", "chunks"]):
+        if g.num_rows < 2:
+            continue
+        data = [_ZSTD.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in g.column("text").to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+        joined = np.frombuffer(b"".join(data), np.uint8)
+        sets = [np.unique(s) for i, j in runs(offsets) for s, _ in shingled(joined[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+        foreign = g.column("foreign").to_pylist()
+        edges, out = links_of_group(g.column("class").to_pylist(), sets, g.column("centre")[0].as_py(), foreign)
+        several = g.column("chunks")[0].as_py() > 1 and not any(foreign)
+        rows = [(u, v, None, None) for u, v in edges] + [(None, None, g.column("gid")[0].as_py(), x) for x in out if several]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_FOUND_ARROW)
 
 
 def class_links(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray) -> DataFrame:
@@ -287,26 +399,32 @@ def class_links(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray) -> DataFra
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(logs)
     n = parts(spark)
-    lists = texts(docs).select("text").mapInArrow(lambda b: _first_shingles(b, shared.value), "key long, class long")
+    d = texts(docs)
+    lists = d.select("text").mapInArrow(lambda b: _first_shingles(b, shared.value), "key long, class long")
     members = lists.repartition(n, "key").sortWithinPartitions("key", "class").mapInArrow(_hubs, "hub long, class long").distinct()
     members = stored(members, "members")
-    one = by_doc.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    one = by_doc.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("x"), F.first(F.struct("doc_id", "n", "bits")).alias("y")).select("class", F.coalesce("x", "y").alias("x"))
+    one = one.select("class", "x.doc_id", "x.n", "x.bits")
     chunks = members.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = members.join(chunks, "hub")
-    dealt = dealt.select("hub", "chunks", "class", F.explode(F.when(F.col("hub") == F.col("class"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")))).alias("chunk"))
-    cols = ["hub", "chunk", "chunks", "class", "foreign", "text"]
+    at = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    dealt = members.join(chunks, "hub").join(one.select("class", "n", "bits"), "class")
+    dealt = dealt.select("hub", "chunks", "class", "n", "bits", F.explode(F.when(F.col("hub") == F.col("class"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(at))).alias("chunk"))
+    groups = stored(dealt.repartition(n, "hub", "chunk").sortWithinPartitions("hub", "chunk").mapInArrow(_sift, _GROUP).distinct(), "groups")
+    size = d.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // BLOCK_BYTES))))
 
     def searched(rows: DataFrame) -> DataFrame:
-        found = rows.join(one, "class").join(texts(docs), "doc_id").select(*cols)
-        return stored(found.repartition(n, "hub", "chunk").sortWithinPartitions("hub", "chunk").mapInArrow(_search, _FOUND), "links")
+        wanted = rows.join(one.select("class", "doc_id"), "class").withColumn("block", block)
+        found = packed(d.withColumn("block", block)).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, _MEMBER)
+        return stored(found.repartition(n, "gid", "chunk", "chunks").sortWithinPartitions("gid", "chunk", "chunks").mapInArrow(_search, _FOUND), "links")
 
-    got = searched(dealt.withColumn("foreign", F.lit(False)))
+    got = searched(groups.withColumn("foreign", F.lit(False)))
     links = got.where("u is not null").select("u", "v")
-    outliers = got.where("outlier is not null").select("hub", F.col("outlier").alias("class")).distinct()
+    outliers = got.where("outlier is not null").select("gid", F.col("outlier").alias("class")).distinct()
     if outliers.take(1):
-        from_all = outliers.join(chunks, "hub").select("hub", "chunks", "class", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        home = F.col("chunk") == F.pmod(F.xxhash64("class"), F.col("chunks"))
-        again = dealt.join(outliers.select("hub").distinct(), "hub").withColumn("foreign", F.lit(False)).unionByName(from_all.where(~home).withColumn("foreign", F.lit(True)))
+        several = groups.where("chunks > 1")
+        sent = outliers.join(several.select("gid", "chunks", "centre").distinct(), "gid").select("gid", "chunks", "centre", "class", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).where(F.col("chunk") != at)
+        again = several.join(outliers.select("gid").distinct(), "gid").withColumn("foreign", F.lit(False)).unionByName(sent.withColumn("foreign", F.lit(True)))
         links = links.union(searched(again).where("u is not null").select("u", "v"))
     return links
 
