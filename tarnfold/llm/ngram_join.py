@@ -261,6 +261,21 @@ class Index:
         return found[100 * counts >= percent * (len(s) + self.sizes[found] - counts)]
 
 
+class Joined:
+    """Sets of the members of one group that links join."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self.up[self.root(a)] = self.root(b)
+
+
 def links_of_group(names: list[int], sets: list[np.ndarray], centre: int, foreign: list[bool]) -> tuple[list[tuple[int, int]], list[int]]:
     """Links (class, class) that connect all linked members of one chunk, and the members that don't link with the centre.
 
@@ -268,16 +283,18 @@ def links_of_group(names: list[int], sets: list[np.ndarray], centre: int, foreig
     """
     own = [i for i, f in enumerate(foreign) if not f]
     index = Index([sets[i] for i in own])
-    edges: list[tuple[int, int]] = []
+    joined = Joined(len(names))
     core: set[int] = set()
     order = sorted(range(len(names)), key=lambda i: names[i] != centre)
     for i in order:
         if i in core:
             continue
         found = [own[k] for k in index.links(sets[i], apart=1 if foreign[i] else 2)]
-        edges += [(names[i], names[k]) for k in found if k != i]
+        for k in found:
+            joined.join(i, k)
         if names[i] == centre:
             core.update(found)
+    edges = [(names[i], names[r]) for i in range(len(names)) if (r := joined.root(i)) != i]  # one a member, not one a link
     return edges, [names[i] for i in own if i not in core and names[i] != centre]
 
 
@@ -324,20 +341,14 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             maps = [np.frombuffer(g.column("bits")[int(k)].as_py(), np.uint64) for k in order]
             pairs = may_link(sizes[order].astype(np.int64), maps)
             if len(pairs):
-                root = list(range(len(names)))
-
-                def find(x: int, root: list[int] = root) -> int:
-                    while root[x] != x:
-                        root[x] = x = root[root[x]]
-                    return x
-
+                joined = Joined(len(names))
                 for a, b in pairs.tolist():
-                    root[find(a)] = find(b)
+                    joined.join(a, b)
                 degree = np.bincount(pairs.ravel(), minlength=len(names))
                 groups: dict[int, list[int]] = {}
                 for x in range(len(names)):
                     if degree[x]:
-                        groups.setdefault(find(x), []).append(x)
+                        groups.setdefault(joined.root(x), []).append(x)
                 for own in groups.values():
                     ids = np.sort(np.array([names[order[x]] for x in own], np.int64))
                     centre = min((-int(degree[x]), names[order[x]]) for x in own)[1]
