@@ -17,7 +17,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, usable: Column | None = No
     """Documents that score below their language's threshold."""
     ship(docs.sparkSession)
     m = learned(docs, labels, usable)
-    return score(docs, m).where(~rejected(docs, m)).select(*docs.columns)
+    return score(docs, m, "__toxic").where(~rejected(m, "__toxic")).drop("__toxic")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -26,23 +26,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id but not the text stay together, if either stays.
     """
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = stored(kept, "kept").withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = stored(kept, "kept").withColumnRenamed("doc_id", "__kept_id")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def without_repeated_strings(docs: DataFrame) -> DataFrame:
     """Texts without bytes of long strings that start earlier elsewhere; n_chars is counted anew where there is such a column."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = without_repeats(docs, with_text=True, keep=rest).withColumn("text", F.col("kept_text"))
+    rest = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # whatever their names
+    out = without_repeats(docs.withColumnsRenamed(rest), with_text=True, keep=list(rest.values()))
+    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")} | {c: F.col(x) for c, x in rest.items()}
     if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that overlap with no benchmark item."""
-    leaks = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    leaks = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("__leak_id")).distinct(), "leaks")
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak_id")), "left_anti")
 
 
 def encoded(docs: DataFrame) -> DataFrame:

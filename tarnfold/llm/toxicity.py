@@ -199,13 +199,13 @@ def _model(key: str, shared) -> Model:
     return _MODELS[key]
 
 
-def score(docs: DataFrame, m: Model) -> DataFrame:
-    """docs with a column toxic_score (0 to 1) added; null and empty texts are scored as texts without words."""
+def score(docs: DataFrame, m: Model, out_col: str = "toxic_score") -> DataFrame:
+    """docs with a column out_col (0 to 1) added or replaced; null and empty texts are scored as texts without words."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((m.tables.astype(np.float16), m.filters, m.bias, m.out, m.out_bias, m.scale, m.shift))
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"
-    names = [c for c in docs.columns if c != "toxic_score"]
+    names = [c for c in docs.columns if c != out_col]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,17 +215,17 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
             out = np.zeros(batch.num_rows)
             for i, j in runs(offsets):
                 out[i:j] = own.scores(own.logits(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, out_col])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{schema}, toxic_score double")
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{schema}, `{out_col}` double")
 
 
-def rejected(scored: DataFrame, m: Model, lang_col: str = "lang") -> Column:
+def rejected(m: Model, score_col: str = "toxic_score", lang_col: str = "lang") -> Column:
     """Whether a row's score reaches its language's threshold (THRESHOLD for languages without one, or null)."""
     cut = F.lit(THRESHOLD)
     for x, t in sorted(m.thresholds.items()):
         cut = F.when(F.col(lang_col) == x, F.lit(t)).otherwise(cut)
-    return F.col("toxic_score") >= cut
+    return F.col(score_col) >= cut
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame, fold: int = 1) -> DataFrame:
