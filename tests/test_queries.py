@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tarnfold.plans import queries as core
+from tarnfold.plans import rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
