@@ -12,8 +12,8 @@ have their trigger at the same place: parses of repeated text fall into step fro
   at LENGTH); within equal suffixes the parse's order (doc_id, place) tells the first one.
 
 Rows meet by trigger hash, sorted by Spark and read as a stream; a group of any size needs no memory of its own
-in the first step. In the second a trigger with more than HOT different phrases is not gathered: its suffixes are
-grouped by 128-bit hashes with a partial aggregation.
+in the first step. In the second a trigger with more than HOT different phrases is not gathered: each of its suffixes
+moves on by itself, as a 128-bit hash, and meets its equals alone, again as a stream.
 """
 
 from __future__ import annotations
@@ -140,10 +140,19 @@ _CONTEXT = "trigger long, doc_id long, lo int, bytes binary"
 
 
 def _fetch(packs: pa.Table, spans: pa.Table, length: int) -> pa.Table:
-    """The bytes of dictionary entries, from the texts of a block."""
+    """The bytes of dictionary entries, from the texts of a block; of hot triggers each suffix's hash, under a trigger made of it."""
     found = _texts_of(packs) if packs.num_rows else {}
-    doc, lo, hi, trigger = (spans.column(c).to_pylist() for c in ("doc_id", "lo", "hi", "trigger"))
-    rows = [(t, d, a, x[a : b + length]) for d, a, b, t in zip(doc, lo, hi, trigger, strict=True) for x in found.get(d, []) if len(x) >= b + length]
+    rows = []
+    for d, a, b, t, hot in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "lo", "hi", "trigger", "hot")), strict=True):
+        for x in found.get(d, []):
+            if len(x) < b + length:
+                continue
+            if not hot:
+                rows.append((t, d, a, x[a : b + length]))
+                continue
+            for k in range(a, b + 1):
+                h = hashlib.blake2b(x[k : k + length], digest_size=16).digest()
+                rows.append((int.from_bytes(h[:8], "little", signed=True), d, k, h))
     cols = list(zip(*rows, strict=True)) or [[]] * 4
     return pa.table({"trigger": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "lo": pa.array(cols[2], pa.int32()), "bytes": pa.array(cols[3], pa.binary())})
 
@@ -193,30 +202,36 @@ def _joined(d: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.n
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by trigger; whole triggers are taken together, about GROUP_BYTES at a time."""
+    """Rows sorted by trigger and place; whole triggers are taken together, about GROUP_BYTES at a time.
+
+    A row that is shorter than a suffix is the hash of one: all after the first of its kind repeat it.
+    """
     doc, lo, data, size, last = [], [], [], 0, None
+    firsts: dict[bytes, tuple[int, int]] = {}  # of hashes under the present trigger
     for batch in batches:
+        again: list[tuple[int, int]] = []
         for t, d, a, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t != last and size > GROUP_BYTES:
-                yield _spans(*repeated_windows(doc, lo, data, length))
-                doc, lo, data, size = [], [], [], 0
+            if t != last:
+                firsts = {}
+                if size > GROUP_BYTES:
+                    yield _spans(*repeated_windows(doc, lo, data, length))
+                    doc, lo, data, size = [], [], [], 0
+            last = t
+            if len(x) < length:
+                if firsts.setdefault(x, (d, a)) != (d, a):
+                    again.append((d, a))
+                continue
             doc.append(d)
             lo.append(a)
             data.append(x)
             size += len(x)
-            last = t
+        if again:
+            d, a = np.array(sorted(set(again)), np.int64).T
+            yield _spans(*_joined(d, a, length))
     if data:
         yield _spans(*repeated_windows(doc, lo, data, length))
 
 
-def _hash_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        _, doc, lo, data = (c.to_pylist() for c in batch.columns)
-        rows = [(hashlib.blake2b(x[k : k + length], digest_size=16).digest(), d, a + k) for d, a, x in zip(doc, lo, data, strict=True) for k in range(len(x) - length + 1)]
-        h, d, k = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(d, pa.int64()), pa.array(k, pa.int32())], ["suffix", "doc_id", "lo"])
-
-
 def repeated_spans(d: DataFrame, packs: DataFrame, n_blocks: int, length: int = LENGTH) -> DataFrame:
     """(doc_id, lo, hi): byte spans covered by windows that start earlier elsewhere, from d (doc_id, text) and its packs."""
     n = parts(d.sparkSession)
@@ -225,19 +240,11 @@ def repeated_spans(d: DataFrame, packs: DataFrame, n_blocks: int, length: int =
     settled = stored(sorted_.mapInArrow(lambda b: _settle(b, length), _SPAN), "phrases")
     done = settled.where("trigger is null").select("doc_id", "lo", "hi")
     entries = settled.where("trigger is not null")
+    hot = stored(entries.groupBy("trigger").count().where(F.col("count") > HOT).select("trigger", F.lit(True).alias("hot")), "hot")
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))
-    fetched = packs.groupBy("block").cogroup(entries.withColumn("block", block).groupBy("block")).applyInArrow(lambda p, s: _fetch(p, s, length), _CONTEXT)
-    hot = entries.groupBy("trigger").count().where(F.col("count") > HOT).select("trigger")
-    any_hot = bool(hot.take(1))
-    if any_hot:
-        fetched = stored(fetched, "entries")
-    usual = fetched.join(hot, "trigger", "left_anti") if any_hot else fetched
-    got = usual.repartition(n, "trigger").sortWithinPartitions("trigger", "doc_id", "lo").mapInArrow(lambda b: _sort_suffixes(b, length), _SPAN).select("doc_id", "lo", "hi")
-    if any_hot:
-        suffixes = fetched.join(hot, "trigger", "left_semi").mapInArrow(lambda b: _hash_suffixes(b, length), "suffix binary, doc_id long, lo int").distinct()
-        first = suffixes.groupBy("suffix").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = suffixes.join(first, "suffix").where(F.struct("doc_id", "lo") != F.col("first"))
-        got = got.union(later.select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
+    entries = entries.join(hot, "trigger", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("block", block)
+    fetched = packs.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(lambda p, s: _fetch(p, s, length), _CONTEXT)
+    got = fetched.repartition(n, "trigger").sortWithinPartitions("trigger", "doc_id", "lo").mapInArrow(lambda b: _sort_suffixes(b, length), _SPAN).select("doc_id", "lo", "hi")
     return done.union(got)
 
 
@@ -292,12 +299,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     size = d.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))
-    spans = repeated_spans(d, packed(d.select("doc_id", "text").withColumn("block", block)), n_blocks, length)
+    packs = packed(d.withColumn("block", block))  # one plan for both uses, so that its exchange is written once
+    spans = repeated_spans(d, packs, n_blocks, length)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", `{c}` {kinds[c]}" for c in keep)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    packs = packed(d.withColumn("block", block))
     return packs.groupBy("block").cogroup(spans.withColumn("block", block).groupBy("block")).applyInArrow(lambda p, s: _finish(p, s, with_text, arrow), schema)
