@@ -248,17 +248,17 @@ _POST = f"""q AS (SELECT DISTINCT item_id, unnest({_TOK.format('text')}) AS toke
 
 
 @query(f"""WITH {_POST}, x AS (SELECT item_id, doc_id, sum(tf * log10(n / df) * log10(n / df)) AS score FROM q JOIN p USING (token) JOIN f USING (token), s GROUP BY 1, 2)
- SELECT item_id, doc_id, rank, round(round(score, 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM x) WHERE rank <= 5""")
+ SELECT item_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM x) WHERE rank <= 5""")
 def tfidf_topk(t):
     s = R.text_scores(t("documents"), t("benchmark")).withColumn("score", F.round("score", 6))
-    return R.top(s, "item_id", "doc_id", 5).select("item_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return R.top(s, "item_id", "doc_id", 5).select("item_id", "doc_id", "rank", "score")
 
 
 @query(f"""WITH {_POST}, x AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score FROM q JOIN p USING (token) JOIN f USING (token), s GROUP BY 1, 2)
- SELECT item_id, doc_id, rank, round(round(score, 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM x) WHERE rank <= 5""")
+ SELECT item_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM x) WHERE rank <= 5""")
 def bm25_topk(t):
     s = R.text_scores(t("documents"), t("benchmark"), scorer="bm25").withColumn("score", F.round("score", 6))
-    return R.top(s, "item_id", "doc_id", 5).select("item_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return R.top(s, "item_id", "doc_id", 5).select("item_id", "doc_id", "rank", "score")
 
 
 @query("""SELECT doc_id, 0.5 AS score FROM documents WHERE source = 'src3' AND (text ILIKE '%the%' OR text ILIKE '%nicht%') ORDER BY doc_id LIMIT 10""")
