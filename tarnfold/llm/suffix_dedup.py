@@ -76,10 +76,30 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 _PHRASE = "trigger long, phrase long, doc_id long, lo int, more short"
 
 
+def _settled_here(trigger: np.ndarray, phrase: np.ndarray, doc: np.ndarray, lo: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Marks occurrences that are not the first of their phrase among these rows: they repeat it, whatever others hold.
+
+    Marked rows have -1 - more for more, and a trigger of their own by which they spread over all tasks; so a phrase that a
+    third of all texts hold sends one row from here to where it is settled.
+    """
+    order = np.lexsort((lo, doc, phrase, trigger))
+    t, p, d, o = trigger[order], phrase[order], doc[order], lo[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
+    again = order[~new & ((d != d[first]) | (o != o[first]))]
+    trigger, phrase, more = trigger.copy(), phrase.copy(), more.copy()
+    trigger[again] = (mix(doc[again].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo[again].astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
+    phrase[again] = 0
+    more[again] = -1 - more[again]
+    return trigger, phrase, doc, lo, more
+
+
 def _parse(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         ids = np.asarray(batch.column(0))
+        found = []
         for i, j in runs(offsets, _SEGMENT):
             a, b = int(offsets[i]), int(offsets[j])
             if j > i + 1 or b - a <= _SEGMENT:
@@ -88,7 +108,10 @@ def _parse(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                 cuts = [(s, min(s + _SEGMENT + length - 1, b), None, s - a) for s in range(a, b, _SEGMENT)]
             for s, e, own, shift in cuts:
                 trigger, phrase, doc, lo, more = phrases(data[s:e], np.array([0, e - s]) if own is None else own, length)
-                yield pa.RecordBatch.from_arrays([pa.array(trigger), pa.array(phrase), pa.array(ids[i + doc]), pa.array((lo + shift).astype(np.int32)), pa.array(more.astype(np.int16))], ["trigger", "phrase", "doc_id", "lo", "more"])
+                found.append((trigger, phrase, ids[i + doc], lo + shift, more))
+        if found:
+            trigger, phrase, doc, lo, more = _settled_here(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(trigger), pa.array(phrase), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(more.astype(np.int16))], ["trigger", "phrase", "doc_id", "lo", "more"])
 
 
 _SPAN = "doc_id long, lo int, hi int, trigger long"
@@ -107,9 +130,13 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     held: tuple | None = None  # the latest first occurrence, and whether it has been told
     for batch in batches:
         t, p, doc, lo, more = (np.asarray(c) for c in batch.columns)
+        lo, more = lo.astype(np.int64), more.astype(np.int64)
+        marked = more < 0
+        if marked.any():
+            yield _spans(doc[marked], lo[marked], lo[marked] - 1 - more[marked] + length)
+            t, p, doc, lo, more = (x[~marked] for x in (t, p, doc, lo, more))
         if not len(t):
             continue
-        lo, more = lo.astype(np.int64), more.astype(np.int64)
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1])
         new[0] = t[0] != last_t or p[0] != last_p
