@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: dict[str, str] = {}
+_ROOTS: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,7 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under one of this application that goes when its driver ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/{sc.applicationId}"
+    if root not in _ROOTS:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ROOTS.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
