@@ -33,7 +33,6 @@ def text_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
     q = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
     wanted = q.select("token").distinct()
     d = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    n, avg = F.lit(0), F.lit(0.0)
     stats = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("_t")).alias("avg_len"))
     p = d.select(id_col, F.size("_t").alias("len"), F.explode("_t").alias("token")).join(wanted, "token", "left_semi").groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = p.groupBy("token").agg(F.count("*").alias("df"))
