@@ -61,6 +61,13 @@ def test_token_counts(docs_of, odd):
     assert token_counts.token_counts(docs_of(rows).where("false")).count() == 0
 
 
+def test_tokenizers_with_spaces_in_tokens_are_refused():
+    import public_tokenizers
+
+    assert token_counts.splits_at_space(token_counts.default_path())
+    assert not token_counts.splits_at_space(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_token_cache_may_empty_itself(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHED", 5)
     path = token_counts.default_path()
