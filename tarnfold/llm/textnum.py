@@ -39,7 +39,9 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     if had is None or len(had) < n:
         out = np.full(max(n, SLICE_BYTES + 4096), base, np.uint64)
         out[0] = 1
-        _POWERS[key] = had = np.multiply.accumulate(out)
+        had = np.multiply.accumulate(out, out=out)
+        if n <= SLICE_BYTES + 4096:  # those of a longer text are not kept
+            _POWERS[key] = had
     return had[:n]
 
 

@@ -41,6 +41,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ids, first + np.arange(len(first)) * (WIDTH - 1)
 
 
+def features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a list, some MB at a time."""
+    data = [t.encode("utf-8", "replace") for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+    ids, bounds, n = [np.zeros((0, 3), np.int32)], [np.zeros(1, np.int64)], 0
+    for i, j in runs(offsets):
+        own, at = features(np.frombuffer(b"".join(data[i:j]), np.uint8), offsets[i : j + 1] - offsets[i])
+        ids.append(own)
+        bounds.append(at[1:] + n)
+        n += len(own)
+    return np.concatenate(ids), np.concatenate(bounds)
+
+
 @dataclass
 class Model:
     """tables (3, BUCKETS, DIM), filters (WIDTH * DIM, WIDTH * FILTERS) with bias, logistic weights; scale and shift of the score."""
@@ -82,12 +95,10 @@ def _mask() -> np.ndarray:
 def fit(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: float = 0.05, seed: int = 7) -> Model:
     """Train on (text, label). The first dimension of an embedding starts as the bucket's log odds, shrunk where it is rare."""
     rng = np.random.default_rng(seed)
-    data = [t.encode("utf-8", "replace") for t, _ in rows]
     y = np.array([v for _, v in rows], np.float32)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-    ids, bounds = features(np.frombuffer(b"".join(data), np.uint8), offsets)
-    tables = rng.normal(0, 0.05, (3, BUCKETS, DIM)).astype(np.float32)
-    seen = np.zeros((3, BUCKETS, 2))
+    ids, bounds = features_of([t for t, _ in rows])
+    tables = rng.standard_normal((3, BUCKETS, DIM), np.float32) * np.float32(0.05)
+    seen = np.zeros((3, BUCKETS, 2), np.float32)
     for i in range(len(rows)):
         for k in range(3):
             seen[k, np.unique(ids[bounds[i] : bounds[i + 1], k]), int(y[i])] += 1
@@ -143,9 +154,9 @@ def calibrate(m: Model, rows: list[tuple[str, int, str]]) -> Model:
 
     A language's threshold is the middle of the scores between which no row errs, or else the score of fewest errors.
     """
-    data = [t.encode("utf-8", "replace") for t, _, _ in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-    z, y = m.logits(*features(np.frombuffer(b"".join(data), np.uint8), offsets)), np.array([v for _, v, _ in rows], float)
+    ids, bounds = features_of([t for t, _, _ in rows])
+    z = np.concatenate([np.zeros(0), *(m.logits(ids[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i in range(0, len(rows), 256) for j in [min(i + 256, len(rows))])])
+    y = np.array([v for _, v, _ in rows], float)
     if 0 < y.sum() < len(y):
         a, b = 1.0, 0.0
         soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
