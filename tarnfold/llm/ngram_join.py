@@ -8,10 +8,11 @@
 4. Each class has a parity bitmap of about a bit a shingle. Bits in which two differ are no more than the shingles
    that only one has, so most members of a group are seen to link with none; the others make up smaller groups, equal
    ones from several hubs just once. Only these get their texts.
-5. In a group (dealt over chunks of bounded size, a centre in each) the classes are indexed, and DivideSkip finds
-   those that share enough shingles with a query: short lists are heap-merged, long ones probed by bisection.
-   The centre is queried first; what links to it needs no further query, as links only matter for components.
-   All others are queried, and in groups of several chunks they are also sent to the other chunks.
+   A hub's group beyond a bounded size is dealt over chunks, and every pair of chunks is sifted apart from the
+   others: bitmaps meet, texts don't, and no group after this has more than two chunks' members.
+5. In a group the classes are indexed, and DivideSkip finds those that share enough shingles with a query: short
+   lists are heap-merged, long ones probed by bisection. The centre is queried first; what links to it needs no
+   further query, as links only matter for components.
 6. Links between classes make components, whose least doc_id every document gets.
 """
 
@@ -36,6 +37,8 @@ from .textnum import chain, column_bytes, runs, word_hashes
 SHINGLE, PERCENT = 5, 75
 SKETCH, SKETCH_BLOCKS = 1 << 19, 8
 CHUNK, BLOCK_BYTES = 2048, 8 << 20
+#: A chunk's shingles, on average over a group: a task holds two chunks' sets.
+CHUNK_SHINGLES = 2 << 20
 #: Shorter lists than this many entries in all are merged by a heap, longer ones by counting.
 HEAPED = 30_000
 
@@ -71,9 +74,8 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """(k, 2) pairs of members (ascending sizes; maps of 64-bit words) whose sizes and bitmaps do not rule a link out."""
-    out = []
+def may_links(sizes: np.ndarray, maps: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member (ascending sizes; maps of 64-bit words) with the later ones whose sizes and bitmaps do not rule a link out."""
     level = np.array([len(m) for m in maps])
     rows = {w: np.stack([m for m in maps if len(m) == w]) for w in np.unique(level)}
     first = {w: int(np.flatnonzero(level == w)[0]) for w in rows}
@@ -88,8 +90,12 @@ def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int = PERCENT)
                 others = others[:, : others.shape[1] // 2] ^ others[:, others.shape[1] // 2 :]
             apart = np.bitwise_count(others ^ m).sum(1, dtype=np.int64)
             # the sets differ in at most (100 - percent) / (100 + percent) of both sizes
-            ok = np.flatnonzero((100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[lo:hi])) + lo
-            out.append(np.stack([np.full(len(ok), i), ok], 1))
+            yield i, np.flatnonzero((100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[lo:hi])) + lo
+
+
+def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """(k, 2) pairs of may_links."""
+    out = [np.stack([np.full(len(ok), i), ok], 1) for i, ok in may_links(sizes, maps, percent)]
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
@@ -276,26 +282,20 @@ class Joined:
         self.up[self.root(a)] = self.root(b)
 
 
-def links_of_group(names: list[int], sets: list[np.ndarray], centre: int, foreign: list[bool]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links (class, class) that connect all linked members of one chunk, and the members that don't link with the centre.
-
-    Foreign members belong to other chunks and are only queried.
-    """
-    own = [i for i, f in enumerate(foreign) if not f]
-    index = Index([sets[i] for i in own])
+def links_of_group(names: list[int], sets: list[np.ndarray], centre: int) -> list[tuple[int, int]]:
+    """Links (class, class) that connect all linked members of one group."""
+    index = Index(sets)
     joined = Joined(len(names))
     core: set[int] = set()
-    order = sorted(range(len(names)), key=lambda i: names[i] != centre)
-    for i in order:
+    for i in sorted(range(len(names)), key=lambda i: names[i] != centre):
         if i in core:
             continue
-        found = [own[k] for k in index.links(sets[i], apart=1 if foreign[i] else 2)]
+        found = index.links(sets[i], apart=2).tolist()
         for k in found:
             joined.join(i, k)
         if names[i] == centre:
             core.update(found)
-    edges = [(names[i], names[r]) for i in range(len(names)) if (r := joined.root(i)) != i]  # one a member, not one a link
-    return edges, [names[i] for i in own if i not in core and names[i] != centre]
+    return [(names[i], names[r]) for i in range(len(names)) if (r := joined.root(i)) != i]  # one a member, not one a link
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -319,41 +319,45 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-_GROUP = "gid long, chunk int, chunks int, centre long, class long"
-_GROUP_ARROW = pa.schema([("gid", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("centre", pa.int64()), ("class", pa.int64())])
+_GROUP = "gid long, centre long, class long"
+_GROUP_ARROW = pa.schema([("gid", pa.int64()), ("centre", pa.int64()), ("class", pa.int64())])
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, chunk, chunks, class, n, bits) sorted by hub and chunk: the groups of members that may link.
+    """Rows (hub, a, b, at, class, n, bits) sorted by hub and pair of chunks a, b: the groups of members that may link.
 
-    The members of a group of one chunk fall into those that bitmaps connect; such a group is named by its members, so
-    that equal ones coincide. Groups of several chunks stay as they are.
+    The members of a pair of chunks fall into those that bitmaps connect across it (within it, where a is b); such a
+    group is named by its members, so that equal ones coincide.
     """
     rows: list[tuple] = []
-    for g in _grouped(batches, ["hub", "chunk"]):
-        hub, chunk, chunks = (g.column(c)[0].as_py() for c in ("hub", "chunk", "chunks"))
-        names = g.column("class").to_pylist()
-        if chunks > 1:
-            rows += [(hub, chunk, chunks, hub, x) for x in names]
-        elif len(names) > 1:
-            sizes = g.column("n").to_numpy()
-            order = np.argsort(sizes, kind="stable")
-            maps = [np.frombuffer(g.column("bits")[int(k)].as_py(), np.uint64) for k in order]
-            pairs = may_link(sizes[order].astype(np.int64), maps)
-            if len(pairs):
-                joined = Joined(len(names))
-                for a, b in pairs.tolist():
-                    joined.join(a, b)
-                degree = np.bincount(pairs.ravel(), minlength=len(names))
-                groups: dict[int, list[int]] = {}
-                for x in range(len(names)):
-                    if degree[x]:
-                        groups.setdefault(joined.root(x), []).append(x)
-                for own in groups.values():
-                    ids = np.sort(np.array([names[order[x]] for x in own], np.int64))
-                    centre = min((-int(degree[x]), names[order[x]]) for x in own)[1]
-                    gid = class_of(ids)
-                    rows += [(gid, 0, 1, centre, int(x)) for x in ids]
+    for g in _grouped(batches, ["hub", "a", "b"]):
+        if g.num_rows < 2:
+            continue
+        sizes = g.column("n").to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        names, at = g.column("class").to_numpy()[order], g.column("at").to_numpy()[order]
+        across = g.column("a")[0].as_py() != g.column("b")[0].as_py()
+        maps = [np.frombuffer(g.column("bits")[int(k)].as_py(), np.uint64) for k in order]
+        label, degree = np.arange(len(names)), np.zeros(len(names), np.int64)
+        for i, ok in may_links(sizes[order].astype(np.int64), maps):
+            if across:
+                ok = ok[at[ok] != at[i]]
+            if len(ok):
+                degree[i] += len(ok)
+                degree[ok] += 1
+                met = np.unique(label[np.append(ok, i)])
+                if len(met) > 1:
+                    to = np.arange(len(names))
+                    to[met] = met[0]
+                    label = to[label]
+        groups: dict[int, list[int]] = {}
+        for x in np.flatnonzero(degree).tolist():
+            groups.setdefault(int(label[x]), []).append(x)
+        for own in groups.values():
+            ids = np.sort(names[own])
+            centre = min((-int(degree[x]), int(names[x])) for x in own)[1]
+            gid = class_of(ids)
+            rows += [(gid, centre, int(x)) for x in ids]
         if len(rows) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
             rows = []
@@ -361,8 +365,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
 
 
-_MEMBER = _GROUP + ", foreign boolean, text binary"
-_MEMBER_ARROW = pa.schema([*_GROUP_ARROW, ("foreign", pa.bool_()), ("text", pa.binary())])
+_MEMBER = _GROUP + ", text binary"
+_MEMBER_ARROW = pa.schema([*_GROUP_ARROW, ("text", pa.binary())])
 _ZSTD = pa.Codec("zstd", 3)
 
 
@@ -384,23 +388,20 @@ def _fetch(packs: pa.Table, members: pa.Table) -> pa.Table:
     return members.select([f.name for f in _MEMBER_ARROW][:-1]).append_column("text", pa.array(texts_, pa.binary())).cast(_MEMBER_ARROW)
 
 
-_FOUND = "u long, v long, gid long, outlier long"
-_FOUND_ARROW = pa.schema([(c, pa.int64()) for c in ("u", "v", "gid", "outlier")])
+_FOUND = "u long, v long"
+_FOUND_ARROW = pa.schema([(c, pa.int64()) for c in ("u", "v")])
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members sorted by group and chunk: links, and outliers of groups of several chunks."""
-    for g in _grouped(batches, ["gid", "chunk", "chunks"]):
+    """Links of members sorted by group."""
+    for g in _grouped(batches, ["gid"]):
         if g.num_rows < 2:
             continue
-        data = [_ZSTD.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in g.column("text").to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-        joined = np.frombuffer(b"".join(data), np.uint8)
-        sets = [np.unique(s) for i, j in runs(offsets) for s, _ in shingled(joined[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-        foreign = g.column("foreign").to_pylist()
-        edges, out = links_of_group(g.column("class").to_pylist(), sets, g.column("centre")[0].as_py(), foreign)
-        several = g.column("chunks")[0].as_py() > 1 and not any(foreign)
-        rows = [(u, v, None, None) for u, v in edges] + [(None, None, g.column("gid")[0].as_py(), x) for x in out if several]
+        sets = []
+        for x in g.column("text").to_pylist():
+            data = np.frombuffer(_ZSTD.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True), np.uint8)
+            sets.append(np.unique(next(shingled(data, np.array([0, len(data)])))[0]))
+        rows = links_of_group(g.column("class").to_pylist(), sets, g.column("centre")[0].as_py())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_FOUND_ARROW)
 
@@ -416,28 +417,18 @@ def class_links(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray) -> DataFra
     members = stored(members, "members")
     one = by_doc.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("x"), F.first(F.struct("doc_id", "n", "bits")).alias("y")).select("class", F.coalesce("x", "y").alias("x"))
     one = one.select("class", "x.doc_id", "x.n", "x.bits")
-    chunks = members.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    at = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    dealt = members.join(chunks, "hub").join(one.select("class", "n", "bits"), "class")
-    dealt = dealt.select("hub", "chunks", "class", "n", "bits", F.explode(F.when(F.col("hub") == F.col("class"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(at))).alias("chunk"))
-    groups = stored(dealt.repartition(n, "hub", "chunk").sortWithinPartitions("hub", "chunk").mapInArrow(_sift, _GROUP).distinct(), "groups")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    large = stored(members.join(one.select("class", "n"), "class").groupBy("hub").agg(chunks.alias("chunks")).where("chunks > 1"), "chunks")
+    dealt = members.join(large, "hub", "left").join(one.select("class", "n", "bits"), "class").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("at", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "at").alias("a"), F.greatest(k, "at").alias("b")))
+    dealt = dealt.withColumn("pair", F.explode(pairs)).select("hub", "pair.a", "pair.b", "at", "class", "n", "bits")
+    groups = stored(dealt.repartition(n, "hub", "a", "b").sortWithinPartitions("hub", "a", "b").mapInArrow(_sift, _GROUP).dropDuplicates(["gid", "class"]), "groups")
     size = d.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // BLOCK_BYTES))))
-
-    def searched(rows: DataFrame) -> DataFrame:
-        wanted = rows.join(one.select("class", "doc_id"), "class").withColumn("block", block)
-        found = packed(d.withColumn("block", block)).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, _MEMBER)
-        return stored(found.repartition(n, "gid", "chunk", "chunks").sortWithinPartitions("gid", "chunk", "chunks").mapInArrow(_search, _FOUND), "links")
-
-    got = searched(groups.withColumn("foreign", F.lit(False)))
-    links = got.where("u is not null").select("u", "v")
-    outliers = got.where("outlier is not null").select("gid", F.col("outlier").alias("class")).distinct()
-    if outliers.take(1):
-        several = groups.where("chunks > 1")
-        sent = outliers.join(several.select("gid", "chunks", "centre").distinct(), "gid").select("gid", "chunks", "centre", "class", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).where(F.col("chunk") != at)
-        again = several.join(outliers.select("gid").distinct(), "gid").withColumn("foreign", F.lit(False)).unionByName(sent.withColumn("foreign", F.lit(True)))
-        links = links.union(searched(again).where("u is not null").select("u", "v"))
-    return links
+    wanted = groups.join(one.select("class", "doc_id"), "class").withColumn("block", block)
+    found = packed(d.withColumn("block", block)).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, _MEMBER)
+    return stored(found.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(_search, _FOUND), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

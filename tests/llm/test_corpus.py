@@ -67,6 +67,38 @@ def test_near_duplicates(docs_of, odd, monkeypatch, chunk):
     assert got == component_ids(rows)
 
 
+def test_a_hot_group_is_searched_in_bounded_parts(docs_of, monkeypatch):
+    """Boilerplate in all texts puts them into one list, though few link."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    seen, fetched = [], []
+    rng = random.Random(8)
+    same = " ".join(f"b{i}" for i in range(80))
+    rows = [(i, f"{same} " + " ".join(f"u{i}x{rng.randrange(10**6)}" for _ in range(30))) for i in range(90)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 90, 10)]
+    names, sets, maps = [], [], []
+    for _, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        sets.append(np.unique(next(ngram_join.shingled(data, np.array([0, len(data)])))[0]))
+        names.append(ngram_join.class_of(sets[-1]))
+        maps.append(ngram_join.bitmap(sets[-1]))
+    import pyarrow as pa
+
+    chunks = -(-len(rows) // 8)
+    at = [k % chunks for k in range(len(rows))]
+    for a in range(chunks):
+        for b in range(a, chunks):
+            k = [k for k in range(len(rows)) if at[k] in (a, b)]
+            batch = pa.RecordBatch.from_arrays([pa.array([0] * len(k)), pa.array([a] * len(k)), pa.array([b] * len(k)), pa.array([at[x] for x in k]), pa.array([names[x] for x in k]), pa.array([len(sets[x]) for x in k]), pa.array([maps[x] for x in k])], ["hub", "a", "b", "at", "class", "n", "bits"])
+            for out in ngram_join._sift(iter([batch])):
+                sizes = Counter(out.column("gid").to_pylist())
+                fetched += sizes.values()
+                seen += out.column("class").to_pylist()
+    assert fetched and max(fetched) <= 16 and sum(fetched) < chunks * len(rows) / 3  # texts; before, each outlier went to each chunk
+    assert {names[k] for k in range(90, 99)} <= set(seen)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs_of(rows)).collect())
+    assert got == component_ids(rows)
+
+
 def test_near_duplicates_empty(docs_of):
     assert ngram_join.near_duplicates(docs_of([(1, "a")]).where("false")).count() == 0
     got = ngram_join.near_duplicates(docs_of([(1, None), (2, "")])).collect()
