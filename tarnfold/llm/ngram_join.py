@@ -11,9 +11,10 @@
    A hub's group beyond a bounded size is dealt over chunks, and every pair of chunks is sifted apart from the
    others: bitmaps meet, texts don't, and no group after this has more than two chunks' members.
 5. In a group the classes are indexed, and DivideSkip finds those that share enough shingles with a query: short
-   lists are heap-merged, long ones probed by bisection. The centre is queried first; what links to it needs no
-   further query, as links only matter for components.
-6. Links between classes make components, whose least doc_id every document gets.
+   lists are heap-merged, long ones probed by bisection. Every member is queried, so every link is found; one that
+   several groups find belongs to the least of them. So links are counted exactly without being written (similar), or
+   written once each (links).
+6. Links make components, whose least doc_id every document gets; a group hands on as many as connect its members.
 """
 
 from __future__ import annotations
@@ -282,20 +283,23 @@ class Joined:
         self.up[self.root(a)] = self.root(b)
 
 
-def links_of_group(names: list[int], sets: list[np.ndarray], centre: int) -> list[tuple[int, int]]:
-    """Links (class, class) that connect all linked members of one group."""
+def links_of_group(sets: list[np.ndarray], lower: list[list[int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member with the later ones that link with it, but for links that belong to a lower group of both."""
     index = Index(sets)
-    joined = Joined(len(names))
-    core: set[int] = set()
-    for i in sorted(range(len(names)), key=lambda i: names[i] != centre):
-        if i in core:
-            continue
-        found = index.links(sets[i], apart=2).tolist()
-        for k in found:
-            joined.join(i, k)
-        if names[i] == centre:
-            core.update(found)
-    return [(names[i], names[r]) for i in range(len(names)) if (r := joined.root(i)) != i]  # one a member, not one a link
+    inside: dict[int, list[int]] = {}
+    for i, groups in enumerate(lower):
+        for g in groups:
+            inside.setdefault(g, []).append(i)
+    for i, s in enumerate(sets):
+        found = index.links(s, apart=2)
+        found = found[found > i]
+        if len(found) and lower[i]:
+            elsewhere = np.zeros(len(sets), bool)
+            for g in lower[i]:
+                elsewhere[inside[g]] = True
+            found = found[~elsewhere[found]]
+        if len(found):
+            yield i, found
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -319,8 +323,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-_GROUP = "gid long, centre long, class long"
-_GROUP_ARROW = pa.schema([("gid", pa.int64()), ("centre", pa.int64()), ("class", pa.int64())])
+_GROUP = "gid long, class long"
+_GROUP_ARROW = pa.schema([("gid", pa.int64()), ("class", pa.int64())])
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,26 +342,24 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, at = g.column("class").to_numpy()[order], g.column("at").to_numpy()[order]
         across = g.column("a")[0].as_py() != g.column("b")[0].as_py()
         maps = [np.frombuffer(g.column("bits")[int(k)].as_py(), np.uint64) for k in order]
-        label, degree = np.arange(len(names)), np.zeros(len(names), np.int64)
+        label, linked = np.arange(len(names)), np.zeros(len(names), bool)
         for i, ok in may_links(sizes[order].astype(np.int64), maps):
             if across:
                 ok = ok[at[ok] != at[i]]
             if len(ok):
-                degree[i] += len(ok)
-                degree[ok] += 1
+                linked[i] = linked[ok] = True
                 met = np.unique(label[np.append(ok, i)])
                 if len(met) > 1:
                     to = np.arange(len(names))
                     to[met] = met[0]
                     label = to[label]
         groups: dict[int, list[int]] = {}
-        for x in np.flatnonzero(degree).tolist():
+        for x in np.flatnonzero(linked).tolist():
             groups.setdefault(int(label[x]), []).append(x)
         for own in groups.values():
             ids = np.sort(names[own])
-            centre = min((-int(degree[x]), int(names[x])) for x in own)[1]
             gid = class_of(ids)
-            rows += [(gid, centre, int(x)) for x in ids]
+            rows += [(gid, int(x)) for x in ids]
         if len(rows) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
             rows = []
@@ -365,8 +367,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
 
 
-_MEMBER = _GROUP + ", text binary"
-_MEMBER_ARROW = pa.schema([*_GROUP_ARROW, ("text", pa.binary())])
+_MEMBER = _GROUP + ", copies long, gids array<long>, text binary"
+_MEMBER_ARROW = pa.schema([*_GROUP_ARROW, ("copies", pa.int64()), ("gids", pa.list_(pa.int64())), ("text", pa.binary())])
 _ZSTD = pa.Codec("zstd", 3)
 
 
@@ -388,12 +390,13 @@ def _fetch(packs: pa.Table, members: pa.Table) -> pa.Table:
     return members.select([f.name for f in _MEMBER_ARROW][:-1]).append_column("text", pa.array(texts_, pa.binary())).cast(_MEMBER_ARROW)
 
 
-_FOUND = "u long, v long"
-_FOUND_ARROW = pa.schema([(c, pa.int64()) for c in ("u", "v")])
+#: Links as classes u and v, and how many classes and rows a class links with through its group.
+_FOUND = "u long, v long, class long, classes long, rows long"
+_FOUND_ARROW = pa.schema([(c, pa.int64()) for c in ("u", "v", "class", "classes", "rows")])
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of members sorted by group."""
+def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Members sorted by group: every link, or each member's counts and as many links as connect what is linked."""
     for g in _grouped(batches, ["gid"]):
         if g.num_rows < 2:
             continue
@@ -401,13 +404,37 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in g.column("text").to_pylist():
             data = np.frombuffer(_ZSTD.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True), np.uint8)
             sets.append(np.unique(next(shingled(data, np.array([0, len(data)])))[0]))
-        rows = links_of_group(g.column("class").to_pylist(), sets, g.column("centre")[0].as_py())
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_FOUND_ARROW)
-
-
-def class_links(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray) -> DataFrame:
-    """(u, v): links between classes, enough to connect all that are linked."""
+        names, copies, gid = g.column("class").to_numpy(), g.column("copies").to_numpy(), g.column("gid")[0].as_py()
+        lower = [[x for x in xs if x < gid] for xs in g.column("gids").to_pylist()]
+        joined = Joined(len(names))
+        counts = np.zeros((2, len(names)), np.int64)
+        u, v = [], []
+        for i, found in links_of_group(sets, lower):
+            if not every:
+                counts[0, i] += len(found)
+                counts[1, i] += copies[found].sum()
+                counts[0, found] += 1
+                counts[1, found] += copies[i]
+                new = []
+                for k in found.tolist():
+                    if joined.root(i) != joined.root(k):
+                        joined.join(i, k)
+                        new.append(k)
+                found = np.array(new, np.int64)
+            u.append(np.full(len(found), names[i]))
+            v.append(names[found])
+            if every:  # a member's links at a time, however many a group has
+                yield pa.RecordBatch.from_arrays([pa.array(u.pop()), pa.array(v.pop()), *[pa.nulls(len(found), pa.int64())] * 3], schema=_FOUND_ARROW)
+        if u:
+            got = np.flatnonzero(counts[0])
+            u, v = np.concatenate(u), np.concatenate(v)
+            none = [pa.nulls(len(u), pa.int64()), pa.nulls(len(got), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[none[0]] * 3], schema=_FOUND_ARROW)
+            yield pa.RecordBatch.from_arrays([none[1], none[1], pa.array(names[got]), pa.array(counts[0, got]), pa.array(counts[1, got])], schema=_FOUND_ARROW)
+
+
+def searched(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray, every: bool = False) -> DataFrame:
+    """Rows of _search: every link between classes once; or links enough to connect all that are linked, and counts of all."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(logs)
     n = parts(spark)
@@ -415,8 +442,8 @@ def class_links(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray) -> DataFra
     lists = d.select("text").mapInArrow(lambda b: _first_shingles(b, shared.value), "key long, class long")
     members = lists.repartition(n, "key").sortWithinPartitions("key", "class").mapInArrow(_hubs, "hub long, class long").distinct()
     members = stored(members, "members")
-    one = by_doc.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("x"), F.first(F.struct("doc_id", "n", "bits")).alias("y")).select("class", F.coalesce("x", "y").alias("x"))
-    one = one.select("class", "x.doc_id", "x.n", "x.bits")
+    one = by_doc.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("x"), F.first(F.struct("doc_id", "n", "bits")).alias("y"), F.count("*").alias("copies")).select("class", F.coalesce("x", "y").alias("x"), "copies")
+    one = one.select("class", "x.doc_id", "x.n", "x.bits", "copies")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
     large = stored(members.join(one.select("class", "n"), "class").groupBy("hub").agg(chunks.alias("chunks")).where("chunks > 1"), "chunks")
     dealt = members.join(large, "hub", "left").join(one.select("class", "n", "bits"), "class").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -426,23 +453,49 @@ def class_links(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray) -> DataFra
     groups = stored(dealt.repartition(n, "hub", "a", "b").sortWithinPartitions("hub", "a", "b").mapInArrow(_sift, _GROUP).dropDuplicates(["gid", "class"]), "groups")
     size = d.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // BLOCK_BYTES))))
-    wanted = groups.join(one.select("class", "doc_id"), "class").withColumn("block", block)
+    of = groups.groupBy("class").agg(F.collect_list("gid").alias("gids"))  # no more than a text's first shingles and chunks
+    wanted = groups.join(of, "class").join(one.select("class", "doc_id", "copies"), "class").withColumn("block", block)
     found = packed(d.withColumn("block", block)).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, _MEMBER)
-    return stored(found.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(_search, _FOUND), "links")
+    return stored(found.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(lambda b: _search(b, every), _FOUND), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs (doc_id, text).
+def links(docs: DataFrame) -> DataFrame:
+    """Every link between different texts of docs (doc_id, text), once: the classes u and v of their sets, and each one's least doc_id.
 
-    Null and empty texts have no shingles and stand alone. Rows that repeat a doc_id with other texts each get
-    a row; a component's number is the least doc_id of its rows. Null doc_ids are ranked above all others.
+    As many rows as there are linked pairs of sets; rows of equal sets stand behind one class, see similar.
     """
     ship(docs.sparkSession)
     by_doc, logs = summaries(docs)
-    roots = components(class_links(docs, by_doc, logs)).withColumnsRenamed({"u": "class"})
-    least = by_doc.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = by_doc.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    found = searched(docs, by_doc, logs, every=True).select("u", "v")
+    for c in ("u", "v"):
+        found = found.join(least.select(F.col("class").alias(c), F.col("doc_id").alias(f"doc_{c}")), c)
+    return found.select("u", "v", "doc_u", "doc_v")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class, n_links and component_id of each row of docs (doc_id, text).
+
+    Rows of one class have equal sets; n_links is the exact number of other rows that a row links with, those of its class
+    included. Null and empty texts have no shingles, class or links and stand alone. Rows that repeat a doc_id with other
+    texts each get a row; a component's number is the least doc_id of its rows. Null doc_ids are ranked above all others.
+    """
+    ship(docs.sparkSession)
+    by_doc, logs = summaries(docs)
+    found = searched(docs, by_doc, logs)
+    roots = components(found.where("u is not null").select("u", "v")).withColumnsRenamed({"u": "class"})
+    counts = found.where("class is not null").groupBy("class").agg(F.sum("rows").alias("rows"))
+    least = by_doc.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    least = least.join(roots, "class", "left").join(counts, "class", "left").withColumn("root", F.coalesce("root", "class"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = least.join(of_root, "root").select("class", "component_id")
-    out = by_doc.where("n > 0").join(of_class, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = by_doc.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    n_links = F.coalesce("rows", F.lit(0)) + F.col("copies") - 1
+    of_class = least.join(of_root, "root").select("class", n_links.alias("n_links"), "component_id")
+    n = F.col("n").cast("long").alias("n_shingles")
+    out = by_doc.where("n > 0").join(of_class, "class").select("doc_id", n, "class", "n_links", "component_id")
+    alone = by_doc.where("n = 0").select("doc_id", n, F.lit(None).cast("long").alias("class"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) of similar."""
+    return similar(docs).select("doc_id", "n_shingles", "component_id")

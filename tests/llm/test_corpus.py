@@ -67,6 +67,33 @@ def test_near_duplicates(docs_of, odd, monkeypatch, chunk):
     assert got == component_ids(rows)
 
 
+@pytest.mark.parametrize("chunk", [2048, 4])
+def test_no_link_is_lost(docs_of, odd, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    rows = [(i if i is None else 1000 + i, t) for i, t in odd] + near_copies(chunk + 1)
+    for g in range(4):
+        base = [f"g{g}w{rng.randrange(500)}" for _ in range(120)]
+        for k in range(14):  # some pairs link, others only through a third
+            x = list(base)
+            for _ in range(k % 4):
+                x[rng.randrange(120)] = f"e{rng.randrange(9999)}"
+            rows += [(5000 + 100 * g + k, " ".join(x))]
+    sets = sets_of(rows)
+    linked = [(a, b) for b in range(len(rows)) for a in range(b) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    each = Counter(x for pair in linked for x in pair)
+    want = Counter((i, len(sets[k]), each[k]) for k, (i, _) in enumerate(rows))
+    out = ngram_join.similar(docs_of(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in out) == want
+    least = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        least[s] = min(least.get(s, math.inf), math.inf if i is None else i)
+    pairs = {frozenset([sets[a], sets[b]]) for a, b in linked if sets[a] != sets[b]}
+    got = ngram_join.links(docs_of(rows)).collect()
+    assert Counter(tuple(sorted((r.doc_u, r.doc_v))) for r in got) == Counter(tuple(sorted(least[s] for s in p)) for p in pairs)
+    assert len(pairs) > 100 and len({r["class"] for r in out if r["class"] is not None}) == len([s for s in least if s])
+
+
 def test_a_hot_group_is_searched_in_bounded_parts(docs_of, monkeypatch):
     """Boilerplate in all texts puts them into one list, though few link."""
     monkeypatch.setattr(ngram_join, "CHUNK", 8)
