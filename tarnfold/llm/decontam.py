@@ -2,8 +2,8 @@
 
 A seed is the hash of those tokens of a span that a mask keeps; a substituted token under a mask's gap leaves it
 whole. Seeds of the benchmark are joined with seeds at every token of every document. Around a hit the
-document and the item are laid side by side and the stretch where they agree best is taken: it counts if
-SHARE of its tokens agree and it is long enough. Benchmarks go out in blocks of about BLOCK_BYTES, so a broadcast has
+document and the item are laid side by side, and of the stretches of which SHARE of the tokens agree that with most
+agreeing tokens is taken: it counts if these are enough. Benchmarks go out in blocks of about BLOCK_BYTES, so a broadcast has
 a fixed bound; a larger benchmark takes several passes over the documents.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,18 @@ from pyspark.sql import functions as F
 from .common import ship, texts
 from .textnum import WORDLIKE, column_bytes, mix, runs, word_hashes
 
-#: Each keeps seven of eleven tokens.
-MASKS = ("11101001101", "11010110011", "10110011101", "11001011101")
-#: Items of fewer tokens than a mask are looked for as they are; below LEAST they are no evidence and not looked for.
+#: One of them fits wherever at most one of five tokens disagrees, and no overlap is without such a place: 13 agreeing
+#: tokens with at most a quarter as many others between them have a run of four, and in items of 5 to 16 tokens the
+#: agreeing ones have such a run or two that make four around one other token.
+MASKS = ("1111", "11101", "11011", "10111")
+#: Items of fewer tokens are no evidence and not looked for.
 LEAST = 5
 #: Agreeing tokens that an overlap needs (or SHARE of the item's, if those are fewer), and their share of its length.
 OVERLAP, SHARE = 13, 0.8
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
+#: Hits, and tokens laid side by side, at a time.
+_HITS, _SIDE = 1 << 20, 1 << 21
 _RNG = np.random.default_rng(991)
 _WEIGHTS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -47,7 +52,7 @@ def hash_of(mask: str) -> np.uint64:
 
 
 def masks_of(n: int) -> tuple[str, ...]:
-    return MASKS if n >= len(MASKS[0]) else ("1" * n,) if n >= LEAST else ()
+    return MASKS if n >= LEAST else ()
 
 
 @dataclass
@@ -73,6 +78,11 @@ class Seeds:
         order = np.argsort(keys, kind="stable")
         return cls(keys[order], item[order], place[order], tuple(sorted({p[2] for p in parts})), [i for i, _ in items], tokens)
 
+    @cached_property
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All items' tokens in a row, and len+1 offsets."""
+        return np.concatenate([*self.tokens, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in self.tokens])]).astype(np.int64)
+
     def filter(self) -> np.ndarray:
         out = np.zeros(1 << _FILTER_BITS, bool)
         out[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
@@ -80,13 +90,25 @@ class Seeds:
 
 
 def best_stretch(agree: np.ndarray, share: float = SHARE) -> tuple[int, int, int]:
-    """Start, end and agreeing tokens of the stretch with the most agreement beyond the share."""
-    gain = np.where(agree, 1 - share, -share)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return start, end, int(agree[start:end].sum())
+    """Start, end and agreeing tokens of the stretch with most agreeing tokens of which the share agrees; the shortest, then first of equals."""
+    percent = round(100 * share)
+    total = np.concatenate([[0], np.cumsum(np.where(agree, 100 - percent, -percent))])
+    count = np.concatenate([[0], np.cumsum(agree)])
+    place = np.flatnonzero(agree)
+    if not len(place):
+        return 0, 0, 0
+    end = place + 1
+    # the least start from which the gain up to an end isn't negative, and from it the next agreeing token
+    start = np.searchsorted(-np.minimum.accumulate(total), -total[end], "left")
+    start = place[np.searchsorted(place, start)]
+    n = count[end] - count[start]
+    k = int(np.lexsort((start, end - start, -n))[0])
+    return int(start[k]), int(end[k]), int(n[k])
+
+
+def enough(agreeing, item_tokens):
+    """Whether so many agreeing tokens are an overlap with an item of so many."""
+    return 100 * agreeing >= np.minimum(100 * OVERLAP, round(100 * SHARE) * item_tokens)
 
 
 _FOUND = "item_id long, item_tokens int, overlap_tokens int, agreeing int, first_token int"
@@ -95,32 +117,44 @@ _FOUND = "item_id long, item_tokens int, overlap_tokens int, agreeing int, first
 def matches(t: np.ndarray, first: np.ndarray, s: Seeds, keep: np.ndarray) -> list[tuple]:
     """(text number, item, item tokens, overlap, agreeing, first token) for each text and item that overlap enough."""
     found: dict[tuple[int, int], tuple] = {}
-    tried: set[tuple[int, int, int]] = set()
+    flat, begin = s.flat
+    size = np.diff(begin)
+    most = int(size.max(initial=0))
+    width = len(t) + most + 1
+    tried = np.zeros(0, np.int64)  # text, item and shift as one number each
     for mask in s.masks:
         h = seeds(t, mask)
         at = np.flatnonzero(keep[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         left = np.searchsorted(s.keys, h[at], "left")
-        right = np.searchsorted(s.keys, h[at], "right")
-        hit = right > left
-        at, left, right = at[hit], left[hit], right[hit]
+        n = np.searchsorted(s.keys, h[at], "right") - left
         docs = np.searchsorted(first, at, "right") - 1
-        for p, a, b, d in zip(at.tolist(), left.tolist(), right.tolist(), docs.tolist(), strict=True):
-            if p + len(mask) > first[d + 1]:
-                continue
-            for k in range(a, b):
-                item, shift = int(s.item[k]), p - int(s.place[k])
-                if (d, item, shift) in tried:
-                    continue
-                tried.add((d, item, shift))
-                own = s.tokens[item]
-                lo, hi = max(shift, int(first[d])), min(shift + len(own), int(first[d + 1]))
-                start, end, n = best_stretch(t[lo:hi] == own[lo - shift : hi - shift])
-                if n < min(OVERLAP, SHARE * len(own)):
-                    continue
-                row = (d, item, len(own), end - start, n, lo + start - int(first[d]))
-                old = found.get((d, item))
-                if old is None or (-n, row[5]) < (-old[4], old[5]):
-                    found[d, item] = row
+        hit = (n > 0) & (at + len(mask) <= first[docs + 1])
+        at, left, n, docs = at[hit], left[hit], n[hit], docs[hit]
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        for a, b in runs(ends, _HITS):
+            of = np.repeat(np.arange(a, b), n[a:b])
+            k = left[of] + np.arange(ends[a], ends[b]) - ends[of]
+            new = (docs[of] * len(size) + s.item[k]) * width + at[of] - s.place[k] + most
+            new = np.setdiff1d(new, tried)
+            tried = np.concatenate([tried, new])
+            shift, pair = new % width - most, new // width
+            d, item = pair // len(size), pair % len(size)
+            lo, hi = np.maximum(shift, first[d]), np.minimum(shift + size[item], first[d + 1])
+            side = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int64)
+            for i, j in runs(side, _SIDE):
+                x = np.repeat(np.arange(i, j), (hi - lo)[i:j])
+                token = lo[x] + np.arange(side[i], side[j]) - side[x]
+                agree = t[token] == flat[begin[item[x]] + token - shift[x]]
+                may = enough(np.add.reduceat(agree.astype(np.int64), side[i:j] - side[i]), size[item[i:j]])
+                for c in (np.flatnonzero(may) + i).tolist():
+                    start, end, m = best_stretch(agree[side[c] - side[i] : side[c + 1] - side[i]])
+                    if not enough(m, size[item[c]]):
+                        continue
+                    key = int(d[c]), int(item[c])
+                    row = (*key, int(size[item[c]]), end - start, m, int(lo[c]) + start - int(first[d[c]]))
+                    old = found.get(key)
+                    if old is None or (-m, row[5]) < (-old[4], old[5]):
+                        found[key] = row
     return list(found.values())
 
 

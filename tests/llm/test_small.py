@@ -204,6 +204,42 @@ def test_license_windows_find_all_that_brute_force_finds(docs_of):
     assert {(r.doc_id, r.license) for r in license_scan.licenses(docs_of(rows), templates).collect()} == want
 
 
+def test_overlaps_with_substitutions_are_those_of_brute_force():
+    from tarnfold.llm.textnum import WORDLIKE, word_hashes
+
+    rng = random.Random(12)
+    items = [(n, " ".join(f"i{n}w{rng.randrange(40)}" for _ in range(n))) for n in [*range(4, 24), 40]]
+    texts = []
+    for _, item in items:
+        w = item.split()
+        gone = [{k for k in range(len(w)) if k % every == every - 1} for every in (3, 4, 5, 6)]
+        gone += [{k, k + 1} for k in range(0, len(w), 3)] + [{k, k + 1, k + 2} for k in range(0, len(w), 5)]
+        gone += [set(rng.sample(range(len(w)), min(len(w), rng.choice([1, 2, 3, 4, 8])))) for _ in range(12)]
+        texts += [" ".join(["x"] * rng.randrange(3) + ["sub" if k in g else x for k, x in enumerate(w)] + ["y"] * rng.randrange(3)) for g in gone]
+    want = {}
+    for d, text in enumerate(texts):
+        t = text.split()
+        for item, own in items:
+            w = own.split()
+            best = 0
+            for shift in range(1 - len(w), len(t)) if w[0].split("w")[0] in text else ():
+                agree = [0 <= shift + k < len(t) and t[shift + k] == x for k, x in enumerate(w)]
+                lo, hi = max(0, -shift), min(len(w), len(t) - shift)
+                for a in range(lo, hi):
+                    n = 0
+                    for b in range(a, hi):
+                        n += agree[b]
+                        if 5 * n >= 4 * (b + 1 - a):
+                            best = max(best, n)
+            if len(w) >= decontam.LEAST and 5 * best >= min(65, 4 * len(w)):
+                want[d, item] = best
+    s = decontam.Seeds.of(items)
+    data = [x.encode() for x in texts]
+    t, first = word_hashes(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64), WORDLIKE)
+    got = {(r[0], s.ids[r[1]]): r[4] for r in decontam.matches(t, first, s, s.filter())}
+    assert got == want and len(texts) / 4 < len(want) < len(texts)
+
+
 def test_overlaps(spark, docs_of, odd):
     rng = random.Random(6)
     items = [(i, " ".join(f"b{rng.randrange(300)}" for _ in range(n))) for i, n in enumerate([30, 40, 25, 8, 6, 3, 13])] + [(50, None), (51, "")]
