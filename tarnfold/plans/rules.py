@@ -321,9 +321,10 @@ def faq_top5(t):
 
 @query()
 def rerank_by_overlap(t):
-    q = t("benchmark").select(F.col("item_id"), F.col("text").alias("question")).where("item_id < 5")
-    d = t("documents").select("doc_id", "text").where("doc_id < 50")
-    s = d.crossJoin(F.broadcast(q)).select("item_id", "doc_id", F.round(R.overlap_rerank(F.col("question"), F.col("text")), 6).alias("score"))
+    q, d = t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text")
+    first = R.top(R.text_scores(d, q), "item_id", "doc_id", R.Config(k=5, rerank=True).candidates).select("item_id", "doc_id")
+    s = first.join(q.withColumnRenamed("text", "question"), "item_id").join(d, "doc_id")
+    s = s.select("item_id", "doc_id", F.round(R.overlap_rerank(F.col("question"), F.col("text")), 6).alias("score"))
     return R.top(s, "item_id", "doc_id", 5)
 
 
