@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship, texts
+from .common import mapped, ship, texts
 from .textnum import WORDLIKE, chain, column_bytes, runs, word_hashes
 
 SHINGLE, BANDS, CONTAINED = 3, 64, 0.75
@@ -131,4 +131,4 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
                     d, x, share, lo = zip(*sorted(rows), strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + k for k in d])), pa.array([t.names[k] for k in x]), pa.array(share), pa.array(lo, pa.int32())], ["doc_id", "license", "containment", "first_shingle"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, containment double, first_shingle int")
+    return mapped(texts(docs), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, containment double, first_shingle int")

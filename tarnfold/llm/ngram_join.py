@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, ship, stored, texts
+from .common import by_group, mapped, parts, ship, stored, texts
 from .components import components
 from .packs import packed, unpacked
 from .textnum import chain, column_bytes, runs, word_hashes
@@ -141,8 +141,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, class, bits) of every row, and the sketches' logarithms: 2 * SKETCH bytes, whatever the input."""
-    both = stored(texts(docs).mapInArrow(_summarise, _SUMMARY), "shingles")
-    rows = both.where("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(_summed, "block int, logs binary").collect()
+    both = stored(mapped(texts(docs), _summarise, _SUMMARY), "shingles")
+    rows = mapped(both.where("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block"), _summed, "block int, logs binary").collect()
     logs = np.zeros(2 * SKETCH, np.uint8)
     for r in rows:
         part = np.frombuffer(r.logs, np.uint8)
@@ -439,8 +439,8 @@ def searched(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray, every: bool =
     shared = spark.sparkContext.broadcast(logs)
     n = parts(spark)
     d = texts(docs)
-    lists = d.select("text").mapInArrow(lambda b: _first_shingles(b, shared.value), "key long, class long")
-    members = lists.repartition(n, "key").sortWithinPartitions("key", "class").mapInArrow(_hubs, "hub long, class long").distinct()
+    lists = mapped(d.select("text"), lambda b: _first_shingles(b, shared.value), "key long, class long")
+    members = mapped(lists.repartition(n, "key").sortWithinPartitions("key", "class"), _hubs, "hub long, class long").distinct()
     members = stored(members, "members")
     one = by_doc.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("x"), F.first(F.struct("doc_id", "n", "bits")).alias("y"), F.count("*").alias("copies")).select("class", F.coalesce("x", "y").alias("x"), "copies")
     one = one.select("class", "x.doc_id", "x.n", "x.bits", "copies")
@@ -450,13 +450,13 @@ def searched(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray, every: bool =
     dealt = dealt.withColumn("at", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "at").alias("a"), F.greatest(k, "at").alias("b")))
     dealt = dealt.withColumn("pair", F.explode(pairs)).select("hub", "pair.a", "pair.b", "at", "class", "n", "bits")
-    groups = stored(dealt.repartition(n, "hub", "a", "b").sortWithinPartitions("hub", "a", "b").mapInArrow(_sift, _GROUP).dropDuplicates(["gid", "class"]), "groups")
+    groups = stored(mapped(dealt.repartition(n, "hub", "a", "b").sortWithinPartitions("hub", "a", "b"), _sift, _GROUP).dropDuplicates(["gid", "class"]), "groups")
     size = d.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // BLOCK_BYTES))))
     of = groups.groupBy("class").agg(F.collect_list("gid").alias("gids"))  # no more than a text's first shingles and chunks
     wanted = groups.join(of, "class").join(one.select("class", "doc_id", "copies"), "class").withColumn("block", block)
-    found = packed(d.withColumn("block", block)).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, _MEMBER)
-    return stored(found.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(lambda b: _search(b, every), _FOUND), "links")
+    found = packed(d.withColumn("block", block)).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(by_group(_fetch), _MEMBER)
+    return stored(mapped(found.repartition(n, "gid").sortWithinPartitions("gid"), lambda b: _search(b, every), _FOUND), "links")
 
 
 def links(docs: DataFrame) -> DataFrame:

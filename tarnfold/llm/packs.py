@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PACK_BYTES = 48 << 20
+from .common import mapped
+
+PACK_BYTES = 16 << 20
+_ZSTD = pa.Codec("zstd", 3)
 
 
 def _pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    table = table.sort_by("block")
     blocks = table.column("block").to_numpy()
-    rest = table.drop_columns(["block"])
-    at = [0, *(i + 1 for i in range(len(blocks) - 1) if blocks[i] != blocks[i + 1]), len(blocks)]
+    order = np.argsort(blocks, kind="stable")
+    blocks, rest = blocks[order], table.drop_columns(["block"])
+    at = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
     for a, b in zip(at, at[1:], strict=False):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
-            w.write_table(rest.slice(a, b - a).combine_chunks())
-        yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "pack"])
+        with pa.ipc.new_stream(sink, rest.schema) as w:
+            w.write_table(rest.take(pa.array(order[a:b])).combine_chunks())
+        raw = sink.getvalue()  # compressed as a whole, so that a pack of one short text costs little more than the text
+        pack = len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a])], pa.int64()), pa.array([pack], pa.binary())], ["block", "pack"])
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -37,8 +43,9 @@ def packed(docs: DataFrame) -> DataFrame:
         if held:
             yield from _pack(pa.Table.from_batches(held))
 
-    return docs.mapInArrow(run, "block long, pack binary")
+    return mapped(docs, run, "block long, pack binary")
 
 
 def unpacked(packs: pa.ChunkedArray) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in packs]).combine_chunks()
+    raw = (p.as_buffer() for p in packs)
+    return pa.concat_tables([pa.ipc.open_stream(_ZSTD.decompress(b[8:], int.from_bytes(b[:8].to_pybytes(), "little"))).read_all() for b in raw]).combine_chunks()

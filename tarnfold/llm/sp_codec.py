@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship, texts
+from .common import kept, mapped, ship, texts
 
-CACHED = 500_000
+#: Bytes of a worker's cache of segments, counted with what Python adds to them, and of a segment that it takes in.
+CACHED, LONGEST = 64 << 20, 4096
 SPACE = "▁".encode()
-_CODECS: dict = {}
 _SEGMENT = re.compile(rb" +[^ ]*")
 
 
@@ -102,6 +102,8 @@ class Codec:
         if proto.trainer_spec.treat_whitespace_as_suffix or not spec.escape_whitespaces:
             raise ValueError("only models that write white space before words, escaped, are supported")
         inner = [p.piece for p in proto.pieces if "▁" in p.piece.lstrip("▁")]
+        if sum(p.type == 6 for p in proto.pieces) != 256:
+            raise ValueError("only models with byte pieces are supported; others lose the source of characters they don't know")
         if inner or any(p.type == 4 for p in proto.pieces):
             raise ValueError("a piece reaches over white space; segments can't be encoded alone")
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", True, False
@@ -109,18 +111,23 @@ class Codec:
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" if p.type == 3 else p.piece.encode().replace(SPACE, b" ") for p in proto.pieces]
         self.digits, self.blank = [str(i) for i in range(len(proto.pieces))], [self.plain.piece_to_id("▁")]
         self.known: dict[bytes, tuple[str, bytes, bytes, int]] = {}
+        self.size = 0
+
+    def forget(self) -> None:
+        """Empty the cache where it is full, or where it has taken in a very long segment."""
+        if self.size > CACHED:
+            self.known.clear()
+            self.size = 0
 
     def meet(self, keys: list[bytes]) -> None:
         """Put ids, decoded bytes, bytes by piece and count of the segments " " + key into known; white space as blanks."""
         known, digits, surface = self.known, self.digits, self.surface
         new = [k for k in dict.fromkeys(keys) if k not in known]
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(dict.fromkeys(keys))
         for key, ids in zip(new, self.plain.encode([k.decode("utf-8", "replace") for k in new], num_threads=1), strict=True):
             ids = ids or self.blank
             parts = [surface[i] for i in ids]
-            known[key] = (",".join([digits[i] for i in ids]), b"".join(parts), bytes(map(len, parts)), len(ids))
+            known[key] = made = (",".join([digits[i] for i in ids]), b"".join(parts), bytes(map(len, parts)), len(ids))
+            self.size += (400 + len(key) + len(made[0]) + len(made[1]) + len(made[2])) if len(key) <= LONGEST else CACHED + 1
 
     def normalised(self, text: bytes) -> tuple[bytes, np.ndarray | None]:
         """Blanks for white space, with the dummy prefix; and each byte's source end (None: one to one after the prefix)."""
@@ -171,6 +178,7 @@ class Codec:
         at = np.cumsum(np.frombuffer(b"".join([x[2] for x in found]), np.uint8), dtype=np.int64)
         # a blank of the dummy prefix stands for no source byte
         at = at - 1 if ends is None else ends[at - 1]
+        self.forget()
         return Encoding(",".join([x[0] for x in found]), sum([x[3] for x in found]), at, self.joined([x[1] for x in found]))
 
     @staticmethod
@@ -190,9 +198,7 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """One a worker process, kept between tasks."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return kept("codec", path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -213,7 +219,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             arrays = [pa.array(x, pa.list_(pa.int32())) for x in (ids, starts, [g.ends.astype(np.int32) for g in got])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "ids", "starts", "ends"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
+    return mapped(texts(docs), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>", "codec")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -226,13 +232,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x or []).decode() for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string", "codec")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encode and decode each text, and keep digests: doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes.
+    """Encode and decode each text, and keep digests: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256, covered_bytes.
 
-    The ids and spans are those of encode(), folded where they are made so that they need not leave the worker.
+    The ids and spans are those of encode(), folded where they are made so that they need not leave the worker:
+    spans_sha256 is over the pieces' source ends (eight bytes each, little-endian; a start is the end before), covered_bytes the last
+    of them. Null and empty texts have no pieces, and digests of nothing; repeated rows are encoded once each; a text may be
+    of any length; an empty table gives an empty result; other columns are ignored.
     """
     path = path or default_path()
     ship(docs.sparkSession)
@@ -244,8 +253,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             got = []
             for x in batch.column(1).cast(pa.large_binary()):
                 e = c.encode(x.as_py() or b"")
-                got.append((e.n, sha(e.ids.encode()), sha(e.decoded), int(e.ends[-1]) if e.n else 0))
-            n, ids, decoded, covered = zip(*got, strict=True) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(covered, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
+                got.append((e.n, sha(e.ids.encode()), sha(e.decoded), sha(e.ends.astype("<i8").tobytes()), int(e.ends[-1]) if e.n else 0))
+            n, ids, decoded, spans, covered = zip(*got, strict=True) if got else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(spans, pa.string()), pa.array(covered, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "covered_bytes"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return mapped(texts(docs), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, covered_bytes long", "codec")

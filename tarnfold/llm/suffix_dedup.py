@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, ship, stored
+from .common import by_group, mapped, parts, ship, stored
 from .packs import packed, unpacked
 from .textnum import _RINV, column_bytes, mix, powers, prefix, runs, span_hash
 
@@ -262,16 +262,16 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def repeated_spans(d: DataFrame, packs: DataFrame, n_blocks: int, length: int = LENGTH) -> DataFrame:
     """(doc_id, lo, hi): byte spans covered by windows that start earlier elsewhere, from d (doc_id, text) and its packs."""
     n = parts(d.sparkSession)
-    parse = d.select("doc_id", "text").mapInArrow(lambda b: _parse(b, length), _PHRASE)
+    parse = mapped(d.select("doc_id", "text"), lambda b: _parse(b, length), _PHRASE)
     sorted_ = parse.repartition(n, "trigger").sortWithinPartitions("trigger", "phrase", "doc_id", "lo")
-    settled = stored(sorted_.mapInArrow(lambda b: _settle(b, length), _SPAN), "phrases")
+    settled = stored(mapped(sorted_, lambda b: _settle(b, length), _SPAN), "phrases")
     done = settled.where("trigger is null").select("doc_id", "lo", "hi")
     entries = settled.where("trigger is not null")
     hot = stored(entries.groupBy("trigger").count().where(F.col("count") > HOT).select("trigger", F.lit(True).alias("hot")), "hot")
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))
     entries = entries.join(hot, "trigger", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("block", block)
-    fetched = packs.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(lambda p, s: _fetch(p, s, length), _CONTEXT)
-    got = fetched.repartition(n, "trigger").sortWithinPartitions("trigger", "doc_id", "lo").mapInArrow(lambda b: _sort_suffixes(b, length), _SPAN).select("doc_id", "lo", "hi")
+    fetched = packs.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(by_group(lambda p, s: _fetch(p, s, length)), _CONTEXT)
+    got = mapped(fetched.repartition(n, "trigger").sortWithinPartitions("trigger", "doc_id", "lo"), lambda b: _sort_suffixes(b, length), _SPAN).select("doc_id", "lo", "hi")
     return done.union(got)
 
 
@@ -334,4 +334,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return packs.groupBy("block").cogroup(spans.withColumn("block", block).groupBy("block")).applyInArrow(lambda p, s: _finish(p, s, with_text, arrow), schema)
+    return packs.groupBy("block").cogroup(spans.withColumn("block", block).groupBy("block")).applyInArrow(by_group(lambda p, s: _finish(p, s, with_text, arrow)), schema)

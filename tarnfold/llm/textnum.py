@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,7 +56,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about so many bytes; a longer text is a range of its own."""
+    """Ranges of rows of about so many bytes; a longer text is a range of its own (see pieces)."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
@@ -90,11 +90,38 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return start, end, np.searchsorted(start, offsets)
 
 
+def pieces(data: np.ndarray, inside: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about so many bytes of one text that cut no run of bytes for which inside holds; a longer run is in one range."""
+    a = 0
+    while a < len(data):
+        b = min(a + most, len(data))
+        if b < len(data):
+            gaps = np.flatnonzero(~inside[data[a:b]])
+            while not len(gaps) and b < len(data):
+                a_, b = b, min(b + most, len(data))
+                gaps = np.flatnonzero(~inside[data[a_:b]]) + (a_ - a)
+            if len(gaps) and b < len(data):
+                b = a + int(gaps[-1]) + 1
+        yield a, b
+        a = b
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A-Z lower-cased, and len+1 offsets by text."""
-    data = LOWER[data]
-    start, end, first = spans(data, offsets, ~SPACE if inside is None else inside)
-    return span_hash(prefix(data), start, end), first
+    """64-bit hashes of all words, A-Z lower-cased, and len+1 offsets by text.
+
+    A long text is hashed a piece at a time, so its words take little memory beside their hashes.
+    """
+    inside = ~SPACE if inside is None else inside
+
+    def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = LOWER[data]
+        start, end, first = spans(data, offsets, inside)
+        return span_hash(prefix(data), start, end), first
+
+    if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+        found = np.concatenate([hashed(data[a:b], np.array([0, b - a]))[0] for a, b in pieces(data, inside)])
+        return found, np.array([0, len(found)])
+    return hashed(data, offsets)
 
 
 def chain(h: np.ndarray, n: int) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, texts
+from .common import kept, mapped, ship, texts
 from .textnum import LOWER, WORDLIKE, column_bytes, prefix, runs, span_hash, spans
 
 BUCKETS, DIM, FILTERS, WIDTH = 1 << 17, 8, 8, 3
@@ -198,16 +198,9 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None, ro
     return calibrate(m, [(sample[i].text, sample[i].toxic, sample[i].lang) for i in held])
 
 
-_MODELS: dict[str, Model] = {}
-
-
-def _model(key: str, shared) -> Model:
-    """One a worker process, kept between tasks."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        tables, *rest = shared.value
-        _MODELS[key] = Model(tables.astype(np.float32), *rest)
-    return _MODELS[key]
+def _model(shared) -> Model:
+    tables, *rest = shared.value
+    return Model(tables.astype(np.float32), *rest)
 
 
 def score(docs: DataFrame, m: Model, out_col: str = "toxic_score") -> DataFrame:
@@ -220,7 +213,7 @@ def score(docs: DataFrame, m: Model, out_col: str = "toxic_score") -> DataFrame:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(key, shared)
+        own = kept("classifier", key, lambda: _model(shared))
         for batch in batches:
             data, offsets = column_bytes(batch.column(batch.schema.get_field_index("text")))
             out = np.zeros(batch.num_rows)
@@ -228,7 +221,7 @@ def score(docs: DataFrame, m: Model, out_col: str = "toxic_score") -> DataFrame:
                 out[i:j] = own.scores(own.logits(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, out_col])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{schema}, `{out_col}` double")
+    return mapped(docs.select(*[F.col(f"`{c}`") for c in names]), run, f"{schema}, `{out_col}` double", "classifier")
 
 
 def rejected(m: Model, score_col: str = "toxic_score", lang_col: str = "lang") -> Column:
