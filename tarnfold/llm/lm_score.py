@@ -6,22 +6,23 @@ The weight l of each bucket b of context frequencies is learned by expectation-m
 training texts (the deleted part) are held out, and the weights that suit them under the others' counts are found.
 
 Counts never gather in one place. Texts are dealt over blocks of about BLOCK_BYTES. A block sends each of its
-different words and word pairs once, as ranges of sorted hashes, to the parts that own the ranges; a part sums
-them and sends the totals back in the same order. Both ways move packed arrays, and a hot word costs one
-entry a block. Words and pairs are known by 64-bit hashes.
+different words and word pairs once, as sorted hashes in at most FAN ranges, to units that merge up to FAN blocks'
+messages for one range. Units send what they have merged on in the same way, so what a block sends doesn't grow with the
+number of blocks, until a unit has all of its range; totals then go back the way the keys came, in the order of
+each message. A hot word costs one entry a message. Words and pairs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import by_group, ship, stored
 from .packs import packed, unpacked
 from .textnum import column_bytes, mix, runs, word_hashes
 
@@ -29,7 +30,9 @@ BLOCK_BYTES = 8 << 20
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
 BUCKETS, STEPS = 40, 32
 _END = np.uint64(0x5DEECE66D1234567)
-_CLASS = 1 << 32
+#: Most messages that a block or unit sends at a level, and most that a unit merges.
+FAN = 256
+_UNIT_BITS = 28
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,68 +72,144 @@ def _keys(blob: bytes) -> np.ndarray:
 
 
 def _ints(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype(np.uint32).tobytes(), 1)
+    """Counts in as few bytes each as the largest needs; the first byte says how many."""
+    width = 1 if (most := int(x.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + zlib.compress(x.astype(f"<u{width}").tobytes(), 1)
 
 
-def _from_ints(blob: bytes | None) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64) if blob else np.zeros(0, np.int64)
+def _from_ints(blob: bytes, n: int | None = None) -> np.ndarray:
+    out = np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
+    if n is not None and len(out) != n:
+        raise ValueError("counts do not match their keys")
+    return out
 
 
-def _edges(parts: int) -> np.ndarray:
-    return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+@dataclass(frozen=True)
+class Level:
+    """Senders of one range of keys (of done equal ranges) split it into ranges, and fan of them share each receiver."""
 
+    fan: int
+    ranges: int
+    done: int
 
-_SENT = "part int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
-_SENT_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64())] + [(c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts")])
-_BACK = "block long, part int, words binary, pairs binary, words_kept binary, pairs_kept binary, n long, v long, n_kept long, v_kept long"
-_BACK_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32())] + [(c, pa.binary()) for c in ("words", "pairs", "words_kept", "pairs_kept")] + [(c, pa.int64()) for c in ("n", "v", "n_kept", "v_kept")])
 
+def levels(blocks: int, parts: int, fan: int = FAN) -> list[Level]:
+    """Levels by which so many blocks' keys come together in about so many parts."""
+    out, done = [], 1
+    while blocks > fan:
+        out.append(Level(fan, fan, done))
+        done, blocks = done * fan, -(-blocks // fan)
+    return [*out, Level(fan, max(1, min(fan, -(-parts // done))), done)]
 
-def _send(packs: pa.Table, parts: int) -> pa.Table:
-    """A block's different words and pairs, with how often each is in it (training blocks only), by part."""
+
+_NAMES = ("word", "pair")
+_SENT = "unit long, sender long, place int, wants boolean" + "".join(f", {x}s binary, {x}_counts binary, {x}_kept binary" for x in _NAMES)
+_SENT_ARROW = pa.schema([("unit", pa.int64()), ("sender", pa.int64()), ("place", pa.int32()), ("wants", pa.bool_())] + [(c, pa.binary()) for x in _NAMES for c in (f"{x}s", f"{x}_counts", f"{x}_kept")])
+_BACK = "unit long, place int, words binary, pairs binary, words_kept binary, pairs_kept binary, n long, v long, n_kept long, v_kept long"
+_BACK_ARROW = pa.schema([("unit", pa.int64()), ("place", pa.int32())] + [(c, pa.binary()) for c in ("words", "pairs", "words_kept", "pairs_kept")] + [(c, pa.int64()) for c in ("n", "v", "n_kept", "v_kept")])
+
+
+def _messages(sender: int, path: int, at: int, sums: dict[str, tuple], wants: bool, level: Level) -> pa.Table:
+    """What a sender (number at among those of its range path) sends: keys with their counts, with and without the deleted part's."""
+    edges = np.array([((path * level.ranges + k) << 64) // (level.done * level.ranges) for k in range(1, level.ranges)], np.uint64)
+    rows: list[dict] = [{"unit": ((path * level.ranges + r) << _UNIT_BITS) | at // level.fan, "sender": sender, "place": r, "wants": wants} for r in range(level.ranges)]
+    filled = np.zeros(level.ranges, bool)
+    for name, (keys, counts, kept) in sums.items():
+        cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+            filled[r] |= b > a
+            rows[r] |= {f"{name}s": _keys_blob(keys[a:b]), f"{name}_counts": _ints(counts[a:b]), f"{name}_kept": _ints(kept[a:b])}
+    return pa.Table.from_pylist([x for x, full in zip(rows, filled, strict=True) if full], _SENT_ARROW)
+
+
+def _send(packs: pa.Table, kind_blocks: int, level: Level) -> pa.Table:
+    """A block's different words and pairs, with how often each is in it (training blocks only)."""
     block = packs.column("block")[0].as_py()
+    kind = block // kind_blocks
     t, pairs, _ = tokens(unpacked(packs.column("pack")).column("text").combine_chunks())
-    cols: dict = {"part": range(parts), "block": [block] * parts}
-    for name, h in (("word", t), ("pair", pairs)):
+    sums = {}
+    for name, h in zip(_NAMES, (t, pairs), strict=True):
         keys, counts = np.unique(h, return_counts=True)
-        at = np.concatenate([[0], np.searchsorted(keys, _edges(parts)), [len(keys)]])
-        cols[f"{name}s"] = [_keys_blob(keys[a:b]) for a, b in zip(at, at[1:], strict=False)]
-        cols[f"{name}_counts"] = [_ints(counts[a:b]) if block // _CLASS != HELD_OUT else None for a, b in zip(at, at[1:], strict=False)]
-    return pa.Table.from_pydict({f.name: cols[f.name] for f in _SENT_ARROW}, schema=_SENT_ARROW)
+        sums[name] = (keys, counts * (kind != HELD_OUT), counts * (kind == TRAIN))
+    return _messages(block, 0, block, sums, kind == DELETED, level)
 
 
-def _sum(sent: pa.Table) -> pa.Table:
-    """Totals over the training blocks, and without the deleted ones, for each block's keys in their order."""
-    blocks = sent.column("block").to_pylist()
-    out: dict = {"block": [*blocks, None], "part": [*sent.column("part").to_pylist(), None]}
-    for name in ("word", "pair"):
+def _merged(sent: pa.Table) -> tuple[dict[str, tuple], dict[str, list[np.ndarray]]]:
+    """Sums by key over a unit's messages, and where each message's keys are among them."""
+    sums, places = {}, {}
+    for name in _NAMES:
         keys = [_keys(b.as_py()) for b in sent.column(f"{name}s")]
-        counts = [_from_ints(b.as_py()) if b.is_valid else np.zeros(len(k), np.int64) for b, k in zip(sent.column(f"{name}_counts"), keys, strict=True)]
         sizes = [len(k) for k in keys]
-        kinds = np.repeat([b // _CLASS for b in blocks], sizes)
-        all_counts = np.concatenate(counts)
         u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, all_counts, len(u)).astype(np.int64)
-        kept = np.bincount(inverse, all_counts * (kinds == TRAIN), len(u)).astype(np.int64)
-        cut = np.cumsum(sizes)[:-1]
-        out[f"{name}s"] = [*(_ints(x) for x in np.split(total[inverse], cut)), None]
-        out[f"{name}s_kept"] = [*(_ints(x) if b // _CLASS == DELETED else None for b, x in zip(blocks, np.split(kept[inverse], cut), strict=True)), None]
-        if name == "word":
-            for c, x in (("n", total.sum()), ("v", (total > 0).sum()), ("n_kept", kept.sum()), ("v_kept", (kept > 0).sum())):
-                out[c] = [*[None] * len(blocks), int(x)]
-    return pa.Table.from_pydict({f.name: out[f.name] for f in _BACK_ARROW}, schema=_BACK_ARROW)
+        counts = [np.concatenate([_from_ints(b.as_py(), n) for b, n in zip(sent.column(f"{name}_{c}"), sizes, strict=True)]) for c in ("counts", "kept")]
+        sums[name] = (u, *(np.bincount(inverse, c, len(u)).astype(np.int64) for c in counts))
+        places[name] = np.split(inverse, np.cumsum(sizes)[:-1])
+    return sums, places
+
+
+def _pass_on(sent: pa.Table, level: Level) -> pa.Table:
+    unit = sent.column("unit")[0].as_py()
+    return _messages(unit, unit >> _UNIT_BITS, unit & ((1 << _UNIT_BITS) - 1), _merged(sent)[0], bool(max(sent.column("wants").to_pylist())), level)
+
+
+def _replies(sent: pa.Table, totals: dict[str, tuple], places: dict[str, list[np.ndarray]]) -> dict[str, list]:
+    wants = sent.column("wants").to_pylist()
+    out: dict = {"unit": sent.column("sender").to_pylist(), "place": sent.column("place").to_pylist()}
+    for name in _NAMES:
+        total, kept = totals[name]
+        out[f"{name}s"] = [_ints(total[x]) for x in places[name]]
+        out[f"{name}s_kept"] = [_ints(kept[x]) if w else None for w, x in zip(wants, places[name], strict=True)]
+    return out
+
+
+def _sum(sent: pa.Table) -> pa.Table:
+    """Totals over all training texts, and without the deleted ones, for each message's keys in their order; and their sums."""
+    sums, places = _merged(sent)
+    out = _replies(sent, {k: v[1:] for k, v in sums.items()}, places)
+    _, total, kept = sums["word"]
+    whole = {"n": int(total.sum()), "v": int((total > 0).sum()), "n_kept": int(kept.sum()), "v_kept": int((kept > 0).sum())}
+    rest = {f.name: [*out.get(f.name, [None] * sent.num_rows), whole.get(f.name)] for f in _BACK_ARROW}
+    return pa.Table.from_pydict(rest, schema=_BACK_ARROW)
+
+
+def _relay(sent: pa.Table, back: pa.Table) -> pa.Table:
+    """The totals that came back to a unit, for each message that it has merged."""
+    sums, places = _merged(sent)
+    back = back.sort_by("place")
+    totals = {name: tuple(_joined(back, f"{name}s{kept}", len(sums[name][0])) for kept in ("", "_kept")) for name in _NAMES}
+    out = _replies(sent, totals, places)
+    return pa.Table.from_pydict({f.name: out.get(f.name, [None] * sent.num_rows) for f in _BACK_ARROW}, schema=_BACK_ARROW)
+
+
+def _joined(back: pa.Table, column: str, n: int) -> np.ndarray:
+    """The totals of a sender's keys, from the replies to its messages in order of place."""
+    if back.column(column).null_count:
+        return np.zeros(n, np.int64)
+    out = np.concatenate([_from_ints(b.as_py()) for b in back.column(column)])
+    if len(out) != n:
+        raise ValueError("replies do not match the keys that were sent")
+    return out
+
+
+def exchanged(sent: DataFrame, steps: list[Level]) -> DataFrame:
+    """Replies (unit, place, ...) to the senders of sent, and rows without unit that hold sums; steps[0] made sent."""
+    if len(steps) == 1:
+        return stored(sent.groupBy("unit").applyInArrow(by_group(_sum), _BACK), "counts")
+    sent = stored(sent, "messages")
+    back = exchanged(sent.groupBy("unit").applyInArrow(by_group(lambda x: _pass_on(x, steps[1])), _SENT), steps[1:])
+    relayed = sent.groupBy("unit").cogroup(back.where("unit is not null").groupBy("unit")).applyInArrow(by_group(_relay), _BACK)
+    return stored(relayed.unionByName(back.where("unit is null")), "counts")
 
 
 def _counts(h: np.ndarray, back: pa.Table, column: str) -> np.ndarray:
     """For each token (or pair) of a block, its total."""
-    values = np.concatenate([_from_ints(b.as_py()) for b in back.column(column)])
-    _, inverse = np.unique(h, return_inverse=True)
-    return values[inverse]
+    keys, inverse = np.unique(h, return_inverse=True)
+    return _joined(back, column, len(keys))[inverse]
 
 
 def _levels(t: np.ndarray, pairs: np.ndarray, back: pa.Table, kept: str, n: int, v: int) -> tuple[np.ndarray, ...]:
     """Counts of tokens, buckets of their contexts, maximum-likelihood and base probabilities."""
-    back = back.sort_by("part")
+    back = back.sort_by("place")
     c, c2 = _counts(t, back, f"words{kept}"), _counts(pairs, back, f"pairs{kept}")
     context = np.concatenate([c[t == _END][:1], c[:-1]])  # the context of a first word is an end
     bucket = np.where(context > 0, np.minimum(BUCKETS - 1, np.log2(np.maximum(context, 1)).astype(np.int64)), -1)
@@ -177,7 +256,7 @@ def _score(packs: pa.Table, back: pa.Table, n: int, v: int, weights: np.ndarray)
     return pa.table(cols | {"base_score": pa.array(total(np.log10(p1))), "score": pa.array(total(np.log10(w * p2 + (1 - w) * p1)))})
 
 
-def interpolated_scores(docs: DataFrame, kind: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def interpolated_scores(docs: DataFrame, kind: Column, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, kind, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text).
 
     kind is a column of TRAIN, DELETED (training too, but held out while weights are learned) or HELD_OUT. A null
@@ -188,20 +267,20 @@ def interpolated_scores(docs: DataFrame, kind: Column, block_bytes: int = BLOCK_
     ship(spark)
     d = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"))
     size = d.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n_blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-size // (2 * block_bytes)))
-    d = d.withColumn("block", F.col("kind").cast("long") * _CLASS + F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    n_blocks, n_parts = max(1, -(-size // block_bytes)), max(1, -(-size // (2 * block_bytes)))
+    steps = levels(3 * n_blocks, n_parts, fan)
+    d = d.withColumn("block", F.col("kind").cast("long") * n_blocks + F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     packs = packed(d)
-    sent = packs.groupBy("block").applyInArrow(lambda x: _send(x, parts), _SENT)
-    back = stored(sent.groupBy("part").applyInArrow(_sum, _BACK), "counts")
-    sums = back.where("n is not null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept")]).first()
+    back = exchanged(packs.groupBy("block").applyInArrow(by_group(lambda x: _send(x, n_blocks, steps[0])), _SENT), steps)
+    sums = back.where("unit is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept")]).first()
     n, v, n_kept, v_kept = sums.n, sums.v, sums.n_kept, sums.v_kept
-    back = back.where("block is not null")
+    back = back.where("unit is not null")
 
     def met(p: DataFrame, b: DataFrame, f, schema: str) -> DataFrame:
-        return p.groupBy("block").cogroup(b.groupBy("block")).applyInArrow(f, schema)
+        return p.groupBy("block").cogroup(b.groupBy("unit")).applyInArrow(by_group(f), schema)
 
     deleted = packed(d.where(F.col("kind") == DELETED))
-    ratios = met(deleted, back.where(F.floor(F.col("block") / _CLASS) == DELETED), lambda p, b: _ratios(p, b, n_kept, v_kept), "bucket int, step int, n long")
+    ratios = met(deleted, back.where(F.floor(F.col("unit") / n_blocks) == DELETED), lambda p, b: _ratios(p, b, n_kept, v_kept), "bucket int, step int, n long")
     weights = expectation_maximisation([tuple(r) for r in ratios.groupBy("bucket", "step").agg(F.sum("n")).collect()])
     id_type = docs.schema["doc_id"].dataType.simpleString()
     out = met(packs, back, lambda p, b: _score(p, b, n, v, weights), f"doc_id {id_type}, kind int, {_SCORED}")
@@ -215,5 +294,9 @@ def folds(id_col: str = "doc_id", held: int = 2, deleted: int = 3) -> Column:
 
 
 def scored_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text).
+
+    Rows whose fold is 2 are held out; null and empty texts, repeats and empty tables as in interpolated_scores.
+    """
     out = interpolated_scores(docs, folds())
     return out.select("doc_id", (F.col("kind") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -272,6 +272,38 @@ def test_lm(docs_of, odd):
     assert lm_score.scored_documents(docs.where("false")).count() == 0
 
 
+def test_lm_messages_grow_in_line_with_blocks():
+    """Rows that blocks and units send, over all levels, for 10 to 10,000 blocks of different keys."""
+    rng = np.random.default_rng(3)
+    sent = {}
+    for blocks in (10, 100, 1000, 10_000):
+        steps = lm_score.levels(blocks, blocks // 2, fan=8)
+        units = [((0 << lm_score._UNIT_BITS) | b) for b in range(blocks)]
+        sent[blocks] = 0
+        for step in steps:
+            met = set()
+            for u in units:
+                path, at = u >> lm_score._UNIT_BITS, u & ((1 << lm_score._UNIT_BITS) - 1)
+                lo, hi = (path << 64) // step.done, ((path + 1) << 64) // step.done
+                keys = np.unique(rng.integers(lo, hi - 1, 40, dtype=np.uint64, endpoint=True))
+                ones = np.ones(len(keys), np.int64)
+                rows = lm_score._messages(u, path, at, {n: (keys, ones, ones) for n in ("word", "pair")}, False, step)
+                assert rows.num_rows <= step.ranges
+                sent[blocks] += rows.num_rows
+                met |= set(rows.column("unit").to_pylist())
+            units = sorted(met)
+        assert len({u >> lm_score._UNIT_BITS for u in units}) == len(units)  # each range has come together
+        assert sent[blocks] <= 8 * blocks * len(steps) and len(steps) <= 1 + math.log(blocks, 8)
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_lm_over_many_levels(docs_of, odd, fan):
+    rows = [*odd, *((2000 + i, t) for i, t in near_copies(6))]
+    key = lambda r: (str(r.doc_id), r.kind, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+    one, many = (Counter(map(key, lm_score.interpolated_scores(docs_of(rows), lm_score.folds(), b, f).collect())) for b, f in ((8 << 20, 256), (20_000, fan)))
+    assert one == many
+
+
 def test_lm_without_training(docs_of):
     kind = F.lit(lm_score.HELD_OUT)
     r = lm_score.interpolated_scores(docs_of([(1, "a b")]), kind).first()
