@@ -54,13 +54,13 @@ def without_repeated_strings(docs: DataFrame) -> DataFrame:
     return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that overlap with no benchmark item.
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
+    """Documents that overlap with no benchmark item in least tokens or more: an item of a word or two is no evidence.
 
     Null and empty texts overlap with nothing and stay; every row of a doc_id goes if one of its texts overlaps. Repeated
     rows, other columns and empty tables of either kind come back as they were.
     """
-    leaks = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("__leak_id")).distinct(), "leaks")
+    leaks = stored(overlaps(docs, benchmark).where(F.col("agreeing") >= least).select(F.col("doc_id").alias("__leak_id")).distinct(), "leaks")
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak_id")), "left_anti")
 
 

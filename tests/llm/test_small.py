@@ -204,17 +204,16 @@ def test_license_windows_find_all_that_brute_force_finds(docs_of):
     assert {(r.doc_id, r.license) for r in license_scan.licenses(docs_of(rows), templates).collect()} == want
 
 
-def test_overlaps_with_substitutions_are_those_of_brute_force():
-    from tarnfold.llm.textnum import WORDLIKE, word_hashes
-
+def test_overlaps_with_substitutions_are_those_of_brute_force(spark):
+    """All diagonals of all pairs; items of every length from one token."""
     rng = random.Random(12)
-    items = [(n, " ".join(f"i{n}w{rng.randrange(40)}" for _ in range(n))) for n in [*range(4, 24), 40]]
+    items = [(n, " ".join(f"i{n}w{rng.randrange(40)}" for _ in range(n))) for n in [*range(1, 24), 40]]
     texts = []
     for _, item in items:
         w = item.split()
         gone = [{k for k in range(len(w)) if k % every == every - 1} for every in (3, 4, 5, 6)]
         gone += [{k, k + 1} for k in range(0, len(w), 3)] + [{k, k + 1, k + 2} for k in range(0, len(w), 5)]
-        gone += [set(rng.sample(range(len(w)), min(len(w), rng.choice([1, 2, 3, 4, 8])))) for _ in range(12)]
+        gone += [set(rng.sample(range(len(w)), min(len(w), rng.choice([1, 2, 3, 4, 8])))) for _ in range(12)] + [set()]
         texts += [" ".join(["x"] * rng.randrange(3) + ["sub" if k in g else x for k, x in enumerate(w)] + ["y"] * rng.randrange(3)) for g in gone]
     want = {}
     for d, text in enumerate(texts):
@@ -231,29 +230,45 @@ def test_overlaps_with_substitutions_are_those_of_brute_force():
                         n += agree[b]
                         if 5 * n >= 4 * (b + 1 - a):
                             best = max(best, n)
-            if len(w) >= decontam.LEAST and 5 * best >= min(65, 4 * len(w)):
+            if 5 * best >= min(65, 4 * len(w)):
                 want[d, item] = best
-    s = decontam.Seeds.of(items)
-    data = [x.encode() for x in texts]
-    t, first = word_hashes(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64), WORDLIKE)
-    got = {(r[0], s.ids[r[1]]): r[4] for r in decontam.matches(t, first, s, s.filter())}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.agreeing for r in decontam.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == want and len(texts) / 4 < len(want) < len(texts)
 
 
+def test_masks_fit_every_overlap_that_counts():
+    """Every pattern of agreeing tokens that is enough, of every item length up to 17, has a place for some mask."""
+    from itertools import combinations
+
+    for n in range(1, 18):
+        least = -(-4 * min(n, 16.25) // 5)
+        for gone in range(int(n - least) + 1):
+            for x in combinations(range(n), gone):
+                agree = "".join("0" if k in x else "1" for k in range(n))
+                assert any(all(agree[a + k] == "1" for k, keep in enumerate(m) if keep == "1") for m in decontam.masks_of(n) for a in range(n - len(m) + 1)), agree
+
+
+def test_filter_rules_out_little_and_loses_nothing(spark):
+    h = np.random.default_rng(2).integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2)
+    bitmap, bits = decontam.bloom(spark.createDataFrame([(int(x),) for x in h[:20_000].view(np.int64)], "seed long"))
+    assert len(decontam.maybe(h[:20_000], bitmap, bits)) == 20_000 and len(decontam.maybe(h[20_000:], bitmap, bits)) < 20
+
+
 def test_overlaps(spark, docs_of, odd):
     rng = random.Random(6)
     items = [(i, " ".join(f"b{rng.randrange(300)}" for _ in range(n))) for i, n in enumerate([30, 40, 25, 8, 6, 3, 13])] + [(50, None), (51, "")]
-    bench = spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, doc_id string")
+    bench = spark.createDataFrame([(*x, "e") for x in [*items, items[0]]], "item_id long, text string, doc_id string")
     filler = lambda n: " ".join(f"f{rng.randrange(5000)}" for _ in range(n))
 
     def changed(t, every):
         return " ".join("other" if k % every == every - 1 else w.upper() + "," for k, w in enumerate(t.split()))
 
     rows = [*odd, (500, f"{filler(50)} {items[0][1]} {filler(50)}"), (501, f"{filler(9)} {changed(items[1][1], 9)}"), (502, items[3][1]), (503, f"x {items[4][1]} y"), (504, items[5][1]), (505, f"{filler(5)} {' '.join(items[2][1].split()[:14])} {filler(5)}"), (506, " ".join(items[2][1].split()[:9])), (507, items[6][1] + " " + items[6][1]), (508, changed(items[0][1], 3))]
-    want = {(500, 0), (501, 1), (502, 3), (503, 4), (505, 2), (507, 6)}
-    for block in (1 << 20, 200):
-        got = decontam.overlaps(docs_of(rows), bench, block_bytes=block).collect()
-        assert Counter((r.doc_id, r.item_id) for r in got) == Counter(want)
+    rows += [(509, f"{filler(400_000)} {items[0][1]}"), (510, items[3][1]), (510, items[3][1])]
+    want = Counter([(500, 0), (501, 1), (502, 3), (503, 4), (504, 5), (505, 2), (507, 6), (509, 0), (510, 3), (510, 3)])
+    got = decontam.overlaps(docs_of(rows), bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in got) == want
     row = next(r for r in got if r.doc_id == 501)
     assert row.agreeing == 36 and row.first_token == 9
     assert decontam.overlaps(docs_of(rows).where("false"), bench).count() == 0
