@@ -3,7 +3,8 @@
 A pre-token here is a maximal run of bytes other than ASCII white space: the tokenizer's normaliser and
 splitter never look across one, so a text has as many tokens as its pre-tokens have. Lengths of frequent
 pre-tokens are broadcast in one compact table of bounded size; a worker encodes any other pre-token once
-and keeps it in a bounded cache. No pre-token is shuffled: only each task's short list of frequent ones.
+and keeps it in a bounded cache. No pre-token is shuffled. Which ones are frequent is learned from a sample of about
+SAMPLE_ROWS rows over the whole table: what the table lacks costs time and changes no count.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import ship, texts
+from .common import kept, mapped, ship, texts
 
-#: Most entries of the broadcast table (bounds it to a few MB), of one task's list, and of a worker's cache.
-FREQUENT, PER_TASK, CACHED = 65_536, 8_192, 400_000
+#: Most entries of the broadcast table (bounds it to a few MB), rows of the sample, and words that a row adds to its task's list.
+FREQUENT, SAMPLE_ROWS, PER_ROW = 65_536, 4_000, 256
+#: Bytes of a worker's cache, counted with what Python adds to them.
+CACHED = 64 << 20
 
 _TOKENIZERS: dict = {}
 _MODELS: dict = {}
-_CACHES: dict = {}
 
 
 def default_path() -> str:
@@ -77,24 +78,31 @@ def lengths(path: str, words: list[bytes]) -> list[int]:
     return [length(path, w, model) for w in words]
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], per_task: int) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], per_row: int) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+    rows = 0
     for batch in batches:
+        rows += batch.num_rows
         for text in batch.column(0).cast(pa.large_binary()):
-            counts.update((text.as_py() or b"").split())
-            if len(counts) > 50 * per_task:  # what is rare so far goes; a table that misses it costs time, not truth
-                counts = Counter({w: n for w, n in counts.items() if n > 1} if sum(n > 1 for n in counts.values()) < 25 * per_task else dict(counts.most_common(25 * per_task)))
-    top = [(w, n) for w, n in counts.most_common(per_task) if n > 1 and len(w) <= 64]
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-
-def frequent_lengths(docs: DataFrame, path: str, n_frequent: int = FREQUENT, per_task: int = PER_TASK) -> tuple[bytes, np.ndarray]:
-    """The compact table: frequent pre-tokens joined by spaces, and their lengths. At most n_frequent of 64 bytes."""
-    rows = (
-        texts(docs).select("text").mapInArrow(lambda b: _frequent(b, per_task), "word binary, n long")
-        .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n_frequent).select("word").collect()
-    )
-    words = [bytes(r.word) for r in rows]
+            counts.update(w for w in (text.as_py() or b"").split() if len(w) <= 64)
+    top = counts.most_common(per_row * rows)
+    if top:
+        yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w for w, _ in top)]), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["words", "counts"])
+
+
+def frequent_lengths(docs: DataFrame, path: str, n_frequent: int = FREQUENT, rows: int = SAMPLE_ROWS) -> tuple[bytes, np.ndarray]:
+    """The compact table: frequent pre-tokens joined by spaces, and their lengths. At most n_frequent of 64 bytes.
+
+    The driver gets one row a task, and in all at most PER_ROW words for each of about rows rows.
+    """
+    n = docs.count()
+    some = texts(docs).select("text")
+    some = some.sample(rows / n, 1) if n > rows else some
+    counts: Counter = Counter()
+    for r in mapped(some, lambda b: _frequent(b, PER_ROW), "words binary, counts array<long>").collect():
+        for w, k in zip(bytes(r.words).split(), r.counts, strict=True):
+            counts[w] += k
+    words = sorted(sorted(counts), key=counts.__getitem__, reverse=True)[:n_frequent]
     return b" ".join(words), np.array(lengths(path, words), np.uint16)
 
 
@@ -109,34 +117,27 @@ class Lengths(dict):
 
     def __init__(self, path: str, words: bytes, n: np.ndarray):
         super().__init__(zip(words.split(), n.tolist(), strict=True))
-        self.path, self.fixed, self.missed = path, len(self), 0
+        self.path, self.fixed, self.size, self.missed = path, len(self), 0, 0
         self.marks = lengths(path, [b"a", b"a,", b"a."]) == [1, 2, 2] and _MODELS[path] is not None
 
     def count(self, text: bytes) -> int:
+        if self.size > CACHED:  # the cache holds so much, and one text's words at most
+            for w in list(self)[self.fixed :]:
+                del self[w]
+            self.size = 0
         words = text.split()
         misses = [w for w in dict.fromkeys(words) if w not in self]
         if misses:
-            if len(self) + len(misses) > self.fixed + CACHED:
-                for w in list(self)[self.fixed :]:
-                    del self[w]
-                misses = [w for w in dict.fromkeys(words) if w not in self]
             # a word before one comma or stop: both are pre-tokens of their own for the splitter, and the mark is one token
             short = [w[:-1] if self.marks and w[-1:] in b",." and w[-2:-1].isalpha() else w for w in misses]
             need = [w for w in dict.fromkeys(short) if w not in self]
             self.update(zip(need, lengths(self.path, need), strict=True))
             self.update((w, self[x] + 1) for w, x in zip(misses, short, strict=True) if w is not x)
             self.missed += len(misses)
+            self.size += sum(map(len, misses)) + 200 * len(misses)
         return sum(map(self.__getitem__, words))
 
 
-def counter(key: str, path: str, words: bytes, n: np.ndarray) -> Lengths:
-    """One per worker process, kept between tasks."""
-    if key not in _CACHES:
-        _CACHES.clear()
-        _CACHES[key] = Lengths(path, words, n)
-    return _CACHES[key]
-
-
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, n_frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row of docs (doc_id, text).
 
@@ -154,7 +155,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, n_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = shared.value
-        of = counter(f"{path} {hash(words)}", path, words, n)
+        of = kept("lengths", f"{path} {hash(words)}", lambda: Lengths(path, words, n))
         for batch in batches:
             got = batch.column(1).cast(pa.large_binary())
             sizes, tokens = [], []
@@ -165,4 +166,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, n_
             t = np.array(tokens, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(t), pa.array(t > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return texts(docs).mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(texts(docs), count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean", "lengths")

@@ -1,7 +1,7 @@
 """Web archives: records with revisits, and a two-level capture index over reversed-host URL keys.
 
 Level two is files of compressed blocks of sorted index lines; level one is each file's sparse directory (the
-first key of every block) at its end, under a small table of the files' first and last keys. A lookup
+first key and page of every block) at its end, under a small table of the files' first and last ones. A lookup
 bisects the table, then a file's directory, range-reads one block, bisects its lines, and range-reads the
 records. Archives and index lie in the shared folder; executors write files of their own names, so a task
 that runs again leaves an unnamed file behind and nothing else.
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship, stored
+from .common import fresh, mapped, ship, stored
 
 #: Shorter payloads are always responses.
 REVISIT_BYTES = 1000
-FILE_BYTES, BLOCK_LINES, SALTS = 64 << 20, 2048, 16
+FILE_BYTES, BLOCK_LINES, MANY = 64 << 20, 2048, 1024
 _DATE = "2024-01-01T00:00:00Z"
 _NULL_ID = 1 << 127
 
@@ -43,18 +43,22 @@ def surt(url: Column) -> Column:
 def classified(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest and refers_to (null: a response).
 
-    Copies are found from digests alone. The join back carries pages, so it is salted: a digest that a third
-    of all pages have is spread over SALTS keys, and only digests with copies are on the other side.
+    Copies are found from digests alone. The join back carries pages: digests that more than one of MANY pages have
+    are fewer than MANY, so they are broadcast, and those pages need no join by key; nor do pages without copies to look for.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    kept = (
-        p.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
-        .select("payload_digest", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = p.join(kept, ["payload_digest", "salt"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("kept")), F.col("kept"))).drop("salt", "kept")
+    copies = p.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(copies, "copies")
+    share = pages.count() // MANY
+    hot = copies.where(F.col("n") > share).select("payload_digest", F.col("kept").alias("hot"))
+    rest = copies.where(F.col("n") <= share).select(F.col("payload_digest").alias("by"), "kept")
+    p = p.join(F.broadcast(hot), "payload_digest", "left")
+    alone = F.col("hot").isNotNull() | (F.col("payload_bytes") < least)
+    by = F.when(alone, F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("payload_digest"))
+    kept = F.coalesce("hot", "kept")
+    joined = p.join(rest, by == F.col("by"), "left")
+    return joined.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != kept), kept)).drop("by", "hot", "kept")
 
 
 def _open(uri: str):
@@ -133,15 +137,15 @@ def write_warc(pages: DataFrame, file_bytes: int = FILE_BYTES) -> tuple[str, Dat
             out.close()
 
     rows = classified(pages).withColumn("key", surt(F.col("url")))
-    return folder, stored(rows.mapInArrow(write, "key string, page_id long, file string, offset long, length long"), "captures")
+    return folder, stored(mapped(rows, write, "key string, page_id long, file string, offset long, length long"), "captures")
 
 
 def build_index(folder: str, captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Write the two-level index; returns one row a file: part, first_key, last_key, n, dir_offset, dir_length."""
+    """Write the two-level index; returns one row a file: part, first_key, first_page, last_key, last_page, n, dir_offset, dir_length."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(folder)
-        name, out, at, n, last, directory, lines = f"{uuid.uuid4().hex}.idx", None, 0, 0, "", [], []
+        name, out, at, n, last, directory, lines = f"{uuid.uuid4().hex}.idx", None, 0, 0, ("", None), [], []
 
         def block() -> None:
             nonlocal out, at
@@ -149,14 +153,14 @@ def build_index(folder: str, captures: DataFrame, block_lines: int = BLOCK_LINES
                 fs.create_dir(path)
                 out = fs.open_output_stream(f"{path}/{name}", compression=None)
             data = zlib.compress("\n".join(json.dumps(x, ensure_ascii=False) for x in lines).encode("utf-8", "surrogatepass"), 6)
-            directory.append((lines[0][0], at, len(data)))
+            directory.append((*lines[0][:2], at, len(data)))
             out.write(data)
             at += len(data)
 
         for batch in batches:
             for key, page_id, file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines.append((key, page_id, file, offset, length))
-                n, last = n + 1, key
+                n, last = n + 1, (key, page_id)
                 if len(lines) == block_lines:
                     block()
                     lines = []
@@ -166,12 +170,12 @@ def build_index(folder: str, captures: DataFrame, block_lines: int = BLOCK_LINES
             data = zlib.compress(json.dumps(directory).encode(), 6)
             out.write(data)
             out.close()
-            yield pa.RecordBatch.from_pylist([{"part": name, "first_key": directory[0][0], "last_key": last, "n": n, "dir_offset": at, "dir_length": len(data)}])
+            yield pa.RecordBatch.from_pylist([{"part": name, "first_key": directory[0][0], "first_page": directory[0][1], "last_key": last[0], "last_page": last[1], "n": n, "dir_offset": at, "dir_length": len(data)}])
 
     c = captures.select("key", "page_id", "file", "offset", "length")
     # by page too, so that a URL that a third of all captures have is dealt over several files
     ranged = c.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
-    return stored(ranged.mapInArrow(write, "part string, first_key string, last_key string, n long, dir_offset long, dir_length long"), "index")
+    return stored(mapped(ranged, write, "part string, first_key string, first_page long, last_key string, last_page long, n long, dir_offset long, dir_length long"), "index")
 
 
 def archive(pages: DataFrame) -> Archive:
@@ -204,49 +208,71 @@ def index_lines(a: Archive) -> DataFrame:
         fs, path = _open(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                for _, offset, length in _directory(fs, path, r["part"], r["dir_offset"], r["dir_length"]):
+                for *_, offset, length in _directory(fs, path, r["part"], r["dir_offset"], r["dir_length"]):
                     got = _lines(_range(fs, f"{path}/{r['part']}", offset, length))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), _LINE_ARROW, strict=True)], schema=_LINE_ARROW)
 
     n = max(1, a.parts.count())
-    return a.parts.repartition(n).mapInArrow(read, _LINE)
+    return mapped(a.parts.repartition(n), read, _LINE)
 
 
-def lookup(a: Archive, urls: DataFrame) -> DataFrame:
-    """The index lines of urls (url); a URL without captures gives no row, a null one finds null URLs' captures.
+def _order(key: str, page_id: int | None) -> tuple:
+    """The index's order: by key, then page, null pages first."""
+    return key, page_id is not None, page_id or 0
 
-    The table of index files is broadcast: one row a file, so no more than the tasks that wrote it. A worker
-    bisects it, then the file's directory, then one block.
+
+def lookup(a: Archive, urls: DataFrame, page_col: str | None = None) -> DataFrame:
+    """The index lines of urls (url), or only of each url's page in page_col; what has no capture gives no row.
+
+    A null URL finds null URLs' captures, a null page those of null pages; what is asked twice is found once. Questions are
+    dealt out in the order of the index, so that a worker reads each directory and block once, and a URL that a third of
+    all captures have is asked for page by page in several tasks. The table of index files is broadcast: one row a file,
+    so no more than the tasks that wrote it. A worker bisects it, then the file's directory, then one block.
     """
     spark, folder = urls.sparkSession, a.folder
-    table = sorted(map(tuple, a.parts.select("first_key", "last_key", "part", "dir_offset", "dir_length").collect()))
+    table = sorted((tuple(r) for r in a.parts.select("first_key", "first_page", "last_key", "last_page", "part", "dir_offset", "dir_length").collect()), key=lambda x: _order(*x[:2]))
     shared = spark.sparkContext.broadcast(table)
+    by_page = page_col is not None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(folder)
-        lasts, held = [x[1] for x in shared.value], {}
+        table = shared.value
+        # a URL without a page is before all its pages, and after the last one: ("key", False, -1) and ("key", True, infinity)
+        firsts, lasts = [_order(*x[:2]) for x in table], [_order(*x[2:4]) for x in table]
+        of_file: tuple = ("", [], [])
+        of_block: tuple = ("", [], [])
+        before = None
         for batch in batches:
             got: list = []
-            for wanted in batch.column(0).to_pylist():
-                p = bisect_left(lasts, wanted)
-                while p < len(lasts) and shared.value[p][0] <= wanted:
-                    part, at, length = shared.value[p][2:]
-                    if part not in held:
-                        held = {part: _directory(fs, path, part, at, length)}
-                    directory = held[part]
-                    i = max(0, bisect_left(directory, wanted, key=lambda x: x[0]) - 1)
-                    while i < len(directory) and directory[i][0] <= wanted:
-                        lines = _lines(_range(fs, f"{path}/{part}", *directory[i][1:]))
-                        k = bisect_left(lines, wanted, key=lambda x: x[0])
-                        while k < len(lines) and lines[k][0] == wanted:
-                            got.append(dict(zip(_LINE_ARROW.names, lines[k], strict=True)))
+            for wanted, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (wanted, page) == before:  # equal questions are neighbours
+                    continue
+                before = wanted, page
+                low, high = (_order(wanted, page),) * 2 if by_page else ((wanted, False, -1), (wanted, True, float("inf")))
+                p = bisect_left(lasts, low)
+                while p < len(table) and firsts[p] <= high:
+                    part, at, length = table[p][4:]
+                    if of_file[0] != part:
+                        directory = _directory(fs, path, part, at, length)
+                        of_file = part, directory, [_order(*x[:2]) for x in directory]
+                    _, directory, starts = of_file
+                    i = max(0, bisect_left(starts, low) - 1)
+                    while i < len(directory) and starts[i] <= high:
+                        if of_block[0] != (part, i):
+                            lines = _lines(_range(fs, f"{path}/{part}", *directory[i][2:]))
+                            of_block = (part, i), lines, [_order(*x[:2]) for x in lines]
+                        _, lines, keys = of_block
+                        k = bisect_left(keys, low)
+                        while k < len(lines) and keys[k] <= high:
+                            got.append(lines[k])
                             k += 1
                         i += 1
                     p += 1
-            yield pa.RecordBatch.from_pylist(got, _LINE_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True) if got else [()] * len(_LINE_ARROW), _LINE_ARROW, strict=True)], schema=_LINE_ARROW)
 
-    keys = urls.select(surt(F.col("url")).alias("wanted")).distinct().sortWithinPartitions("wanted")
-    return keys.mapInArrow(find, _LINE)
+    page = F.col(page_col).cast("long") if by_page else F.lit(None).cast("long")
+    keys = urls.select(surt(F.col("url").cast("string")).alias("wanted"), page.alias("page")).repartitionByRange("wanted", "page").sortWithinPartitions("wanted", "page")
+    return mapped(keys, find, _LINE)
 
 
 def read_records(a: Archive, lines: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -279,11 +305,11 @@ def read_records(a: Archive, lines: DataFrame, with_payload: bool = False) -> Da
         if f is not None:
             f.close()
 
-    return lines.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(read, schema)
+    return mapped(lines.repartition("file").sortWithinPartitions("file", "offset"), read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages (page_id, url, html), then read every record back through the index.
+    """Archive pages (page_id, url, html), then look every page up in the index and read its records back.
 
     Null html is an empty payload; a null page_id is kept, ranks below all others and, in a group of nulls
     alone, every row is a response; rows that repeat the kept page_id and payload are responses too. Null or
@@ -291,4 +317,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     back empty. Empty tables give no rows; other columns are ignored.
     """
     a = archive(pages)
-    return read_records(a, index_lines(a))
+    return read_records(a, lookup(a, pages, "page_id"))

@@ -44,6 +44,23 @@ def test_warc_lookup_by_two_levels(spark):
     got = {r.page_id: bytes(r.payload).partition(b"\r\n\r\n")[2] or bytes(r.payload) for r in found.collect()}
     assert got == {3: b"page 3"} | {1000 + i: f"v{i}".encode() for i in range(150)}
     assert warc.index_lines(a).count() == 450
+    asked = spark.createDataFrame([("http://HOT.example.org/", 1007), ("http://HOT.example.org/", 1007), ("http://h3.example.com/p3", 4), ("http://h3.example.com/p3", 3), (None, None)], "url string, page_id long")
+    assert sorted(r.page_id for r in warc.lookup(a, asked, "page_id").collect()) == [3, 1007]
+
+
+def test_warc_copies_of_a_hot_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MANY", 4)  # more than a quarter of the pages is hot
+    rows = [(i, f"http://a/{i}", ["hot" * 400, "warm" * 300, f"own{i}" * 300][0 if i % 2 else 1 if i % 10 == 0 else 2]) for i in range(60)] + [(100 + i, "u", "") for i in range(40)]
+    got = rows_of(warc.round_trip(pages_of(spark, rows)), "page_id", "record_type", "refers_to")
+    last = {h: i for i, _, h in rows}
+    assert got == Counter((i, "revisit", last[h]) if len(h) >= 1000 and last[h] != i else (i, "response", None) for i, _, h in rows)
+
+
+def test_warc_of_a_long_payload(spark):
+    long = "long é " * 800_000
+    got = warc.round_trip(pages_of(spark, [(1, "http://l/", long), (2, "http://l/", long)]))
+    n, digest = len(long.encode()), hashlib.sha1(long.encode()).hexdigest()
+    assert rows_of(got, "page_id", "payload_bytes", "payload_digest", "refers_to") == Counter([(1, n, digest, 2), (2, n, digest, None)])
 
 
 def test_warc_empty(spark):
