@@ -1,19 +1,20 @@
 """Removal of long repeated byte strings, by prefix-free parsing.
 
-Rolling-hash triggers cut texts into phrases. A trigger is the place of the least hash of GRAM bytes within some
-window of LENGTH bytes, so every window holds one, phrases are shorter than a window, and equal windows
-have their trigger at the same place: parses of repeated text fall into step from its first trigger on.
-
-- Parse: for each trigger, the phrase made of the windows that it is the trigger of (up to 2 LENGTH - GRAM bytes).
-- Dictionary: different phrases. All occurrences of a phrase but the first repeat all of its windows; that is
-  settled by hashes, and is nearly all of a highly repetitive text.
-- First occurrences whose trigger also has other phrases may share some windows. Those dictionary entries alone are
-  fetched, and the suffixes of LENGTH bytes that start in them are sorted (a suffix array of the dictionary, cut
-  at LENGTH); within equal suffixes the parse's order (doc_id, place) tells the first one.
-
-Rows meet by trigger hash, sorted by Spark and read as a stream; a group of any size needs no memory of its own
-in the first step. In the second a trigger with more than HOT different phrases is not gathered: each of its suffixes
-moves on by itself, as a 128-bit hash, and meets its equals alone, again as a stream.
+Rolling-hash triggers cut texts into phrases: a trigger is a place where the hash of GRAM bytes is divisible by
+TRIGGER. A window of LENGTH bytes belongs to the first trigger in it (to its least hash, where it has none), so equal
+windows belong to equal triggers at equal distances. What precedes the trigger is a suffix of a phrase of the
+dictionary; what follows is the parse, read on from the next phrase.
+
+- Parse: for each trigger, the context made of the windows that belong to it (up to 2 LENGTH - GRAM bytes), named by the
+  hash of its bytes. All occurrences of a context but the first repeat all of its windows: that is nearly all
+  of a highly repetitive text, and settled by names (104 bits, with the trigger's).
+- Dictionary and parse: of different contexts of one trigger the bytes are fetched. Their phrase suffixes are sorted from the
+  trigger backwards, their continuations forwards, each with the bytes that neighbours have in common. For
+  each distance from the trigger the two orders combine into the corpus order of the windows, and equal ones are
+  neighbours there; the first in the order of (doc_id, place) stays.
+
+Rows meet by trigger, sorted by Spark and read as a stream. A trigger with more than HOT different contexts is split: windows at
+neighbouring distances go by the bytes that they all share, and where that is too many again, each by all its bytes.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_group, mapped, parts, ship, stored
 from .packs import packed, unpacked
-from .textnum import _RINV, column_bytes, mix, powers, prefix, runs, span_hash
+from .textnum import _RINV, column_bytes, mix, powers, prefix, runs
 
-LENGTH, GRAM = 100, 32
-BLOCK_BYTES, GROUP_BYTES, HOT = 8 << 20, 2 << 20, 20_000
+LENGTH, GRAM, TRIGGER = 100, 32, 32
+#: Contexts of a trigger that are sorted in one task, and distances from it that a part of a hot one has.
+HOT, DISTANCES = 1024, 9
+BLOCK_BYTES, GROUP_BYTES = 8 << 20, 1 << 20
 _PLACE_BITS = 22
-_SEGMENT = 2 << 20
+_SEGMENT = 512 << 10
 _NULL_ID = -(1 << 63)
 
 
@@ -48,17 +52,23 @@ def _least(v: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[k - 1 : k - 1 + n])
 
 
+def designated(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hashes of gram bytes, and for each window of length bytes the place of its trigger."""
+    p = prefix(data)
+    n = len(data) - gram + 1
+    g = mix((p[gram:] - p[:-gram]) * powers(_RINV, len(p))[:n])
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    rank = np.where(g % np.uint64(TRIGGER) == 0, np.uint64(0), g & ~low) | np.arange(n, dtype=np.uint64)
+    return g, (_least(rank, length - gram + 1) & low).astype(np.int64)
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Triggers of at most 2^22 bytes of texts: trigger hash, phrase hash, text number, first window, further windows."""
+    """Contexts in at most 2^22 bytes of texts: trigger hash, name, text number, first window, further windows."""
     gram = min(gram, length)
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none
-    p = prefix(data)
-    n = len(data) - gram + 1
-    g = mix((p[gram:] - p[:-gram]) * powers(_RINV, len(p))[:n])
-    low = np.uint64((1 << _PLACE_BITS) - 1)
-    trigger = (_least((g & ~low) | np.arange(n, dtype=np.uint64), length - gram + 1) & low).astype(np.int64)
+    g, trigger = designated(data, length, gram)
     room = np.diff(offsets) - length + 1
     docs = np.repeat(np.arange(len(room)), np.maximum(room, 0))
     if not len(docs):
@@ -69,8 +79,9 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (docs[1:] != docs[:-1])]))
     last = np.append(new[1:], len(t)) - 1
     lo, hi, t = at[new], at[last], t[new]
-    phrase = mix(span_hash(p, lo, hi + length) + (t - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (g[t] >> np.uint64(24)).astype(np.int64), phrase.view(np.int64), docs[new], lo - offsets[docs[new]], hi - lo
+    raw, name = data.tobytes(), xxhash.xxh3_64_intdigest
+    names = np.array([name(raw[x:y]) for x, y in zip(lo.tolist(), (hi + length).tolist(), strict=True)], np.uint64)
+    return (g[t] >> np.uint64(24)).astype(np.int64), names.view(np.int64), docs[new], lo - offsets[docs[new]], hi - lo
 
 
 _PHRASE = "trigger long, phrase long, doc_id long, lo int, more short"
@@ -164,24 +175,17 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 _CONTEXT = "trigger long, doc_id long, lo int, bytes binary"
+_CONTEXT_ARROW = pa.schema([("trigger", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("bytes", pa.binary())])
 
 
 def _fetch(packs: pa.Table, spans: pa.Table, length: int) -> pa.Table:
-    """The bytes of dictionary entries, from the texts of a block; of hot triggers each suffix's hash, under a trigger made of it."""
-    found = _texts_of(packs) if packs.num_rows else {}
+    """Contexts with their bytes, from the texts of a block."""
+    found = _texts_of(packs) if packs.num_rows and spans.num_rows else {}
     rows = []
     for d, a, b, t, hot in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "lo", "hi", "trigger", "hot")), strict=True):
-        for x in found.get(d, []):
-            if len(x) < b + length:
-                continue
-            if not hot:
-                rows.append((t, d, a, x[a : b + length]))
-                continue
-            for k in range(a, b + 1):
-                h = hashlib.blake2b(x[k : k + length], digest_size=16).digest()
-                rows.append((int.from_bytes(h[:8], "little", signed=True), d, k, h))
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.table({"trigger": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "lo": pa.array(cols[2], pa.int32()), "bytes": pa.array(cols[3], pa.binary())})
+        rows += [(t, d, a, x[a : b + length], hot) for x in found.get(d, []) if len(x) >= b + length]
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _CONTEXT_ARROW, strict=False)] + [pa.array(cols[4], pa.bool_())], [*_CONTEXT_ARROW.names, "hot"])
 
 
 def _texts_of(packs: pa.Table) -> dict[int, list[bytes]]:
@@ -194,69 +198,140 @@ def _texts_of(packs: pa.Table) -> dict[int, list[bytes]]:
     return found
 
 
-def _windows(doc: list, lo: list, data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """All windows of dictionary entries: their place in the joined bytes, and doc_id and place of each."""
+def _places(data: list[bytes], length: int) -> np.ndarray:
+    """Where in each context its trigger is."""
     sizes = np.array([len(x) for x in data])
-    n = sizes - length + 1
     start = np.cumsum(sizes) - sizes
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(start, n) + inner, np.repeat(np.array(doc, np.int64), n), np.repeat(np.array(lo, np.int64), n) + inner
+    out = []
+    for i, j in runs(np.append(start, sizes.sum()), _SEGMENT):
+        _, t = designated(np.frombuffer(b"".join(data[i:j]), np.uint8), length, min(GRAM, length))
+        out.append(t[start[i:j] - start[i]] - (start[i:j] - start[i]))
+    return np.concatenate(out)
+
+
+def _sorted_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, and how many bytes each shares with the one before it in that order (0: the first)."""
+    m = np.ascontiguousarray(m)
+    order = np.argsort(m.view(f"S{m.shape[1]}").ravel(), kind="stable")
+    apart = m[order[1:]] != m[order[:-1]]
+    return order, np.concatenate([[0], np.where(apart.any(1), apart.argmax(1), m.shape[1])])
+
+
+def repeated_windows(doc: np.ndarray, lo: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (doc_id, lo, hi) of bytes covered by windows of these contexts that are not the first of their kind."""
+    t = _places(data, length)
+    at = lo + t
+    order = np.lexsort((at, doc))
+    doc, at, t, data = doc[order], at[order], t[order], [data[k] for k in order.tolist()]
+    sizes = np.array([len(x) for x in data])
+    text = np.frombuffer(b"".join(data), np.uint8)
+    own = (np.cumsum(sizes) - sizes + t)[:, None]
+    gram = min(GRAM, length)
+    back, ahead = np.arange(length - gram)[None], np.arange(length)[None]
+    before = np.where(back < t[:, None], text[np.maximum(own - 1 - back, 0)], 0).astype(np.uint8) if length > gram else np.zeros((len(t), 1), np.uint8)
+    after = np.where(ahead < (sizes - t)[:, None], text[np.minimum(own + ahead, len(text) - 1)], 0).astype(np.uint8)
+    (left, left_same), (right, right_same) = _sorted_rows(before), _sorted_rows(after)
+    marks = np.zeros((len(t), length - gram + 3), bool)  # a column on either side stays empty
+    suffix, rest = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
+    for o in range(length - gram + 1):
+        on = np.flatnonzero((t >= o) & (sizes - t >= length - o))
+        if len(on) < 2:
+            continue
+        suffix[left] = np.cumsum(left_same < o)
+        rest[right] = np.cumsum(right_same < length - o)
+        key = suffix[on] * (len(t) + 1) + rest[on]
+        by = np.argsort(key, kind="stable")  # contexts are in order of place, so the first of equal ones leads
+        k = key[by]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        x, first = on[by], on[by[lead]]
+        # one place can be in several contexts (segments of a long text): it does not repeat itself
+        marks[x[~new & ((doc[x] != doc[first]) | (at[x] != at[first]))], o + 1] = True
+    edge = np.diff(marks.astype(np.int8), axis=1)
+    row, nearest = np.nonzero(edge == 1)
+    _, beyond = np.nonzero(edge == -1)
+    return doc[row], at[row] - beyond + 1, at[row] - nearest + length
+
+
+def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by trigger; whole triggers are taken together, about GROUP_BYTES at a time."""
+    held, size, last = [], 0, None
+
+    def found() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        doc, lo = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "lo"))
+        return _spans(*repeated_windows(doc, lo, table.column("bytes").to_pylist(), length))
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = np.asarray(batch.column(0))
+        cut = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if size > GROUP_BYTES and t[a] != last:
+                yield found()
+                held, size = [], 0
+            last = t[a]
+            held.append(batch.slice(a, b - a))
+            size += (b - a) * length
+    if held:
+        yield found()
+
+
+def _split(batches: Iterator[pa.RecordBatch], length: int, distances: int) -> Iterator[pa.RecordBatch]:
+    """Contexts as parts of windows at so many neighbouring distances from the trigger, under a name of the bytes they all share."""
+    for batch in batches:
+        rows = []
+        if batch.num_rows:
+            data = batch.column(3).to_pylist()
+            for x, d, a, t in zip(data, batch.column(1).to_pylist(), batch.column(2).to_pylist(), _places(data, length).tolist(), strict=True):
+                least = max(0, length - (len(x) - t))
+                for o in range(least - least % distances, t + 1, distances):
+                    near, far = max(o, least), min(o + distances - 1, t)
+                    shared = x[t - o : t - o - distances + 1 + length]
+                    rows.append((xxhash.xxh3_64_intdigest(shared, o) - (1 << 63), d, a + t - far, x[t - far : t - near + length]))
+                    if len(rows) == 1 << 14:
+                        yield _contexts(rows)
+                        rows = []
+        yield _contexts(rows)
+
+
+def _contexts(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CONTEXT_ARROW, strict=True)], schema=_CONTEXT_ARROW)
 
-def repeated_windows(doc: list, lo: list, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts the suffixes of length bytes; runs (doc_id, lo, hi) of bytes covered by those that are not the first of their kind."""
-    at, docs, places = _windows(doc, lo, data, length)
-    order = np.lexsort((places, docs))
-    at, docs, places = at[order], docs[order], places[order]
-    text = np.frombuffer(b"".join(data), np.uint8)
-    suffix = np.lib.stride_tricks.sliding_window_view(text, length)[at].view(f"S{length}").ravel()
-    by = np.argsort(suffix, kind="stable")  # ties stay in order of place
-    s = suffix[by]
-    same = np.concatenate([[False], s[1:] == s[:-1]])
-    leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
-    # one place can be in several entries (segments of a long text): it does not repeat itself
-    own = (docs[by] == docs[by[leader]]) & (places[by] == places[by[leader]])
-    hit = np.sort(by[same & ~own])
-    return _joined(docs[hit], places[hit], length)
 
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single windows sorted by name, bytes and place: those after the first of their kind."""
+    lead: tuple | None = None
+    for batch in batches:
+        doc, lo, hi = [], [], []
+        for t, d, a, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if lead is None or lead[:2] != (t, x):
+                lead = (t, x, d, a)
+            elif lead[2:] != (d, a):
+                doc.append(d)
+                lo.append(a)
+                hi.append(a + len(x))
+        yield _spans(np.array(doc, np.int64), np.array(lo, np.int64), np.array(hi, np.int64))
 
-def _joined(d: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring places, as the bytes that they cover."""
-    if not len(d):
-        return d, p, p
-    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)]))
-    return d[new], p[new], p[np.append(new[1:], len(d)) - 1] + length
 
+def compared(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, lo, hi) of repeated windows among contexts whose triggers have no more than HOT or so."""
+    n = parts(contexts.sparkSession)
+    by_trigger = contexts.select("trigger", "doc_id", "lo", "bytes").repartition(n, "trigger").sortWithinPartitions("trigger")
+    return mapped(by_trigger, lambda b: _compare(b, length), _SPAN).select("doc_id", "lo", "hi")
 
-def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by trigger and place; whole triggers are taken together, about GROUP_BYTES at a time.
 
-    A row that is shorter than a suffix is the hash of one: all after the first of its kind repeat it.
-    """
-    doc, lo, data, size, last = [], [], [], 0, None
-    firsts: dict[bytes, tuple[int, int]] = {}  # of hashes under the present trigger
-    for batch in batches:
-        again: list[tuple[int, int]] = []
-        for t, d, a, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t != last:
-                firsts = {}
-                if size > GROUP_BYTES:
-                    yield _spans(*repeated_windows(doc, lo, data, length))
-                    doc, lo, data, size = [], [], [], 0
-            last = t
-            if len(x) < length:
-                if firsts.setdefault(x, (d, a)) != (d, a):
-                    again.append((d, a))
-                continue
-            doc.append(d)
-            lo.append(a)
-            data.append(x)
-            size += len(x)
-        if again:
-            d, a = np.array(sorted(set(again)), np.int64).T
-            yield _spans(*_joined(d, a, length))
-    if data:
-        yield _spans(*repeated_windows(doc, lo, data, length))
+def compared_hot(contexts: DataFrame, length: int) -> DataFrame:
+    """The same of contexts of hot triggers, by parts of them."""
+    n = parts(contexts.sparkSession)
+    split = stored(mapped(contexts.select("trigger", "doc_id", "lo", "bytes"), lambda b: _split(b, length, DISTANCES), _CONTEXT), "split")
+    many = stored(split.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("hot", F.col("n") > HOT).drop("n"), "many")
+    split = split.join(many, "trigger")  # a part that no other shares its bytes with repeats nothing
+    single = mapped(split.where("hot").select("trigger", "doc_id", "lo", "bytes"), lambda b: _split(b, length, 1), _CONTEXT)
+    single = single.repartition(n, "trigger").sortWithinPartitions("trigger", "bytes", "doc_id", "lo")
+    return compared(split.where("not hot"), length).union(mapped(single, _equal_windows, _SPAN).select("doc_id", "lo", "hi"))
 
 
 def repeated_spans(d: DataFrame, packs: DataFrame, n_blocks: int, length: int = LENGTH) -> DataFrame:
@@ -270,9 +345,11 @@ def repeated_spans(d: DataFrame, packs: DataFrame, n_blocks: int, length: int =
     hot = stored(entries.groupBy("trigger").count().where(F.col("count") > HOT).select("trigger", F.lit(True).alias("hot")), "hot")
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))
     entries = entries.join(hot, "trigger", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("block", block)
-    fetched = packs.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(by_group(lambda p, s: _fetch(p, s, length)), _CONTEXT)
-    got = mapped(fetched.repartition(n, "trigger").sortWithinPartitions("trigger", "doc_id", "lo"), lambda b: _sort_suffixes(b, length), _SPAN).select("doc_id", "lo", "hi")
-    return done.union(got)
+    fetched = packs.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(by_group(lambda p, s: _fetch(p, s, length)), f"{_CONTEXT}, hot boolean")
+    if hot.isEmpty():
+        return done.union(compared(fetched, length))
+    fetched = stored(fetched, "contexts")
+    return done.union(compared(fetched.where("not hot"), length)).union(compared_hot(fetched.where("hot"), length))
 
 
 def removed(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

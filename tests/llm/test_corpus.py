@@ -202,8 +202,9 @@ def passages(seed):
     return [*rows, (70, "z" * 700), (71, "ab" * 300), (72, None), (73, ""), (74, "y" * 99), (75, "y" * 100), (76, "y" * 101)]
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("hot", [1024, 6, 1])
 def test_repeats(docs_of, odd, monkeypatch, hot):
+    """Hot triggers whole, in parts, and (from HOT 1 on) window by window."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = passages(hot) + [(1000 + i if i is not None else None, t) for i, t in odd if t is None or len(t) < 20_000]
     rows = list({i: (i, t) for i, t in rows}.values())
@@ -222,6 +223,36 @@ def test_long_texts_are_parsed_in_segments(docs_of, monkeypatch):
     assert suffix_dedup.without_repeats(docs_of(rows).where("false")).count() == 0
 
 
+def test_repeated_windows_are_those_of_sorted_ones():
+    """Contexts of one trigger with all lengths before and after it, NUL bytes included."""
+    rng = random.Random(7)
+    core = None
+    while core is None:  # 32 bytes that are a trigger, whatever is around them
+        x = bytes(rng.choice(b"ab\0") for _ in range(32))
+        g, _ = suffix_dedup.designated(np.frombuffer(x * 4, np.uint8), 100, 32)
+        core = x if g[0] % suffix_dedup.TRIGGER == 0 else None
+    ends = lambda n: bytes(rng.choice(b"a\0") for _ in range(n))
+    ctx, seen, want = [], {}, set()
+    for d in range(400):
+        left, right = (b"\0" * 68 + ends(3))[-rng.randrange(0, 69) :], (ends(2) + b"a" * 68)[: rng.randrange(0, 69)]
+        left = b"" if len(left) > 68 else left
+        x = left + core + right
+        if len(x) < 100:
+            continue
+        first = suffix_dedup._places([x], 100)[0]
+        if any(suffix_dedup._places([x[k : k + 100]], 100)[0] + k != first for k in range(len(x) - 99)):
+            continue  # chance gave it another trigger
+        ctx.append((d, 7, x))
+        for k in range(len(x) - 99):
+            w = x[k : k + 100]
+            if w in seen:
+                want |= {(d, p) for p in range(7 + k, 107 + k)}
+            seen.setdefault(w, d)
+    doc, lo, data = (list(c) for c in zip(*ctx, strict=True))
+    got = suffix_dedup.repeated_windows(np.array(doc), np.array(lo), data, 100)
+    assert {(d, p) for d, a, b in zip(*(x.tolist() for x in got), strict=True) for p in range(a, b)} == want and len(ctx) > 50 and want
+
+
 def test_kept_text(docs_of):
     t = "é" * 130 + "end"
     got = {r.doc_id: (r.kept_text, r.lang) for r in suffix_dedup.without_repeats(docs_of([(1, "a"), (2, "ü" * 49 + "b" * 60), (3, "ü" * 49 + "b" * 60 + "!")]), with_text=True, keep=["lang"]).collect()}
