@@ -1,6 +1,6 @@
 """Documents whose sets of word shingles have a Jaccard similarity of 0.75 or more, by T-occurrence search.
 
-1. Each text becomes its set of shingle hashes. Equal sets are one class, named by a hash of the set.
+1. Each text becomes its set of shingle hashes. Equal sets are one class, named by a 128-bit hash of the set, and numbered.
 2. Sketches of fixed size count words and shingles of all texts; from them every shingle has a rank, rare words
    first and widely shared shingles last. Two linked sets share one of their n - ceil(0.75 n) + 1 first shingles.
 3. Those go to inverted lists. The least class of a list is its hub, and all its classes join the hub's group:
@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import math
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,6 @@ SKETCH, SKETCH_BLOCKS = 1 << 19, 8
 CHUNK, BLOCK_BYTES = 2048, 8 << 20
 #: A chunk's shingles, on average over a group: a task holds two chunks' sets.
 CHUNK_SHINGLES = 2 << 20
-#: Shorter lists than this many entries in all are merged by a heap, longer ones by counting.
-HEAPED = 30_000
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -60,9 +59,14 @@ def shingled(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> Iterato
             yield words[:0], words[:0]
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit name for a sorted set of hashes."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray) -> bytes:
+    """A 128-bit name for a sorted set of hashes."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def group_of(numbers: np.ndarray) -> int:
+    """A signed 64-bit name for sorted members; should two groups share one, they are searched together."""
+    return int.from_bytes(hashlib.blake2b(numbers.astype("<i8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -100,8 +104,8 @@ def may_link(sizes: np.ndarray, maps: list[np.ndarray], percent: int = PERCENT)
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-_SUMMARY = "doc_id long, n int, class long, bits binary, block int, counts binary"
-_SUMMARY_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+_SUMMARY = "doc_id long, n int, name binary, bits binary, block int, counts binary"
+_SUMMARY_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("name", pa.binary()), ("bits", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +120,12 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ws.append(w)
                 ss.append(u)
                 n.append(len(u))
-                names.append(class_of(u) if len(u) else 0)
+                names.append(class_of(u) if len(u) else None)
                 maps.append(bitmap(u) if len(u) else None)
             sketch[:SKETCH] += np.bincount(_bucket(np.concatenate(ws)), minlength=SKETCH).astype(np.uint32)
             sketch[SKETCH:] += np.bincount(_bucket(np.concatenate(ss)), minlength=SKETCH).astype(np.uint32)
         none = pa.nulls(len(n))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(names, pa.int64()), pa.array(maps, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SUMMARY_ARROW)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(names, pa.binary()), pa.array(maps, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SUMMARY_ARROW)
     if sketch.any():
         cut = np.split(sketch, SKETCH_BLOCKS)
         rows = [{"block": k, "counts": zlib.compress(x.tobytes(), 1)} for k, x in enumerate(cut)]
@@ -140,14 +144,22 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, class, bits) of every row, and the sketches' logarithms: 2 * SKETCH bytes, whatever the input."""
+    """(doc_id, n, name, bits) of every row, and the sketches' logarithms: 2 * SKETCH bytes, whatever the input."""
     both = stored(mapped(texts(docs), _summarise, _SUMMARY), "shingles")
     rows = mapped(both.where("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block"), _summed, "block int, logs binary").collect()
     logs = np.zeros(2 * SKETCH, np.uint8)
     for r in rows:
         part = np.frombuffer(r.logs, np.uint8)
         logs[r.block * len(part) : (r.block + 1) * len(part)] = part
-    return both.where("block is null").select("doc_id", "n", "class", "bits"), logs
+    return both.where("block is null").select("doc_id", "n", "name", "bits"), logs
+
+
+def classes(by_doc: DataFrame) -> DataFrame:
+    """class (a number), name, n, bits, copies, least (doc_id) and doc_id (some row's) of each class of by_doc."""
+    row = F.struct("doc_id", "n", "bits")
+    one = by_doc.where("n > 0").groupBy("name").agg(F.min_by(row, "doc_id").alias("x"), F.first(row).alias("y"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    one = one.select("name", F.coalesce("x", "y").alias("x"), "least", "copies")
+    return stored(one.select(F.monotonically_increasing_id().alias("class"), "name", "x.doc_id", "x.n", "x.bits", "copies", "least"), "classes")
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -187,26 +199,74 @@ def _first_shingles(batches: Iterator[pa.RecordBatch], logs: np.ndarray) -> Iter
                 names.append(name)
                 sizes.append(p)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes))], ["key", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(names)), sizes)))], ["key", "name"])
 
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, class): with each class that shares its list with another, the list's least class."""
-    key, hub = None, 0
+    """Rows sorted by (key, name): with each class that shares its list with another, the list's least class."""
+    key, hub = None, np.zeros(2, ">u8")
     for batch in batches:
-        k, c = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(k):
+        if not batch.num_rows:
             continue
+        k, c = np.asarray(batch.column(0)), column_bytes(batch.column(1))[0].reshape(-1, 16).view(">u8")
         start = np.concatenate([[k[0] != key], k[1:] != k[:-1]])
         at = np.maximum.accumulate(np.where(start, np.arange(len(k)), -1))
-        hubs = np.where(at >= 0, c[at], hub)
-        other = c != hubs
-        pairs = np.stack([hubs[other], c[other]], 1)
-        own = hubs[other]
-        pairs = np.unique(np.concatenate([pairs, np.stack([own, own], 1)]), axis=0) if len(pairs) else pairs
+        hubs = np.where((at >= 0)[:, None], c[at], hub)
+        other = (c != hubs).any(1)
+        pairs = np.concatenate([hubs[other], c[other]], 1)
+        pairs = np.unique(np.concatenate([pairs, pairs[:, [0, 1, 0, 1]]]), axis=0) if len(pairs) else pairs
         key, hub = k[-1], hubs[-1]
         if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["hub", "class"])
+            data = np.ascontiguousarray(pairs.astype(">u8")).view("S16")
+            yield pa.RecordBatch.from_arrays([_binary(data[:, 0]), _binary(data[:, 1])], ["hub", "name"])
+
+
+def _binary(names: np.ndarray) -> pa.Array:
+    """An Arrow array of names of 16 bytes."""
+    ends = np.arange(0, 16 * len(names) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(names).tobytes())])
+
+
+#: Entries of short lists that are merged by a heap in Python.
+HEAPED = 30_000
+
+
+def merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of at least so many of the ascending lists, and their numbers, by merging them through a heap.
+
+    As in MergeSkip, least - 1 lists at the top of the heap move on together to where the next may still reach the count.
+    Beyond HEAPED entries the same merge is left to numpy's stable sort, which merges ascending runs: a heap in Python
+    takes about a microsecond an entry.
+    """
+    if sum(map(len, lists)) > HEAPED:
+        both = np.sort(np.concatenate(lists), kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        n = np.diff(np.append(at, len(both)))
+        return both[at][n >= least], n[n >= least]
+    lists = [x.tolist() for x in lists if len(x)]
+    heap = [(x[0], k, 0) for k, x in enumerate(lists)]
+    heapq.heapify(heap)
+    found, counts = [], []
+    while len(heap) >= least:
+        top = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            found.append(top)
+            counts.append(len(popped))
+            to = top + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                break
+            to = max(top + 1, heap[0][0])
+        for _, k, at in popped:
+            at = bisect_left(lists[k], to, at)
+            if at < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at], k, at))
+    return np.array(found, np.int64), np.array(counts, np.int64)
 
 
 def divide_skip(lists: list[np.ndarray], least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,24 +278,7 @@ def divide_skip(lists: list[np.ndarray], least: int, size: int) -> tuple[np.ndar
     longest = len(lists[-1])
     n_long = min(least - 1, int(least / (0.0085 * math.log2(longest + 1) + 1)), sum(len(x) > 64 for x in lists))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    if sum(map(len, short)) < HEAPED:
-        found, counts, last, n = [], [], -1, 0
-        for x in heapq.merge(*[s.tolist() for s in short]):
-            if x == last:
-                n += 1
-                continue
-            if n >= least - n_long and n:
-                found.append(last)
-                counts.append(n)
-            last, n = x, 1
-        if n >= least - n_long and n:
-            found.append(last)
-            counts.append(n)
-        found, counts = np.array(found, np.int64), np.array(counts, np.int64)
-    else:
-        all_counts = np.bincount(np.concatenate(short), minlength=size)
-        found = np.flatnonzero(all_counts >= max(1, least - n_long))
-        counts = all_counts[found]
+    found, counts = merged(short, max(1, least - n_long))
     for x in long:
         if not len(found):
             break
@@ -358,7 +401,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             groups.setdefault(int(label[x]), []).append(x)
         for own in groups.values():
             ids = np.sort(names[own])
-            gid = class_of(ids)
+            gid = group_of(ids)
             rows += [(gid, int(x)) for x in ids]
         if len(rows) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
@@ -386,7 +429,7 @@ def _fetch(packs: pa.Table, members: pa.Table) -> pa.Table:
             data = np.frombuffer(x, np.uint8)
             name = class_of(np.unique(next(shingled(data, np.array([0, len(x)])))[0]))
             found[d, name] = len(x).to_bytes(8, "little") + _ZSTD.compress(x, asbytes=True)
-    texts_ = [found[k] for k in zip(members.column("doc_id").to_pylist(), members.column("class").to_pylist(), strict=True)]
+    texts_ = [found[k] for k in zip(members.column("doc_id").to_pylist(), members.column("name").to_pylist(), strict=True)]
     return members.select([f.name for f in _MEMBER_ARROW][:-1]).append_column("text", pa.array(texts_, pa.binary())).cast(_MEMBER_ARROW)
 
 
@@ -433,17 +476,16 @@ def _search(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([none[1], none[1], pa.array(names[got]), pa.array(counts[0, got]), pa.array(counts[1, got])], schema=_FOUND_ARROW)
 
 
-def searched(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray, every: bool = False) -> DataFrame:
+def searched(docs: DataFrame, one: DataFrame, logs: np.ndarray, every: bool = False) -> DataFrame:
     """Rows of _search: every link between classes once; or links enough to connect all that are linked, and counts of all."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(logs)
     n = parts(spark)
     d = texts(docs)
-    lists = mapped(d.select("text"), lambda b: _first_shingles(b, shared.value), "key long, class long")
-    members = mapped(lists.repartition(n, "key").sortWithinPartitions("key", "class"), _hubs, "hub long, class long").distinct()
-    members = stored(members, "members")
-    one = by_doc.where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n", "bits"), "doc_id").alias("x"), F.first(F.struct("doc_id", "n", "bits")).alias("y"), F.count("*").alias("copies")).select("class", F.coalesce("x", "y").alias("x"), "copies")
-    one = one.select("class", "x.doc_id", "x.n", "x.bits", "copies")
+    lists = mapped(d.select("text"), lambda b: _first_shingles(b, shared.value), "key long, name binary")
+    members = mapped(lists.repartition(n, "key").sortWithinPartitions("key", "name"), _hubs, "hub binary, name binary").distinct()
+    members = members.join(one.select("name", "class"), "name").select(F.xxhash64("hub").alias("hub"), "class")  # a hub's name only groups
+    members = stored(members.distinct(), "members")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
     large = stored(members.join(one.select("class", "n"), "class").groupBy("hub").agg(chunks.alias("chunks")).where("chunks > 1"), "chunks")
     dealt = members.join(large, "hub", "left").join(one.select("class", "n", "bits"), "class").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -454,7 +496,7 @@ def searched(docs: DataFrame, by_doc: DataFrame, logs: np.ndarray, every: bool =
     size = d.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // BLOCK_BYTES))))
     of = groups.groupBy("class").agg(F.collect_list("gid").alias("gids"))  # no more than a text's first shingles and chunks
-    wanted = groups.join(of, "class").join(one.select("class", "doc_id", "copies"), "class").withColumn("block", block)
+    wanted = groups.join(of, "class").join(one.select("class", "name", "doc_id", "copies"), "class").withColumn("block", block)
     found = packed(d.withColumn("block", block)).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(by_group(_fetch), _MEMBER)
     return stored(mapped(found.repartition(n, "gid").sortWithinPartitions("gid"), lambda b: _search(b, every), _FOUND), "links")
 
@@ -466,10 +508,10 @@ def links(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     by_doc, logs = summaries(docs)
-    least = by_doc.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    found = searched(docs, by_doc, logs, every=True).select("u", "v")
+    one = classes(by_doc)
+    found = searched(docs, one, logs, every=True).select("u", "v")
     for c in ("u", "v"):
-        found = found.join(least.select(F.col("class").alias(c), F.col("doc_id").alias(f"doc_{c}")), c)
+        found = found.join(one.select(F.col("class").alias(c), F.col("least").alias(f"doc_{c}")), c)
     return found.select("u", "v", "doc_u", "doc_v")
 
 
@@ -482,16 +524,16 @@ def similar(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     by_doc, logs = summaries(docs)
-    found = searched(docs, by_doc, logs)
+    one = classes(by_doc)
+    found = searched(docs, one, logs)
     roots = components(found.where("u is not null").select("u", "v")).withColumnsRenamed({"u": "class"})
     counts = found.where("class is not null").groupBy("class").agg(F.sum("rows").alias("rows"))
-    least = by_doc.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    least = least.join(roots, "class", "left").join(counts, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = one.select("class", "name", "least", "copies").join(roots, "class", "left").join(counts, "class", "left").withColumn("root", F.coalesce("root", "class"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     n_links = F.coalesce("rows", F.lit(0)) + F.col("copies") - 1
-    of_class = least.join(of_root, "root").select("class", n_links.alias("n_links"), "component_id")
+    of_class = least.join(of_root, "root").select("name", "class", n_links.alias("n_links"), "component_id")
     n = F.col("n").cast("long").alias("n_shingles")
-    out = by_doc.where("n > 0").join(of_class, "class").select("doc_id", n, "class", "n_links", "component_id")
+    out = by_doc.where("n > 0").join(of_class, "name").select("doc_id", n, "class", "n_links", "component_id")
     alone = by_doc.where("n = 0").select("doc_id", n, F.lit(None).cast("long").alias("class"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 

@@ -1,10 +1,10 @@
 """SpotSigs: chains of content words that follow common words, as a document's fingerprint. DataFrame functions only.
 
 An anchor is a common word of one of the languages below; a content word right after one starts a chain with
-the next two content words, whatever common words lie between. Lists, tables and other languages have few such
-anchors, so a quarter of all content words, chosen by hash, start a chain wherever they are. A fingerprint is the sorted set of the chains'
-32-bit hashes. Sets are compared by Jaccard similarity; a search keeps them in partitions by set length, of which
-only neighbours can be similar enough, and prunes by prefixes and by the ratio of lengths.
+the next two content words, whatever common words lie between. A text without chains (a list, a table, another language)
+has one at every content word. A fingerprint is the sorted set of the chains' 32-bit hashes. Sets are compared
+by Jaccard similarity; a search keeps them in partitions by set length, of which only neighbours can be similar enough,
+and prunes by prefixes and by the ratio of lengths.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ RANGE_ROWS, MOST_RANGES = 4_000, 1_000
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be but by can did do for from had has have he in is it its not of on or she so that the their there they this to was we were which who will with would you "
-    "au aux avec ce ces dans de des du elle en est et il la le les leur mais ne nous on ou par pas pour qui que sa se son sur un une vous "
-    "aber als am auch auf aus bei das dem den der des die ein eine einem einen er es ist im ich mit nach nicht noch nur oder sich sie sind so um und von vor war wie zu zum zur "
-    "al como con del el era este esta ha las lo los mas no para pero por se su sus y"
+    "au aux avec ce ces dans de des du elle en est et il la le les leur mais ne nous on ou par pas pour qui que sa se son sur un une vous cette ont être été aussi "
+    "aber als am auch auf aus bei das dem den der des die ein eine einem einen er es ist im ich mit nach nicht noch nur oder sich sie sind so um und von vor war wie zu zum zur für über sein wird durch werden bis oder "
+    "al como con del el era este esta ha las lo los mas no para pero por se su sus y una uno sobre también fue son"
 ).split()
 
 
@@ -33,18 +33,18 @@ def words(text: Column) -> Column:
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the sorted set of chain hashes of a text column. Without any chain every content word starts one;
-    without content words the text itself is hashed: a set is never empty."""
+    without content words the text itself is hashed: a set is never empty. Nulls are not expected (see edited_documents)."""
     w, c, s = f"_{out}_w", f"_{out}_c", f"_{out}_s"
     mark = "^"
     df = df.withColumn(w, words(F.col(text)))
     # content words, marked where the word before is an anchor
-    kept = F.transform(F.col(w), lambda x, i: F.when(x.isin(ANCHORS) | (x == ""), F.lit(None)).when(((i > 0) & F.get(F.col(w), i - 1).isin(ANCHORS)) | (F.pmod(F.hash(x), F.lit(4)) == 0), F.concat(F.lit(mark), x)).otherwise(x))
+    kept = F.transform(F.col(w), lambda x, i: F.when(x.isin(ANCHORS) | (x == ""), F.lit(None)).when((i > 0) & F.get(F.col(w), i - 1).isin(ANCHORS), F.concat(F.lit(mark), x)).otherwise(x))
     df = df.withColumn(c, F.filter(kept, lambda x: x.isNotNull()))
     bare = lambda x: F.ltrim(F.coalesce(x, F.lit("")), F.lit(mark))
-    chains = F.transform(F.col(c), lambda x, i: F.when(x.startswith(mark), F.hash(bare(x), bare(F.get(F.col(c), i + 1)), bare(F.get(F.col(c), i + 2)))))
+    chain = lambda x, i: F.hash(bare(x), bare(F.get(F.col(c), i + 1)), bare(F.get(F.col(c), i + 2)))
+    chains = F.transform(F.col(c), lambda x, i: F.when(x.startswith(mark), chain(x, i)))
     df = df.withColumn(s, F.filter(chains, lambda x: x.isNotNull()))
-    every = F.transform(F.col(c), lambda x, i: F.hash(bare(x), bare(F.get(F.col(c), i + 1)), bare(F.get(F.col(c), i + 2))))
-    chosen = F.when(F.size(s) > 0, F.col(s)).when(F.size(c) > 0, every).otherwise(F.array(F.hash(F.col(text))))
+    chosen = F.when(F.size(s) > 0, F.col(s)).when(F.size(c) > 0, F.transform(F.col(c), chain)).otherwise(F.array(F.hash(F.col(text))))
     return df.withColumn(out, F.array_sort(F.array_distinct(chosen))).drop(w, c, s)
 
 
@@ -111,7 +111,8 @@ def search(queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     documents, and both sides' membership (side, doc_id, class).
 
     Similar sets lie in the same or a neighbouring length partition, and share one of their n - ceil(threshold n) + 1
-    first chains (by hash).
+    first chains (by hash). Null texts are empty ones, and alike; equal texts and repeated rows are one class; a text may be
+    of any length; other columns are ignored; an empty table on either side gives no links.
     """
     (qm, q), (dm, d) = classes(queries), classes(docs)
     band = F.floor(F.log("n") / math.log(1 / threshold) + 1e-9).cast("int")
@@ -123,3 +124,12 @@ def search(queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     near = met.join(q, "query_class").join(d, "class").where(F.least("n", "q_n") >= threshold * F.greatest("n", "q_n"))
     links = near.withColumn("likeness", likeness("q_sigs", "sigs")).where(F.col("likeness") >= threshold).select("query_class", "class", "likeness")
     return links, qm.select(F.lit("query").alias("side"), "doc_id", "class").union(dm.select(F.lit("document").alias("side"), "doc_id", "class"))
+
+
+def linked(queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """query_id, doc_id and likeness of search's links, each class by its least doc_id, and the classes' numbers of rows."""
+    links, members = search(queries, docs, threshold)
+    least = members.groupBy("side", "class").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    q = least.where("side = 'query'").select(F.col("class").alias("query_class"), F.col("id").alias("query_id"), F.col("n").alias("queries"))
+    d = least.where("side = 'document'").select("class", F.col("id").alias("doc_id"), F.col("n").alias("documents"))
+    return links.join(q, "query_class").join(d, "class").select("query_id", "doc_id", "likeness", "queries", "documents")
