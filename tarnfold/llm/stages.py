@@ -10,7 +10,7 @@ from .decontam import overlaps
 from .ngram_join import near_duplicates
 from .sp_codec import digests
 from .suffix_dedup import without_repeats
-from .toxicity import learned, rejected, score
+from .toxicity import learned, rejected, score, with_thresholds
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, usable: Column | None = No
     one. Repeated rows, other columns of any names and an empty table come back as they were.
     """
     ship(docs.sparkSession)
-    m = learned(docs, labels, usable)
+    m = with_thresholds(learned(docs, labels, usable), docs, labels, usable)
     return score(docs, m, "__toxic").where(~rejected(m, "__toxic")).drop("__toxic")
 
 

@@ -2,8 +2,9 @@
 
 A word's vector is the sum of three hashed embeddings: of the word, and of its first four and five bytes, so
 that unseen forms of a known stem count. Filters of one to three words run over a text, the largest value of
-each is kept, and a logistic layer scores them. Training and calibration take a bounded sample of labelled
-rows (TRAIN_ROWS of each class, texts up to TRAIN_BYTES); scoring reads every text whole.
+each is kept, and a logistic layer scores them. Training and the score's calibration take a bounded sample of labelled
+rows (TRAIN_ROWS of each class; of a text of more than TRAIN_CHARS characters, EXCERPTS stretches spread over all of it).
+Scoring reads every text whole, and thresholds by language are set from the scores of all labelled rows outside the sample.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, mapped, ship, texts
-from .textnum import LOWER, WORDLIKE, column_bytes, prefix, runs, span_hash, spans
+from .textnum import LOWER, SLICE_BYTES, WORDLIKE, column_bytes, pieces, prefix, runs, span_hash, spans
 
 BUCKETS, DIM, FILTERS, WIDTH = 1 << 17, 8, 8, 3
-#: Rows of each class (negatives twice as many), and the longest text, of the sample that a model is fitted on.
-TRAIN_ROWS, TRAIN_BYTES = 2_000, 20_000
+#: Rows of each class (negatives twice as many) of the sample that a model is fitted on, the characters that it takes of a
+#: text, and in how many stretches it takes them from a longer one.
+TRAIN_ROWS, TRAIN_CHARS, EXCERPTS = 2_000, 20_000, 5
+#: Steps of the scores' histogram.
+STEPS = 1000
 #: One in so many sampled rows calibrates, and is not trained on.
 CALIBRATE = 4
 #: The decision where a language has fewer calibration rows of either class than LEAST.
@@ -66,6 +70,7 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
+    sample: list = field(default_factory=list)  # the ids it has seen
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
         x = self.tables[0, ids[:, 0]] + self.tables[1, ids[:, 1]] + self.tables[2, ids[:, 2]]
@@ -74,11 +79,29 @@ class Model:
             wide[: len(x) - j, j * DIM : (j + 1) * DIM] = x[j:]
         return wide
 
+    def _logits(self, top: np.ndarray) -> np.ndarray:
+        return np.maximum(top + self.bias, 0) @ self.out + self.out_bias
+
     def logits(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if len(bounds) < 2:
             return np.zeros(0)
-        top = np.maximum.reduceat(self.windows(ids) @ self.filters, bounds[:-1], axis=0)
-        return np.maximum(top + self.bias, 0) @ self.out + self.out_bias
+        conv = self.windows(ids) @ self.filters
+        for k in range(1, WIDTH):  # a window starts at a word: after the last one it would reach into the next text
+            conv[bounds[1:] - k] = -np.inf
+        top = np.maximum.reduceat(conv, bounds[:-1], axis=0)
+        return self._logits(np.where(np.isinf(top), np.float32(0), top))
+
+    def long_logits(self, data: np.ndarray) -> np.ndarray:
+        """The same of one long text, a piece at a time: a filter's largest value is that of the pieces', which overlap by a window."""
+        top, kept = np.full(self.filters.shape[1], -np.inf, np.float32), np.zeros((0, 3), np.int32)
+        for a, b in pieces(data, WORDLIKE):
+            ids = np.concatenate([kept, features(data[a:b], np.array([0, b - a]))[0]])
+            ids = ids if b == len(data) else ids[: -(WIDTH - 1)]  # padding is for the end
+            whole = max(0, len(ids) - (WIDTH - 1))
+            if whole:
+                top = np.maximum(top, (self.windows(ids) @ self.filters)[:whole].max(0))
+            kept = ids[whole:]
+        return self._logits(np.where(np.isinf(top), np.float32(0), top)[None])
 
     def scores(self, logits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits.astype(np.float64) + self.shift, -30, 30)))
@@ -127,7 +150,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: flo
             sub = np.concatenate(own)
             wide = m.windows(sub)
             conv = wide @ m.filters
-            best = np.stack([conv[a:b].argmax(0) + a for a, b in zip(at, at[1:], strict=False)])  # (docs, filters)
+            best = np.stack([conv[a : max(a + 1, b - WIDTH + 1)].argmax(0) + a for a, b in zip(at, at[1:], strict=False)])  # (docs, filters)
             top = np.take_along_axis(conv, best, 0) + m.bias
             h = np.maximum(top, 0)
             d = ((1 / (1 + np.exp(-np.clip(h @ m.out + m.out_bias, -30, 30)))) - y[chosen]).astype(np.float32) / len(chosen)
@@ -149,14 +172,11 @@ def fit(rows: list[tuple[str, int]], epochs: int = 6, batch: int = 32, rate: flo
     return m
 
 
-def calibrate(m: Model, rows: list[tuple[str, int, str]]) -> Model:
-    """Fit the score's scale and shift, and each language's threshold, on rows (text, label, language) that fit() has not seen.
-
-    A language's threshold is the middle of the scores between which no row errs, or else the score of fewest errors.
-    """
-    ids, bounds = features_of([t for t, _, _ in rows])
+def calibrate(m: Model, rows: list[tuple[str, int]]) -> Model:
+    """Fit the score's scale and shift on rows (text, label) that fit() has not seen."""
+    ids, bounds = features_of([t for t, _ in rows])
     z = np.concatenate([np.zeros(0), *(m.logits(ids[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i in range(0, len(rows), 256) for j in [min(i + 256, len(rows))])])
-    y = np.array([v for _, v, _ in rows], float)
+    y = np.array([v for _, v in rows], float)
     if 0 < y.sum() < len(y):
         a, b = 1.0, 0.0
         soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
@@ -167,35 +187,65 @@ def calibrate(m: Model, rows: list[tuple[str, int, str]]) -> Model:
             da, db = np.linalg.solve(hess, [(g * z).sum(), g.sum()])
             a, b = max(0.05, a - np.clip(da, -1, 1)), b - np.clip(db, -1, 1)
         m.scale, m.shift = float(a), float(b)
-    s, lang = m.scores(z), np.array([x or "" for _, _, x in rows])
-    for x in np.unique(lang):
-        p, n = np.sort(s[(lang == x) & (y == 1)]), np.sort(s[(lang == x) & (y == 0)])
-        if len(p) < LEAST or len(n) < LEAST:
-            continue
-        cuts = np.unique(np.concatenate([p, n, [THRESHOLD]]))
-        cuts = np.concatenate([cuts, (cuts[1:] + cuts[:-1]) / 2])
-        errors = np.searchsorted(p, cuts, "left") + len(n) - np.searchsorted(n, cuts, "left")
-        best = cuts[errors == errors.min()]
-        m.thresholds[str(x)] = float(best[np.abs(best - np.median(best)).argmin()])
     return m
 
 
+def threshold(toxic: np.ndarray, other: np.ndarray) -> float | None:
+    """The score of fewest errors, from both classes' counts by step of the score (the middle of several); None for too few rows."""
+    if toxic.sum() < LEAST or other.sum() < LEAST:
+        return None
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(other[::-1])[::-1], [0]])
+    best = np.flatnonzero(errors == errors.min())
+    return float(best[np.abs(best - np.median(best)).argmin()] / STEPS)
+
+
+def excerpt(text: Column) -> Column:
+    """A text of up to TRAIN_CHARS characters whole; of a longer one EXCERPTS stretches from its start to its end."""
+    part = TRAIN_CHARS // EXCERPTS
+    cut = [F.substring(text, F.lit(1) + F.floor((F.length(text) - part) * k / (EXCERPTS - 1)).cast("int"), F.lit(part)) for k in range(EXCERPTS)]
+    return F.when(F.length(text) > TRAIN_CHARS, F.concat_ws(" ", *cut)).otherwise(text)
+
+
+def _known(labels: DataFrame, usable: Column | None) -> DataFrame:
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return known if usable is None else known.where(usable)
+
+
 def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = TRAIN_ROWS) -> Model:
-    """A model fitted to docs (doc_id, text, lang) and labels (doc_id, toxic); usable limits the labels that may be seen.
+    """A model fitted to docs (doc_id, text) and labels (doc_id, toxic); usable limits the labels that may be seen.
 
-    Without labels of both classes every score is about the share of positives in the sample.
+    Without labels of both classes every score is about the share of positives in the sample. Labels without a document,
+    or null, are left out; of rows that repeat a doc_id all may be taken; null texts are empty ones.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known if usable is None else known.where(usable)
-    picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n) for v, n in ((1, rows), (0, 2 * rows))]
-    picked = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    got = d.join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= TRAIN_BYTES)  # at most 6 * rows ids
-    order = F.xxhash64("doc_id"), "doc_id", "text"
-    sample = [r for v, n in ((1, rows), (0, 2 * rows)) for r in got.where(F.col("toxic") == v).orderBy(*order).limit(n).select("text", "toxic", "lang").collect()]
+    known = _known(labels, usable).join(docs.select("doc_id"), "doc_id", "left_semi").distinct()
+    order = F.xxhash64("doc_id"), "doc_id"
+    picked = [known.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, rows), (0, 2 * rows))]
+    picked = picked[0].unionByName(picked[1])
+    got = docs.select("doc_id", excerpt(F.coalesce("text", F.lit(""))).alias("text")).join(F.broadcast(picked), "doc_id")  # at most 3 * rows ids
+    sample = [r for v, n in ((1, rows), (0, 2 * rows)) for r in got.where(F.col("toxic") == v).orderBy(*order, "text").limit(n).collect()]
     held = [i for i in range(len(sample)) if i % CALIBRATE == 0]
-    m = fit([(r.text, r.toxic) for i, r in enumerate(sample) if i % CALIBRATE])
-    return calibrate(m, [(sample[i].text, sample[i].toxic, sample[i].lang) for i in held])
+    m = calibrate(fit([(r.text, r.toxic) for i, r in enumerate(sample) if i % CALIBRATE]), [(sample[i].text, sample[i].toxic) for i in held])
+    m.sample = sorted({r.doc_id for r in sample})
+    return m
+
+
+def with_thresholds(m: Model, docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Model:
+    """Set each language's threshold from all labelled rows outside the model's sample, of docs (doc_id, text, lang).
+
+    All rows are scored; what comes together are counts by language, class and step of the score. A language (null
+    counts as one without a name) of fewer than LEAST rows of either class gets none.
+    """
+    spark = docs.sparkSession
+    seen = spark.createDataFrame([(i,) for i in m.sample], "doc_id long")
+    known = _known(labels, usable).join(F.broadcast(seen), "doc_id", "left_anti")  # no more ids than the sample has
+    scored = score(docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), m, "toxic_score").select("doc_id", "lang", F.floor(F.col("toxic_score") * STEPS).cast("int").alias("step"))
+    counts = scored.join(known, "doc_id").groupBy("lang", "toxic", "step").count().collect()
+    by: dict[str, np.ndarray] = {}
+    for r in counts:
+        if r.toxic in (0, 1):
+            by.setdefault(r.lang or "", np.zeros((2, STEPS + 1)))[r.toxic, r.step] += r["count"]
+    m.thresholds = {lang: t for lang, x in by.items() if (t := threshold(x[1], x[0])) is not None}
+    return m
 
 
 def _model(shared) -> Model:
@@ -218,7 +268,8 @@ def score(docs: DataFrame, m: Model, out_col: str = "toxic_score") -> DataFrame:
             data, offsets = column_bytes(batch.column(batch.schema.get_field_index("text")))
             out = np.zeros(batch.num_rows)
             for i, j in runs(offsets):
-                out[i:j] = own.scores(own.logits(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
+                text = data[offsets[i] : offsets[j]]
+                out[i:j] = own.scores(own.long_logits(text) if j == i + 1 and len(text) > 2 * SLICE_BYTES else own.logits(*features(text, offsets[i : j + 1] - offsets[i])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, out_col])
 
     return mapped(docs.select(*[F.col(f"`{c}`") for c in names]), run, f"{schema}, `{out_col}` double", "classifier")
@@ -228,12 +279,16 @@ def rejected(m: Model, score_col: str = "toxic_score", lang_col: str = "lang") -
     """Whether a row's score reaches its language's threshold (THRESHOLD for languages without one, or null)."""
     cut = F.lit(THRESHOLD)
     for x, t in sorted(m.thresholds.items()):
-        cut = F.when(F.col(lang_col) == x, F.lit(t)).otherwise(cut)
+        cut = F.when(F.coalesce(lang_col, F.lit("")) == x, F.lit(t)).otherwise(cut)
     return F.col(score_col) >= cut
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame, fold: int = 1) -> DataFrame:
-    """doc_id, held_out (crc32 of doc_id as text mod 3 is fold; those labels are never seen), score and predicted."""
+    """doc_id, held_out (crc32 of doc_id as text mod 3 is fold; those labels are never seen), score and predicted.
+
+    Null and empty texts are scored as texts without words, a text of any length whole; a null doc_id is not held out;
+    repeated rows are scored once each; other columns are ignored; an empty table gives an empty result.
+    """
     of = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(3))
     m = learned(docs, labels, of("doc_id") != fold)
     return score(texts(docs), m).select("doc_id", F.coalesce(of("doc_id") == fold, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"))

@@ -370,13 +370,13 @@ def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
     from tarnfold.llm import sp_codec, stages
     from tarnfold.llm.decontam import overlaps
-    from tarnfold.llm.toxicity import learned, rejected, score
+    from tarnfold.llm.toxicity import learned, rejected, score, with_thresholds
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     usable = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
-    m = learned(docs, labels, usable)
+    m = with_thresholds(learned(docs, labels, usable), docs, labels, usable)
     left = [(r.doc_id, r.text) for r in score(docs, m, "s").where(~rejected(m, "s")).collect()]
     least = {i: c for i, _, c in component_ids(left)}
     left = sorted((i, t) for i, t in left if least[i] == i)

@@ -325,3 +325,51 @@ def test_thresholds_by_language(spark, docs_of):
     d = toxicity.score(docs_of([(1, "a", "en"), (2, "a", "fr"), (3, "a", None)]), m, "s")
     assert {r.doc_id: r.x for r in d.select("doc_id", toxicity.rejected(m, "s").alias("x")).collect()} == {1: True, 2: False, 3: False}
     assert d.columns[-1] == "s" and d.select(F.col("toxic_score")).first()[0] == 0.1
+
+
+def test_scores_are_those_of_plain_loops(spark, docs_of, odd, monkeypatch):
+    """The forward pass word by word; a long text is scored in pieces."""
+    rng = np.random.default_rng(5)
+    f, d, w = toxicity.FILTERS, toxicity.DIM, toxicity.WIDTH
+    m = toxicity.Model(rng.normal(0, 1, (3, toxicity.BUCKETS, d)).astype(np.float16).astype(np.float32), (rng.normal(0, 1, (w * d, w * f)) * toxicity._mask()).astype(np.float32), rng.normal(0, 1, w * f).astype(np.float32), rng.normal(0, 0.2, w * f).astype(np.float32), -0.3, 0.4, 0.1)
+    m.tables[:, 0] = 0
+    rows = [r for r in odd if r[1] is None or len(r[1]) < 900]
+    got = {r.doc_id: r.s for r in toxicity.score(docs_of(rows), m, "s").collect()}
+
+    def plain(text):
+        ids, _ = toxicity.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        x = [[sum(float(m.tables[k, i[k], e]) for k in range(3)) for e in range(d)] for i in ids.tolist()]
+        total = m.out_bias
+        for c in range(w * f):
+            best = max(sum(float(m.filters[j * d + e, c]) * x[i + j][e] for j in range(c // f + 1) for e in range(d)) for i in range(len(x) - 2)) if len(x) > 2 else 0.0
+            total += max(0.0, best + float(m.bias[c])) * float(m.out[c])
+        return 1 / (1 + np.exp(-(m.scale * total + m.shift)))
+
+    for i, t in rows[::4]:
+        assert abs(got[i] - plain((t or "").encode())) < 1e-3
+    from tarnfold.llm import textnum
+
+    long = np.frombuffer(" ".join(f"w{k % 977}" for k in range(9000)).encode(), np.uint8)
+    whole = m.logits(*toxicity.features(long, np.array([0, len(long)])))
+    real = textnum.pieces
+    monkeypatch.setattr(toxicity, "pieces", lambda data, inside: real(data, inside, 500))
+    assert np.allclose(m.long_logits(long), whole, atol=1e-4) and np.allclose(m.long_logits(long[:4]), m.logits(*toxicity.features(long[:4], np.array([0, 4]))), atol=1e-4)
+
+
+def test_thresholds_come_from_all_labelled_rows(spark, docs_of):
+    words = ["calm", "rude"]
+    rows = [(i, f"{words[i % 2]} w{i % 37} x{i % 11}", "en" if i % 3 else "xx") for i in range(600)] + [(1000, "rude", "rare")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)] + [(1000, 1)], "doc_id long, toxic int")
+    m = toxicity.learned(docs_of(rows), labels, rows=50)
+    assert len(m.sample) == 150 and not m.thresholds
+    toxicity.with_thresholds(m, docs_of(rows), labels)
+    assert set(m.thresholds) == {"en", "xx"} and all(0 < t < 1 for t in m.thresholds.values())
+    assert toxicity.threshold(np.array([0] * 5 + [9]), np.array([30] + [0] * 5)) is None
+    one = toxicity.learned(docs_of(rows), labels.where("toxic = 0"), rows=50)  # labels of one class
+    assert all(r.s < 0.5 for r in toxicity.score(docs_of(rows), one, "s").collect())
+
+
+def test_excerpts_reach_the_end_of_a_text(spark):
+    t = "".join(chr(97 + k % 26) for k in range(100_000)) + "END"
+    got = spark.createDataFrame([(t,), ("short",)], "t string").select(toxicity.excerpt(F.col("t"))).collect()
+    assert got[1][0] == "short" and got[0][0].endswith("END") and got[0][0].startswith(t[:4000]) and len(got[0][0]) == toxicity.TRAIN_CHARS + toxicity.EXCERPTS - 1
