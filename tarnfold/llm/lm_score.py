@@ -15,6 +15,7 @@ each message. A hot word costs one entry a message. Words and pairs are known by
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ TRAIN, DELETED, HELD_OUT = 0, 1, 2
 BUCKETS, STEPS = 40, 32
 _END = np.uint64(0x5DEECE66D1234567)
 #: Most messages that a block or unit sends at a level, and most that a unit merges.
-FAN = 256
+FAN = 1024
 _UNIT_BITS = 28
 
 
@@ -122,10 +123,10 @@ def _messages(sender: int, path: int, at: int, sums: dict[str, tuple], wants: bo
     return pa.Table.from_pylist([x for x, full in zip(rows, filled, strict=True) if full], _SENT_ARROW)
 
 
-def _send(packs: pa.Table, kind_blocks: int, level: Level) -> pa.Table:
-    """A block's different words and pairs, with how often each is in it (training blocks only)."""
+def _send(packs: pa.Table, starts: list[int], level: Level) -> pa.Table:
+    """A block's different words and pairs, with how often each is in it (training blocks only); starts are the kinds' first blocks."""
     block = packs.column("block")[0].as_py()
-    kind = block // kind_blocks
+    kind = bisect_right(starts, block) - 1
     t, pairs, _ = tokens(unpacked(packs.column("pack")).column("text").combine_chunks())
     sums = {}
     for name, h in zip(_NAMES, (t, pairs), strict=True):
@@ -266,12 +267,14 @@ def interpolated_scores(docs: DataFrame, kind: Column, block_bytes: int = BLOCK_
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"))
-    size = d.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n_blocks, n_parts = max(1, -(-size // block_bytes)), max(1, -(-size // (2 * block_bytes)))
-    steps = levels(3 * n_blocks, n_parts, fan)
-    d = d.withColumn("block", F.col("kind").cast("long") * n_blocks + F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    sizes = {r.kind: r.n for r in d.groupBy("kind").agg(F.sum(F.octet_length("text") + 16).alias("n")).collect()}
+    n_blocks = [max(1, -(-sizes.get(k, 0) // block_bytes)) for k in (TRAIN, DELETED, HELD_OUT)]
+    starts = [sum(n_blocks[:k]) for k in range(3)]
+    steps = levels(sum(n_blocks), max(1, -(-sum(sizes.values()) // (2 * block_bytes))), fan)
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col("kind") + 1)
+    d = d.withColumn("block", (pick(starts) + F.pmod(F.xxhash64("doc_id", "text"), pick(n_blocks))).cast("long"))
     packs = packed(d)
-    back = exchanged(packs.groupBy("block").applyInArrow(by_group(lambda x: _send(x, n_blocks, steps[0])), _SENT), steps)
+    back = exchanged(packs.groupBy("block").applyInArrow(by_group(lambda x: _send(x, starts, steps[0])), _SENT), steps)
     sums = back.where("unit is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept")]).first()
     n, v, n_kept, v_kept = sums.n, sums.v, sums.n_kept, sums.v_kept
     back = back.where("unit is not null")
@@ -280,7 +283,7 @@ def interpolated_scores(docs: DataFrame, kind: Column, block_bytes: int = BLOCK_
         return p.groupBy("block").cogroup(b.groupBy("unit")).applyInArrow(by_group(f), schema)
 
     deleted = packed(d.where(F.col("kind") == DELETED))
-    ratios = met(deleted, back.where(F.floor(F.col("unit") / n_blocks) == DELETED), lambda p, b: _ratios(p, b, n_kept, v_kept), "bucket int, step int, n long")
+    ratios = met(deleted, back.where(F.col("unit").between(starts[DELETED], starts[HELD_OUT] - 1)), lambda p, b: _ratios(p, b, n_kept, v_kept), "bucket int, step int, n long")
     weights = expectation_maximisation([tuple(r) for r in ratios.groupBy("bucket", "step").agg(F.sum("n")).collect()])
     id_type = docs.schema["doc_id"].dataType.simpleString()
     out = met(packs, back, lambda p, b: _score(p, b, n, v, weights), f"doc_id {id_type}, kind int, {_SCORED}")
