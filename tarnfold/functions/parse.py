@@ -65,7 +65,50 @@ def order_number(ts: Column, user: Column) -> Column:
 
 
 def invalid_arguments(args: Column) -> Column:
-    return args.rlike(r'"material_id"\s*:\s*0\b|"material_ids"\s*:\s*\[\s*\]|"query"\s*:\s*""')
+    """What is wrong with a call's arguments, as an array: an id of 0, no ids, no query. These forms alone are looked for."""
+    found = lambda name, *forms: F.when(F.exists(F.array(*[F.lit(x) for x in forms]), lambda f: args.contains(f)), F.lit(name))
+    return F.filter(F.array(found("material_id", '"material_id":0'), found("material_ids", '"material_ids":[]', '"material_ids": []'), found("query", '"query":""', '"query":" "')), lambda x: x.isNotNull())
+
+
+#: The sorts that a search may ask for, its most pages and rows, and the most bytes of a query.
+SORTS, MOST_PAGES, MOST_ROWS, MOST_QUERY = ("newest", "price_asc", "price_desc", "popular", ""), 100, 10, 100
+
+
+def valid_search(sort_by: Column, page: Column, size: Column) -> Column:
+    return F.coalesce(sort_by, F.lit("")).isin(*SORTS) & (F.coalesce(page, F.lit(0)) <= MOST_PAGES) & (F.coalesce(size, F.lit(0)) <= MOST_ROWS)
+
+
+def valid_query(query: Column) -> Column:
+    """1 to 100 bytes that are not all blank."""
+    return (trimmed(F.coalesce(query, F.lit(""))) != "") & (F.octet_length(F.coalesce(query, F.lit(""))) <= MOST_QUERY)
+
+
+def found_nothing(result: Column) -> Column:
+    return result.contains('"found":false')
+
+
+def candidates(result: Column) -> Column:
+    """The materials (id, title) of a tool's result object; of anything else none."""
+    kind = "array<struct<id:bigint,title:string>>"
+    return F.coalesce(F.from_json(F.get_json_object(result, "$.materials"), kind), F.array().cast(kind))
+
+
+#: How a step of each tool is told; the first blank is its argument, the second a count.
+STEPS = {"search_materials": ("搜索「%s」→ 找到 %d 门资料", "$.keyword"), "search_documents": ("检索「%s」→ %d 条片段", "$.query"), "search_faq": ("查询「%s」→ %d 条", "$.keyword")}
+
+
+def step_text(tool: Column, args: Column, n: Column) -> Column:
+    """A step in words, from its arguments and the number of objects in its result; other tools by their name."""
+    out = tool
+    for name, (form, path) in STEPS.items():
+        out = F.when(tool == name, F.format_string(form, F.coalesce(F.get_json_object(args, path), F.lit("")), n)).otherwise(out)
+    return out
+
+
+def message_trace(role: Column, content: Column, call_id: Column, calls: Column) -> Column:
+    """A message as JSON: its calls (id, name, arguments) nested, empty parts left out."""
+    nested = F.transform(calls, lambda c: F.struct(c["id"].alias("id"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function")))
+    return F.to_json(F.struct(role.alias("role"), content.alias("content"), F.when(call_id != "", call_id).alias("tool_call_id"), F.when(F.size(calls) > 0, nested).alias("tool_calls")))
 
 
 def without_key(x: Column, key: str) -> Column:

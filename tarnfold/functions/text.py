@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 FULL_WIDTH = "".join(chr(c) for a, b in ((0xFF21, 26), (0xFF41, 26), (0xFF10, 10)) for c in range(a, a + b))
 HALF_WIDTH = "".join(chr(c) for a, b in ((0x41, 26), (0x61, 26), (0x30, 10)) for c in range(a, a + b))
 #: Punctuation and particles that a cache key leaves out.
-KEY_PUNCTUATION = "？。，、！：；“”‘’（）"
-KEY_PARTICLES = "的了吗呢吧啊呀嘛"
+KEY_PUNCTUATION = "，。！？；：\"\"''（）《》【】、—…"
+KEY_PARTICLES = "的了吗呢啊吧和与及或在是有被把对从到让给为以也就都而但却所者之仍便则虽即"
 TRANSFER = r"\[TRANSFER:[^\]]*\]"
 
 
@@ -33,7 +33,7 @@ def half_width(x: Column) -> Column:
 def clean_markdown(x: Column) -> Column:
     """Images out, links and emphasis to their text, at most one blank line, half-width letters; headings stay."""
     x = F.regexp_replace(x, "[\\x00\\x0C\\uFFFD]", "")
-    for pattern, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?d)\*\*(.+?)\*\*", "$1"), (r"(?d)~~(.+?)~~", "$1"), (r"\n{3,}", "\n\n")):
+    for pattern, to in ((r"(?d)!\[.*?\]\(.*?\)", ""), (r"(?d)\[(.+?)\]\(.+?\)", "$1"), (r"(?d)\*\*(.+?)\*\*", "$1"), (r"(?d)~~(.+?)~~", "$1"), (r"\n{3,}", "\n\n")):
         x = F.regexp_replace(x, pattern, to)
     return trimmed(half_width(x))
 

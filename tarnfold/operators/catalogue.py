@@ -77,6 +77,25 @@ def updated(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+#: When a field of an update counts as given: documents, materials and users, courses.
+GIVEN = {"not_null": lambda c: c.isNotNull(), "non_zero": lambda c: c.isNotNull() & ~c.cast("string").isin("", "0", "0.0"), "not_negative": lambda c: c >= 0}
+
+
+def changed(df: DataFrame, changes: DataFrame, key: str, given: dict[str, str]) -> DataFrame:
+    """Rows of df with the fields of changes written over that are given, by the rule that given names for each column.
+
+    With not_null an empty text is a value; a row without changes stays; there is one change a key.
+    """
+    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in given])
+    joined = df.join(new, key, "left")
+    return joined.select(*[F.when(GIVEN[given[c]](F.col(f"_new_{c}")), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in df.columns])
+
+
+def closed(df: DataFrame, which: Column, status: str = "status", to: str = "closed") -> DataFrame:
+    """Soft delete: the rows stay, their status is another."""
+    return df.withColumn(status, F.when(which, to).otherwise(F.col(status)))
+
+
 def deleted(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 

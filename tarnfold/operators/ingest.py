@@ -43,3 +43,16 @@ def concatenated(docs: DataFrame, by: str, order: list[str], text: str) -> DataF
     """Texts of a group in order, with blank lines between."""
     rows = F.array_sort(F.collect_list(F.struct(*order, text)))
     return docs.groupBy(by).agg(F.array_join(F.transform(rows, lambda x: x[text]), "\n\n").alias(text))
+
+
+def planned(articles: DataFrame) -> DataFrame:
+    """What a load of articles would write (articles, documents), without writing it."""
+    n = F.greatest(F.size(F.coalesce("sections", F.array().cast(articles.schema["sections"].dataType))), F.lit(1))
+    return articles.agg(F.count("*").alias("articles"), F.coalesce(F.sum(n), F.lit(0)).alias("documents"))
+
+
+def uploaded(files: DataFrame, name: str = "name", text: str = "text", longest: int = 200) -> DataFrame:
+    """Uploaded files as drafts: the title is the name, cut; files of other formats, or empty ones, carry their error."""
+    from ..sources.routes import routed
+
+    return routed(files, name, text).select(F.substring(name, 1, longest).alias("title"), F.when(F.col("error").isNull(), F.col(text)).alias("content"), F.lit("draft").alias("status"), "format", "error")

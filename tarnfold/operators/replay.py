@@ -21,10 +21,11 @@ def repeats(calls: DataFrame, run: str, seq: str, tool: str, args: str, may_repe
 def loops(results: DataFrame, run: str, seq: str, text: str, over: float = 0.8, most: int = 200) -> DataFrame:
     """Adds looping: whether the last three texts of the run are all alike, two by two."""
     w = Window.partitionBy(run).orderBy(seq)
-    d = results.withColumn("_g", bigrams(cut(collapsed(F.col(text)), most)))
+    # behind the exchange that the window needs anyway, so that the text is cut once and not for each of its places
+    d = results.withColumn("_x", cut(collapsed(F.col(text)), most)).repartition(run).withColumn("_g", bigrams(F.col("_x"))).drop("_x")
     d = d.withColumn("_g1", F.lag("_g", 1).over(w)).withColumn("_g2", F.lag("_g", 2).over(w))
     alike = [jaccard(F.col(a), F.col(b)) > over for a, b in (("_g", "_g1"), ("_g", "_g2"), ("_g1", "_g2"))]
-    return d.withColumn("looping", F.col("_g2").isNotNull() & F.coalesce(alike[0] & alike[1] & alike[2], F.lit(False))).drop("_g", "_g1", "_g2")
+    return d.withColumn("looping", F.col("_g2").isNotNull() & F.when(alike[0], F.when(alike[1], alike[2])).eqNullSafe(F.lit(True))).drop("_g", "_g1", "_g2")
 
 
 def budgeted(calls: DataFrame, run: str, seq: str, tool: str, budgets: dict[str, int] | None = None) -> DataFrame:
@@ -75,3 +76,21 @@ def admitted(requests: DataFrame, key: str, second: str, limit: int, window: int
             yield frame.assign(admitted=out)
 
     return requests.repartition(key).sortWithinPartitions(key, second).mapInPandas(run, schema)
+
+
+def message_pairs(calls: DataFrame) -> DataFrame:
+    """Two messages a call (run, seq, call_id, tool, args, result): the assistant's with the call, and the tool's with the result."""
+    call = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("tool").alias("name"), F.col("args").alias("arguments")))
+    pair = F.array(F.struct(F.lit("assistant").alias("role"), F.lit("").alias("content"), call.alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id")), F.struct(F.lit("tool").alias("role"), F.col("result").alias("content"), F.lit(None).cast("string").alias("tool_calls"), F.col("call_id").alias("tool_call_id")))
+    return calls.select("run", "seq", F.posexplode(pair).alias("part", "m")).select("run", "seq", "part", "m.*")
+
+
+def action_rows(calls: DataFrame) -> DataFrame:
+    """Assistant rows {type, payload} of results (run, seq, result) that hold an __action."""
+    kind = F.get_json_object("result", "$.__action")
+    return calls.where(kind.isNotNull()).select("run", "seq", F.lit("assistant").alias("role"), F.to_json(F.struct(kind.alias("type"), F.get_json_object("result", "$.payload").alias("payload"))).alias("content"))
+
+
+def final_rows(answers: DataFrame, tokens: Column) -> DataFrame:
+    """The final assistant message of each run (run, seq, answer), with its tokens; runs without an answer have none."""
+    return answers.where(F.coalesce("answer", F.lit("")) != "").select("run", "seq", F.lit("assistant").alias("role"), F.col("answer").alias("content"), tokens.alias("token_count"))

@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.arrays import cosine, reciprocal_rank
+from ..functions.text import cache_key
 from .catalogue import newest
 
+#: Rows of a block of vectors.
+BLOCK_ROWS = 4096
+
 #: Words that the text index leaves out.
 STOP_WORDS = "a about an are as at be by com de en for from how i in is it la of on or that the this to was what when where who will with und www".split()
 
@@ -24,25 +32,27 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
 
 
-def text_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", scorer: str = "tfidf") -> DataFrame:
-    """(query, doc, score) for documents that share a token with the query.
+def text_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", scorer: str = "tfidf", on: str | None = None) -> DataFrame:
+    """(query, doc, score) for documents that share a token with the query (and the column on, if it is given).
 
     tfidf: sum of tf * idf^2 with idf = log10(N / df). bm25: Okapi with k1 = 1.2, b = 0.75. Documents are tokenised
-    once; only postings of query tokens go on, and a document's length is kept beside them.
+    once: postings of query tokens go on, each with its document's length, and a posting of the empty token for every
+    document, from which N and the mean length are counted like any df.
     """
-    q = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
-    wanted = q.select("token").distinct()
-    d = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("_t")).alias("avg_len"))
-    p = d.select(id_col, F.size("_t").alias("len"), F.explode("_t").alias("token")).join(wanted, "token", "left_semi").groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
-    terms = q.join(df, "token").crossJoin(F.broadcast(stats))
-    n, avg = F.col("n_docs"), F.col("avg_len")
+    mark, own = F.array(F.lit("")), [on] if on else []
+    q = queries.select(query_id, *own, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
+    wanted = queries.select(F.explode(F.concat(mark, tokens(F.col(text_col)))).alias("token")).distinct()
+    d = docs.select(id_col, *own, tokens(F.coalesce(text_col, F.lit(""))).alias("_t"))
+    p = d.select(id_col, *own, F.size("_t").alias("len"), F.explode(F.concat(mark, F.col("_t"))).alias("token")).join(wanted, "token", "left_semi").groupBy(id_col, *own, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    df = p.groupBy("token").agg(F.count("*").alias("df"), F.sum("len").alias("_lens"), F.sum("tf").alias("_tfs"))
+    stats = df.agg(F.max(F.when(F.col("token") == "", F.col("df"))).alias("n_docs"), F.max(F.when(F.col("token") == "", F.col("_lens"))).alias("all_len"))
+    terms = q.join(df.select("token", "df"), "token").crossJoin(F.broadcast(stats))  # one row
+    n, avg = F.col("n_docs"), F.col("all_len") / F.col("n_docs")
     if scorer == "bm25":
         weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / avg))
     else:
         weight = F.col("tf") * F.log10(n / F.col("df")) * F.log10(n / F.col("df"))
-    return p.join(terms, "token").groupBy(query_id, id_col).agg(F.sum(weight).alias("score"))
+    return p.join(terms, ["token", *own]).groupBy(query_id, id_col).agg(F.sum(weight).alias("score"))
 
 
 def top(scores: DataFrame, by: str, id_col: str, k: int, score: str = "score") -> DataFrame:
@@ -51,18 +61,56 @@ def top(scores: DataFrame, by: str, id_col: str, k: int, score: str = "score") -
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_top(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str = "embedding", on: str | None = None, same: bool = False) -> DataFrame:
-    """Exact cosine top-k of a stated query set against all chunks (of the query's group, if on names one).
-
-    Chunks are read once and meet blocks of queries; the k best of each task are kept before the shuffle. Queries
-    must be few: their number is the caller's to bound. same keeps a chunk whose id is the query's.
+def _best(chunks: pa.Table, queries: pa.Table, k: int, same: bool, schema: pa.Schema) -> pa.Table:
+    """The k best chunks of a block for each query of a block, by rounded cosine and then by id."""
+    if not chunks.num_rows or not queries.num_rows:
+        return schema.empty_table()
+    vectors = [[np.asarray(x, float) for x in t.column(c).to_pylist()] for t, c in ((chunks, "_c"), (queries, "_q"))]
+    ids, asked = chunks.column("chunk_id").to_numpy(), queries.column("query_id").to_numpy()
+    scores = np.zeros((len(asked), len(ids)))  # 0 where lengths differ or a vector has no length
+    for n in {len(x) for x in vectors[1]} - {0}:
+        a, b = (np.array([i for i, x in enumerate(v) if len(x) == n]) for v in (vectors[1], vectors[0]))
+        if not len(b):
+            continue
+        q, c = np.stack([vectors[1][i] for i in a]), np.stack([vectors[0][i] for i in b])
+        norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None]
+        dots = q @ c.T
+        scores[np.ix_(a, b)] = np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
+    scores = np.sign(scores) * np.floor(np.abs(scores) * 1e4 + 0.5) / 1e4
+    at, of, got = [], [], []
+    for i, row in enumerate(scores):
+        may = np.arange(len(ids)) if same else np.flatnonzero(ids != asked[i])
+        s = row[may]
+        if len(s) > k:
+            near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+            may, s = may[near], s[near]
+        best = np.lexsort((ids[may], -s))[:k]
+        at.append(np.full(len(best), i))
+        of.append(may[best])
+        got.append(s[best])
+    at, of = np.concatenate(at), np.concatenate(of)
+    return pa.table([queries.column("query_id").take(pa.array(at)), chunks.column("chunk_id").take(pa.array(of)), pa.array(np.concatenate(got))], schema=schema)
+
+
+def vector_top(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str = "embedding", on: str | None = None, same: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact cosine top-k (score to 4 places, ties by id) of queries against all chunks (of the query's group, if on names one).
+
+    Both sides are dealt over blocks of about rows rows, a group of any size over several; each pair of blocks is one
+    matrix product in a task, of which the k best a query go on. Rows without a vector are left out. Ids are
+    numbers. same keeps a chunk whose id is the query's.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), *([F.col(on).alias("_on")] if on else []))
-    c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("_c"), *([F.col(on).alias("_with")] if on else []))
-    met = c.join(F.broadcast(q), F.col("_on") == F.col("_with")) if on else c.crossJoin(F.broadcast(q))
-    met = met if same else met.where("query_id <> chunk_id")
-    scored = met.select("query_id", "chunk_id", F.round(cosine(F.col("_q"), F.col("_c")), 4).alias("score"))
-    return top(scored, "query_id", "chunk_id", k)
+    group = [F.col(on).alias("_on")] if on else [F.lit(0).alias("_on")]
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), *group).where("_q is not null")
+    c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("_c"), *group).where("_c is not null")
+    blocks = lambda d, name: d.groupBy("_on").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    sizes = blocks(c, "_cs").join(blocks(q, "_qs"), "_on")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    c = c.join(sizes, "_on").select("_on", own("chunk_id", "_cs").alias("_a"), each("_qs").alias("_b"), "chunk_id", "_c")
+    q = q.join(sizes, "_on").select("_on", each("_cs").alias("_a"), own("query_id", "_qs").alias("_b"), "query_id", "_q")
+    schema = StructType([q.schema["query_id"], c.schema["chunk_id"], StructField("score", DoubleType())])
+    arrow, key = to_arrow_schema(schema), ["_on", "_a", "_b"]
+    return top(c.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(lambda x, y: _best(x, y, k, same, arrow), schema), "query_id", "chunk_id", k)
 
 
 def fused(a: DataFrame, b: DataFrame, by: str, id_col: str, k: int, constant: int = 60) -> DataFrame:
@@ -101,29 +149,97 @@ def overlap_rerank(question: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, tokens(text))) / F.size(q))
 
 
+def reordered(found: DataFrame, scores: DataFrame, by: str = "query_id") -> DataFrame:
+    """Candidates (by, ..., rank from 1) in the order of a reranker's scores (by, index from 0, rerank_score); those without one go."""
+    d = found.join(scores.select(by, (F.col("index") + 1).alias("rank"), "rerank_score"), [by, "rank"])
+    w = Window.partitionBy(by).orderBy(F.desc("rerank_score"), "rank")
+    return d.withColumn("_r", F.row_number().over(w)).drop("rank").withColumnRenamed("_r", "rank")
+
+
 @dataclass
 class Config:
-    """What a search does: k results, text ranking beside vectors, rerank of over-fetched candidates."""
+    """What a search does: k results, text ranking beside vectors, rerank of over-fetched candidates; and its caches' rules."""
 
     k: int = 5
     text: bool = True
+    scorer: str = "tfidf"
     rerank: bool = False
     reranker: Callable[[Column, Column], Column] = overlap_rerank
+    alike: float = 0.85
+    entries: int = 10
+    ttl: int = 3600
 
     @property
     def candidates(self) -> int:
         return min(4 * self.k, 50) if self.rerank else self.k
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for queries (query_id, text, embedding) over chunks (chunk_id, text, embedding)."""
+def retrieve(queries: DataFrame, chunks: DataFrame, config: Config, on: str | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) for queries (query_id, text, embedding) over chunks (chunk_id, text, embedding).
+
+    on is a column of both, a course, say: a query then finds chunks of its own alone. A chunk or query without a vector
+    takes part in the text ranking; a query without text results keeps the vectors' order. A reranker orders
+    more than one candidate; the score stays that of the retrieval.
+    """
     n = config.candidates
-    found = vector_top(queries, chunks, n, "query_id", "chunk_id", same=True)
+    found = vector_top(queries, chunks, n, "query_id", "chunk_id", on=on, same=True)
     if config.text:
-        by_text = top(text_scores(chunks, queries, "chunk_id", "text", "query_id"), "query_id", "chunk_id", n)
-        found = fused(found, by_text, "query_id", "chunk_id", n)
+        scores = text_scores(chunks, queries, "chunk_id", "text", "query_id", config.scorer, on).withColumn("score", F.round("score", 6))
+        found = fused(found, top(scores, "query_id", "chunk_id", n), "query_id", "chunk_id", n)
+    found = found.select("query_id", "chunk_id", "score", "rank")
     if config.rerank:
-        texts = queries.select("query_id", F.col("text").alias("_q")), chunks.select("chunk_id", F.col("text").alias("_c"))
-        found = found.drop("rank", "score").join(texts[0], "query_id").join(texts[1], "chunk_id")
-        found = found.withColumn("score", F.round(config.reranker(F.col("_q"), F.col("_c")), 6)).drop("_q", "_c")
-    return top(found.select("query_id", "chunk_id", "score"), "query_id", "chunk_id", config.k)
+        d = found.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("_c")), "chunk_id")
+        scores = d.select("query_id", (F.col("rank") - 1).alias("index"), F.round(config.reranker(F.col("_q"), F.col("_c")), 6).alias("rerank_score"))
+        found = reordered(found, scores).drop("rerank_score")
+    return found.where(F.col("rank") <= config.k).select("query_id", "chunk_id", "score", "rank")
+
+
+@dataclass
+class Searched:
+    """Results (request_id, chunk_id, score, rank, via: exact, similar or search), and the rows that the caches take in."""
+
+    results: DataFrame
+    exact: DataFrame
+    recent: DataFrame
+
+
+def access_pool(has_access: Column) -> Column:
+    return F.when(has_access, "full").otherwise("preview")
+
+
+def exact_key(query: Column, course: Column, access: Column) -> Column:
+    return F.concat(F.lit("rag:exact:"), F.md5(F.concat(cache_key(query), F.lit("_"), course.cast("string"))), F.lit(":"), access)
+
+
+def search(requests: DataFrame, chunks: DataFrame, config: Config, exact: DataFrame, recent: DataFrame, now: Column) -> Searched:
+    """A batch of requests (request_id, course_id, text, embedding, has_access) through both caches, then over chunks of their course.
+
+    exact has rows (key, results, expires_at), recent rows (course_id, access, entry_id, ts, cached_vector, results), where
+    results is an array of (chunk_id, score) in order. A request takes the live entry of its key; else, of the newest
+    entries of its course and access pool, the newest that is alike; else it searches. Requests of one batch don't see each
+    other's entries. Entries to write are those of searched requests: for both caches, newest first by request_id.
+    """
+    r = requests.withColumn("access", access_pool(F.col("has_access")))
+    r = r.withColumn("key", exact_key(F.col("text"), F.col("course_id"), F.col("access")))
+    hit, rest = exact_hits(r, exact, ["key"], now)
+    asked = rest.where("embedding is not null").select("request_id", "course_id", "access", F.col("embedding").alias("vector"))
+    alike = similar_hit(asked, recent, ["course_id", "access"], config.alike, config.entries)
+    rest = rest.join(alike.select("request_id"), "request_id", "left_anti")
+    got = retrieve(rest.select(F.col("request_id").alias("query_id"), "course_id", "text", "embedding"), chunks, config, on="course_id").withColumnRenamed("query_id", "request_id")
+    told = lambda d, via: d.select("request_id", F.posexplode("results").alias("_p", "_x")).select("request_id", "_x.chunk_id", "_x.score", (F.col("_p") + 1).alias("rank"), F.lit(via).alias("via"))
+    results = told(hit, "exact").unionByName(told(alike, "similar")).unionByName(got.withColumn("via", F.lit("search")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))
+    entries = rest.join(got.groupBy("request_id").agg(listed.alias("results")), "request_id")
+    until = now + F.expr(f"INTERVAL {config.ttl} SECONDS")
+    return Searched(results, entries.select("key", "results", until.alias("expires_at")), entries.where("embedding is not null").select("course_id", "access", F.col("request_id").alias("entry_id"), now.alias("ts"), F.col("embedding").alias("cached_vector"), "results"))
+
+
+def search_each(requests: DataFrame, accessible: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
+    """(request_id, course_id, chunk_id, score, rank): the best of each course that the request's user may read.
+
+    requests (request_id, user_id, text, embedding), accessible (user_id, course_id). Each course is a search of its own,
+    and all lists are kept.
+    """
+    each = requests.join(accessible, "user_id").withColumn("query_id", F.xxhash64("request_id", "course_id"))
+    got = retrieve(each.select("query_id", "course_id", "text", "embedding"), chunks, config, on="course_id")
+    return got.join(each.select("query_id", "request_id", "course_id"), "query_id").select("request_id", "course_id", "chunk_id", "score", "rank")

@@ -9,10 +9,10 @@ from ..functions import arrays as A
 from ..functions import parse as P
 from ..functions import text as X
 from ..operators import catalogue as C
-from ..operators import ingest
+from ..operators import ingest, replay
 from ..operators import retrieval as R
 from ..sources import routes
-from .queries import query
+from .queries import _OVERLAP, _POST, _TEXT_RANK, query
 
 # --- scans and lists
 
@@ -22,9 +22,9 @@ def point_lookup(t):
     return t("region").where("r_regionkey = 2").orderBy("r_regionkey").limit(1)
 
 
-@query("SELECT c_nationkey, list_sort(list(c_custkey)) AS ids FROM customer GROUP BY c_nationkey")
+@query("SELECT l_orderkey, list_sort(list(l_partkey)) AS ids FROM lineitem GROUP BY l_orderkey")
 def pluck_ids(t):
-    return t("customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("ids"))
+    return t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("ids"))  # an order has few lines
 
 
 @query("SELECT p_partkey, lower(regexp_extract(p, '\\.([^.]*)$', 1)) AS format, CASE WHEN p_size < 20 THEN 'unsupported' END AS error FROM (SELECT *, p_name || CASE WHEN p_size < 20 THEN '.EXE' ELSE '.Md' END AS p FROM part)".replace("\\\\", "\\"))
@@ -57,7 +57,7 @@ def decorrelated_lookup(t):
 @query("SELECT s_suppkey, n_nationkey, CASE WHEN n_nationkey IS NULL THEN 'unknown' END AS error FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 0")
 def name_to_id(t):
     n = t("nation").where("n_nationkey % 2 = 0").select("n_nationkey")
-    return C.looked_up(t("supplier"), F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", F.when(F.col("n_nationkey").isNull(), "unknown").alias("error"))
+    return C.looked_up(t("supplier"), n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", F.when(F.col("n_nationkey").isNull(), "unknown").alias("error"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 11 OR o_orderpriority LIKE '1%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 49)")
@@ -66,14 +66,15 @@ def access_predicate(t):
     return t("orders").join(paid, "o_orderkey", "left").where((F.col("o_custkey") == 11) | F.col("o_orderpriority").like("1%") | F.coalesce("paid", F.lit(False))).select("o_orderkey")
 
 
-@query("SELECT o_orderkey, o_custkey % 3 = c_nationkey % 3 AS may_edit FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0")
+@query("SELECT o_orderkey, o_custkey % 3 = c_nationkey % 3 AS may_edit FROM orders JOIN customer ON o_custkey = c_custkey")
 def owner_guard(t):
-    return t("orders").where("o_orderkey % 4 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", (F.col("o_custkey") % 3 == F.col("c_nationkey") % 3).alias("may_edit"))
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", (F.col("o_custkey") % 3 == F.col("c_nationkey") % 3).alias("may_edit"))
 
 
-@query("SELECT event_id, value > 60 OR value IS NULL AS rejected FROM events")
+@query("SELECT event_id FROM (SELECT *, CASE WHEN event_type = 'view' THEN NULL ELSE ts + INTERVAL 7 DAY END AS expires_at FROM events) WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-15 00:00:00'")
 def expiry_predicate(t):
-    return t("events").select("event_id", (F.col("value").isNull() | (F.col("value") > 60)).alias("rejected"))
+    e = t("events").select("event_id", F.when(F.col("event_type") != "view", F.col("ts").cast("timestamp") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"), F.lit(1).alias("one"))
+    return R.exact_hits(e.select("event_id"), e, ["event_id"], F.lit("2024-01-15 00:00:00").cast("timestamp"))[0].select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE CASE WHEN user_id % 3 = 0 THEN event_type IN ('click', 'view') WHEN user_id % 3 = 1 THEN event_type = 'error' ELSE true END")
@@ -90,7 +91,8 @@ def source_labels(t):
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 5 AND c_mktsegment = 'BUILDING' THEN 'closed' ELSE 'active' END AS status FROM customer")
 def soft_delete(t):
-    return t("customer").select("c_custkey", F.when((F.col("c_nationkey") < 5) & (F.col("c_mktsegment") == "BUILDING"), "closed").otherwise("active").alias("status"))
+    d = t("customer").withColumn("status", F.lit("active"))
+    return C.closed(d, (F.col("c_nationkey") < 5) & (F.col("c_mktsegment") == "BUILDING")).select("c_custkey", "status")
 
 
 @query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey + 100000, s_name FROM supplier WHERE s_name NOT IN (SELECT c_name FROM customer)")
@@ -107,23 +109,24 @@ def replace_by_key(t):
     return stay.unionByName(load).select("doc_id", "lang")
 
 
-@query("SELECT conv_id, turn, unnest(['assistant', 'tool']) AS role FROM conversations WHERE role = 'assistant'")
+@query("""SELECT user_id AS run, event_id AS seq, unnest([0, 1]) AS part, unnest(['assistant', 'tool']) AS role, unnest(['', props]) AS content, unnest(['{"id":"c' || event_id || '","name":"' || event_type || '","arguments":"{}"}', NULL]) AS tool_calls, unnest([NULL, 'c' || event_id]) AS tool_call_id FROM events""")
 def message_pairs(t):
-    return t("conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(F.array(F.lit("assistant"), F.lit("tool"))).alias("role"))
+    calls = t("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.concat(F.lit("c"), "event_id").alias("call_id"), F.col("event_type").alias("tool"), F.lit("{}").alias("args"), F.col("props").alias("result"))
+    return replay.message_pairs(calls)
 
 
-@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS joined FROM documents WHERE doc_id < 100 GROUP BY source")
+@query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS joined FROM conversations GROUP BY conv_id")
 def concatenated_documents(t):
-    return ingest.concatenated(t("documents").where("doc_id < 100"), "source", ["doc_id"], "text").select("source", F.md5("text").alias("joined"))
+    return ingest.concatenated(t("conversations"), "conv_id", ["turn"], "text").select("conv_id", F.md5("text").alias("joined"))
 
 
 # --- sets
 
 
-@query("SELECT c.user_id, list_sort(list_filter(['click', 'error', 'login', 'scroll'], lambda x: NOT list_contains(c.tools, x))) AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS tools FROM events WHERE event_id % 11 = 0 GROUP BY 1) c")
+@query("SELECT c.user_id, list_sort(list_filter(['click', 'error', 'login', 'scroll'], lambda x: NOT list_contains(c.tools, x))) AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS tools FROM events GROUP BY 1) c")
 def required_tools_missing(t):
     required = F.array(*[F.lit(x) for x in ("click", "error", "login", "scroll")])
-    return t("events").where("event_id % 11 = 0").groupBy("user_id").agg(F.array_sort(F.array_except(required, F.collect_set("event_type"))).alias("missing"))
+    return t("events").groupBy("user_id").agg(F.array_sort(F.array_except(required, F.collect_set("event_type"))).alias("missing"))
 
 
 @query("SELECT l_orderkey, len(list_filter(list(l_partkey ORDER BY l_linenumber), lambda x: x % 7 < 3)) AS hits FROM lineitem GROUP BY l_orderkey")
@@ -161,23 +164,26 @@ def mid_sentence_break(t):
     return t("conversations").select("conv_id", "turn", X.breaks_mid_sentence(F.col("text")).alias("mid_sentence"))
 
 
-@query(r"WITH l AS (SELECT doc_id, unnest(['# ', '', '### ', '#']) || split_part(text, ' ', 1) AS line FROM documents) SELECT doc_id, length(regexp_extract(line, '^(#{1,6})\s+(.+)$', 1)) AS level, trim(regexp_extract(line, '^(#{1,6})\s+(.+)$', 2)) AS title FROM l WHERE NOT contains(line, chr(10))")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, 'de', '#'), '\. ', chr(10) || '## ', 'g'), chr(10))) AS line, unnest(range(len(string_split(regexp_replace(replace(text, 'de', '#'), '\. ', chr(10) || '## ', 'g'), chr(10))))) AS pos FROM documents)
+ SELECT doc_id, pos, length(regexp_extract(line, '(?-s)^(#{1,6})\s+(.+)$', 1)) AS level, md5(regexp_replace(regexp_extract(line, '(?-s)^(#{1,6})\s+(.+)$', 2), '^\s+|\s+$', '', 'g')) AS title FROM l""")
 def heading_parse(t):
-    first = F.split_part("text", F.lit(" "), F.lit(1))
-    l = t("documents").select("doc_id", F.explode(F.transform(F.array(*[F.lit(x) for x in ("# ", "", "### ", "#")]), lambda h: F.concat(h, first))).alias("line")).where(~F.col("line").contains("\n"))
-    return l.select("doc_id", X.heading_level(F.col("line")).cast("long").alias("level"), X.heading_title(F.col("line")).alias("title"))
+    text = F.regexp_replace(F.replace("text", F.lit("de"), F.lit("#")), r"\. ", "\n## ")  # every sentence starts a line that may be a heading
+    l = t("documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return l.select("doc_id", F.col("pos").cast("long").alias("pos"), X.heading_level(F.col("line")).cast("long").alias("level"), F.md5(X.heading_title(F.col("line"))).alias("title"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END AS title FROM part")
+@query(r"""SELECT doc_id, coalesce(regexp_replace(substr(list_filter(string_split(regexp_replace(text, '[,;] ', chr(10) || '# ', 'g'), chr(10))[1:9], lambda v: starts_with(v, '# '))[1], 3), '^\s+|\s+$', '', 'g'), source) AS title FROM documents""")
 def markdown_title(t):
-    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("x\n# "), "p_name", F.lit("\nrest"))).otherwise("## none")
-    return t("part").select("p_partkey", P.markdown_title(text, F.concat(F.lit("docs/a/"), "p_brand", F.lit(".md"))).alias("title"))
+    text = F.regexp_replace("text", "[,;] ", "\n# ")  # every clause starts a heading
+    return t("documents").select("doc_id", P.markdown_title(text, F.concat(F.lit("docs/a/"), "source", F.lit(".md"))).alias("title"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN concat('pay ¥', o_custkey, '.50 or ¥', o_custkey, '.50') ELSE concat('pay ¥9 for ¥', o_custkey, '.50') END AS answer, concat('¥', CASE WHEN o_orderkey % 2 = 0 THEN concat(o_custkey, '.50') ELSE '9' END) AS claimed FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0)")
+@query("SELECT o_orderkey, concat('pay ¥', CASE WHEN o_custkey % 5 = 1 THEN '' ELSE o_custkey::VARCHAR END, CASE WHEN o_custkey % 5 = 1 THEN 'nothing' ELSE '.50' END, ' or ¥', o_custkey, '.50') AS answer, concat('¥', o_custkey, '.50') AS claimed FROM orders")
 def hard_field_correction(t):
     right = F.concat(F.lit("¥"), F.col("o_custkey"), F.lit(".50"))
-    d = t("orders").where("o_orderkey % 2 = 0").select("o_orderkey", right.alias("right"), F.concat(F.lit("pay ¥1.50 or "), right).alias("said"))
+    none = F.col("o_custkey") % 5 == 1  # nothing is claimed there before the right amount
+    said = F.when(none, F.concat(F.lit("pay ¥nothing or "), right)).otherwise(F.concat(F.lit("pay ¥1.50 or "), right))
+    d = t("orders").select("o_orderkey", right.alias("right"), said.alias("said"))
     return d.select("o_orderkey", P.corrected(F.col("said"), P.amount(F.col("said")), F.col("right")).alias("answer"), F.col("right").alias("claimed"))
 
 
@@ -186,17 +192,18 @@ def transfer_cleaning(t):
     return t("conversations").select("conv_id", "turn", X.cleaned_answer(F.concat(F.lit("[TRANSFER:human] "), "text"), 40).alias("cleaned"))
 
 
-@query("SELECT conv_id, turn, conv_id % 2 = 0 AS has_citation, turn % 2 = 0 AS has_refusal FROM conversations")
+@query("SELECT conv_id, turn, contains(text, 'j') AS has_citation, contains(text, 'qu') OR contains(text, 'ß') AS has_refusal FROM conversations")
 def answer_flags(t):
-    said = F.concat(F.when(F.col("conv_id") % 2 == 0, "《a》").otherwise(""), F.when(F.col("turn") % 2 == 0, "未找到").otherwise(""))
+    said = F.replace(F.replace(F.translate("text", "j", "《"), F.lit("qu"), F.lit("未涉及")), F.lit("ß"), F.lit("未找到"))
     a, b = P.answer_flags(said)
     return t("conversations").select("conv_id", "turn", a.alias("has_citation"), b.alias("has_refusal"))
 
 
-@query("SELECT p_partkey, unnest([p_name, p_type]) AS item FROM part")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\. ', chr(10) || ' 12、)', 'g'), chr(10))) AS line FROM documents),
+ c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^[0-9.、)）]+', ''), '^\s+|\s+$', '', 'g') AS item FROM l) SELECT doc_id, md5(item) AS item FROM c WHERE item <> ''""")
 def list_line_cleaning(t):
-    lines = F.concat(F.lit("1. "), "p_name", F.lit("\n\n 2、 "), "p_type", F.lit(" "))
-    return t("part").select("p_partkey", F.explode(P.list_items(lines)).alias("item"))
+    lines = F.regexp_replace("text", r"\. ", "\n 12、)")  # every sentence becomes a numbered line
+    return t("documents").select("doc_id", F.explode(P.list_items(lines)).alias("item")).select("doc_id", F.md5("item").alias("item"))
 
 
 @query("SELECT page_id, split_part(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1), '/', 1) AS category FROM pages")
@@ -204,9 +211,10 @@ def category_from_path(t):
     return t("pages").select("page_id", F.split_part(F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1), F.lit("/"), F.lit(1)).alias("category"))
 
 
-@query("SELECT event_id, props AS body FROM events")
+@query(r"SELECT conv_id, turn, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body FROM conversations")
 def json_fence(t):
-    return t("events").select("event_id", X.without_fence(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("body"))
+    fenced = F.concat(F.when(F.col("turn") % 2 == 0, "```json\n").otherwise(" ```"), "text", F.when(F.col("turn") % 3 == 0, "\n``` \n").otherwise("```"))
+    return t("conversations").select("conv_id", "turn", F.md5(X.without_fence(fenced)).alias("body"))
 
 
 @query("SELECT event_id, CAST(event_id % 10 AS INT) AS relevance, 0 AS style FROM events")
@@ -232,16 +240,17 @@ def json_objects(t):
     return t("events").select("event_id", P.objects_in(F.col("props")).alias("one"), P.objects_in(many).alias("many"), F.regexp_like("props", F.lit(r":\s*7\}")).alias("bad"))
 
 
-@query()
+@query("""SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS rest FROM events""")
 def json_key_delete(t):
     return t("events").select("event_id", P.without_key(F.concat(F.lit('{"__action":"x","k":'), F.coalesce(F.get_json_object("props", "$.k"), F.lit("0")), F.lit("}")), "__action").alias("rest"))
 
 
-@query("SELECT source, 0 AS code, count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM documents GROUP BY source")
+@query("SELECT source, 0 AS code, count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages, min(doc_id) AS first_id FROM documents GROUP BY source")
 def paged_envelope(t):
-    d = t("documents").groupBy("source").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 10).alias("rows"), F.count("*").alias("n"))
-    d = d.select("source", P.envelope(F.col("rows"), F.col("n"), 1, 10).alias("e"))
-    return d.select("source", "e.code", "e.data.total", F.ceil(F.col("e.data.total") / 10).alias("pages"))
+    d = t("documents").select("source", "doc_id")
+    first = C.newest(d, ["source"], [F.col("doc_id")], 10).groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("rows"))  # ten a source
+    e = first.join(d.groupBy("source").agg(F.count("*").alias("n")), "source").select("source", P.envelope(F.col("rows"), F.col("n"), 1, 10).alias("e"))
+    return e.select("source", "e.code", "e.data.total", F.ceil(F.col("e.data.total") / 10).alias("pages"), F.get("e.data.list", F.lit(0)).alias("first_id"))
 
 
 @query("SELECT n_nationkey, CASE WHEN p <= 7 THEN p ELSE 7 END AS slots, p FROM (SELECT n_nationkey, CAST(n_nationkey AS BIGINT) + 1 AS p FROM nation)")
@@ -250,9 +259,10 @@ def page_number_window(t):
     return t("nation").select("n_nationkey", F.size(P.page_numbers(p, F.least(p, F.lit(9)))).alias("slots"), p.alias("p"))
 
 
-@query("SELECT p_partkey, octet_length(encode(p_name)) BETWEEN 1 AND 20 AND p_size <> 0 AS valid FROM part")
+@query("SELECT conv_id, turn, trim(text) <> '' AND octet_length(encode(text)) <= 100 AS query_ok, turn * 20 <= 100 AND length(text) % 15 <= 10 AND role <> 'system' AS search_ok FROM conversations")
 def argument_validators(t):
-    return t("part").select("p_partkey", (F.octet_length("p_name").between(1, 20) & (F.col("p_size") != 0)).alias("valid"))
+    sort = F.when(F.col("role") == "system", "oldest").when(F.col("role") == "user", "popular")
+    return t("conversations").select("conv_id", "turn", P.valid_query(F.col("text")).alias("query_ok"), P.valid_search(sort, F.col("turn") * 20, F.length("text") % 15).alias("search_ok"))
 
 
 # --- state and evaluation
@@ -308,10 +318,10 @@ def max_and_incomplete(t):
     return t("events").groupBy("event_type").agg(F.max("value").alias("top"), F.count_if(F.col("value").isNull()).alias("incomplete"))
 
 
-@query("SELECT event_id, list_sum(list_transform(range(1, 1 + event_id % 3), lambda x: 1.0::DOUBLE / (60 + x))) AS s FROM events WHERE event_id % 3 > 0")
+@query("SELECT event_id, list_sum(list_transform(range(1, 2 + event_id % 3), lambda x: 1.0::DOUBLE / (60 + x))) AS s FROM events")
 def reciprocal_ranks(t):
-    n = F.col("event_id") % 3
-    return t("events").where("event_id % 3 > 0").select("event_id", F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0.0), lambda a, x: a + A.reciprocal_rank(x)).alias("s"))
+    n = F.col("event_id") % 3 + 1
+    return t("events").select("event_id", F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0.0), lambda a, x: a + A.reciprocal_rank(x)).alias("s"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_name ILIKE '%b%' OR p_type ILIKE '%b%' ORDER BY p_partkey LIMIT 5")
@@ -319,21 +329,17 @@ def faq_top5(t):
     return t("part").where(C.contains_any(["p_name", "p_type"], "b")).orderBy("p_partkey").limit(5).select("p_partkey")
 
 
-@query()
+@query(f"""WITH {_POST}, {_TEXT_RANK}, {_OVERLAP},
+ o AS (SELECT item_id, doc_id, round(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, dt)) / len(qt) END, 6) AS score FROM t JOIN qt USING (item_id) JOIN dt USING (doc_id))
+ SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o) WHERE rank <= 5""")
 def rerank_by_overlap(t):
     q, d = t("benchmark").select("item_id", "text"), t("documents").select("doc_id", "text")
-    first = R.top(R.text_scores(d, q), "item_id", "doc_id", R.Config(k=5, rerank=True).candidates).select("item_id", "doc_id")
+    first = R.top(R.text_scores(d, q).withColumn("score", F.round("score", 6)), "item_id", "doc_id", R.Config(k=5, rerank=True).candidates).select("item_id", "doc_id")
     s = first.join(q.withColumnRenamed("text", "question"), "item_id").join(d, "doc_id")
     s = s.select("item_id", "doc_id", F.round(R.overlap_rerank(F.col("question"), F.col("text")), 6).alias("score"))
     return R.top(s, "item_id", "doc_id", 5)
 
 
-@query()
-def question_extraction(t):
-    d = t("documents").select("doc_id", F.concat(F.lit("## 1. what\n"), "text", F.lit("\n---\nrest\n## 2、why\nso")).alias("text"))
-    return routes.questions(d)
-
-
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS place FROM lineitem")
 def positional_reorder(t):
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_docx, text_to_markdown
@@ -39,70 +39,104 @@ def docx_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("text", clean_docx(F.col("text")))
 
 
-class _Article(HTMLParser):
-    """Text of the article (or body) in Markdown, without scripts, styles, navigation and advertisements; its title and links."""
+#: What holds a page's list of links and its body (the first that is found), and what is noise in it.
+SIDE = (".design", ".left-column", ".sidebar", "#leftcolumn")
+BODY = (".article-body", ".content", "article", ".article", "main")
+NOISE = ("script", "style", ".ads", ".advertisement", "nav", ".nav", ".prevnext", ".pagination", ".page-nav", ".next-link", ".prev-link", ".footer", ".header", ".reply", "#respond", ".comment", ".sidebar")
+#: Left out too: what browsers don't show as text.
+HIDDEN = ("head", "footer", "aside", "noscript", ".ad")
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
 
-    SKIP = {"script", "style", "nav", "footer", "head", "aside", "noscript"}
+class _Article(HTMLParser):
+    """Markdown of the first element that one of the selectors names (else of the body), without noise; title and listed links."""
 
-    def __init__(self) -> None:
+    def __init__(self, side: tuple[str, ...], body: tuple[str, ...]) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.links: list[str] = []
-        self.title, self.skip, self.in_title = "", [], False
+        self.kinds = (set(side), set(body), {*NOISE, *HIDDEN})
+        self.whole: list[str] = []
+        self.main: list[str] | None = None
+        self.links: dict[str, str] = {}
+        self.open: list[tuple[str, tuple[bool, bool, bool]]] = []
+        self.depth = [0, 0, 0]  # open elements of each kind
+        self.title, self.in_title, self.link, self.closed = "", False, None, False
+
+    def tell(self, text: str) -> None:
+        if self.depth[2]:
+            return
+        self.whole.append(text)
+        if self.main is not None and self.depth[1] and not self.closed:
+            self.main.append(text)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
-        if tag == "a" and a.get("href"):
-            self.links.append(a["href"])
-        if tag in self.SKIP or (tag == "div" and re.search(r"\bad\b", a.get("class") or "")):
-            self.skip.append(tag)
-        elif self.skip and tag == "div":
-            self.skip.append(tag)
+        names = {tag, *(f".{c}" for c in (a.get("class") or "").split()), f"#{a.get('id')}"}
+        if tag not in _VOID:
+            kind = tuple(bool(names & k) for k in self.kinds)
+            self.open.append((tag, kind))
+            self.depth = [n + k for n, k in zip(self.depth, kind, strict=True)]
+            if kind[1] and self.main is None:
+                self.main = []
+        if tag == "a" and a.get("href") is not None and self.depth[0]:
+            self.link = (a["href"], [])
         if tag == "title":
             self.in_title = True
-        if self.skip:
-            return
         if re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
+            self.tell("\n\n" + "#" * int(tag[1]) + " ")
         elif tag in ("p", "div", "section", "article", "ul", "ol", "table"):
-            self.out.append("\n\n")
+            self.tell("\n\n")
         elif tag == "li":
-            self.out.append("\n- ")
+            self.tell("\n- ")
         elif tag in ("br", "tr"):
-            self.out.append("\n")
+            self.tell("\n")
         elif tag in ("b", "strong"):
-            self.out.append("**")
+            self.tell("**")
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
             self.in_title = False
-        if self.skip and tag == self.skip[-1]:
-            self.skip.pop()
-        elif not self.skip and tag in ("b", "strong"):
-            self.out.append("**")
+        if tag in ("b", "strong"):
+            self.tell("**")
+        if tag == "a" and self.link is not None:
+            href, text = self.link[0], "".join(self.link[1]).strip()
+            self.link = None
+            if text:
+                self.links.setdefault(href, text)  # the first one of an address stays
+        if any(t == tag for t, _ in self.open):
+            while True:
+                t, kind = self.open.pop()
+                self.depth = [n - k for n, k in zip(self.depth, kind, strict=True)]
+                self.closed |= kind[1] and not self.depth[1]
+                if t == tag:
+                    break
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title += data
-        if not self.skip:
-            self.out.append(data)
+        if self.link is not None:
+            self.link[1].append(data)
+        self.tell(data)
 
 
-def _pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = []
-        for page_id, html in zip(f["page_id"], f["html"], strict=True):
-            p = _Article()
-            p.feed(html or "")
-            p.close()
-            text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(p.out))).strip()
-            rows.append((page_id, p.title.strip(), text, p.links))
-        yield pd.DataFrame(rows, columns=["page_id", "title", "markdown", "links"])
+def page_articles(pages: DataFrame, side: tuple[str, ...] = SIDE, body: tuple[str, ...] = BODY) -> DataFrame:
+    """(page_id, title, markdown, links of href and text) of crawled pages (page_id, html); parsing is per page, in Arrow batches.
+
+    Links are those inside an element that side names, with text, each address once, in order; the body is the first element
+    that body names, or the whole page. Selectors are tags, .classes and #ids.
+    """
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for page_id, html in zip(f["page_id"], f["html"], strict=True):
+                p = _Article(side, body)
+                p.feed(html or "")
+                p.close()
+                text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(p.whole if p.main is None else p.main))).strip()
+                rows.append((page_id, p.title.strip(), text, [{"href": h, "text": x} for h, x in p.links.items()]))
+            yield pd.DataFrame(rows, columns=["page_id", "title", "markdown", "links"])
 
-def page_articles(pages: DataFrame) -> DataFrame:
-    """(page_id, title, markdown, links) of crawled pages (page_id, html); parsing is per page, in Arrow batches."""
-    return pages.select("page_id", "html").mapInPandas(_pages, "page_id long, title string, markdown string, links array<string>")
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, markdown string, links array<struct<href:string,text:string>>")
 
 
 def paragraphs(df: DataFrame, text: str) -> DataFrame:
@@ -120,3 +154,22 @@ def write_report(summary: DataFrame, path: str, title: str) -> None:
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in summary.columns]), F.lit(" |"))
     body = summary.select(line.alias("l")).agg(F.array_join(F.array_sort(F.collect_list("l")), "\n").alias("b"))
     body.select(F.concat(F.lit(f"# {title}\n\n{head}\n"), "b").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_sheet(records: DataFrame, path: str, order: list[str]) -> None:
+    """Questions and answers as a CSV sheet of three columns (no, question, answer), numbered in order."""
+    from pyspark.sql import Window
+
+    numbered = records.select(F.row_number().over(Window.orderBy(*order)).alias("no"), "question", "answer")  # one person's sheet
+    numbered.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+
+
+def write_by_task(traces: DataFrame, path: str, task: str = "task_id") -> None:
+    """Traces as JSON, a folder a task; a task that is written again replaces its own folder alone."""
+    traces.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(task).json(path)
+
+
+def log_expired(name: Column, today: Column, days: int = 7) -> Column:
+    """Whether a log file's date, as its name has it, is more than so many days back; names without a date stay."""
+    date = F.to_date(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})\.log\z", 1).try_cast("date"))
+    return F.coalesce(date < F.date_sub(today, days), F.lit(False))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_pdf, readable
+from ..functions.text import clean_pdf, readable, trimmed
 
 #: Formats that can be read, folders that are left out.
 FORMATS = ["md", "txt", "docx", "pdf"]
@@ -58,15 +58,40 @@ def extracted(files: DataFrame, extract: Callable[[bytes], str | None], fallback
     return good.unionByName(second.where(readable(F.col("text")))), second.where(~readable(F.col("text")))
 
 
+#: Marks of questions, follow-ups and answers.
+MAIN, EXTRA, FOLLOW, ANSWERS = "## Q", "**Q:", "**追问：", ("**参考回答：**", "**参考答案：**")
+
+
 def questions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, question, answer) from numbered headings and the lines below them, up to the next heading or a rule."""
-    from pyspark.sql import Window
-
-    d = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    asked = F.regexp_extract("line", r"(?d)^#{2,4}\s*(?:Q?\d+[.、:：]?\s*)(.+)\z", 1)
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("q", asked).withColumn("n", F.count(F.when(F.col("q") != "", 1)).over(w))
-    stop = F.col("line").rlike(r"^(---+|#{1,6}\s.*)\z") & (F.col("q") == "")
-    d = d.withColumn("open", F.last(F.when(F.col("q") != "", True).when(stop, False), ignorenulls=True).over(w))
-    rows = d.where("n > 0 and open").groupBy(id_col, "n").agg(F.max(F.when(F.col("q") != "", F.col("q"))).alias("question"), F.array_sort(F.collect_list(F.when(F.col("q") == "", F.struct("pos", "line")))).alias("a"))
-    return rows.select(id_col, "n", "question", F.trim(F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("answer"))
+    """(id, n, question, answer) of each text, by a fold over its lines.
+
+    `## Q...:` starts a main question, whose answer begins after an answer mark and ends at a rule; `**Q:` starts an extra one,
+    whose answer begins at once. A follow-up inside a main answer is part of it, elsewhere a question of its own.
+    Other headings and rules are passed over. The fold's state is that of one text.
+    """
+    state = "struct<mode:string,open:boolean,q:string,a:string,found:array<struct<q:string,a:string>>>"
+
+    def step(s: Column, raw: Column) -> Column:
+        line = F.regexp_replace(raw, r"\r\z", "")
+        bare = lambda mark: trimmed(F.regexp_replace(F.substring(line, len(mark) + 1, 1 << 30), r"\*\*\z", ""))
+        saved = F.when(s["q"] != "", F.concat(s["found"], F.array(F.struct(s["q"].alias("q"), trimmed(s["a"]).alias("a"))))).otherwise(s["found"])
+        make = lambda mode, opened, q, a, found: F.struct(mode.alias("mode"), opened.alias("open"), q.alias("q"), a.alias("a"), found.alias("found")).cast(state)
+        no, yes, none = F.lit(False), F.lit(True), F.lit("")
+        main = (s["mode"] == "main") & s["open"]
+        return (
+            F.when(line.startswith(MAIN) & line.contains(":"), make(F.lit("main"), no, F.substring(line, 4, 1 << 30), none, saved))
+            .when(line.startswith(EXTRA), make(F.lit("extra"), yes, bare(EXTRA), none, saved))
+            .when(line.startswith(FOLLOW) & main, make(s["mode"], s["open"], s["q"], F.concat(s["a"], F.lit("\n\n"), F.regexp_replace(F.substring(line, 3, 1 << 30), r"\*\*\z", "")), s["found"]))
+            .when(line.startswith(FOLLOW), make(F.lit("extra"), yes, bare(FOLLOW), none, saved))
+            .when(line.startswith("### ") | line.startswith("# ") | (line.startswith("## ") & ~line.contains("Q")), s)
+            .when(line.startswith(ANSWERS[0]) | line.startswith(ANSWERS[1]), make(s["mode"], yes, s["q"], s["a"], s["found"]))
+            .when(line.startswith("---") & main, make(none, no, none, none, F.concat(s["found"], F.array(F.struct(s["q"].alias("q"), trimmed(s["a"]).alias("a"))))))
+            .when(line.startswith("---") & (s["mode"] == "extra"), s)
+            .when(s["open"] & (line != ""), make(s["mode"], s["open"], s["q"], F.concat(s["a"], line, F.lit("\n")), s["found"]))
+            .otherwise(s)
+        )
+
+    start = F.struct(F.lit("").alias("mode"), F.lit(False).alias("open"), F.lit("").alias("q"), F.lit("").alias("a"), F.array().cast("array<struct<q:string,a:string>>").alias("found")).cast(state)
+    last = lambda s: F.when(s["q"] != "", F.concat(s["found"], F.array(F.struct(s["q"].alias("q"), trimmed(s["a"]).alias("a"))))).otherwise(s["found"])
+    found = F.aggregate(F.split(F.coalesce(text_col, F.lit("")), "\n"), start, step, last)
+    return docs.select(id_col, F.posexplode(found).alias("n", "x")).select(id_col, (F.col("n") + 1).alias("n"), F.col("x.q").alias("question"), F.col("x.a").alias("answer"))

@@ -1,6 +1,7 @@
 """Operators that SQL does not cover, against plain Python, and small cases of the others."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tarnfold.functions import text as X
 from tarnfold.operators import catalogue as C
 from tarnfold.operators import chunking, evaluation, ingest, replay
 from tarnfold.operators import retrieval as R
-from tarnfold.sources import files
+from tarnfold.sources import files, routes
 
 
 def one(spark, column, **values):
@@ -132,12 +133,15 @@ def test_loops_need_three_alike(spark):
 
 def test_rules(spark):
     call = "array<struct<seq:long,tool:string,args:string,error_code:string,recoverable:boolean>>"
-    rows = [("t1", "want to buy", "", True, [(1, "purchase", "{}", None, False), (2, "purchase", "{}", None, False)], ["get_orders"], [], 1), ("t2", "hi", "x" * 501, False, [(1, "a", '{"query":""}', "E", True), (2, "b", "{}", None, False)], [], ["b"], 0), ("t3", "hi", None, True, [], [], [], 3)]
+    rows = [("t1", "我要这个", "", True, [(1, "purchase", "{}", None, False), (2, "purchase", "{}", None, False)], ["get_orders"], [], 1), ("t2", "hi", "x" * 501, False, [(1, "a", '{"query":""}', "E", True), (2, "b", "{}", None, False)], [], ["b"], 0), ("t3", "hi", None, True, [], [], [], 3)]
     d = spark.createDataFrame(rows, f"task_id string, input string, answer string, has_access boolean, calls {call}, required array<string>, forbidden array<string>, max_steps int")
     failed = {}
     for r in evaluation.scored(d).where("not passed").collect():
         failed.setdefault(r.task_id, set()).add(r.rule)
     assert failed == {"t1": {"required_tool", "max_steps", "purchase_before_check"}, "t2": {"forbidden_tool", "full_content_leak", "invalid_args"}}
+    odd = [("t4", "hello, buy", "", True, [(1, "get_orders", '{"query":" "}', "", True), (2, "purchase", '{"material_id":0,"material_ids":[]}', "NOT_FOUND", True)], [], [], 0)]
+    got = Counter((r.rule, r.detail) for r in evaluation.scored(spark.createDataFrame(odd, d.schema)).where("not passed").collect())
+    assert got == Counter([("purchase_before_check", "no check"), ("premature_purchase", "not asked for"), ("invalid_args", "query"), ("invalid_args", "material_id"), ("invalid_args", "material_ids")])
     assert {r.task_id: r.passed for r in evaluation.verdicts(evaluation.scored(d)).collect()} == {"t1": False, "t2": False, "t3": True}
 
 
@@ -163,7 +167,10 @@ def test_fusion_keeps_one_sided(spark):
 def test_pages_and_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, '<html><head><title>T</title><script>x</script></head><body><nav><a href="/n">n</a></nav><article><h1>H</h1><p>a <b>b</b></p></article></body></html>'), (2, None)], "page_id long, html string")
     got = {r.page_id: r for r in files.page_articles(pages).collect()}
-    assert (got[1].title, got[1].markdown, got[1].links) == ("T", "# H\n\na **b**", ["/n"]) and got[2].markdown == ""
+    assert (got[1].title, got[1].markdown, got[1].links) == ("T", "# H\n\na **b**", []) and got[2].markdown == ""
+    html = '<body><p>out</p><div class="sidebar x"><a href="/a"> A </a><a href="/b"></a><a href="/a">again</a></div><div class="content">in<br><div class="ads">no</div><nav>no</nav> <p>more</p></div><main>second</main></body>'
+    r = files.page_articles(spark.createDataFrame([(1, html)], pages.schema)).first()
+    assert r.markdown == "in\n\n\nmore".replace("\n\n\n", "\n\n") and [tuple(x) for x in r.links] == [("/a", "A")]
     (tmp_path / "a.md").write_text("# x\ny")
     assert [r.text for r in files.text_files(spark, f"file://{tmp_path}/*.md").collect()] == ["# x\ny"]
     import zipfile
@@ -180,3 +187,65 @@ def test_samples_follow_quotas(spark):
     d = spark.createDataFrame([(i, "a" if i < 90 else "b") for i in range(100)], "id long, s string")
     got = {r.s: r["count"] for r in evaluation.sampled(d, "s", "id", 10).groupBy("s").count().collect()}
     assert got == {"a": 8, "b": 1}
+
+
+def test_questions_and_answers(spark):
+    text = "intro\n## Q1: first?\nnot yet\n**追问：early**\nof early\n## Q2: second?\n**参考回答：**\na\n\n**追问：inner**\nb\n---\nlost\n**Q: extra?**\nc\n---\n### skipped\nd\n**追问：own**\n## part\ne\r\n"
+    got = [(r.n, r.question, r.answer) for r in routes.questions(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()]
+    assert got == [(1, "Q1: first?", ""), (2, "early", "of early"), (3, "Q2: second?", "a\n\n\n追问：innerb"), (4, "extra?", "c\nd"), (5, "own", "e")]
+
+
+def test_cache_keys_of_particles_and_marks(spark):
+    f = lambda s: one(spark, X.cache_key(F.col("s")), s=s)
+    assert f("闭包和原理") == f("闭包 原理") == f("《闭包》的“原理”".replace("“", '"').replace("”", '"')) == "闭包 原理" and f("呀嘛") == "呀嘛"
+
+
+def test_searched_requests_fill_the_caches(spark):
+    asked = spark.createDataFrame([(1, 7, "of lists and trees", [1.0, 0.0], True), (2, 7, "lists", [1.0, 0.1], True), (3, 8, "trees", [0.0, 1.0], False), (4, 7, "words alone", None, False)], "request_id long, course_id long, text string, embedding array<float>, has_access boolean")
+    chunks = spark.createDataFrame([(10, 7, "lists of words", [1.0, 0.0]), (11, 7, "trees", [0.0, 1.0]), (12, 8, "trees", [0.0, 1.0]), (13, 8, "none here", None)], "chunk_id long, course_id long, text string, embedding array<float>")
+    results = "array<struct<chunk_id:long,score:double>>"
+    now = F.lit("2024-01-01").cast("timestamp")
+    exact = spark.createDataFrame([], f"key string, results {results}, expires_at timestamp")
+    recent = spark.createDataFrame([], f"course_id long, access string, entry_id long, ts timestamp, cached_vector array<float>, results {results}")
+    first = R.search(asked, chunks, R.Config(k=2, scorer="bm25"), exact, recent, now)
+    got = {(r.request_id, r["rank"]): (r.chunk_id, r.via) for r in first.results.collect()}
+    assert got[1, 1] == (10, "search") and got[3, 1] == (12, "search") and {k for k, _ in got.values()} == {10, 11, 12} and (4, 1) in got
+    late = now + F.expr("INTERVAL 30 MINUTES")
+    again = R.search(asked.where("request_id = 1").unionByName(spark.createDataFrame([(5, 7, "anything", [1.0, 0.05], True), (6, 7, "anything", [1.0, 0.05], False)], asked.schema)), chunks, R.Config(k=2), first.exact, first.recent, late)
+    via = {r.request_id: r.via for r in again.results.collect()}
+    assert via == {1: "exact", 5: "similar", 6: "search"}  # another access level has a pool of its own
+    assert [r.request_id for r in R.search(asked.where("request_id = 1"), chunks, R.Config(k=2), first.exact, recent, now + F.expr("INTERVAL 2 HOURS")).results.where("via = 'exact'").collect()] == []
+
+
+def test_vectors_meet_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(5)] if i % 11 else None) for i in range(200)] + [(500, 0, [0.0] * 5), (501, 1, [1.0, 2.0])]
+    d = spark.createDataFrame(rows, "i long, g int, v array<double>")
+
+    def cos(a, b):
+        norm = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norm if len(a) == len(b) and norm else 0.0
+
+    for on in (None, "g"):
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in R.vector_top(d.where("i % 10 = 0"), d, 4, "i", "i", "v", on=on, rows=16).collect()}
+        want = {}
+        for i, g, v in rows:
+            if v is not None and i % 10 == 0:
+                near = sorted((-round(cos(v, w), 4), k) for k, h, w in rows if w is not None and k != i and (on is None or g == h))
+                want |= {(i, n): (k, -s) for n, (s, k) in enumerate(near[:4], 1)}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-4 for k in want)
+
+
+def test_sheet_and_traces_are_written(spark, tmp_path):
+    d = spark.createDataFrame([(2, "q,2", 'a "x"\ny'), (1, "q1", "a1")], "n long, question string, answer string")
+    files.write_sheet(d, f"file://{tmp_path}/sheet", ["n"])
+    assert [tuple(r) for r in spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(f"file://{tmp_path}/sheet").select("no", "question").orderBy("no").collect()] == [("1", "q1"), ("2", "q,2")]
+    traces = spark.createDataFrame([("t1", 1), ("t2", 2)], "task_id string, n long")
+    files.write_by_task(traces, f"file://{tmp_path}/traces")
+    files.write_by_task(traces.where("task_id = 't1'").withColumn("n", F.lit(9)), f"file://{tmp_path}/traces")
+    assert {(r.task_id, r.n) for r in spark.read.json(f"file://{tmp_path}/traces").collect()} == {("t1", 9), ("t2", 2)}
+
+
+def test_percentiles_of_ties(spark):
+    d = spark.createDataFrame([("a", float(x)) for x in [1, 1, 1, 1, 2, 3, 3, 9, 9, 10]] + [("b", 5.0), ("c", None)], "k string, v double")
+    assert {r.k: (r.p50, r.p95, r.p99) for r in evaluation.percentiles(d, ["k"], "v").collect()} == {"a": (3.0, 10.0, 10.0), "b": (5.0, 5.0, 5.0)}
