@@ -32,7 +32,7 @@ TRAIN, DELETED, HELD_OUT = 0, 1, 2
 BUCKETS, STEPS = 40, 32
 _END = np.uint64(0x5DEECE66D1234567)
 #: Most messages that a block or unit sends at a level, and most that a unit merges.
-FAN = 1024
+FAN = 8192
 _UNIT_BITS = 28
 
 
