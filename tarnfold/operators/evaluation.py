@@ -139,5 +139,5 @@ def sampled(rows: DataFrame, by: str, id_col: str, n: int, seed: int = 0) -> Dat
     No quota exceeds n, so each task first keeps at most n rows of a stratum (the limit is pushed into the sort), and only these meet.
     """
     q = quotas(rows.groupBy(by).agg(F.count("*").alias("_count")), "_count", n).select(by, "quota")
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col)
+    w = Window.partitionBy(by).orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(id_col))), id_col)
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).join(q, by).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")

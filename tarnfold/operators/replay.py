@@ -49,11 +49,11 @@ def facts(calls: DataFrame, run: str, source: list[str], seq: str) -> DataFrame:
     return calls.withColumn("layer", F.when(F.row_number().over(w) == 1, "fact").otherwise("discarded"))
 
 
-def admitted(requests: DataFrame, key: str, second: str, limit: int, window: int = 60) -> DataFrame:
+def admitted(requests: DataFrame, key: str, second: str, limit: int, window: int = 60, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds admitted to each request, by a sliding log of the seconds in which requests were admitted.
 
     A request is admitted if fewer than limit different seconds of the last window hold admitted ones; rejected
-    requests leave no trace, so the rule is a fold over each key's requests in order. Each key is a
+    requests leave no trace, so the rule is a fold over each key's requests in order (of order within a second). Each key is a
     stream of its own through mapInPandas, over rows sorted by Spark: the state is one window of one key.
     """
     schema = requests.withColumn("admitted", F.lit(True)).schema
@@ -75,7 +75,7 @@ def admitted(requests: DataFrame, key: str, second: str, limit: int, window: int
                 out.append(ok)
             yield frame.assign(admitted=out)
 
-    return requests.repartition(key).sortWithinPartitions(key, second).mapInPandas(run, schema)
+    return requests.repartition(key).sortWithinPartitions(key, second, *order).mapInPandas(run, schema)
 
 
 def message_pairs(calls: DataFrame) -> DataFrame:

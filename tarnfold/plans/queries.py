@@ -373,10 +373,13 @@ def json_path(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+ r AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS second, []::BIGINT[] AS log, false AS admitted FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, n, event_id, second, CASE WHEN len(live) < 3 AND (len(live) = 0 OR live[-1] <> second) THEN list_append(live, second) ELSE live END, len(live) < 3 FROM (SELECT e.*, list_filter(r.log, lambda x: x > e.second - 86400) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+ SELECT event_id, user_id, second, admitted FROM r WHERE n > 0""")
 def rate_limiter(t):
     e = t("events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
-    return replay.admitted(e, "user_id", "second", 3, 86_400)
+    return replay.admitted(e, "user_id", "second", 3, 86_400, ("event_id",))
 
 
 # --- evaluation
@@ -425,7 +428,8 @@ def stratified_quota(t):
     return evaluation.quotas(t("documents").groupBy("source").agg(F.count("*").alias("n")), "n", 100)
 
 
-@query()
+@query("""WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), q AS (SELECT source, 1 + CAST(floor((100 - (SELECT count(*) FROM s)) * n / (SELECT sum(n) FROM s)) AS BIGINT) AS quota FROM s),
+ r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0-' || doc_id), doc_id) AS place FROM documents) SELECT doc_id, source FROM r JOIN q USING (source) WHERE place <= quota""")
 def stratified_sample(t):
     return evaluation.sampled(t("documents").select("doc_id", "source"), "source", "doc_id", 100)
 

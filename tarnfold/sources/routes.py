@@ -36,6 +36,15 @@ def wanted_path(path: Column, kind: Column) -> Column:
     return (kind == "blob") & path.endswith(".md") & ~out & (path.startswith("docs/") | ~path.contains("/"))
 
 
+#: Fixed value: the most bytes of a file that is taken.
+MOST_BYTES = 512 * 1024
+
+
+def wanted_files(listing: DataFrame, path: str = "path", kind: str = "type", content: str = "content") -> DataFrame:
+    """Files of a fetched tree that wanted_path takes, without those that are too large."""
+    return listing.where(wanted_path(F.col(path), F.col(kind)) & (F.octet_length(content) <= MOST_BYTES))
+
+
 def extracted(files: DataFrame, extract: Callable[[bytes], str | None], fallback: Callable[[bytes], str | None] | None = None) -> tuple[DataFrame, DataFrame]:
     """Files (path, content) as clean texts, and those that neither extractor made readable.
 

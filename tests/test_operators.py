@@ -249,3 +249,8 @@ def test_sheet_and_traces_are_written(spark, tmp_path):
 def test_percentiles_of_ties(spark):
     d = spark.createDataFrame([("a", float(x)) for x in [1, 1, 1, 1, 2, 3, 3, 9, 9, 10]] + [("b", 5.0), ("c", None)], "k string, v double")
     assert {r.k: (r.p50, r.p95, r.p99) for r in evaluation.percentiles(d, ["k"], "v").collect()} == {"a": (3.0, 10.0, 10.0), "b": (5.0, 5.0, 5.0)}
+
+
+def test_files_of_a_tree(spark):
+    rows = [("a.md", "blob", "x"), ("docs/b.md", "blob", "y" * (512 * 1024 + 1)), ("docs/c.md", "blob", "z"), ("docs/vendor/d.md", "blob", ""), ("e/f.md", "blob", ""), ("docs", "tree", "")]
+    assert [r.path for r in routes.wanted_files(spark.createDataFrame(rows, "path string, type string, content string")).orderBy("path").collect()] == ["a.md", "docs/c.md"]
