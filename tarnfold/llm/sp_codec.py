@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 
 from .common import kept, mapped, ship, texts
 
-#: Bytes of a worker's cache of segments, counted with what Python adds to them, and of a segment that it takes in.
-CACHED, LONGEST = 64 << 20, 4096
+#: Bytes of each of the two halves of a worker's cache of segments, counted with what Python adds to them, and of a
+#: segment that it keeps beyond its text.
+CACHED, LONGEST = 72 << 20, 4096
 SPACE = "▁".encode()
 _SEGMENT = re.compile(rb" +[^ ]*")
 
@@ -111,18 +112,29 @@ class Codec:
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" if p.type == 3 else p.piece.encode().replace(SPACE, b" ") for p in proto.pieces]
         self.digits, self.blank = [str(i) for i in range(len(proto.pieces))], [self.plain.piece_to_id("▁")]
         self.known: dict[bytes, tuple[str, bytes, bytes, int]] = {}
+        self.old: dict[bytes, tuple[str, bytes, bytes, int]] = {}  # those before; what is met again moves on
         self.size = 0
 
     def forget(self) -> None:
-        """Empty the cache where it is full, or where it has taken in a very long segment."""
+        """Start a new half where one is full; a very long segment goes at once."""
         if self.size > CACHED:
-            self.known.clear()
-            self.size = 0
+            self.old, self.known, self.size = self.known, {}, 0
+            for key in [k for k in self.old if len(k) > LONGEST]:
+                del self.old[key]
 
     def meet(self, keys: list[bytes]) -> None:
         """Put ids, decoded bytes, bytes by piece and count of the segments " " + key into known; white space as blanks."""
         known, digits, surface = self.known, self.digits, self.surface
-        new = [k for k in dict.fromkeys(keys) if k not in known]
+        new = []
+        for key in dict.fromkeys(keys):
+            if key in known:
+                continue
+            had = self.old.get(key)
+            if had is None:
+                new.append(key)
+            else:
+                known[key] = had
+                self.size += 400 + len(key) + len(had[0]) + len(had[1]) + len(had[2])
         for key, ids in zip(new, self.plain.encode([k.decode("utf-8", "replace") for k in new], num_threads=1), strict=True):
             ids = ids or self.blank
             parts = [surface[i] for i in ids]
