@@ -401,16 +401,40 @@ def test_pipeline_against_brute_force(spark):
     assert stages.without_benchmark(docs, bench).columns == docs.columns
 
 
-def test_stages_keep_columns_of_any_name(docs_of, odd, spark):
+def kept_texts(rows, length=100):
+    """What is left of each text in order of doc_id (null ids first), where every doc_id has one text."""
+    seen, out = {}, {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        b, gone = (t or "").encode(), set()
+        for o in range(len(b) - length + 1):
+            if seen.setdefault(b[o : o + length], (i, o)) != (i, o):
+                gone.update(range(o, o + length))
+        out[i] = None if t is None else bytes(x for k, x in enumerate(b) if k not in gone).decode("utf-8", "ignore")
+    return out
+
+
+def test_stages_on_odd_rows(docs_of, odd, spark):
+    """Nulls, empty, long and repeated rows, clashing columns and empty tables: exact rows of every stage."""
     from tarnfold.llm import stages
 
     d = docs_of(odd)
-    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    bench = spark.createDataFrame([(1, "nothing like any of them here at all")], "item_id long, text string")
-    for stage in (lambda x: stages.without_toxic(x, labels), stages.one_of_each, stages.without_repeated_strings, lambda x: stages.without_benchmark(x, bench)):
-        out = stage(d)
-        assert out.schema.simpleString() == d.schema.simpleString()
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")  # of one class: nothing is toxic
+    bench = spark.createDataFrame([(1, "nothing like any of them here at all"), (2, "one two"), (3, None)], "item_id long, text string")
+    alone = {i for i, _, c in component_ids(odd) if i == c}
+    whole = Counter(odd)
+    once = list({i: (i, t) for i, t in odd if i is not None}.values())  # for the removal of repeats: one text a doc_id
+    left = kept_texts(once)
+    cases = [
+        (d, lambda x: stages.without_toxic(x, labels), whole),
+        (d, stages.one_of_each, Counter(x for x in set(odd) if x[0] in alone)),
+        (docs_of(once), stages.without_repeated_strings, Counter((i, left[i]) for i, _ in once)),
+        (d, lambda x: stages.without_benchmark(x, bench), whole),
+    ]
+    for docs, stage, want in cases:
+        out = stage(docs)
+        assert out.schema.simpleString() == docs.schema.simpleString()
         got = out.collect()
-        assert len(got) > 40 and {r.gid for r in got} == {3}
-        assert stage(d.where("false")).count() == 0
+        assert Counter((r.doc_id, r.text) for r in got) == want and {r.gid for r in got} == {3}
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+        assert stage(docs.where("false")).count() == 0
     assert stages.encoded(d).count() == len(odd)

@@ -166,6 +166,29 @@ def test_edited_documents(docs_of, odd):
     assert spotsigs.edited_documents(docs_of([(1, "alone and some words")])).first().near_next == 1
 
 
+def chains_of(text):
+    """SpotSigs by plain loops: the set of chains of a text."""
+    import regex
+
+    w = [x for x in regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split(" ") if x]
+    content = [k for k, x in enumerate(w) if x not in spotsigs.ANCHORS]
+    every = {k: tuple((w[j] if (n := content.index(k)) is not None and (j := content[n + m] if n + m < len(content) else None) is not None else "") for m in range(3)) for k in content}
+    after = {every[k] for k in content if k > 0 and w[k - 1] in spotsigs.ANCHORS}
+    return after or set(every.values()) or {text}
+
+
+def test_likeness_is_that_of_plain_chains(docs_of, odd):
+    rows = sorted({(i, t or "") for i, t in odd if i is not None and len(t or "") < 2000})
+    got = {r.doc_id: r for r in spotsigs.edited_documents(docs_of(rows)).collect()}
+    like = lambda a, b: len(a & b) / len(a | b)
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        own = chains_of(t)
+        assert len(got[i].fingerprint) == 8 * len(own)
+        assert got[i].near_edited == pytest.approx(like(own, chains_of(edited))) and got[i].near_next == pytest.approx(like(own, chains_of(nxt)))
+
+
 def test_next_over_many_ranges(spark, docs_of, monkeypatch):
     monkeypatch.setattr(spotsigs, "RANGE_ROWS", 7)
     ids = random.Random(2).sample(range(10_000), 100)
@@ -186,6 +209,8 @@ def test_spotsigs_search(docs_of):
     side = {(r.side, r.doc_id): r["class"] for r in members.collect()}
     want = {(side["query", a], side["document", b]) for a in range(20) for b in sets if len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
     assert {(r.query_class, r["class"]) for r in links.collect()} == want
+    found = spotsigs.linked(d.where("doc_id < 20"), d).collect()
+    assert {(side["query", r.query_id], side["document", r.doc_id]) for r in found} == want and Counter(r.documents for r in found) == Counter(sum(c == y for (k, _), c in side.items() if k == "document") for _, y in want)
 
 
 # --- licences and decontamination
