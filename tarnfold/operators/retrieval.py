@@ -44,7 +44,9 @@ def text_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
     wanted = queries.select(F.explode(F.concat(mark, tokens(F.col(text_col)))).alias("token")).distinct()
     d = docs.select(id_col, *own, tokens(F.coalesce(text_col, F.lit(""))).alias("_t"))
     p = d.select(id_col, *own, F.size("_t").alias("len"), F.explode(F.concat(mark, F.col("_t"))).alias("token")).join(wanted, "token", "left_semi").groupBy(id_col, *own, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = p.groupBy("token").agg(F.count("*").alias("df"), F.sum("len").alias("_lens"), F.sum("tf").alias("_tfs"))
+    # the same columns of p are used here as below (all sums are positive), so that its exchange is written once
+    lens = F.sum("len") if scorer == "bm25" else F.lit(0)
+    df = p.groupBy("token").agg(F.count("*").alias("df"), lens.alias("_lens"), F.sum("tf").alias("_tfs")).where("_tfs > 0 and _lens >= 0")
     stats = df.agg(F.max(F.when(F.col("token") == "", F.col("df"))).alias("n_docs"), F.max(F.when(F.col("token") == "", F.col("_lens"))).alias("all_len"))
     terms = q.join(df.select("token", "df"), "token").crossJoin(F.broadcast(stats))  # one row
     n, avg = F.col("n_docs"), F.col("all_len") / F.col("n_docs")
