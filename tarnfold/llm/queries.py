@@ -75,6 +75,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import searched
+
+    return searched(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
