@@ -81,6 +81,18 @@ def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched(table(spark, sf_dir, "embeddings"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audited
+
+    return audited(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mined
+
+    return mined(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
@@ -100,9 +112,36 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_i
 SELECT s.doc_id, len(g) AS n_shingles, (SELECT min(reached) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s"""
 
 
+OP12_SQL = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+w AS (SELECT lang, source, i, unnest(t) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS terms, sum(total) AS lang_all FROM k GROUP BY 1),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+s AS (SELECT lang, source, sum(n) AS n_all FROM x GROUP BY 1, 2),
+p AS (SELECT x.lang, x.source, x.term, x.n, 1 + 1000000000::HUGEINT * (x.n + 2) // (s.n_all + 2 * v.terms) AS p, 1 + 1000000000::HUGEINT * (x.total + 2) // (v.lang_all + 2 * v.terms) AS q FROM x JOIN s ON x.lang = s.lang AND x.source = s.source JOIN v ON x.lang = v.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 10"""
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2]))::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank
+      FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same WHERE p.r <= 5 AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")} | {"signature_search": signature_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op9_ngram_join": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op9_ngram_join": OP9_SQL, "op12_divergence": OP12_SQL, "op13_hard_negatives": OP13_SQL}
