@@ -12,10 +12,27 @@ CITATION, REFUSALS = "《", ("未涉及", "未找到")
 
 
 def stripped_markdown(x: Column) -> Column:
-    """Plain text: images out, links to their text, marks deleted everywhere."""
-    x = F.regexp_replace(x, r"!\[[^\]]*\]\([^)]*\)", "")
-    x = F.regexp_replace(x, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return trimmed(F.regexp_replace(x, r"\*\*|__|~~|[`#*>]", ""))
+    """Plain text: images out, links to their text, marks deleted everywhere.
+
+    The first opening mark is paired with the first `](` after it and the first `)` after that, over lines too, and the
+    text is looked at anew from its start; it ends at an opening mark without such a pair. So what a removal joins can
+    be an image or a link itself. Each step takes one `](` away, hence their number bounds the steps.
+    """
+    x = _unpaired(_unpaired(x, "![", keep=False), "[", keep=True)
+    for mark in ("**", "__", "~~", "`", "#", "*", ">"):
+        x = F.replace(x, F.lit(mark), F.lit(""))
+    return trimmed(x)
+
+
+def _unpaired(x: Column, mark: str, keep: bool) -> Column:
+    def step(t: Column, _: Column) -> Column:
+        start = F.instr(t, mark)
+        middle = F.when(start > 0, F.call_function("locate", F.lit("]("), t, start))
+        end = F.when(middle > 0, F.call_function("locate", F.lit(")"), t, middle + 2))
+        inner = F.substring(t, start + len(mark), middle - start - len(mark)) if keep else F.lit("")
+        return F.when(end > 0, F.concat(F.substring(t, F.lit(1), start - 1), inner, F.substring(t, end + 1, F.length(t)))).otherwise(t)
+
+    return F.aggregate(F.array_repeat(F.lit(0), F.size(F.split(x, r"\]\(")) - 1), x, step)
 
 
 def without_heading_marks(x: Column) -> Column:

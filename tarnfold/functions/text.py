@@ -14,16 +14,19 @@ HALF_WIDTH = "".join(chr(c) for a, b in ((0x41, 26), (0x61, 26), (0x30, 10)) for
 #: Punctuation and particles that a cache key leaves out.
 KEY_PUNCTUATION = "，。！？；：\"\"''（）《》【】、—…"
 KEY_PARTICLES = "的了吗呢啊吧和与及或在是有被把对从到让给为以也就都而但却所者之仍便则虽即"
-TRANSFER = r"\[TRANSFER:[^\]]*\]"
+#: Markers of a hand-over to another assistant; other text of that form stays.
+TRANSFER = ("[TRANSFER:qa]", "[TRANSFER:course_recommend]", "[TRANSFER:customer_service]")
+#: White space as Unicode has it: regular expressions' \\s, next line, no-break and ideographic spaces, and all other separators.
+SPACE = "\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
 def trimmed(x: Column) -> Column:
     """Without white space at both ends (F.trim takes blanks alone)."""
-    return F.regexp_replace(x, r"^\s+|\s+\z", "")
+    return F.regexp_replace(x, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def collapsed(x: Column) -> Column:
-    return trimmed(F.regexp_replace(x, r"\s+", " "))
+    return trimmed(F.regexp_replace(x, f"[{SPACE}]+", " "))
 
 
 def half_width(x: Column) -> Column:
@@ -90,7 +93,9 @@ def cut(x: Column, n: int, mark: str = "...") -> Column:
 
 def cleaned_answer(x: Column, n: int) -> Column:
     """Without transfer markers, white space collapsed, cut."""
-    return cut(collapsed(F.regexp_replace(x, TRANSFER, "")), n)
+    for marker in TRANSFER:
+        x = F.replace(x, F.lit(marker), F.lit(""))
+    return cut(collapsed(x), n)
 
 
 def cache_key(x: Column) -> Column:
@@ -98,9 +103,9 @@ def cache_key(x: Column) -> Column:
 
 
 def text_to_markdown(x: Column) -> Column:
-    """Paragraphs at blank lines, trimmed, empty ones dropped; inner line feeds become hard breaks."""
-    parts = F.filter(F.transform(F.split(x, r"\n\s*\n"), trimmed), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\n"), F.lit("  \n"))), "\n\n")
+    """Paragraphs at two line feeds, trimmed, empty ones dropped; inner line feeds become hard breaks."""
+    parts = F.filter(F.transform(F.split(trimmed(x), r"\n\n"), trimmed), lambda p: p != "")
+    return trimmed(F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\n"), F.lit("  \n"))), "\n\n"))
 
 
 def heading_level(line: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parse import without_heading_marks
 from ..functions.text import heading_level, heading_title, trimmed
 
 
@@ -27,12 +28,12 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = Window.partitionBy(id_col).orderBy("pos")
     heads = heads.select(id_col, "section", "level", F.array_join(F.array(*titles), " > ").alias("path"), (F.coalesce(F.lead("level").over(order), F.lit(0)) <= F.col("level")).alias("leaf"))
     body = d.where("section > 0 and level = 0").groupBy(id_col, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return heads.join(body, [id_col, "section"], "left").withColumn("body", trimmed(F.coalesce("body", F.lit(""))))
+    return heads.join(body, [id_col, "section"], "left").withColumn("body", without_heading_marks(F.coalesce("body", F.lit(""))))
 
 
 def packed_paragraphs(body: Column, most: int) -> Column:
-    """Paragraphs joined while a chunk, with its trailing blank line, stays under most; a longer one is kept whole."""
-    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), trimmed), lambda p: p != "")
+    """Paragraphs, parted by two line feeds, joined while a chunk, with its trailing blank line, stays under most; a longer one is kept whole."""
+    paragraphs = F.filter(F.transform(F.split(body, r"\n\n"), trimmed), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
     close = lambda a: F.when(trimmed(a["buf"]) != "", F.concat(a["done"], F.array(trimmed(a["buf"])))).otherwise(a["done"])
     step = lambda a, p: F.when((a["buf"] == "") | (F.length(a["buf"]) + F.length(p) < most), F.struct(a["done"].alias("done"), F.concat(a["buf"], p, F.lit("\n\n")).alias("buf"))).otherwise(F.struct(close(a).alias("done"), F.concat(p, F.lit("\n\n")).alias("buf")))
@@ -53,13 +54,14 @@ def merged_short(chunks: Column, least: int) -> Column:
 
 
 def structural_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 300, most: int = 800) -> DataFrame:
-    """(id, chunk_index, path, text) from leaf sections; a document without headings falls back to its paragraphs."""
+    """(id, chunk_index, path, text) from leaf sections, of which those longer than most are packed by paragraphs, and short chunks merged.
+
+    A document without headings falls back to its paragraphs, packed but not merged.
+    """
     found = sections(docs, id_col, text_col).where(F.col("leaf") & (F.col("body") != ""))
-    pieces = found.select(id_col, "section", "path", F.posexplode(packed_paragraphs(F.col("body"), most)).alias("part", "piece"))
-    headed = docs.select(id_col, text_col).where(F.coalesce(text_col, F.lit("")).rlike(r"(?md)^#{1,6}\s+.+$")).select(id_col)
-    plain = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).join(headed, id_col, "left_anti")
-    plain = plain.select(id_col, F.lit(0).cast("long").alias("section"), F.lit("").alias("path"), F.posexplode(packed_paragraphs(F.col("_t"), most)).alias("part", "piece"))
-    rows = pieces.select(id_col, F.col("section").cast("long").alias("section"), "path", "part", "piece").unionByName(plain)
-    ordered = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("section", "part", "path", F.col("piece").alias("text")))).alias("_c"))
+    pieces = found.select(id_col, "section", "path", F.posexplode(F.when(F.length("body") > most, packed_paragraphs(F.col("body"), most)).otherwise(F.array("body"))).alias("part", "piece"))
+    plain = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).where(~F.exists(F.split("_t", "\n"), lambda line: heading_level(line) > 0))
+    plain = plain.select(id_col, F.posexplode(packed_paragraphs(F.col("_t"), most)).alias("chunk_index", "text")).withColumn("path", F.lit(""))
+    ordered = pieces.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("section", "part", "path", F.col("piece").alias("text")))).alias("_c"))
     merged = ordered.select(id_col, merged_short(F.transform("_c", lambda c: F.struct(c["path"].alias("path"), c["text"].alias("text"))), least).alias("_m"))
-    return merged.select(id_col, F.posexplode("_m").alias("chunk_index", "_x")).select(id_col, "chunk_index", "_x.path", "_x.text")
+    return merged.select(id_col, F.posexplode("_m").alias("chunk_index", "_x")).select(id_col, "chunk_index", "_x.path", "_x.text").unionByName(plain)

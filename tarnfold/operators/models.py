@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, FloatType
 from ..functions.arrays import hit_at, precision_at, recall_at
 from ..functions.parse import named_score
 from ..functions.text import without_fence
+from ..shipping import ship
 from .catalogue import lacking, remembered
 from .evaluation import percentiles
 from .retrieval import Config, retrieve
@@ -39,6 +40,7 @@ def hashed_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
 
 def embedded(docs: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 64) -> tuple[DataFrame, DataFrame]:
     """docs with an embedding each, and the cache (key, embedding) with the new entries: equal texts are embedded once, known ones not at all."""
+    ship(docs.sparkSession)
     keyed = docs.withColumn("key", F.md5(text))
     new = lacking(keyed.select("key", F.col(text).alias("_t")).dropDuplicates(["key"]), cache, "key")
 

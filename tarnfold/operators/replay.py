@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, collapsed, cut, jaccard
+from ..shipping import ship
 
 #: Calls a run may make of each tool.
 BUDGETS = {"purchase": 3, "search_documents": 10, "search_materials": 5, "get_material_detail": 10, "my_materials": 5, "get_orders": 5, "search_faq": 5}
@@ -56,6 +57,7 @@ def admitted(requests: DataFrame, key: str, second: str, limit: int, window: int
     requests leave no trace, so the rule is a fold over each key's requests in order (of order within a second). Each key is a
     stream of its own through mapInPandas, over rows sorted by Spark: the state is one window of one key.
     """
+    ship(requests.sparkSession)
     schema = requests.withColumn("admitted", F.lit(True)).schema
 
     def run(frames):

@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.arrays import cosine, reciprocal_rank
 from ..functions.text import cache_key
+from ..shipping import ship
 from .catalogue import newest
 
 #: Rows of a block of vectors.
@@ -102,6 +103,7 @@ def vector_top(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chu
     numbers. same keeps a chunk whose id is the query's.
     """
     group = [F.col(on).alias("_on")] if on else [F.lit(0).alias("_on")]
+    ship(queries.sparkSession)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), *group).where("_q is not null")
     c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("_c"), *group).where("_c is not null")
     blocks = lambda d, name: d.groupBy("_on").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
@@ -116,11 +118,16 @@ def vector_top(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chu
 
 
 def fused(a: DataFrame, b: DataFrame, by: str, id_col: str, k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two rankings (by, id, rank); a query without a second ranking keeps the first."""
-    a, b = a.select(by, id_col, F.col("rank").alias("rank_a")), b.select(by, id_col, F.col("rank").alias("rank_b"))
-    both = a.join(b, [by, id_col], "full")
-    both = both.withColumn("score", F.round(reciprocal_rank(F.col("rank_a"), constant) + reciprocal_rank(F.col("rank_b"), constant), 8))
-    return top(both, by, id_col, k)
+    """Reciprocal rank fusion of vector and text rankings (by, id, score, rank): vector_score, text_score, rrf_score, score and rank.
+
+    The score is the fused one; a query without any text result keeps its vectors' scores and order.
+    """
+    a, b = a.select(by, id_col, F.col("score").alias("vector_score"), F.col("rank").alias("rank_a")), b.select(by, id_col, F.col("score").alias("text_score"), F.col("rank").alias("rank_b"))
+    both = a.join(b, [by, id_col], "full").withColumn("_said", F.max(F.col("rank_b").isNotNull()).over(Window.partitionBy(by)))
+    both = both.withColumn("rrf_score", F.when(F.col("_said"), F.round(reciprocal_rank(F.col("rank_a"), constant) + reciprocal_rank(F.col("rank_b"), constant), 8)))
+    both = both.withColumn("score", F.coalesce("rrf_score", "vector_score")).withColumn("_order", F.when(~F.col("_said"), F.col("rank_a")))
+    w = Window.partitionBy(by).orderBy(F.desc("score"), "_order", id_col)
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_said", "_order", "rank_a", "rank_b")
 
 
 def label(score: Column) -> Column:
@@ -177,23 +184,33 @@ class Config:
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, config: Config, on: str | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for queries (query_id, text, embedding) over chunks (chunk_id, text, embedding).
+    """(query_id, chunk_id, score, rank, vector_score, text_score, rrf_score, rerank_score) for queries (query_id, text, embedding) over chunks (chunk_id, text, embedding).
 
     on is a column of both, a course, say: a query then finds chunks of its own alone. A chunk or query without a vector
-    takes part in the text ranking; a query without text results keeps the vectors' order. A reranker orders
-    more than one candidate; the score stays that of the retrieval.
+    takes part in the text ranking; a query without text results keeps the vectors' scores and order. A reranker orders
+    more than one candidate; the score stays that of the retrieval. What a search didn't ask for, or a chunk doesn't have, is null.
     """
     n = config.candidates
     found = vector_top(queries, chunks, n, "query_id", "chunk_id", on=on, same=True)
+    parts = ["vector_score", "text_score", "rrf_score"]
     if config.text:
         scores = text_scores(chunks, queries, "chunk_id", "text", "query_id", config.scorer, on).withColumn("score", F.round("score", 6))
         found = fused(found, top(scores, "query_id", "chunk_id", n), "query_id", "chunk_id", n)
-    found = found.select("query_id", "chunk_id", "score", "rank")
+    else:
+        found = found.withColumns({"vector_score": F.col("score"), "text_score": F.lit(None).cast("double"), "rrf_score": F.lit(None).cast("double")})
+    found = found.select("query_id", "chunk_id", "score", "rank", *parts)
     if config.rerank:
         d = found.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("_c")), "chunk_id")
         scores = d.select("query_id", (F.col("rank") - 1).alias("index"), F.round(config.reranker(F.col("_q"), F.col("_c")), 6).alias("rerank_score"))
-        found = reordered(found, scores).drop("rerank_score")
-    return found.where(F.col("rank") <= config.k).select("query_id", "chunk_id", "score", "rank")
+        found = reordered(found, scores)
+    else:
+        found = found.withColumn("rerank_score", F.lit(None).cast("double"))
+    return found.where(F.col("rank") <= config.k).select("query_id", "chunk_id", "score", "rank", *parts, "rerank_score")
+
+
+def confidence(rerank_score: str = "rerank_score", vector_score: str = "vector_score") -> Column:
+    """The label of a result by what is comparable between queries: its reranker's score, else its cosine."""
+    return label(F.coalesce(F.col(rerank_score), F.col(vector_score), F.lit(0.0)))
 
 
 @dataclass
@@ -227,7 +244,7 @@ def search(requests: DataFrame, chunks: DataFrame, config: Config, exact: DataFr
     asked = rest.where("embedding is not null").select("request_id", "course_id", "access", F.col("embedding").alias("vector"))
     alike = similar_hit(asked, recent, ["course_id", "access"], config.alike, config.entries)
     rest = rest.join(alike.select("request_id"), "request_id", "left_anti")
-    got = retrieve(rest.select(F.col("request_id").alias("query_id"), "course_id", "text", "embedding"), chunks, config, on="course_id").withColumnRenamed("query_id", "request_id")
+    got = retrieve(rest.select(F.col("request_id").alias("query_id"), "course_id", "text", "embedding"), chunks, config, on="course_id").select(F.col("query_id").alias("request_id"), "chunk_id", "score", "rank")
     told = lambda d, via: d.select("request_id", F.posexplode("results").alias("_p", "_x")).select("request_id", "_x.chunk_id", "_x.score", (F.col("_p") + 1).alias("rank"), F.lit(via).alias("via"))
     results = told(hit, "exact").unionByName(told(alike, "similar")).unionByName(got.withColumn("via", F.lit("search")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))

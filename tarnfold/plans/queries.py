@@ -294,7 +294,7 @@ _RANKED = "a AS (SELECT l_orderkey AS q, l_partkey AS c, row_number() OVER (PART
  SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 3""")
 def rrf_fusion(t):
     d = t("lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("chunk_id")).agg(F.max("l_quantity").alias("x"), F.max("l_discount").alias("y"))
-    a, b = R.top(d, "query_id", "chunk_id", 3, "x"), R.top(d, "query_id", "chunk_id", 3, "y")
+    a, b = (R.top(d.withColumn("score", F.col(c)), "query_id", "chunk_id", 3) for c in "xy")
     return R.fused(a, b, "query_id", "chunk_id", 3).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -468,14 +468,14 @@ _OVERLAP = f"""qt AS (SELECT item_id, list_distinct({_TOK.format('text')}) AS qt
 
 @query(f"""WITH {_POST}, {_TEXT_RANK}, {_OVERLAP},
  v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT i.item_id, b.vec_id AS doc_id, round({_COS}, 4) AS score FROM benchmark i JOIN embeddings a ON i.item_id = a.vec_id, embeddings b WHERE b.vec_id IN (SELECT doc_id FROM documents))) WHERE rank <= 20),
- u AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT coalesce(v.item_id, t.item_id) AS item_id, coalesce(v.doc_id, t.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0), 8) AS score FROM v FULL JOIN t ON v.item_id = t.item_id AND v.doc_id = t.doc_id)),
- o AS (SELECT item_id AS query_id, doc_id AS chunk_id, score, rank AS place, round(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, dt)) / len(qt) END, 6) AS share FROM u JOIN qt USING (item_id) JOIN dt USING (doc_id) WHERE rank <= 20)
- SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, place) AS rank FROM o) WHERE rank <= 5""")
+ u AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT coalesce(v.item_id, t.item_id) AS item_id, coalesce(v.doc_id, t.doc_id) AS doc_id, v.score AS vector_score, t.score AS text_score, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0), 8) AS score FROM v FULL JOIN t ON v.item_id = t.item_id AND v.doc_id = t.doc_id)),
+ o AS (SELECT item_id AS query_id, doc_id AS chunk_id, score, vector_score, text_score, rank AS place, round(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, dt)) / len(qt) END, 6) AS share FROM u JOIN qt USING (item_id) JOIN dt USING (doc_id) WHERE rank <= 20)
+ SELECT query_id, chunk_id, score, rank, vector_score, text_score, score AS rrf_score, share AS rerank_score, CASE WHEN share >= 0.7 THEN '高' WHEN share >= 0.4 THEN '中' ELSE '低' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, place) AS rank FROM o) WHERE rank <= 5""")
 def retrieve_full(t):
     e = t("embeddings").select(F.col("vec_id"), "embedding")
     chunks = t("documents").select(F.col("doc_id").alias("chunk_id"), "text").join(e.withColumnRenamed("vec_id", "chunk_id"), "chunk_id", "left")
     asked = t("benchmark").select(F.col("item_id").alias("query_id"), "text").join(e.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
-    return R.retrieve(asked, chunks, R.Config(k=5, text=True, rerank=True))
+    return R.retrieve(asked, chunks, R.Config(k=5, text=True, rerank=True)).withColumn("label", R.confidence())
 
 
 @query("SELECT doc_id, md5(text) AS key, lang FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")

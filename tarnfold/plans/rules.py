@@ -33,10 +33,13 @@ def format_router(t):
     return routes.routed(d).select("p_partkey", "format", "error")
 
 
-@query("SELECT page_id FROM pages WHERE NOT contains(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) || '.md', 'vendor/') AND (starts_with(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) || '.md', 'docs/') OR NOT contains(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) || '.md', '/'))")
+@query("""SELECT page_id FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'docs/' || p WHEN 1 THEN replace(p, '/', '-') WHEN 2 THEN 'docs/vendor/' || p ELSE p END || CASE WHEN page_id % 7 = 0 THEN '.rst' ELSE '.md' END AS path
+ FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS p FROM pages)) WHERE page_id % 5 > 0 AND ends_with(path, '.md') AND NOT regexp_matches(path, 'vendor/|node_modules/|testdata/') AND (starts_with(path, 'docs/') OR NOT contains(path, '/'))""")
 def path_predicate(t):
-    path = F.concat(F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1), F.lit(".md"))
-    return t("pages").where(routes.wanted_path(path, F.lit("blob"))).select("page_id")
+    p, i = F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1), F.col("page_id")
+    path = F.when(i % 4 == 0, F.concat(F.lit("docs/"), p)).when(i % 4 == 1, F.replace(p, F.lit("/"), F.lit("-"))).when(i % 4 == 2, F.concat(F.lit("docs/vendor/"), p)).otherwise(p)
+    path = F.concat(path, F.when(i % 7 == 0, ".rst").otherwise(".md"))
+    return t("pages").where(routes.wanted_path(path, F.when(i % 5 > 0, "blob").otherwise("tree"))).select("page_id")
 
 
 # --- joins and guards
@@ -149,14 +152,33 @@ def trace_totals(t):
 # --- parsing
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\*\*|__|~~|[`#*>]', '', 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM documents")
+#: White space in DuckDB's expressions, as functions.text.SPACE.
+_SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _trim(x: str) -> str:
+    return rf"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+@query(rf"""WITH RECURSIVE m AS (SELECT doc_id, replace(regexp_replace(regexp_replace(text, '([a-z]+) (of|de|der) ', '[\1](\2)', 'g'), ' (in|la|das) ', '!![\1](x)[a](b) ', 'g'), 'qu', '[**') AS t FROM documents),
+ i AS (SELECT doc_id, t, 0 AS n FROM m UNION ALL SELECT doc_id, t[: s - 1] || t[s + e + c + 1 :], n + 1 FROM (SELECT *, strpos(substr(t, s + e + 1), ')') AS c FROM (SELECT *, strpos(substr(t, s), '](') AS e FROM (SELECT *, strpos(t, '![') AS s FROM i) WHERE s > 0) WHERE e > 0) WHERE c > 0),
+ l AS (SELECT doc_id, arg_max(t, n) AS t, 0 AS n FROM i GROUP BY doc_id UNION ALL SELECT doc_id, t[: s - 1] || substr(t, s + 1, e - 2) || t[s + e + c + 1 :], n + 1 FROM (SELECT *, strpos(substr(t, s + e + 1), ')') AS c FROM (SELECT *, strpos(substr(t, s), '](') AS e FROM (SELECT *, strpos(t, '[') AS s FROM l) WHERE s > 0) WHERE e > 0) WHERE c > 0)
+ SELECT doc_id, md5({_trim("regexp_replace(arg_max(t, n), '[*]{2}|__|~~|[`#*>]', '', 'g')")}) AS plain FROM l GROUP BY doc_id""")
 def strip_markdown(t):
-    return t("documents").select("doc_id", F.md5(P.stripped_markdown(F.col("text"))).alias("plain"))
+    marked = F.regexp_replace("text", "([a-z]+) (of|de|der) ", "[$1]($2)")  # links, images, images that a removal makes, and openings without a pair
+    marked = F.replace(F.regexp_replace(marked, " (in|la|das) ", "!![$1](x)[a](b) "), F.lit("qu"), F.lit("[**"))
+    return t("documents").select("doc_id", F.md5(P.stripped_markdown(marked)).alias("plain"))
+
+
+_BROKEN = "replace(replace(replace(text, ', ', chr(10) || ' ' || chr(10)), '. ', chr(10) || chr(10)), 'q', chr(12288))"
 
 
-@query(r"SELECT doc_id, md5(list_aggregate(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> ''), lambda p: replace(p, chr(10), '  ' || chr(10))), 'string_agg', chr(10) || chr(10))) AS md FROM documents WHERE trim(text) <> ''")
+@query(rf"""SELECT doc_id, md5({_trim("array_to_string(list_transform(list_filter(list_transform(string_split(" + _trim(_BROKEN) + ", chr(10) || chr(10)), lambda p: " + _trim("p") + "), lambda p: p <> ''), lambda p: replace(p, chr(10), '  ' || chr(10))), chr(10) || chr(10))")}) AS md FROM documents""")
 def text_to_markdown(t):
-    return t("documents").where(F.trim("text") != "").select("doc_id", F.md5(X.text_to_markdown(F.col("text"))).alias("md"))
+    broken = F.col("text")  # sentences part paragraphs, clauses only lines; ideographic spaces
+    for a, b in ((", ", "\n \n"), (". ", "\n\n"), ("q", "\u3000")):
+        broken = F.replace(broken, F.lit(a), F.lit(b))
+    return t("documents").select("doc_id", F.md5(X.text_to_markdown(broken)).alias("md"))
 
 
 @query("SELECT conv_id, turn, regexp_matches(text, '[a-z一-鿿]$') AS mid_sentence FROM conversations")
@@ -187,9 +209,11 @@ def hard_field_correction(t):
     return d.select("o_orderkey", P.corrected(F.col("said"), P.amount(F.col("said")), F.col("right")).alias("answer"), F.col("right").alias("claimed"))
 
 
-@query(r"SELECT conv_id, turn, CASE WHEN length(c) > 40 THEN left(c, 40) || '...' ELSE c END AS cleaned FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM conversations)")
+@query(rf"""SELECT conv_id, turn, CASE WHEN length(c) > 40 THEN left(c, 40) || '...' ELSE c END AS cleaned FROM (SELECT conv_id, turn, {_trim(f"regexp_replace('[TRANSFER:human] ' || CASE WHEN turn % 2 = 0 THEN translate(replace(text, 'th', ''), 'z', chr(160)) ELSE replace(replace(text, 'th', ''), ' ', chr(12288)) END, '{_SPACE}+', ' ', 'g')")} AS c FROM conversations)""")
 def transfer_cleaning(t):
-    return t("conversations").select("conv_id", "turn", X.cleaned_answer(F.concat(F.lit("[TRANSFER:human] "), "text"), 40).alias("cleaned"))
+    marked = F.replace("text", F.lit("th"), F.lit("[TRANSFER:qa][TRANSFER:course_recommend][TRANSFER:customer_service]"))  # and one that stays
+    marked = F.when(F.col("turn") % 2 == 0, F.translate(marked, "z", "\u00a0")).otherwise(F.regexp_replace(marked, " ", "\u3000"))  # spaces beyond ASCII
+    return t("conversations").select("conv_id", "turn", X.cleaned_answer(F.concat(F.lit("[TRANSFER:human] "), marked), 40).alias("cleaned"))
 
 
 @query("SELECT conv_id, turn, contains(text, 'j') AS has_citation, contains(text, 'qu') OR contains(text, 'ß') AS has_refusal FROM conversations")

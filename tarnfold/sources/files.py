@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_docx, text_to_markdown
+from ..shipping import ship
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +36,7 @@ def _docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def docx_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the paragraphs of DOCX files; a damaged file has a null text."""
+    ship(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_docx, "path string, text string")
     return raw.withColumn("text", clean_docx(F.col("text")))
 
@@ -136,6 +138,7 @@ def page_articles(pages: DataFrame, side: tuple[str, ...] = SIDE, body: tuple[st
                 rows.append((page_id, p.title.strip(), text, [{"href": h, "text": x} for h, x in p.links.items()]))
             yield pd.DataFrame(rows, columns=["page_id", "title", "markdown", "links"])
 
+    ship(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, markdown string, links array<struct<href:string,text:string>>")
 
 

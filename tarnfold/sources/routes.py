@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_pdf, readable, trimmed
+from ..shipping import ship
 
 #: Formats that can be read, folders that are left out.
 FORMATS = ["md", "txt", "docx", "pdf"]
@@ -58,6 +59,7 @@ def extracted(files: DataFrame, extract: Callable[[bytes], str | None], fallback
     def texts(d: DataFrame, f: Callable) -> DataFrame:
         return d.select("path", "content").mapInPandas(lambda x: run(x, f), "path string, raw string").withColumn("text", clean_pdf(F.coalesce("raw", F.lit("")))).drop("raw")
 
+    ship(files.sparkSession)
     first = texts(files, extract)
     good = first.where(readable(F.col("text")))
     bad = first.where(~readable(F.col("text")) | F.col("text").isNull())

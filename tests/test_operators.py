@@ -42,7 +42,10 @@ def test_text_functions(spark):
     assert one(spark, X.without_fence(x), t="```json\n{}\n```") == "{}"
     assert one(spark, X.without_repeating_lines(x), t="h\na\n\nh\n\nb\nh\n\n") == "a\n\n\nb\n\n"
     assert one(spark, X.text_to_markdown(x), t="a\nb\n\n \n\nc") == "a  \nb\n\nc"
-    assert one(spark, X.cleaned_answer(x, 5), t=" a [TRANSFER:x]  bcdefg") == "a bcd..."
+    assert one(spark, X.cleaned_answer(x, 5), t=" a [TRANSFER:qa]\u3000 bcdefg") == "a bcd..."
+    assert one(spark, X.cleaned_answer(x, 30), t="[TRANSFER:human] b[TRANSFER:customer_service]\x85c\u200b ") == "[TRANSFER:human] b c\u200b"
+    assert one(spark, X.text_to_markdown(x), t="\n\na\n \nb\n\n\u3000\n\nc") == "a  \n   \nb\n\nc"
+    assert one(spark, X.cache_key(x), t="闭包\u3000的原理\u00a0") == one(spark, X.cache_key(x), t="闭包 原理") == "闭包 原理"
 
 
 def test_sets_and_ranks(spark):
@@ -70,21 +73,20 @@ def test_limiter_is_a_fold(spark):
 
 def packed(text, most):
     out, buf = [], ""
-    for p in [q.strip() for q in __import__("re").split(r"\n\s*\n", text)]:
-        if not p:
-            continue
-        if buf and len(buf) + len(p) >= most:
+    for p in text.split("\n\n"):
+        p = p.strip()
+        if p and (not buf or len(buf) + len(p) < most):
+            buf += p + "\n\n"
+        elif p:
             out.append(buf.strip())
-            buf = ""
-        buf += p + "\n\n"
+            buf = p + "\n\n"
     return [*out, buf.strip()] if buf.strip() else out
 
 
 def chunks_of(text, least, most):
     import re
 
-    found, stack, body = [], [], []
-    heads = []
+    found, stack, heads = [], [], []
     for line in text.split("\n"):
         m = re.match(r"^(#{1,6})\s+(.+)$", line)
         if m:
@@ -96,11 +98,13 @@ def chunks_of(text, least, most):
         elif heads:
             heads[-1][2].append(line)
     if not heads:
-        found = [("", p) for p in packed(text, most)]
+        return [("", p) for p in packed(text, most)]
     for i, (level, path, body) in enumerate(heads):
         if i + 1 < len(heads) and heads[i + 1][0] > level:
             continue
-        found += [(path, p) for p in packed("\n".join(body).strip(), most)]
+        content = re.sub(r"(?m)^#{1,6}\s+", "", "\n".join(body)).strip()
+        if content:
+            found += [(path, p) for p in (packed(content, most) if len(content) > most else [content])]
     out = []
     for path, p in found:
         if out and len(out[-1][1]) < least:
@@ -110,19 +114,32 @@ def chunks_of(text, least, most):
     return out
 
 
+def chunked(df, **sizes):
+    got = {}
+    for r in chunking.structural_chunks(df, **sizes).orderBy("doc_id", "chunk_index").collect():
+        assert r.chunk_index == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id].append((r.path, r.text))
+    return got
+
+
 def test_structural_chunks(spark):
     rng = random.Random(5)
     docs = []
-    for i in range(60):
+    for i in range(90):
         lines = []
         for _ in range(rng.randrange(0, 25)):
             kind = rng.random()
-            lines.append("#" * rng.randrange(1, 5) + f" t{rng.randrange(9)}" if kind < 0.25 else "" if kind < 0.5 else "w" * rng.randrange(1, 40))
+            lines.append("#" * rng.randrange(1, 5) + f" t{rng.randrange(9)}" if kind < 0.25 and i % 5 else "" if kind < 0.45 else rng.choice([" ", "\u3000", "## ", "\t"]) if kind < 0.55 else "w" * rng.randrange(1, 40))
         docs.append((i, "\n".join(lines)))
-    got = {}
-    for r in chunking.structural_chunks(spark.createDataFrame(docs, "doc_id long, text string"), least=20, most=60).orderBy("doc_id", "chunk_index").collect():
-        got.setdefault(r.doc_id, []).append((r.path, r.text))
-    assert got == {i: c for i, t in docs if (c := chunks_of(t, 20, 60))}
+    docs += [(100, "# a\n" + "x" * 30 + "\n\n" + "y" * 28), (101, "# a\n" + "x" * 31 + "\n\n" + "y" * 28), (102, "# a\n" + "x" * 10 + "\n\n\n\n\n" + "y" * 9), (103, "p" * 40 + "\n \n" + "q" * 40), (104, ""), (105, None), (106, "# only\n"), (107, "a\n\nb\n\n" + "c" * 70)]
+    assert chunked(spark.createDataFrame(docs, "doc_id long, text string"), least=20, most=60) == {i: c for i, t in docs if (c := chunks_of(t or "", 20, 60))}
+
+
+def test_chunks_of_pages(spark):
+    """The query's own rows, all pages of the smallest tables."""
+    d = files.page_articles(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))
+    want = {r.doc_id: c for r in d.collect() if (c := chunks_of(r.text, 300, 800))}
+    assert chunked(d) == want and len(want) == 50
 
 
 def test_loops_need_three_alike(spark):
@@ -158,10 +175,38 @@ def test_merges(spark):
 
 
 def test_fusion_keeps_one_sided(spark):
-    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "q long, c long, rank int")
-    b = spark.createDataFrame([(1, 11, 1)], "q long, c long, rank int")
-    got = [(r.c, r.rank) for r in R.fused(a, b, "q", "c", 5).orderBy("rank").collect()]
-    assert got == [(11, 1), (10, 2)]
+    kind = "q long, c long, score double, rank int"
+    a = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (2, 5, 0.3, 1), (2, 4, 0.3, 2)], kind)
+    b = spark.createDataFrame([(1, 11, 7.5, 1), (3, 8, 2.0, 1)], kind)
+    got = [(r.q, r.c, r["rank"], r.score, r.vector_score, r.text_score, r.rrf_score) for r in R.fused(a, b, "q", "c", 5).orderBy("q", "rank").collect()]
+    x, y = round(1 / 62 + 1 / 61, 8), round(1 / 61, 8)
+    assert got == [(1, 11, 1, x, 0.8, 7.5, x), (1, 10, 2, y, 0.9, None, y), (2, 5, 1, 0.3, 0.3, None, None), (2, 4, 2, 0.3, 0.3, None, None), (3, 8, 1, y, None, 2.0, y)]
+
+
+def test_labels_come_from_comparable_scores(spark):
+    d = spark.createDataFrame([(1, 0.8, 0.1), (2, None, 0.75), (3, None, 0.5), (4, 0.2, 0.9), (5, None, None)], "i long, rerank_score double, vector_score double")
+    assert [r.x for r in d.orderBy("i").select(R.confidence().alias("x")).collect()] == ["高", "高", "中", "低", "低"]
+
+
+def test_python_functions_run_in_any_folder(tmp_path):
+    """Executors find the package though nothing but the driver's own path names it."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+for name in ("cosine_topk", "rate_limiter", "pages_links"):
+    assert e.queries()[name](s, "/root/testdata/sf0.001").count() > 0, name
+print("ALL RAN")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ALL RAN" in ran.stdout, ran.stderr[-2000:]
 
 
 def test_pages_and_files(spark, tmp_path):
