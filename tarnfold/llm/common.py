@@ -1,4 +1,4 @@
-"""What the operators share: tables, shared folders, and shipping this package to executors."""
+"""What the operators share: tables, shared folders, and what workers keep."""
 
 from __future__ import annotations
 
@@ -7,35 +7,15 @@ import ctypes
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: dict[str, str] = {}
-_ROOTS: set[str] = set()
-#: Bytes of an Arrow batch between Spark and its Python workers, where the session sets none: batches of long texts
-#: otherwise hold 64 MB on both sides of the pipe.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
-
+from ..shipping import ship
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, whatever their working folder."""
-    sc = spark.sparkContext
-    if BATCH not in spark.conf.getAll:
-        spark.conf.set(BATCH, BATCH_BYTES)
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(target)
-    _SHIPPED[sc.applicationId] = target
+_ROOTS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 THRESHOLD = 0.75
 #: Rows of one range of ids while each document finds the next, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 4_000, 1_000
@@ -100,8 +102,12 @@ def edited_documents(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, class) and classes (class, sigs, n): documents of equal fingerprints are one class."""
+    """Membership (doc_id, class) and classes (class, sigs, n): documents of equal fingerprints are one class.
+
+    Signatures are written first: a filter on a class would otherwise be pushed below them, and make them once for each word.
+    """
     d = with_signatures(docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "text", "sigs")
+    d = stored(d.select("doc_id", "sigs"), "signatures")
     d = d.withColumn("class", F.sha2(F.concat_ws(",", F.col("sigs").cast("array<string>")), 256))
     return d.select("doc_id", "class"), d.groupBy("class").agg(F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs"))
 
@@ -127,7 +133,10 @@ def search(queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def linked(queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """query_id, doc_id and likeness of search's links, each class by its least doc_id, and the classes' numbers of rows."""
+    """query_id, doc_id and likeness of search's links, each class by its least doc_id, and the classes' numbers of rows.
+
+    A class of which no row has an id has a null one. Nulls, empties, repeats and empty tables are as in search.
+    """
     links, members = search(queries, docs, threshold)
     least = members.groupBy("side", "class").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     q = least.where("side = 'query'").select(F.col("class").alias("query_class"), F.col("id").alias("query_id"), F.col("n").alias("queries"))
