@@ -233,14 +233,14 @@ def exact_key(query: Column, course: Column, access: Column) -> Column:
 def search(requests: DataFrame, chunks: DataFrame, config: Config, exact: DataFrame, recent: DataFrame, now: Column) -> Searched:
     """A batch of requests (request_id, course_id, text, embedding, has_access) through both caches, then over chunks of their course.
 
-    exact has rows (key, results, expires_at), recent rows (course_id, access, entry_id, ts, cached_vector, results), where
+    exact has rows (key, course_id, results, expires_at), recent rows (course_id, access, entry_id, ts, cached_vector, results), where
     results is an array of (chunk_id, score) in order. A request takes the live entry of its key; else, of the newest
     entries of its course and access pool, the newest that is alike; else it searches. Requests of one batch don't see each
     other's entries. Entries to write are those of searched requests: for both caches, newest first by request_id.
     """
     r = requests.withColumn("access", access_pool(F.col("has_access")))
     r = r.withColumn("key", exact_key(F.col("text"), F.col("course_id"), F.col("access")))
-    hit, rest = exact_hits(r, exact, ["key"], now)
+    hit, rest = exact_hits(r, exact.select("key", "results", "expires_at"), ["key"], now)
     asked = rest.where("embedding is not null").select("request_id", "course_id", "access", F.col("embedding").alias("vector"))
     alike = similar_hit(asked, recent, ["course_id", "access"], config.alike, config.entries)
     rest = rest.join(alike.select("request_id"), "request_id", "left_anti")
@@ -250,7 +250,7 @@ def search(requests: DataFrame, chunks: DataFrame, config: Config, exact: DataFr
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))
     entries = rest.join(got.groupBy("request_id").agg(listed.alias("results")), "request_id")
     until = now + F.expr(f"INTERVAL {config.ttl} SECONDS")
-    return Searched(results, entries.select("key", "results", until.alias("expires_at")), entries.where("embedding is not null").select("course_id", "access", F.col("request_id").alias("entry_id"), now.alias("ts"), F.col("embedding").alias("cached_vector"), "results"))
+    return Searched(results, entries.select("key", "course_id", "results", until.alias("expires_at")), entries.where("embedding is not null").select("course_id", "access", F.col("request_id").alias("entry_id"), now.alias("ts"), F.col("embedding").alias("cached_vector"), "results"))
 
 
 def search_each(requests: DataFrame, accessible: DataFrame, chunks: DataFrame, config: Config) -> DataFrame:
