@@ -70,6 +70,7 @@ def _best(chunks: pa.Table, queries: pa.Table, k: int, same: bool, schema: pa.Sc
         return schema.empty_table()
     vectors = [[np.asarray(x, float) for x in t.column(c).to_pylist()] for t, c in ((chunks, "_c"), (queries, "_q"))]
     ids, asked = chunks.column("chunk_id").to_numpy(), queries.column("query_id").to_numpy()
+    allowed = queries.column("_ids").combine_chunks() if "_ids" in queries.column_names else None
     scores = np.zeros((len(asked), len(ids)))  # 0 where lengths differ or a vector has no length
     for n in {len(x) for x in vectors[1]} - {0}:
         a, b = (np.array([i for i, x in enumerate(v) if len(x) == n]) for v in (vectors[1], vectors[0]))
@@ -83,6 +84,8 @@ def _best(chunks: pa.Table, queries: pa.Table, k: int, same: bool, schema: pa.Sc
     at, of, got = [], [], []
     for i, row in enumerate(scores):
         may = np.arange(len(ids)) if same else np.flatnonzero(ids != asked[i])
+        if allowed is not None:
+            may = may[np.isin(ids[may], allowed[i].values.to_numpy())]
         s = row[may]
         if len(s) > k:
             near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
@@ -95,12 +98,13 @@ def _best(chunks: pa.Table, queries: pa.Table, k: int, same: bool, schema: pa.Sc
     return pa.table([queries.column("query_id").take(pa.array(at)), chunks.column("chunk_id").take(pa.array(of)), pa.array(np.concatenate(got))], schema=schema)
 
 
-def vector_top(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str = "embedding", on: str | None = None, same: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:
+def vector_top(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str = "embedding", on: str | None = None, same: bool = False, rows: int = BLOCK_ROWS, allowed: DataFrame | None = None) -> DataFrame:
     """Exact cosine top-k (score to 4 places, ties by id) of queries against all chunks (of the query's group, if on names one).
 
     Both sides are dealt over blocks of about rows rows, a group of any size over several; each pair of blocks is one
     matrix product in a task, of which the k best a query go on. Rows without a vector are left out. Ids are
-    numbers. same keeps a chunk whose id is the query's.
+    numbers. same keeps a chunk whose id is the query's. allowed (query_id, chunk_id) is what else a chunk must be in: it goes
+    with the queries, as the ids of each block, so that blocks without any are not compared.
     """
     group = [F.col(on).alias("_on")] if on else [F.lit(0).alias("_on")]
     ship(queries.sparkSession)
@@ -111,7 +115,12 @@ def vector_top(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chu
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
     c = c.join(sizes, "_on").select("_on", own("chunk_id", "_cs").alias("_a"), each("_qs").alias("_b"), "chunk_id", "_c")
-    q = q.join(sizes, "_on").select("_on", each("_cs").alias("_a"), own("query_id", "_qs").alias("_b"), "query_id", "_q")
+    if allowed is None:
+        q = q.join(sizes, "_on").select("_on", each("_cs").alias("_a"), own("query_id", "_qs").alias("_b"), "query_id", "_q")
+    else:
+        q = q.join(sizes, "_on").join(allowed.select("query_id", "chunk_id"), "query_id").withColumn("_a", own("chunk_id", "_cs"))
+        ids = q.groupBy("_on", "query_id", "_a").agg(F.collect_set("chunk_id").alias("_ids"), F.first("_q").alias("_q"), F.first("_qs").alias("_qs"))  # at most a block's
+        q = ids.select("_on", "_a", own("query_id", "_qs").alias("_b"), "query_id", "_q", "_ids")
     schema = StructType([q.schema["query_id"], c.schema["chunk_id"], StructField("score", DoubleType())])
     arrow, key = to_arrow_schema(schema), ["_on", "_a", "_b"]
     return top(c.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(lambda x, y: _best(x, y, k, same, arrow), schema), "query_id", "chunk_id", k)

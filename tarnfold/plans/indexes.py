@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import indexing, models, vector_index
+from ..operators import indexing, models, text_index, vector_index
+from ..operators import retrieval as R
 from ..storage import fresh, stored
-from .queries import _COS, query
+from .queries import _COS, _POST, _TOK, query
 
 _PATTERNS = ", ".join(f"({b}, {vector_index.pattern(b, 64)})" for b in range(vector_index.BITS))
 _DOT = "list_sum(list_transform(list_zip({}, {}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -83,3 +84,39 @@ def cache_over_time(t):
         out = live if out is None else out.unionByName(live)
         log = indexing.compacted(log, ["user_id", "event_type"], at, tie="event_id")
     return out
+
+
+# --- stored postings
+
+
+_BM25 = f"""{_POST}, x AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM q JOIN p USING (token) JOIN f USING (token), s GROUP BY 1, 2)
+ SELECT item_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 5"""
+
+
+@query(f"WITH {_BM25}")
+def stored_text_topk(t):
+    d = t("documents")
+    index = text_index.write(d, fresh(d.sparkSession, "text-index"))
+    return index.search(t("benchmark"), 5).select("item_id", "doc_id", "rank", "score")
+
+
+@query("WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Edited. ' || text ELSE text END AS text FROM main.documents WHERE doc_id % 10 = 0 OR doc_id % 17 > 0), " + _BM25)
+def updated_text_topk(t):
+    """The same after an update of some documents' blocks and the removal of others."""
+    d = t("documents").select("doc_id", "text")
+    index = text_index.write(d, fresh(d.sparkSession, "text-index"))
+    index.update(d.where("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("Edited. "), "text")), d.where("doc_id % 17 = 0 and doc_id % 10 > 0"))
+    return index.search(t("benchmark"), 5).select("item_id", "doc_id", "rank", "score")
+
+
+@query(f"""WITH w AS (SELECT item_id, ({_TOK.format('text')})[:2] AS w FROM benchmark), d AS (SELECT doc_id, {_TOK.format('text')} AS toks FROM documents),
+ m AS (SELECT item_id, doc_id FROM w, d WHERE len(w) > 0 AND list_has_all(toks, w)),
+ x AS (SELECT m.item_id AS query_id, b.vec_id AS chunk_id, round({_COS}, 4) AS score FROM m JOIN embeddings a ON m.item_id = a.vec_id JOIN embeddings b ON m.doc_id = b.vec_id)
+ SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM x) WHERE rank <= 5""")
+def hybrid_vector_topk(t):
+    """Vectors of the documents alone that have all words of a query (here the first two of an item)."""
+    d, e = t("documents"), t("embeddings")
+    index = text_index.write(d, fresh(d.sparkSession, "text-index"))
+    words = t("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(R.tokens(F.col("text")), 1, 2), " ").alias("text"))
+    asked = words.join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    return R.vector_top(asked, e, 5, "query_id", "vec_id", same=True, allowed=text_index.containing(index, words))

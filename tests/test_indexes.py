@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfold.operators import indexing, vector_index
+from tarnfold.operators import indexing, text_index, vector_index
 from tarnfold.operators import retrieval as R
 
 
@@ -108,3 +108,57 @@ def test_vector_index_of_odd_rows_and_updates(spark, tmp_path):
     assert top(new) == [(i, -s) for s, i in want(now, 5)]
     none = vector_index.write(d.limit(0), f"file://{tmp_path}/n")
     assert vector_index.search(none, asked, 3).count() == 0
+
+
+def scores_by_force(spark, docs, queries):
+    s = R.text_scores(spark.createDataFrame(docs, "doc_id long, text string"), queries, scorer="bm25").withColumn("score", F.round("score", 6))
+    return [tuple(r) for r in R.top(s, "item_id", "doc_id", 5).select("item_id", "rank", "doc_id", "score").orderBy("item_id", "rank").collect()]
+
+
+def test_stored_postings_give_the_same_rows_and_read_fewer(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choice(words[: 20 if i % 50 else 400], rng.integers(1, 60)))) for i in range(2500)] + [(9001, None), (9002, ""), (9003, "the of"), (9004, "word1 " * 30_000)]
+    docs += [(7000 + i, "word300 word301 copy") for i in range(900)]
+    queries = spark.createDataFrame([(1, "word300 word399 word5"), (2, "word1"), (3, "unknown"), (4, "the"), (5, None), (6, "copy word300 word300"), (7, "word250 word251 word252 word0")], "item_id long, text string")
+    index = text_index.write(spark.createDataFrame(docs, "doc_id long, text string"), f"file://{tmp_path}/t")
+    found, plan = index.searched(queries, 5)
+    got = [tuple(r) for r in found.select("item_id", "rank", "doc_id", "score").orderBy("item_id", "rank").collect()]
+    assert got == scores_by_force(spark, docs, queries)
+    read = {r.query: (r.all, r.read) for r in plan.groupBy("query").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)).alias("read")).collect()}
+    assert all(b <= a for a, b in read.values()) and read[7][1] < 0.6 * read[7][0], read
+
+    changed, gone = [(5, "word300 word399 word5"), (9004, "short"), (20_000, "unknown thing")], [7000, 7001, 12, 31]
+    ids = spark.createDataFrame([(i,) for i in gone], "doc_id long")
+    for _ in range(2):  # an update can be run again
+        index.update(spark.createDataFrame(changed, "doc_id long, text string"), ids)
+        now = [d for d in docs if d[0] not in gone and d[0] not in {c[0] for c in changed}] + changed
+        got = [tuple(r) for r in index.search(queries, 5).select("item_id", "rank", "doc_id", "score").orderBy("item_id", "rank").collect()]
+        assert got == scores_by_force(spark, now, queries)
+
+
+def test_text_index_that_loses_all_its_documents(spark, tmp_path):
+    index = text_index.write(spark.createDataFrame([(1, "alpha"), (2, "beta")], "doc_id long, text string"), f"file://{tmp_path}/t")
+    queries = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    assert index.search(queries, 5).count() == 2
+    nothing = spark.createDataFrame([], "doc_id long, text string")
+    index.update(nothing, spark.createDataFrame([(1,), (2,), (3,)], "doc_id long"))
+    assert index.search(queries, 5).count() == 0 and index.lengths().count() == 0
+    index.update(spark.createDataFrame([(7, "gamma rays")], "doc_id long, text string"))
+    assert [r.doc_id for r in index.search(queries, 5).collect()] == [7]
+    assert text_index.write(nothing, f"file://{tmp_path}/n").search(queries, 5).count() == 0
+
+
+def test_hybrid_search_is_an_and_filter(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(["alpha"] * (i % 2) + ["beta"] * (i % 3 == 0) + ["gamma"])) for i in range(120)]
+    vectors = {i: rng.standard_normal(4) for i, _ in docs}
+    index = text_index.write(spark.createDataFrame(docs, "doc_id long, text string"), f"file://{tmp_path}/t")
+    asked = spark.createDataFrame([(1000, "alpha beta", [1.0, 0.0, 0.0, 0.0]), (1001, "gamma", [0.0, 1.0, 0.0, 1.0]), (1002, "delta", [1.0, 1.0, 0.0, 0.0]), (1003, "the", [1.0, 0.0, 0.0, 0.0])], "query_id long, text string, embedding array<double>")
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "chunk_id long, embedding array<double>")
+    got = [(r.query_id, r.chunk_id, r.score) for r in R.vector_top(asked, chunks, 4, "query_id", "chunk_id", rows=16, allowed=text_index.containing(index, asked)).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, words, v in ((1000, {"alpha", "beta"}, [1, 0, 0, 0]), (1001, {"gamma"}, [0, 1, 0, 1])):
+        cos = {i: round(float(vectors[i] @ v / np.linalg.norm(vectors[i]) / np.linalg.norm(v)), 4) for i, t in docs if words <= set(t.split())}
+        want += [(q, i, s) for i, s in sorted(cos.items(), key=lambda x: (-x[1], x[0]))[:4]]
+    assert got == want
