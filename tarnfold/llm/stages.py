@@ -54,8 +54,8 @@ def without_repeated_strings(docs: DataFrame) -> DataFrame:
     return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
-    """Documents that overlap with no benchmark item in least tokens or more: an item of a word or two is no evidence.
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """Documents that overlap with no benchmark item in least tokens or more; by default every overlap counts, be the item a single word.
 
     Null and empty texts overlap with nothing and stay; every row of a doc_id goes if one of its texts overlaps. Repeated
     rows, other columns and empty tables of either kind come back as they were.

@@ -3,7 +3,7 @@
 A word's vector is the sum of three hashed embeddings: of the word, and of its first four and five bytes, so
 that unseen forms of a known stem count. Filters of one to three words run over a text, the largest value of
 each is kept, and a logistic layer scores them. Training and the score's calibration take a bounded sample of labelled
-rows (TRAIN_ROWS of each class; of a text of more than TRAIN_CHARS characters, EXCERPTS stretches spread over all of it).
+rows, whole texts (TRAIN_ROWS of each class, negatives twice as many, and no more than TRAIN_CHARS characters of a class).
 Scoring reads every text whole, and thresholds by language are set from the scores of all labelled rows outside the sample.
 """
 
@@ -21,9 +21,8 @@ from .common import kept, mapped, ship, texts
 from .textnum import LOWER, SLICE_BYTES, WORDLIKE, column_bytes, pieces, prefix, runs, span_hash, spans
 
 BUCKETS, DIM, FILTERS, WIDTH = 1 << 17, 8, 8, 3
-#: Rows of each class (negatives twice as many) of the sample that a model is fitted on, the characters that it takes of a
-#: text, and in how many stretches it takes them from a longer one.
-TRAIN_ROWS, TRAIN_CHARS, EXCERPTS = 2_000, 20_000, 5
+#: Rows of each class (negatives twice as many) of the sample that a model is fitted on, and the most characters of a class's texts.
+TRAIN_ROWS, TRAIN_CHARS = 2_000, 32_000_000
 #: Steps of the scores' histogram.
 STEPS = 1000
 #: One in so many sampled rows calibrates, and is not trained on.
@@ -199,13 +198,6 @@ def threshold(toxic: np.ndarray, other: np.ndarray) -> float | None:
     return float(best[np.abs(best - np.median(best)).argmin()] / STEPS)
 
 
-def excerpt(text: Column) -> Column:
-    """A text of up to TRAIN_CHARS characters whole; of a longer one EXCERPTS stretches from its start to its end."""
-    part = TRAIN_CHARS // EXCERPTS
-    cut = [F.substring(text, F.lit(1) + F.floor((F.length(text) - part) * k / (EXCERPTS - 1)).cast("int"), F.lit(part)) for k in range(EXCERPTS)]
-    return F.when(F.length(text) > TRAIN_CHARS, F.concat_ws(" ", *cut)).otherwise(text)
-
-
 def _known(labels: DataFrame, usable: Column | None) -> DataFrame:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     return known if usable is None else known.where(usable)
@@ -221,7 +213,14 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None, ro
     order = F.xxhash64("doc_id"), "doc_id"
     picked = [known.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, rows), (0, 2 * rows))]
     picked = picked[0].unionByName(picked[1])
-    got = docs.select("doc_id", excerpt(F.coalesce("text", F.lit(""))).alias("text")).join(F.broadcast(picked), "doc_id")  # at most 3 * rows ids
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # at most 3 * rows ids
+    sizes = got.groupBy("toxic", F.xxhash64("doc_id").alias("o"), "doc_id").agg(F.sum(F.length("text")).alias("size")).collect()
+    left, chosen = {0: TRAIN_CHARS, 1: TRAIN_CHARS}, []
+    for r in sorted(sizes, key=lambda r: (r.o, r.doc_id)):
+        if r["size"] <= left[r.toxic]:
+            left[r.toxic] -= r["size"]
+            chosen.append((r.doc_id, r.toxic))
+    got = got.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, picked.schema)), ["doc_id", "toxic"])
     sample = [r for v, n in ((1, rows), (0, 2 * rows)) for r in got.where(F.col("toxic") == v).orderBy(*order, "text").limit(n).collect()]
     held = [i for i in range(len(sample)) if i % CALIBRATE == 0]
     m = calibrate(fit([(r.text, r.toxic) for i, r in enumerate(sample) if i % CALIBRATE]), [(sample[i].text, sample[i].toxic) for i in held])

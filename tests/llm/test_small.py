@@ -394,7 +394,19 @@ def test_thresholds_come_from_all_labelled_rows(spark, docs_of):
     assert all(r.s < 0.5 for r in toxicity.score(docs_of(rows), one, "s").collect())
 
 
-def test_excerpts_reach_the_end_of_a_text(spark):
-    t = "".join(chr(97 + k % 26) for k in range(100_000)) + "END"
-    got = spark.createDataFrame([(t,), ("short",)], "t string").select(toxicity.excerpt(F.col("t"))).collect()
-    assert got[1][0] == "short" and got[0][0].endswith("END") and got[0][0].startswith(t[:4000]) and len(got[0][0]) == toxicity.TRAIN_CHARS + toxicity.EXCERPTS - 1
+def test_training_takes_whole_texts_within_a_bound(spark, docs_of, monkeypatch):
+    """What tells toxic texts apart stands at a third of long ones; a bound on a class's characters leaves rows out, not parts."""
+    rng = random.Random(8)
+    calm = lambda n: " ".join(rng.choice(["calm", "river", "stone", "green", "letter", "window"]) for _ in range(n))
+    rows = [(i, calm(1300) + (" grizbolt vexham " if i % 2 else " ") + calm(2600)) for i in range(60)]
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    m = toxicity.learned(docs, labels)
+    assert m.sample == list(range(60))
+    asked = docs_of([(1, "grizbolt vexham"), (2, calm(10))])
+    score = {r.doc_id: r.toxic_score for r in toxicity.score(asked.drop("toxic_score"), m).collect()}
+    assert score[1] > 0.7 > score[2]
+    one = max(len(t) for _, t in rows)
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 5 * one)
+    kept = toxicity.learned(docs, labels).sample
+    assert all(sum(i % 2 == v for i in kept) == 5 for v in (0, 1))
