@@ -9,6 +9,10 @@ from tarnfold.llm import stages
 from tarnfold.llm.common import stored, table
 
 
+#: Agreeing tokens from which an overlap rejects a document; 1: every overlap that the operator finds.
+LEAST_AGREEING = 1
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that reach their language's threshold go.
 
@@ -29,8 +33,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
-    return stages.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that overlap with a benchmark item in LEAST_AGREEING tokens or more go."""
+    return stages.without_benchmark(docs, table(spark, sf_dir, "benchmark"), LEAST_AGREEING)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
