@@ -146,9 +146,9 @@ def paragraphs(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, text_to_markdown(F.col(text)))
 
 
-def server_events(df: DataFrame, event: str, data: str) -> DataFrame:
-    """Rows as server-sent events."""
-    return df.select(F.concat(F.lit("event: "), F.col(event), F.lit("\ndata: "), F.col(data), F.lit("\n\n")).alias("value"))
+def server_events(df: DataFrame, event: str, data: str, keep: list[str] | None = None) -> DataFrame:
+    """Rows as server-sent events, with the columns of keep before them."""
+    return df.select(*(keep or []), F.concat(F.lit("event: "), F.col(event), F.lit("\ndata: "), F.col(data), F.lit("\n\n")).alias("value"))
 
 
 def write_report(summary: DataFrame, path: str, title: str) -> None:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tarnfold.plans import queries as core
-from tarnfold.plans import indexes, rules, traces  # noqa: F401
+from tarnfold.plans import indexes, rules, streams, traces  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
