@@ -110,6 +110,13 @@ def candidates(result: Column) -> Column:
     return F.coalesce(F.from_json(F.get_json_object(result, "$.materials"), kind), F.array().cast(kind))
 
 
+def listed_candidates(result: Column, own: Column) -> Column:
+    """The materials of a list; of the user's own first those published, then those purchased."""
+    kind = "array<struct<id:bigint,title:string>>"
+    part = lambda name: F.coalesce(F.from_json(F.get_json_object(result, f"$.materials.{name}"), kind), F.array().cast(kind))
+    return F.when(own, F.concat(part("published"), part("purchased"))).otherwise(candidates(result))
+
+
 #: How a step of each tool is told; the first blank is its argument, the second a count.
 STEPS = {"search_materials": ("搜索「%s」→ 找到 %d 门资料", "$.keyword"), "search_documents": ("检索「%s」→ %d 条片段", "$.query"), "search_faq": ("查询「%s」→ %d 条", "$.keyword")}
 

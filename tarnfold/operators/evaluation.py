@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,17 +105,34 @@ def rolled_up(results: DataFrame, by: str, passed: str, scores: list[str]) -> Da
     return results.groupBy(by).agg(n.alias("total"), F.sum(F.col(passed).cast("long")).alias("passed"), F.round(F.sum(F.col(passed).cast("long")) * 100.0 / n, 6).alias("pass_rate"), *means)
 
 
+def _beside(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join by columns of one name, where nulls are equal."""
+    names = {c: f"_on{i}" for i, c in enumerate(on)}
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return df.join(other.withColumnsRenamed(names), same).drop(*names.values())
+
+
+#: Ranges that the values of a group are counted in before one of them is sorted.
+RANGES = 100
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact floor-index percentiles of each group: equal values are counted first, and the running sums of their counts name the ranks.
+    """Exact floor-index percentiles of each group, in two passes.
 
-    A group of any size moves one row for each of its different values, rounded to no less than they are.
+    The first counts each group's values in ranges between approximate percentiles, which names for every percentile the one
+    range that holds its rank; the second takes only the values of these ranges, counts equal ones and
+    sums the counts in order. A window sees a hundredth of a group's different values, or one value.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    d = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
-    place = lambda p: F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1)
-    pick = [F.min(F.when(F.col("_to") > place(p), F.col(value))).alias(f"p{int(p * 100)}") for p in at]
-    return d.groupBy(*by).agg(*pick)
+    d = df.where(F.col(value).isNotNull()).select(*by, value)
+    cuts = d.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"), F.count("*").alias("_n"))
+    d = _beside(d, cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    upto = Window.partitionBy(*by).orderBy("_range")
+    hist = d.groupBy(*by, "_n", "_range").agg(F.count("*").alias("_c")).withColumn("_to", F.sum("_c").over(upto))
+    wanted = hist.select("*", F.explode(F.array(*[F.lit(float(p)) for p in at])).alias("_p")).withColumn("_place", F.least(F.floor(F.col("_n") * F.col("_p")), F.col("_n") - 1))
+    wanted = wanted.where((F.col("_place") < F.col("_to")) & (F.col("_place") >= F.col("_to") - F.col("_c"))).select(*by, "_range", "_p", (F.col("_place") - F.col("_to") + F.col("_c")).alias("_skip"))
+    near = _beside(d, wanted, [*by, "_range"]).groupBy(*by, "_p", "_skip", value).agg(F.count("*").alias("_c"))
+    near = near.withColumn("_to", F.sum("_c").over(Window.partitionBy(*by, "_p").orderBy(value))).where(F.col("_to") > F.col("_skip"))
+    return near.groupBy(*by).agg(*[F.min(F.when(F.col("_p") == float(p), F.col(value))).alias(f"p{int(p * 100)}") for p in at])
 
 
 def percentiles_of_few(values: Column, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> list[Column]:

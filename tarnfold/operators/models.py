@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +15,10 @@ from ..functions.arrays import hit_at, precision_at, recall_at
 from ..functions.parse import named_score
 from ..functions.text import without_fence
 from ..shipping import ship
+from ..storage import stored
 from .catalogue import lacking, remembered
 from .evaluation import percentiles
-from .retrieval import Config, retrieve
+from .retrieval import Config, retrieve, search
 
 #: What a judge scores, from 1 to 5.
 SCORES = ["task_complete", "process_reliable", "efficiency", "failure_handling"]
@@ -93,6 +95,39 @@ def compared(queries: DataFrame, chunks: DataFrame, relevant: DataFrame, configs
     return out
 
 
+def matrix(requests: DataFrame, chunks: DataFrame, relevant: DataFrame, configs: dict[str, Config], now: Column, repeats: int = 3, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """An A/B matrix over searches with caches: results (config, call, request_id, via, precision, recall, hit) and latency
+    (config, call, repeat, latency_ms).
+
+    Each configuration is searched once to warm up, then repeats times with empty caches (call cold) and once more each time
+    with what that search wrote (call cached). requests are those of retrieval.search; relevant has an array of chunk ids a
+    request. A latency is a whole batch's, divided by its requests: a batch is what Spark runs. Results are the last repeat's.
+    """
+    spark = requests.sparkSession
+    found = "array<struct<chunk_id:long,score:double>>"
+    exact = spark.createDataFrame([], f"key string, course_id long, results {found}, expires_at timestamp")
+    recent = spark.createDataFrame([], f"course_id long, access string, entry_id long, ts timestamp, cached_vector array<double>, results {found}")
+    n, out, told = max(1, requests.count()), None, []
+    for name, config in configs.items():
+        search(requests, chunks, config, exact, recent, now).results.write.format("noop").mode("overwrite").save()
+        for repeat in range(repeats):
+            caches = (exact, recent)
+            for call in ("cold", "cached"):
+                began = time.monotonic()
+                s = search(requests, chunks, config, *caches, now)
+                got = stored(s.results, "results")
+                told.append((name, call, repeat, (time.monotonic() - began) * 1000 / n))
+                if call == "cold":
+                    caches = (stored(s.exact, "exact"), stored(s.recent, "recent"))
+                if repeat == repeats - 1:
+                    lists = got.groupBy("request_id").agg(F.first("via").alias("via"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("returned"))
+                    d = relevant.join(lists, "request_id", "left").withColumn("returned", F.coalesce("returned", F.array().cast("array<long>")))
+                    x, y = F.col("returned"), F.col("relevant")
+                    rows = d.select(F.lit(name).alias("config"), F.lit(call).alias("call"), "request_id", "via", precision_at(x, y, k).alias("precision"), recall_at(x, y, k).alias("recall"), hit_at(x, y, k).alias("hit"))
+                    out = rows if out is None else out.unionByName(rows)
+    return out, spark.createDataFrame(told, "config string, call string, repeat int, latency_ms double")
+
+
 def summary(results: DataFrame, latency: DataFrame | None = None) -> DataFrame:
     """Means by configuration, and floor-index percentiles of latency (config, latency_ms) where it was measured."""
     s = results.groupBy("config").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.count("*").alias("n"))

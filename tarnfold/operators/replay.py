@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parse import invalid_arguments, listed_candidates
 from ..functions.text import bigrams, collapsed, cut, jaccard
 from ..shipping import ship
 
@@ -50,6 +51,65 @@ def facts(calls: DataFrame, run: str, source: list[str], seq: str) -> DataFrame:
     return calls.withColumn("layer", F.when(F.row_number().over(w) == 1, "fact").otherwise("discarded"))
 
 
+#: What in a tool's result says that the user may read the material.
+ACCESS_MARKS = {"search_documents": ("full",), "get_material_detail": ("has_purchased", "is_owner"), "my_materials": ("published", "purchased")}
+
+
+def context(calls: DataFrame, run: str, seq: str, tool: str, args: str, result: str) -> DataFrame:
+    """Adds what a run's context holds after each call: focus_id, viewed, views, candidates, card_sent and has_access.
+
+    The focus is the material of the last detail, or the first of the last document search that names any. views tells whether a call adds a material
+    to those viewed, viewed how many there are (their ids are those of the calls that add one, so no row carries a growing
+    set). Candidates are those of the last list that was asked for, by material search or of the user's own, none where
+    it can't be read. An offer sends the card; what a result says of access holds from then on.
+    """
+    name, said = F.col(tool), F.coalesce(F.col(result), F.lit(""))
+    upto = Window.partitionBy(run).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    named = F.coalesce(F.get_json_object(F.col(args), "$.material_id").try_cast("long"), F.lit(0))
+    first = F.get_json_object(F.col(args), "$.material_ids[0]").try_cast("long")
+    detail, lists = name == "get_material_detail", name.isin("search_materials", "my_materials")
+    focus = F.when(detail, named).when(name == "search_documents", first)
+    access = F.lit(False)
+    for t, marks in ACCESS_MARKS.items():
+        for m in marks:
+            access = access | ((name == t) & said.contains(m))
+    d = calls.withColumn("_seen", F.when(detail, named))
+    again = F.row_number().over(Window.partitionBy(run, "_seen").orderBy(seq)) > 1
+    d = d.withColumn("views", F.col("_seen").isNotNull() & ~again).drop("_seen")
+    own = F.when(lists, F.struct(listed_candidates(said, name == "my_materials").alias("c")))
+    return d.select(
+        "*", F.last(focus, ignorenulls=True).over(upto).alias("focus_id"), F.count(F.when(F.col("views"), 1)).over(upto).alias("viewed"),
+        F.last(own, ignorenulls=True).over(upto)["c"].alias("candidates"), F.max(name == "purchase").over(upto).alias("card_sent"), F.max(access).over(upto).alias("has_access"),
+    )
+
+
+def gated(calls: DataFrame, run: str, seq: str, tool: str, args: str, known: list[str], budgets: dict[str, int] | None = None, may_repeat: list[str] | None = None) -> DataFrame:
+    """Adds gate: the first that stops each call, in the loop's order (repeat, unknown, arguments, budget), or executed.
+
+    A budget counts all calls of a tool so far; a known tool without a budget has none to exceed.
+    """
+    limits = {t: n for t, n in (BUDGETS if budgets is None else budgets).items()}
+    d = budgeted(repeats(calls, run, seq, tool, args, may_repeat), run, seq, tool, limits)
+    gate = F.coalesce(
+        F.when(F.col("blocked"), "repeat"), F.when(~F.coalesce(F.col(tool).isin(known), F.lit(False)), "unknown"), F.when(F.size(invalid_arguments(F.coalesce(F.col(args), F.lit("")))) > 0, "arguments"),
+        F.when(F.col(tool).isin(list(limits)) & ~F.col("within"), "budget"), F.lit("executed"),
+    )
+    return d.withColumn("gate", gate).drop("blocked", "used", "within")
+
+
+def steps(calls: DataFrame, run: str, seq: str, ok: Column, last: int | None = None) -> DataFrame:
+    """(run, completed, failed, deliverable): the steps of each kind in order, and whether a run has done something and failed at nothing.
+
+    Lists are those of one run, whose rounds are limited; where they aren't, last keeps so many of each kind, the newest.
+    """
+    d = calls.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    if last is not None:
+        d = d.withColumn("_r", F.row_number().over(Window.partitionBy(run, "_ok").orderBy(F.desc(seq)))).where(F.col("_r") <= last)
+    pick = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(seq))))
+    d = d.groupBy(run).agg(pick(F.col("_ok")).alias("completed"), pick(~F.col("_ok")).alias("failed"))
+    return d.withColumn("deliverable", (F.size("completed") > 0) & (F.size("failed") == 0))
+
+
 def admitted(requests: DataFrame, key: str, second: str, limit: int, window: int = 60, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds admitted to each request, by a sliding log of the seconds in which requests were admitted.
 

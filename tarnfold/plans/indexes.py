@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import indexing, models, text_index, vector_index
+from ..operators import generation, indexing, models, text_index, vector_index
 from ..operators import retrieval as R
 from ..storage import fresh, stored
 from .queries import _COS, _POST, _TOK, query
@@ -120,3 +120,29 @@ def hybrid_vector_topk(t):
     words = t("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(R.tokens(F.col("text")), 1, 2), " ").alias("text"))
     asked = words.join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     return R.vector_top(asked, e, 5, "query_id", "vec_id", same=True, allowed=text_index.containing(index, words))
+
+
+# --- generation
+
+
+def _asked_well(texts):
+    return [f"What of {t[:30]}?" for t in texts]
+
+
+def _refusing(texts):
+    """A model that refuses batches whose first text begins with a vowel."""
+    if texts[0][:1].lower() in "aeiou":
+        raise RuntimeError("refused")
+    return _asked_well(texts)
+
+
+@query("""WITH b AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS no FROM documents), x AS (SELECT *, (no - 1) // 10 AS batch FROM b),
+ f AS (SELECT batch, list_contains(['', 'a', 'e', 'i', 'o', 'u'], lower(left(arg_min(text, no), 1))) AS refused FROM x GROUP BY batch)
+ SELECT printf('Q%03d', no) AS query_id, chunk_id, 'What of ' || left(text, 30) || '?' AS question, CASE WHEN refused THEN 2 ELSE 1 END AS run FROM x JOIN f USING (batch)""")
+def generated_questions(t):
+    """A first run whose model refuses some batches, and a second that is asked for those alone."""
+    d = t("documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+    g = generation.Generation(d.sparkSession, fresh(d.sparkSession, "generation"))
+    g.run(d, _refusing)
+    g.run(d, _asked_well)
+    return g.questions().join(g.done().select("chunk_id", F.col("run").cast("long").alias("run")), "chunk_id")

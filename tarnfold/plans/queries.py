@@ -69,25 +69,37 @@ def _paid(t):
     return o.join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("p_partkey"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_partkey = p_partkey AND o_custkey < 50)")
+_ASKED = "SELECT DISTINCT o_custkey AS user_id, l_partkey AS p_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F'"
+_PAID = "SELECT o_custkey AS user_id, l_partkey AS p_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'"
+
+
+def _asked(t):
+    return t("lineitem").join(t("orders").where("o_orderstatus <> 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("p_partkey")).distinct()
+
+
+@query(f"SELECT * FROM ({_ASKED}) SEMI JOIN ({_PAID}) USING (user_id, p_partkey)")
 def paid_access_semi(t):
-    return C.having(t("part").select("p_partkey", "p_name"), _paid(t).where("user_id < 50"), "p_partkey")
+    return C.having(_asked(t), _paid(t), ["user_id", "p_partkey"])
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_partkey = p_partkey AND o_custkey < 50)")
+@query(f"SELECT * FROM ({_ASKED}) ANTI JOIN ({_PAID}) USING (user_id, p_partkey)")
 def not_purchased_anti(t):
-    return C.lacking(t("part").select("p_partkey", "p_name"), _paid(t).where("user_id < 50"), "p_partkey")
+    return C.lacking(_asked(t), _paid(t), ["user_id", "p_partkey"])
+
+
+def _published(t):
+    return t("part").select((F.col("p_partkey") % 1500).alias("user_id"), "p_partkey")
 
 
-@query("SELECT DISTINCT 'purchased' AS kind, l_partkey AS id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_custkey = 7 UNION ALL SELECT 'published', p_partkey FROM part WHERE p_size = 7")
+@query(f"SELECT DISTINCT user_id, 'purchased' AS kind, p_partkey AS id FROM ({_PAID}) UNION ALL SELECT p_partkey % 1500, 'published', p_partkey FROM part")
 def my_items_union(t):
-    bought = _paid(t).where("user_id = 7").select(F.lit("purchased").alias("kind"), F.col("p_partkey").alias("id")).distinct()
-    return bought.unionByName(t("part").where("p_size = 7").select(F.lit("published").alias("kind"), F.col("p_partkey").alias("id")))
+    tagged = lambda d, kind: d.select("user_id", F.lit(kind).alias("kind"), F.col("p_partkey").alias("id"))
+    return tagged(_paid(t), "purchased").distinct().unionByName(tagged(_published(t), "published"))
 
 
-@query("SELECT l_partkey AS id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_custkey < 20 UNION SELECT p_partkey FROM part WHERE p_size < 5")
+@query(f"SELECT user_id, p_partkey AS id FROM ({_PAID}) UNION SELECT p_partkey % 1500, p_partkey FROM part")
 def accessible_ids_union(t):
-    return _paid(t).where("user_id < 20").select(F.col("p_partkey").alias("id")).union(t("part").where("p_size < 5").select("p_partkey")).distinct()
+    return _paid(t).select("user_id", F.col("p_partkey").alias("id")).union(_published(t)).distinct()
 
 
 @query("SELECT r_regionkey, CASE WHEN r_regionkey IN (SELECT n_regionkey FROM nation) THEN 1 ELSE 0 END AS refused FROM region")
@@ -160,10 +172,11 @@ def purchased_csv(t):
     return t("orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("ids"))
 
 
-@query("SELECT doc_id, title FROM (SELECT doc_id, concat(source, '-', lang) AS title FROM documents) WHERE title NOT IN (SELECT concat(source, '-', lang) FROM documents WHERE doc_id < 20)")
+@query("SELECT doc_id, title FROM (SELECT doc_id, concat_ws('-', source, lang, n_chars) AS title FROM documents) WHERE title NOT IN (SELECT concat_ws('-', source, lang, n_chars) FROM documents JOIN labels USING (doc_id))")
 def incremental_skip(t):
-    d = t("documents").select("doc_id", F.concat("source", F.lit("-"), "lang").alias("title"))
-    return C.lacking(d, d.where("doc_id < 20").select("title").distinct(), "title")
+    d = t("documents").select("doc_id", F.concat_ws("-", "source", "lang", "n_chars").alias("title"))
+    had = d.join(t("labels").select("doc_id"), "doc_id", "left_semi")
+    return ingest.to_load(d, had, ["title"])[0]
 
 
 # --- text

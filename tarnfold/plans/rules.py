@@ -292,29 +292,46 @@ def argument_validators(t):
 # --- state and evaluation
 
 
-@query("SELECT user_id, list(event_id ORDER BY event_id) FILTER (event_type <> 'error') AS completed, coalesce(list(event_id ORDER BY event_id) FILTER (event_type = 'error'), []) AS failed, count(*) FILTER (event_type <> 'error') > 0 AND count(*) FILTER (event_type = 'error') = 0 AS deliverable FROM events GROUP BY user_id")
+@query("SELECT user_id, coalesce(list(event_id ORDER BY event_id) FILTER (event_type <> 'error'), []) AS completed, coalesce(list(event_id ORDER BY event_id) FILTER (event_type = 'error'), []) AS failed, count(*) FILTER (event_type <> 'error') > 0 AND count(*) FILTER (event_type = 'error') = 0 AS deliverable FROM events GROUP BY user_id")
 def step_lists(t):
-    pick = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("event_id"))))
-    bad = F.col("event_type") == "error"
-    d = t("events").groupBy("user_id").agg(pick(~bad).alias("completed"), pick(bad).alias("failed"))
-    return d.withColumn("deliverable", (F.size("completed") > 0) & (F.size("failed") == 0))
+    return replay.steps(t("events"), "user_id", "event_id", F.col("event_type") != "error")
 
 
-@query("SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS focus_id, count(*) FILTER (event_type = 'view') OVER w AS viewed, coalesce(bool_or(event_type = 'purchase') OVER w, false) AS has_access FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+_CALLS = """c AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_type WHEN 'view' THEN 'get_material_detail' WHEN 'click' THEN 'search_documents' WHEN 'signup' THEN 'search_materials' WHEN 'error' THEN 'my_materials' ELSE event_type END AS tool FROM events)"""
+
+
+def _calls(t):
+    """A user's events as calls: their arguments and results by the number in props."""
+    tool, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    for a, b in {"view": "get_material_detail", "click": "search_documents", "signup": "search_materials", "error": "my_materials"}.items():
+        tool = F.when(F.col("event_type") == a, b).otherwise(tool)
+    d, k = t("events").select("user_id", "event_id", tool.alias("tool"), k.alias("k")), F.col("k")
+    one = F.concat(F.lit('{"id":'), "k", F.lit(',"title":"t'), "k", F.lit('"}'))
+    args = F.when(F.col("tool") == "get_material_detail", F.concat(F.lit('{"material_id":'), "k", F.lit("}"))).when(k % 3 == 0, '{"material_ids":[]}').otherwise(F.concat(F.lit('{"material_ids":['), "k", F.lit(",1]}")))
+    result = F.when(F.col("tool") == "get_material_detail", F.when(k == 9, '{"is_owner":true}').otherwise("{}")).when(F.col("tool") == "search_documents", F.when(k == 8, "full text").otherwise("preview"))
+    result = result.when(F.col("tool") == "search_materials", F.when(k == 7, "not json").otherwise(F.concat(F.lit('{"materials":['), one, F.lit("]}"))))
+    result = result.when(k == 5, F.lit(None)).when(k > 5, F.concat(F.lit('{"materials":{"purchased":['), one, F.lit('],"published":['), one, F.lit("]}}"))).otherwise('{"materials":{}}')
+    return d.withColumn("args", args).withColumn("result", result)
+
+
+@query(f"""WITH {_CALLS}, d AS (SELECT *, tool = 'get_material_detail' AND row_number() OVER (PARTITION BY user_id, tool, k ORDER BY event_id) = 1 AS views,
+  CASE tool WHEN 'get_material_detail' THEN k WHEN 'search_documents' THEN CASE WHEN k % 3 > 0 THEN k END END AS focus,
+  CASE WHEN tool = 'search_materials' THEN CASE WHEN k = 7 THEN '' ELSE 't' || k END WHEN tool = 'my_materials' THEN CASE WHEN k > 5 THEN 't' || k || ',t' || k ELSE '' END END AS listed,
+  (tool = 'get_material_detail' AND k = 9) OR (tool = 'search_documents' AND k = 8) OR (tool = 'my_materials' AND k > 5) AS access FROM c)
+ SELECT event_id, views, last_value(focus IGNORE NULLS) OVER w AS focus_id, count(*) FILTER (views) OVER w AS viewed, last_value(listed IGNORE NULLS) OVER w AS candidates, bool_or(tool = 'purchase') OVER w AS card_sent, bool_or(access) OVER w AS has_access
+ FROM d WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def context_fold(t):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    view = F.col("event_type") == "view"
-    return t("events").select("event_id", F.last(F.when(view, F.col("event_id")), ignorenulls=True).over(w).alias("focus_id"), F.count(F.when(view, 1)).over(w).alias("viewed"), F.bool_or(F.col("event_type") == "purchase").over(w).alias("has_access"))
+    d = replay.context(_calls(t), "user_id", "event_id", "tool", "args", "result")
+    return d.select("event_id", "views", "focus_id", "viewed", F.array_join(F.transform("candidates", lambda c: c["title"]), ",").alias("candidates"), "card_sent", "has_access")
 
 
-@query("""WITH c AS (SELECT *, lag(event_type) OVER w = event_type AND lag(props) OVER w = props AS rep, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS used FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
- SELECT event_id, CASE WHEN rep THEN 'repeat' WHEN event_type = 'login' THEN 'unknown' WHEN contains(props, ':0') THEN 'arguments' WHEN used > 5 THEN 'budget' ELSE 'executed' END AS gate FROM c""")
+@query(f"""WITH {_CALLS}, d AS (SELECT *, (tool = 'get_material_detail' AND k = 0) OR (tool <> 'get_material_detail' AND k % 3 = 0) AS bad,
+  CASE WHEN tool = 'get_material_detail' THEN k::VARCHAR WHEN k % 3 = 0 THEN '' ELSE k || ',1' END AS args FROM c),
+ g AS (SELECT *, lag(tool) OVER w = tool AND lag(args) OVER w = args AS rep, row_number() OVER (PARTITION BY user_id, tool ORDER BY event_id) AS used FROM d WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+ SELECT event_id, CASE WHEN rep THEN 'repeat' WHEN tool = 'my_materials' THEN 'unknown' WHEN bad THEN 'arguments' WHEN used > 5 AND tool <> 'purchase' THEN 'budget' ELSE 'executed' END AS gate FROM g""")
 def gate_chain(t):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    same = (F.lag("event_type").over(w) == F.col("event_type")) & (F.lag("props").over(w) == F.col("props"))
-    used = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    gates = F.coalesce(F.when(same, "repeat"), F.when(F.col("event_type") == "login", "unknown"), F.when(F.col("props").contains(":0"), "arguments"), F.when(used > 5, "budget"), F.lit("executed"))
-    return t("events").select("event_id", gates.alias("gate"))
+    known = ["get_material_detail", "search_documents", "search_materials", "purchase"]
+    return replay.gated(_calls(t), "user_id", "event_id", "tool", "args", known, dict.fromkeys(known[:3], 5)).select("event_id", "gate")
 
 
 @query("SELECT user_id, min(event_id) AS first_repeat FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) AS r FROM events WHERE event_type <> 'purchase') WHERE r >= 2 GROUP BY user_id")

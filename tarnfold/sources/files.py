@@ -160,11 +160,12 @@ def write_report(summary: DataFrame, path: str, title: str) -> None:
 
 
 def write_sheet(records: DataFrame, path: str, order: list[str]) -> None:
-    """Questions and answers as a CSV sheet of three columns (no, question, answer), numbered in order."""
-    from pyspark.sql import Window
+    """Questions and answers as CSV sheets of three columns (no, question, answer), numbered through in order: one file a range."""
+    from ..operators.generation import numbered
 
-    numbered = records.select(F.row_number().over(Window.orderBy(*order)).alias("no"), "question", "answer")  # one person's sheet
-    numbered.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    sheet = numbered(records.select(*{*order, "question", "answer"}), order).select("no", "question", "answer")
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sheet.repartitionByRange(parts, "no").sortWithinPartitions("no").write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
 def write_by_task(traces: DataFrame, path: str, task: str = "task_id") -> None:

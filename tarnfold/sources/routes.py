@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_pdf, readable, trimmed
 from ..shipping import ship
+from ..storage import stored
 
 #: Formats that can be read, folders that are left out.
 FORMATS = ["md", "txt", "docx", "pdf"]
@@ -69,6 +70,45 @@ def extracted(files: DataFrame, extract: Callable[[bytes], str | None], fallback
     return good.unionByName(second.where(readable(F.col("text")))), second.where(~readable(F.col("text")))
 
 
+def recognised(files: DataFrame, pages: Callable[[bytes], list[bytes]], recognise: Callable[[bytes], str]) -> tuple[DataFrame, DataFrame]:
+    """Files (path, content) by way of their pages: (path, text) of the pages that were read, in order, and the quarantine
+    (path, page, error) of those that weren't.
+
+    pages cuts a file into page images, recognise reads one; both are given by the caller. A page that fails is left out, the
+    others count; a file that can't be cut is in quarantine without a page, and has no text. Pages move as rows, so a long
+    file is read by as many tasks as it has pages.
+    """
+    ship(files.sparkSession)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    found, error = list(pages(bytes(content))), None
+                except Exception as x:
+                    found, error = [], f"{type(x).__name__}: {x}"[:500]
+                yield pd.DataFrame([(path, i, p, None) for i, p in enumerate(found)] or [(path, None, None, error or "no pages")], columns=["path", "page", "image", "error"]).astype({"page": "Int64"})
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, page, image, error in zip(f["path"], f["page"], f["image"], f["error"], strict=True):
+                text = None
+                if error is None:
+                    try:
+                        text = recognise(bytes(image))
+                    except Exception as x:
+                        error = f"{type(x).__name__}: {x}"[:500]
+                out.append((path, page, text, error))
+            yield pd.DataFrame(out, columns=["path", "page", "text", "error"]).astype({"page": "Int64"})
+
+    cut_pages = files.select("path", "content").mapInPandas(cut, "path string, page long, image binary, error string")
+    told = stored(cut_pages.repartition("path", "page").mapInPandas(read, "path string, page long, text string, error string"), "pages")
+    listed = F.array_sort(F.collect_list(F.struct("page", "text")))  # the text of one file
+    texts = told.where("error is null").groupBy("path").agg(F.array_join(F.transform(listed, lambda p: p["text"]), "\n").alias("text"))
+    return texts, told.where("error is not null").select("path", "page", "error")
+
+
 #: Marks of questions, follow-ups and answers.
 MAIN, EXTRA, FOLLOW, ANSWERS = "## Q", "**Q:", "**追问：", ("**参考回答：**", "**参考答案：**")
 

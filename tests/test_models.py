@@ -56,3 +56,24 @@ def test_to_do(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_matrix_of_cold_and_cached_searches(spark):
+    import datetime as dt
+
+    from tarnfold.operators.evaluation import percentiles
+
+    embed = models.hashed_embedder(16)
+    texts = ["lists of words", "trees of nodes", "graphs and edges", "words in lists"]
+    chunks = spark.createDataFrame([(i, 1, t, embed([t])[0]) for i, t in enumerate(texts)], "chunk_id long, course_id long, text string, embedding array<double>")
+    asked = ["words lists", "trees nodes"]
+    requests = spark.createDataFrame([(i, 1, t, embed([t])[0], True) for i, t in enumerate(asked)], "request_id long, course_id long, text string, embedding array<double>, has_access boolean")
+    relevant = spark.createDataFrame([(0, [0, 3]), (1, [1])], "request_id long, relevant array<long>")
+    configs = {"plain": Config(k=2, text=False), "reranked": Config(k=2, rerank=True)}
+    results, latency = models.matrix(requests, chunks, relevant, configs, F.lit(dt.datetime(2024, 1, 1)), repeats=1, k=2)
+    got = {(r.config, r.call, r.request_id): (r.via, r.hit, r.recall) for r in results.collect()}
+    assert len(got) == 8 and all(v[0] == ("search" if c == "cold" else "exact") and v[1] for (_, c, _), v in got.items())
+    assert all(got[c, "cold", i][1:] == got[c, "cached", i][1:] for c in configs for i in (0, 1))
+    measured = latency.collect()
+    assert len(measured) == 4 and all(r.latency_ms > 0 for r in measured)
+    assert percentiles(latency, ["config", "call"], "latency_ms").count() == 4
