@@ -226,6 +226,18 @@ def test_licenses(docs_of, odd):
     assert license_scan.licenses(docs_of(rows).where("false")).count() == 0
 
 
+def test_every_template_is_found_in_a_longer_text(docs_of):
+    """Each by its own name, whole, among other words, whatever else it holds of others."""
+    filler = " ".join(f"plain{i}" for i in range(70))
+    names = list(license_scan.TEMPLATES)
+    rows = [(i, f"{filler}\n// {license_scan.TEMPLATES[n].lower()}\n{filler}") for i, n in enumerate(names)]
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.licenses(docs_of(rows)).collect()}
+    assert all(got[i, n] >= 0.75 for i, n in enumerate(names)) and len(names) >= 30
+    exact = license_scan.Templates(license_scan.TEMPLATES).exact
+    within = {(a, b) for a, x in zip(names, exact, strict=True) for b, y in zip(names, exact, strict=True) if a != b and len(x & y) >= 0.75 * len(x)}
+    assert within == {("apache-2.0-line", "apache-2.0"), ("mit-grant", "mit"), ("bsd", "bsd-2-clause")}  # all others tell licences apart
+
+
 def test_license_windows_find_all_that_brute_force_finds(docs_of):
     rng = random.Random(9)
     templates = {f"t{i}": " ".join(f"v{rng.randrange(60)}" for _ in range(rng.choice([5, 9, 17, 40, 90]))) for i in range(12)}
