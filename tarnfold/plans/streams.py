@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,14 @@ def in_batches(rows: DataFrame, seq: str, more: DataFrame | None = None) -> Data
     least, most = rows.agg(F.min(seq), F.max(seq)).first()
     n = max(1, -(-(most - least + 1) // BATCHES)) if least is not None else 1
     at = F.floor((F.col(seq) - F.lit(least or 0)) / n)
-    for d in [*(rows.where(at == i) for i in range(BATCHES)), *([more] if more is not None else [])]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs, seen, began = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), set(), int(time.time() * 1000)
+    for i, d in enumerate([*(rows.where(at == i) for i in range(BATCHES)), *([more] if more is not None else [])]):
         d.coalesce(1).write.mode("append").parquet(path)  # one file a batch
+        for f in fs.listStatus(folder):
+            if f.getPath().getName() not in seen:  # files are taken in the order of their times, which may be alike
+                seen.add(f.getPath().getName())
+                fs.setTimes(f.getPath(), began + 1000 * i, -1)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -53,7 +61,7 @@ def streamed_pairs(t):
     e = t("events").where(F.col("event_type").isin("view", "click", "error", "signup"))
     sessions.with_state_store(e.sparkSession)
     args = F.get_json_object("props", "$.k").cast("int") % 5
-    d = e.select(F.col("user_id").cast("long").alias("run"), args.alias("args"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").isin("view", "click").alias("is_call"), F.timestamp_micros("event_id").alias("ts"))
+    d = e.select(F.col("user_id").cast("long").alias("run"), args.alias("args"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").isin("view", "click").alias("is_call"), F.timestamp_micros(F.col("event_id") + 1000).alias("ts"))  # beyond the first watermark
     end = d.sparkSession.range(1).select(F.lit(-1).cast("long").alias("run"), F.lit(0).alias("args"), F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("is_call"), F.timestamp_seconds(F.lit(1 << 32)).alias("ts"))  # a time after all others
     wait = 10**12  # in ms: nothing is given up before that time
     out = run_through(sessions.paired(in_batches(d, "seq", end), wait, late="0 seconds")).where("run >= 0")

@@ -33,7 +33,14 @@ def test_windowed_counts(spark):
 
 
 def written(spark, path, rows, kind):
+    """One more file, later than those before."""
+    import glob
+    import os
+
+    had = set(glob.glob(f"{path.removeprefix('file://')}/part*"))
     spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    for f in set(glob.glob(f"{path.removeprefix('file://')}/part*")) - had:
+        os.utime(f, (1_700_000_000 + 10 * len(had),) * 2)
 
 
 def streamed(df, out, tmp_path, mode="append"):
