@@ -18,8 +18,8 @@ from ..storage import kept_at, stored
 from .catalogue import lacking, newest
 from .retrieval import tokens, top
 
-#: Documents of a range, folders that ranges are dealt over, and ranges of greatest bounds that are scored first.
-RANGE_DOCS, PARTS, FIRST = 64, 32, 4
+#: Documents of a range, ranges of a folder, folders at most, and ranges of greatest bounds that are scored first.
+RANGE_DOCS, PART_RANGES, MOST_PARTS, FIRST = 64, 32, 4096, 4
 BLOCK = "token string, range long, postings array<struct<doc_id:long,tf:long,len:long>>, n long, most_tf long, least_len long, part int"
 
 
@@ -83,7 +83,7 @@ class TextIndex:
         lengths, postings = _postings(changed, ranges, id_col, text)
         ids = changed.select(F.col(id_col).cast("long").alias("doc_id"))
         ids = (ids if gone is None else ids.union(gone.select(F.col(id_col).cast("long").alias("doc_id")))).distinct()
-        parts = ids.select(_part(_range(F.col("doc_id"), ranges)).alias("part")).distinct()
+        parts = ids.select(_part(_range(F.col("doc_id"), ranges), ranges).alias("part")).distinct()
         old = self.blocks().join(parts, "part", "left_semi").select("part", "range", "token", F.explode("postings").alias("p")).select("part", "range", "token", "p.*")
         blocks = stored(_blocks(lacking(old, ids, "doc_id").unionByName(postings)), "blocks")
         # a part that has lost all its rows is written too, empty, else its folder would stay as it was
@@ -92,21 +92,25 @@ class TextIndex:
         kept = stored(lacking(self.lengths().join(parts, "part", "left_semi"), ids, "doc_id").unionByName(lengths), "lengths")
         kept = kept.unionByName(lacking(parts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("len"), "part"), kept.select("part").distinct(), "part"))
         for d, name in ((blocks, "blocks"), (kept, "lengths")):
-            d.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
+            d.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("part").parquet(f"{self.path}/{name}")
 
 
 def _range(doc_id: Column, ranges: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(ranges))
 
 
-def _part(of: Column) -> Column:
-    return F.pmod(of, F.lit(PARTS)).cast("int")
+def _part(of: Column, ranges: int) -> Column:
+    return F.pmod(of, F.lit(min(MOST_PARTS, max(1, math.ceil(ranges / PART_RANGES))))).cast("int")
 
 
 def _postings(docs: DataFrame, ranges: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(part, doc_id, len), and (part, range, token, doc_id, tf, len); of rows with one id the least text counts."""
-    d = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(F.coalesce(text, F.lit(""))).alias("_x"))
-    d = d.withColumn("_t", tokens(F.col("_x"))).withColumn("range", _range(F.col("doc_id"), ranges)).withColumn("part", _part(F.col("range"))).withColumn("len", F.size("_t").cast("long"))
+    """(doc_id, len, part), and (part, range, token, doc_id, tf, len); of rows with one id the least text counts.
+
+    Texts move once, to the task of their part; all that is counted from then on is counted there.
+    """
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("_x"))
+    d = d.withColumn("range", _range(F.col("doc_id"), ranges)).withColumn("part", _part(F.col("range"), ranges)).repartition("part")
+    d = d.groupBy("part", "range", "doc_id").agg(F.min("_x").alias("_x")).withColumn("_t", tokens(F.col("_x"))).withColumn("len", F.size("_t").cast("long"))
     counts = d.select("part", "range", "doc_id", "len", F.explode("_t").alias("token")).groupBy("part", "range", "token", "doc_id", "len").agg(F.count("*").alias("tf"))
     return d.select("doc_id", "len", "part"), counts.select("part", "range", "token", "doc_id", "tf", "len")
 
@@ -122,8 +126,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     kept_at(spark.range(1).select(F.lit(ranges).alias("ranges")), f"{path}/ranges")
     lengths, postings = _postings(docs, ranges, id_col, text)
-    _blocks(postings).repartition("part").sortWithinPartitions("token", "range").write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
-    lengths.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/lengths")
+    _blocks(postings).sortWithinPartitions("part", "token", "range").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{path}/blocks")
+    lengths.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{path}/lengths")
     return TextIndex(spark, path)
 
 
