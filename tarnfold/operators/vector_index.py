@@ -27,7 +27,7 @@ from ..storage import kept_at
 from .catalogue import lacking
 from .retrieval import top
 
-MOST_LISTS, BITS, BLOCK_ROWS = 4096, 512, 4096
+MOST_LISTS, BITS, BLOCK_ROWS = 4096, 512, 16_384
 #: Share of the lists that a search probes, and rows rescored for each result.
 PROBED, RESCORED = 0.85, 32
 
@@ -130,17 +130,22 @@ def updated(index: VectorIndex, changed: DataFrame, path: str, gone: DataFrame |
 
 
 def _alike(rows: pa.Table, asked: pa.Table, keep: int) -> pa.Table:
-    """(query_id, id, apart): of a block of rows the nearest for each query of a block, by differing signs and then by id."""
+    """(query_id, id, apart): of a block of rows the nearest for each query of a block in its lists, by differing signs and then by id."""
     ids, queries = rows.column("id").to_numpy(), asked.column("query_id").to_numpy()
     words = [np.asarray(pc.list_flatten(t.column("sketch"))).reshape(t.num_rows, -1).view(np.uint64) for t in (rows, asked)]
     out = []
     order = np.argsort(ids, kind="stable")
-    ids, words[0] = ids[order], words[0][order]
+    ids, words[0], lists = ids[order], words[0][order], rows.column("list").to_numpy()[order]
+    probed, own = asked.column("lists").combine_chunks(), asked.column("own").to_pylist()
     for i in range(len(queries)):
-        apart = np.bitwise_count(words[0] ^ words[1][i][None]).sum(1).astype(np.int64)
-        may = np.flatnonzero(ids != queries[i]) if asked.column("own")[i].as_py() else np.arange(len(ids))
-        best = may[np.argsort(apart[may], kind="stable")[:keep]]
-        out.append((np.full(len(best), queries[i]), ids[best], apart[best]))
+        inside = np.isin(lists, probed[i].values.to_numpy())
+        may = np.flatnonzero(inside & (ids != queries[i])) if own[i] else np.flatnonzero(inside)
+        apart = np.bitwise_count(words[0][may] ^ words[1][i][None]).sum(1).astype(np.int64)
+        if len(may) > keep:
+            near = np.flatnonzero(apart <= np.partition(apart, keep - 1)[keep - 1])
+            may, apart = may[near], apart[near]
+        best = np.argsort(apart, kind="stable")[:keep]
+        out.append((np.full(len(best), queries[i]), ids[may[best]], apart[best]))
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
     return pa.table({"query_id": pa.array(columns[0]), "id": pa.array(columns[1]), "apart": pa.array(columns[2])})
 
@@ -153,14 +158,18 @@ def search(index: VectorIndex, queries: DataFrame, k: int, query_id: str = "quer
     pivots, keep = index.pivots(), k * rescored
     q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).alias("embedding")).where("id is not null and embedding is not null")
     asked = placed(q, pivots, max(1, math.ceil(probed * len(pivots)))).select("list", F.col("id").alias("query_id"), "sketch", F.lit(not same).alias("own"))
-    rows = index.rows.select("list", "id", "sketch")
-    blocks = lambda d, name: d.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = blocks(rows, "_rs").join(blocks(asked, "_qs"), "list")
+    # neighbouring lists share a block, so that a task keeps few of many rows
+    n = max(1, math.ceil(index.rows.count() / block))
+    shared = F.floor(F.col("list") * n / len(pivots)) if len(pivots) else F.lit(0).cast("long")
+    rows = index.rows.select(shared.alias("_g"), "list", "id", "sketch")
+    asked = asked.groupBy("query_id", shared.alias("_g")).agg(F.collect_list("list").alias("lists"), F.first("sketch").alias("sketch"), F.first("own").alias("own"))  # of at most MOST_LISTS
+    blocks = lambda d, name: d.groupBy("_g").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(rows, "_rs").join(blocks(asked, "_qs"), "_g")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
-    key = ["list", "_a", "_b"]
-    r = rows.join(sizes, "list").select("list", own("id", "_rs").alias("_a"), each("_qs").alias("_b"), "id", "sketch").groupBy(*key)
-    a = asked.join(sizes, "list").select("list", each("_rs").alias("_a"), own("query_id", "_qs").alias("_b"), "query_id", "sketch", "own").groupBy(*key)
+    key = ["_g", "_a", "_b"]
+    r = rows.join(sizes, "_g").select("_g", own("id", "_rs").alias("_a"), each("_qs").alias("_b"), "list", "id", "sketch").groupBy(*key)
+    a = asked.join(sizes, "_g").select("_g", each("_rs").alias("_a"), own("query_id", "_qs").alias("_b"), "query_id", "sketch", "own", "lists").groupBy(*key)
     met = r.cogroup(a).applyInArrow(lambda x, y: _alike(x, y, keep), "query_id long, id long, apart long")
     near = top(met.withColumn("near", -F.col("apart")), "query_id", "id", keep, "near").select("query_id", "id")
     got = near.join(index.rows.select("id", F.col("embedding").alias("_c")), "id").join(q.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
