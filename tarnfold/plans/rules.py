@@ -241,9 +241,11 @@ def json_fence(t):
     return t("conversations").select("conv_id", "turn", F.md5(X.without_fence(fenced)).alias("body"))
 
 
-@query("SELECT event_id, CAST(event_id % 10 AS INT) AS relevance, 0 AS style FROM events")
+@query("SELECT event_id, CAST(CASE WHEN event_id % 3 = 2 THEN 0 ELSE event_id % 10 END AS INT) AS relevance, CAST(CASE WHEN event_id % 3 = 1 THEN event_id // 10 % 10 ELSE 0 END AS INT) AS style FROM events")
 def score_fallback(t):
-    said = F.concat(F.lit('so "relevance" : '), F.col("event_id") % 10, F.lit(" and more"))
+    i = F.col("event_id")  # one score among words, both out of order, or none
+    said = F.when(i % 3 == 0, F.concat(F.lit('so "relevance" : '), i % 10, F.lit(" and \"style\" is good")))
+    said = said.when(i % 3 == 1, F.concat(F.lit('{"style":'), F.floor(i / 10) % 10, F.lit(', "relevance":\n '), i % 10, F.lit("}"))).otherwise("relevance: 7")
     return t("events").select("event_id", P.named_score(said, "relevance").alias("relevance"), P.named_score(said, "style").alias("style"))
 
 
