@@ -1,6 +1,7 @@
 """Nearest neighbours, divergence audit and hard negatives against brute force, on odd rows and empty tables."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tarnfold.llm import ann, divergence, hard_negatives, spotsigs
+from tarnfold.llm import ann, decontam, divergence, hard_negatives, ngram_join, spotsigs
 
 VECTORS = "vec_id long, embedding array<float>, label int, block long, score double, node long, rank int, tile long"
 
@@ -208,3 +209,41 @@ def test_signature_search_against_brute_force(spark, docs_of, odd):
         got = Counter((r.query_id, r.doc_id, round(r.likeness, 9), r.queries, r.documents) for r in spotsigs.linked(asked, docs, threshold).collect())
         assert got == want and len(want) > 20
     assert spotsigs.linked(docs.limit(0), docs).count() == 0 and spotsigs.linked(docs, docs.limit(0)).count() == 0
+
+
+# --- a third of all rows is one text
+
+
+def test_hot_texts_in_overlaps_and_near_duplicates(spark, docs_of):
+    """A third of the rows holds one benchmark passage among shared boilerplate, exactly or with a word or two changed."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(500)}" for _ in range(20))
+    boilerplate = " ".join(f"b{rng.randrange(900)}" for _ in range(160))
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(5, 60)))) for i in range(400)]
+    rows += [(1000 + i, f"{boilerplate} {passage}") for i in range(120)] + [(2000 + i, f"{boilerplate} own{i} {passage} end{i}") for i in range(60)] + [(3000 + i, f"{boilerplate} " + " ".join(f"x{rng.randrange(4000)}" for _ in range(90))) for i in range(20)]
+    bench = spark.createDataFrame([(1, passage), (2, "q1 q2 q3 q4 q5 q6"), (3, boilerplate)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontam.overlaps(docs_of(rows), bench).collect())
+    assert got == Counter((i, item) for i, t in rows for item, p in ((1, passage), (3, boilerplate)) if p in t)
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := t.split()) >= 5 else {tuple(w)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    classes = {}
+    for i, s in sets.items():
+        classes.setdefault(frozenset(s), []).append(i)
+    kinds = list(classes)
+    for a, x in enumerate(kinds):
+        for i in classes[x][1:]:
+            root[i] = classes[x][0]  # ids ascend
+        for y in kinds[:a]:
+            if 100 * len(x & y) >= 75 * len(x | y):
+                p, q = sorted((find(classes[x][0]), find(classes[y][0])))
+                root[q] = p
+    want = {i: find(i) for i in sets}
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs_of(rows)).collect()} == want
+    assert sum(c == 1000 for c in want.values()) >= 180
