@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -64,19 +65,25 @@ def top(scores: DataFrame, by: str, id_col: str, k: int, score: str = "score") -
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All numbers of a list column, and where each list starts and how long it is."""
+    size = np.asarray(pc.list_value_length(column)).astype(np.int64)
+    return np.asarray(pc.list_flatten(column), dtype=np.float64), np.cumsum(size) - size, size
+
+
 def _best(chunks: pa.Table, queries: pa.Table, k: int, same: bool, schema: pa.Schema) -> pa.Table:
     """The k best chunks of a block for each query of a block, by rounded cosine and then by id."""
     if not chunks.num_rows or not queries.num_rows:
         return schema.empty_table()
-    vectors = [[np.asarray(x, float) for x in t.column(c).to_pylist()] for t, c in ((chunks, "_c"), (queries, "_q"))]
+    (c_flat, c_at, c_len), (q_flat, q_at, q_len) = _flat(chunks.column("_c")), _flat(queries.column("_q"))
     ids, asked = chunks.column("chunk_id").to_numpy(), queries.column("query_id").to_numpy()
     allowed = queries.column("_ids").combine_chunks() if "_ids" in queries.column_names else None
     scores = np.zeros((len(asked), len(ids)))  # 0 where lengths differ or a vector has no length
-    for n in {len(x) for x in vectors[1]} - {0}:
-        a, b = (np.array([i for i, x in enumerate(v) if len(x) == n]) for v in (vectors[1], vectors[0]))
+    for n in np.unique(q_len[q_len > 0]):
+        a, b = np.flatnonzero(q_len == n), np.flatnonzero(c_len == n)
         if not len(b):
             continue
-        q, c = np.stack([vectors[1][i] for i in a]), np.stack([vectors[0][i] for i in b])
+        q, c = q_flat[q_at[a][:, None] + np.arange(n)], c_flat[c_at[b][:, None] + np.arange(n)]
         norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None]
         dots = q @ c.T
         scores[np.ix_(a, b)] = np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
