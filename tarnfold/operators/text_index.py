@@ -59,8 +59,8 @@ class TextIndex:
         bounds = stored(heads.join(q, "token").groupBy("query", "range").agg(F.sum(bound).alias("bound"), F.sum("n").alias("n")), "bounds")
 
         def scored(ranges: DataFrame) -> DataFrame:
-            b = self.blocks().select("token", "range", F.explode("postings").alias("p"))
-            d = ranges.select("query", "range").join(q, "query").join(b, ["token", "range"])
+            d = ranges.select("query", "range").join(q, "query").join(self.blocks().select("token", "range", "postings"), ["token", "range"])
+            d = d.select("query", "idf", F.explode("postings").alias("p"))  # whole blocks move, not postings
             weight = F.col("idf") * _weight(F.col("p.tf"), F.col("p.len"), mean)
             return d.groupBy("query", F.col("p.doc_id").alias("doc_id")).agg(F.round(F.sum(weight), digits).alias("score"))
 
