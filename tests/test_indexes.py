@@ -162,3 +162,38 @@ def test_hybrid_search_is_an_and_filter(spark, tmp_path):
         cos = {i: round(float(vectors[i] @ v / np.linalg.norm(vectors[i]) / np.linalg.norm(v)), 4) for i, t in docs if words <= set(t.split())}
         want += [(q, i, s) for i, s in sorted(cos.items(), key=lambda x: (-x[1], x[0]))[:4]]
     assert got == want
+
+
+def test_a_task_makes_the_postings_of_one_part(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("copy word"), F.col("id") % 7).alias("text"))
+    ranges = 5 * text_index.PART_RANGES
+    lengths, postings = text_index._postings(docs, ranges, "doc_id", "text")
+    for d in (lengths, postings):
+        held = d.select("part", F.spark_partition_id().alias("task")).distinct().collect()
+        assert sorted(r.part for r in held) == list(range(5)) and len({r.task for r in held}) == 5
+
+
+def moved(spark, run):
+    """Rows that the stages of a call have written for shuffles."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+
+    def so_far():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = so_far()
+    run()
+    return sum(n for k, n in so_far().items() if k not in before)
+
+
+def test_updates_and_searches_move_blocks_and_not_postings(spark, tmp_path):
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("word"), i)), " ")
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    index = text_index.write(docs, f"file://{tmp_path}/t")
+    blocks = index.blocks().count()
+    assert blocks == 63 * 40
+    assert moved(spark, lambda: index.update(docs.where("doc_id % 100 = 0"), docs.where("doc_id % 100 = 1"))) < 6 * blocks  # 160,000 postings
+    queries = spark.createDataFrame([(i, "word1 word2 word3") for i in range(20)], "item_id long, text string")
+    assert moved(spark, lambda: index.search(queries, 5).collect()) < 6 * blocks  # 80,000 scores
+    assert index.lengths().count() == 3960
