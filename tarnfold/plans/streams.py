@@ -12,25 +12,30 @@ from ..storage import fresh
 from ..streaming import events, sessions
 from .queries import query
 
-BATCHES = 3
+#: Batches of a stream, and rows of a file.
+BATCHES, FILE_ROWS = 3, 500_000
 
 
 def in_batches(rows: DataFrame, seq: str, more: DataFrame | None = None) -> DataFrame:
-    """A stream of rows in batches of ascending seq, then of more."""
+    """A stream of rows in batches of ascending seq, then of more.
+
+    A large batch has several files of ascending seq, written by as many tasks; so rows come in order however files are dealt to triggers.
+    """
     spark = rows.sparkSession
     path = fresh(spark, "stream-in")
-    least, most = rows.agg(F.min(seq), F.max(seq)).first()
+    least, most, n_rows = rows.agg(F.min(seq), F.max(seq), F.count("*")).first()
     n = max(1, -(-(most - least + 1) // BATCHES)) if least is not None else 1
+    files_each = max(1, -(-n_rows // (BATCHES * FILE_ROWS)))
     at = F.floor((F.col(seq) - F.lit(least or 0)) / n)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs, seen, began = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), set(), int(time.time() * 1000)
     for i, d in enumerate([*(rows.where(at == i) for i in range(BATCHES)), *([more] if more is not None else [])]):
-        d.coalesce(1).write.mode("append").parquet(path)  # one file a batch
-        for f in fs.listStatus(folder):
-            if f.getPath().getName() not in seen:  # files are taken in the order of their times, which may be alike
-                seen.add(f.getPath().getName())
-                fs.setTimes(f.getPath(), began + 1000 * i, -1)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        (d.coalesce(1) if files_each == 1 else d.repartitionByRange(files_each, seq)).write.mode("append").parquet(path)
+        new = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName() not in seen), key=lambda p: p.getName())
+        for j, p in enumerate(new):  # files are taken in the order of their times, which may be alike
+            seen.add(p.getName())
+            fs.setTimes(p, began + 1_000_000 * i + 1000 * j, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
 def run_through(stream: DataFrame) -> DataFrame:

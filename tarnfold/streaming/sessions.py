@@ -1,7 +1,7 @@
 """State of sessions between batches: modes and facts of a tool-calling session, and calls that wait for their results.
 
 Both keep their state in Spark's state store through stateful processors, which needs the RocksDB provider (with_state_store sets it).
-A key's rows of one batch are taken in order; batches follow each other, so a stream gives the rows that the windows of
+What starts and ends within a batch never touches the store, as a call of it costs more than a row. A key's rows of one batch are taken in order; batches follow each other, so a stream gives the rows that the windows of
 operators.replay and operators.evaluation give over the whole table, as long as a key's rows arrive in order of batches.
 """
 
@@ -10,9 +10,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,11 +27,6 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def _told(session, rows: list[tuple]) -> pd.DataFrame:
-    seq, mode, older, ended = zip(*rows, strict=True)
-    return pd.DataFrame({"session": [session] * len(rows), "seq": pd.array(seq, dtype="Int64"), "mode": mode, "supersedes": pd.array(older, dtype="Int64"), "ended": ended})
-
-
 class _Session(StatefulProcessor):
     """A session's mode, and the newest call of each of its sources; dropped when the session has been idle for too long."""
 
@@ -41,38 +35,46 @@ class _Session(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.mode = handle.getValueState("mode", "mode string, last long")
+        self.mode = handle.getValueState("mode", "mode string, last long, written long")
         self.facts = handle.getMapState("facts", "source string", "seq long", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        mode, last = self.mode.get() if self.mode.exists() else (self.start, 0)
+    def _known(self, sources: set, written: int) -> dict:
+        """The stored facts of some sources: one by one, or all of the session at once where these are few for each that is asked for."""
+        if not written:
+            return {}
+        if written <= 16 * len(sources):
+            return {k[0]: v[0] for k, v in self.facts.iterator()}
+        return {x: v[0] for x in sources if (v := self.facts.getValue((x,))) is not None}
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        taken = sorted(rows, key=lambda r: r["seq"])
+        mode, last, written = self.mode.get() or (self.start, 0, 0)
+        known = self._known({r["source"] for r in taken}, written)
         newest: dict = {}
-        out = []
-        for seq, source, decided, ms in zip(f["seq"], f["source"], f["decided"], f["ms"], strict=True):
+        for r in taken:
+            seq, source, ms = r["seq"], r["source"], r["ms"]
             if self.idle_ms is not None and last and ms - last > self.idle_ms:  # it has ended, though its timer is still to come
-                out.append((None, mode, None, True))
-                mode, newest = self.start, {}
+                yield Row(session=key[0], seq=None, mode=mode, supersedes=None, ended=True)
+                mode, newest, known, written = self.start, {}, {}, 0
                 self.facts.clear()
-            last = max(last, int(ms))
-            mode = decided if isinstance(decided, str) else mode
-            older = newest[source] if source in newest else self.facts.getValue((source,))[0] if self.facts.containsKey((source,)) else None
-            newest[source] = int(seq)
-            out.append((int(seq), mode, older, False))
+            last = max(last, ms)
+            mode = r["decided"] if r["decided"] is not None else mode
+            older = newest.get(source, known.get(source))
+            newest[source] = seq
+            yield Row(session=key[0], seq=seq, mode=mode, supersedes=older, ended=False)
         for source, seq in newest.items():
             self.facts.updateValue((source,), (seq,))
         if self.idle_ms is not None:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(last + self.idle_ms)
-        self.mode.update((mode, last))
-        yield _told(key[0], out)
+        self.mode.update((mode, last, written + len(newest.keys() - known.keys())))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mode = self.mode.get()[0] if self.mode.exists() else self.start
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mode = (self.mode.get() or (self.start,))[0]
         self.mode.clear()
         self.facts.clear()
-        yield _told(key[0], [(None, mode, None, True)])
+        yield Row(session=key[0], seq=None, mode=mode, supersedes=None, ended=True)
 
     def close(self) -> None:
         pass
@@ -89,7 +91,7 @@ def sessions(calls: DataFrame, start: str, idle_ms: int | None = None, ttl_ms: i
     d = calls.withWatermark(ts, late).withColumn("ms", F.unix_millis(F.col(ts))) if ts else calls.withColumn("ms", F.lit(0).cast("long"))
     columns = ["session", "seq", "source", "decided", "ms", *([ts] if ts else [])]
     kind = calls.schema["session"].dataType.simpleString()
-    return d.select(*columns).groupBy("session").transformWithStateInPandas(_Session(start, idle_ms, ttl_ms), f"session {kind}, seq long, mode string, supersedes long, ended boolean", "Append", mode)
+    return d.select(*columns).groupBy("session").transformWithState(_Session(start, idle_ms, ttl_ms), f"session {kind}, seq long, mode string, supersedes long, ended boolean", "Append", mode)
 
 
 class _Pairing(StatefulProcessor):
@@ -100,46 +102,59 @@ class _Pairing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getValueState("counts", "calls long, results long")
+        self.counts = handle.getValueState("counts", "calls long, results long, timer long")
         self.calls = handle.getMapState("calls", "n long", "seq long, ms long")
         self.early = handle.getMapState("early", "n long", "seq long")
 
-    def _out(self, key, rows: list[tuple]) -> pd.DataFrame:
-        seq, result = (pd.array([r[i] for r in rows], dtype="Int64") for i in (0, 1))
-        return pd.DataFrame({"run": [key[0]] * len(rows), "args": [key[1]] * len(rows), "seq": seq, "result_seq": result})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        calls, results = self.counts.get() if self.counts.exists() else (0, 0)
-        out = []
-        for seq, ms, is_call in zip(f["seq"], f["ms"], f["is_call"], strict=True):
-            if is_call:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Waiting calls have one timer for the first of them, and each firing sets the next."""
+        calls, results, timer = self.counts.get() or (0, 0, None)
+        before, ahead = calls, results
+        waiting: dict = {}
+        early: dict = {}
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            seq = r["seq"]
+            if r["is_call"]:
                 calls += 1
-                if self.early.containsKey((calls,)):  # its result came first, and answers nothing
+                if calls in early:  # its result came first, and answers nothing
+                    del early[calls]
+                elif before < calls <= ahead and self.early.containsKey((calls,)):
                     self.early.removeKey((calls,))
-                    out.append((int(seq), None))
                 else:
-                    self.calls.updateValue((calls,), (int(seq), int(ms)))
-                    self.handle.registerTimer(int(ms) + self.wait_ms)
+                    waiting[calls] = (seq, r["ms"])
+                    continue
+                yield Row(run=key[0], args=key[1], seq=seq, result_seq=None)
             else:
                 results += 1
-                if self.calls.containsKey((results,)):
-                    out.append((self.calls.getValue((results,))[0], int(seq)))
-                    self.calls.removeKey((results,))
+                if results in waiting:
+                    yield Row(run=key[0], args=key[1], seq=waiting.pop(results)[0], result_seq=seq)
                 elif results > calls:
-                    self.early.updateValue((results,), (int(seq),))
-        self.counts.update((calls, results))
-        if out:
-            yield self._out(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for (n,), (seq, ms) in list(self.calls.iterator()):
+                    early[results] = seq
+                elif results <= before and (call := self.calls.getValue((results,))) is not None:
+                    self.calls.removeKey((results,))
+                    yield Row(run=key[0], args=key[1], seq=call[0], result_seq=seq)
+        for n, call in waiting.items():
+            self.calls.updateValue((n,), call)
+        for n, seq in early.items():
+            self.early.updateValue((n,), (seq,))
+        first = min((ms for _, ms in waiting.values()), default=None)
+        if first is not None and (timer is None or first + self.wait_ms < timer):
+            timer = first + self.wait_ms
+            self.handle.registerTimer(timer)
+        self.counts.update((calls, results, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        waiting = [(n, seq, ms) for (n,), (seq, ms) in self.calls.iterator()]
+        for n, seq, ms in waiting:
             if ms + self.wait_ms <= now:
                 self.calls.removeKey((n,))
-                out.append((seq, None))
-        if out:
-            yield self._out(key, out)
+                yield Row(run=key[0], args=key[1], seq=seq, result_seq=None)
+        timer = min((ms + self.wait_ms for _, _, ms in waiting if ms + self.wait_ms > now), default=None)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        calls, results, _ = self.counts.get()
+        self.counts.update((calls, results, timer))
 
     def close(self) -> None:
         pass
@@ -153,7 +168,7 @@ def paired(messages: DataFrame, wait_ms: int, ts: str = "ts", late: str = "10 mi
     """
     d = messages.withWatermark(ts, late).withColumn("ms", F.unix_millis(F.col(ts))).select("run", "args", "seq", "is_call", "ms", ts)
     kinds = [messages.schema[c].dataType.simpleString() for c in ("run", "args")]
-    return d.groupBy("run", "args").transformWithStateInPandas(_Pairing(wait_ms), f"run {kinds[0]}, args {kinds[1]}, seq long, result_seq long", "Append", "EventTime")
+    return d.groupBy("run", "args").transformWithState(_Pairing(wait_ms), f"run {kinds[0]}, args {kinds[1]}, seq long, result_seq long", "Append", "EventTime")
 
 
 def answered(calls: DataFrame, results: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
