@@ -16,10 +16,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..functions.arrays import cosine, reciprocal_rank
 from ..functions.text import cache_key
 from ..shipping import ship
+from ..storage import stored
 from .catalogue import newest
 
 #: Rows of a block of vectors.
 BLOCK_ROWS = 4096
+#: Documents of a task that scores texts.
+TASK_DOCS = 1024
 
 #: Words that the text index leaves out.
 STOP_WORDS = "a about an are as at be by com de en for from how i in is it la of on or that the this to was what when where who will with und www".split()
@@ -37,21 +40,25 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def text_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", scorer: str = "tfidf", on: str | None = None) -> DataFrame:
     """(query, doc, score) for documents that share a token with the query (and the column on, if it is given).
 
-    tfidf: sum of tf * idf^2 with idf = log10(N / df). bm25: Okapi with k1 = 1.2, b = 0.75. Documents are tokenised
-    once: postings of query tokens go on, each with its document's length, and a posting of the empty token for every
-    document, from which N and the mean length are counted like any df.
+    tfidf: sum of tf * idf^2 with idf = log10(N / df). bm25: Okapi with k1 = 1.2, b = 0.75. A document is tokenised once, and its
+    postings of query tokens are kept as one row, from which N, lengths and document frequencies are counted too. Tasks hold about
+    TASK_DOCS documents, whatever the table's size, and all scores of a document are made in one of them.
     """
-    mark, own = F.array(F.lit("")), [on] if on else []
-    q = queries.select(query_id, *own, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"))
-    wanted = queries.select(F.explode(F.concat(mark, tokens(F.col(text_col)))).alias("token")).distinct()
-    d = docs.select(id_col, *own, tokens(F.coalesce(text_col, F.lit(""))).alias("_t"))
-    p = d.select(id_col, *own, F.size("_t").alias("len"), F.explode(F.concat(mark, F.col("_t"))).alias("token")).join(wanted, "token", "left_semi").groupBy(id_col, *own, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    # the same columns of p are used here as below (all sums are positive), so that its exchange is written once
-    lens = F.sum("len") if scorer == "bm25" else F.lit(0)
-    df = p.groupBy("token").agg(F.count("*").alias("df"), lens.alias("_lens"), F.sum("tf").alias("_tfs")).where("_tfs > 0 and _lens >= 0")
-    stats = df.agg(F.max(F.when(F.col("token") == "", F.col("df"))).alias("n_docs"), F.max(F.when(F.col("token") == "", F.col("_lens"))).alias("all_len"))
-    terms = q.join(df.select("token", "df"), "token").crossJoin(F.broadcast(stats))  # one row
-    n, avg = F.col("n_docs"), F.col("all_len") / F.col("n_docs")
+    own = [on] if on else []
+    dealt = lambda d: d.repartition(n_tasks, id_col)
+    n_tasks = max(1, -(-docs.count() // TASK_DOCS))
+    q = stored(queries.select(query_id, *own, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token")), "query-tokens")  # of a known size, by which Spark chooses how to join
+    wanted = q.select("token").distinct().unionByName(q.sparkSession.range(1).select(F.lit("").alias("token")))  # the empty token stands for the document
+    d = dealt(docs.select(id_col, *own, F.coalesce(text_col, F.lit("")).alias("_x"))).select(id_col, *own, tokens(F.col("_x")).alias("_t"))
+    d = d.select(id_col, *own, F.size("_t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("token")).join(wanted, "token", "left_semi")
+    d = d.groupBy(id_col, *own, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    d = d.groupBy(id_col, *own).agg(F.max(F.when(F.col("token") == "", F.col("len"))).alias("len"), F.collect_list(F.when(F.col("token") != "", F.struct("token", "tf"))).alias("postings"))
+    d = stored(d, "postings")
+    n, total = d.agg(F.count("*"), F.sum("len")).first()
+    avg = max((total or 0) / max(n, 1), 1e-9)
+    df = d.select(F.explode("postings.token").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    terms = stored(q.join(df, "token"), "query-terms")
+    p = dealt(d).select(id_col, *own, "len", F.explode("postings").alias("p")).select(id_col, *own, "len", "p.*")
     if scorer == "bm25":
         weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / avg))
     else:

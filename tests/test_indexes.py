@@ -197,3 +197,12 @@ def test_updates_and_searches_move_blocks_and_not_postings(spark, tmp_path):
     queries = spark.createDataFrame([(i, "word1 word2 word3") for i in range(20)], "item_id long, text string")
     assert moved(spark, lambda: index.search(queries, 5).collect()) < 6 * blocks  # 80,000 scores
     assert index.lengths().count() == 3960
+
+
+def test_a_task_scores_a_bounded_number_of_documents(spark):
+    n = 6 * R.TASK_DOCS
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha word"), F.col("id") % 7).alias("text"))
+    queries = spark.createDataFrame([(1, "alpha word3"), (2, "word5 alpha")], "item_id long, text string")
+    held = R.text_scores(docs, queries, scorer="bm25").groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("doc_id").alias("n")).collect()
+    assert sum(r.n for r in held) == n  # all scores of a document in one task
+    assert max(r.n for r in held) < 1.5 * R.TASK_DOCS
