@@ -126,7 +126,7 @@ def readable(x: Column) -> Column:
     """At least 50 characters, over 70 % of them letters, digits, CJK, blanks or common punctuation, under 10 % odd ones."""
     n = F.length(x)
     normal = F.length(F.regexp_replace(x, "[^a-zA-Z0-9\\u4e00-\\u9fff\\s.,;:!?()，。；：！？（）、-]", ""))
-    odd = F.length(F.regexp_replace(x, "[^\\uFFFD\\x00-\\x08\\x0B\\x0E-\\x1F]", ""))
+    odd = n - F.length(F.regexp_replace(x, "[\\uFFFD\\x00-\\x08\\x0B\\x0E-\\x1F]", ""))  # the few go, not the many
     return (n >= 50) & (normal / n > 0.7) & (odd / n < 0.1)
 
 
