@@ -16,7 +16,7 @@ def stripped_markdown(x: Column) -> Column:
 
     The first opening mark is paired with the first `](` after it and the first `)` after that, over lines too, and the
     text is looked at anew from its start; it ends at an opening mark without such a pair. So what a removal joins can
-    be an image or a link itself. Each step takes one `](` away, hence their number bounds the steps.
+    be an image or a link itself.
     """
     x = _unpaired(_unpaired(x, "![", keep=False), "[", keep=True)
     for mark in ("**", "__", "~~", "`", "#", "*", ">"):
@@ -25,14 +25,24 @@ def stripped_markdown(x: Column) -> Column:
 
 
 def _unpaired(x: Column, mark: str, keep: bool) -> Column:
-    def step(t: Column, _: Column) -> Column:
-        start = F.instr(t, mark)
-        middle = F.when(start > 0, F.call_function("locate", F.lit("]("), t, start))
-        end = F.when(middle > 0, F.call_function("locate", F.lit(")"), t, middle + 2))
-        inner = F.substring(t, start + len(mark), middle - start - len(mark)) if keep else F.lit("")
-        return F.when(end > 0, F.concat(F.substring(t, F.lit(1), start - 1), inner, F.substring(t, end + 1, F.length(t)))).otherwise(t)
-
-    return F.aggregate(F.array_repeat(F.lit(0), F.size(F.split(x, r"\]\(")) - 1), x, step)
+    """One pass over what lies between `](`: done has no mark any more, rest may have one, and over is what follows a pair that still lacks its `)`."""
+
+    def step(t: Column, piece: Column) -> Column:
+        done, rest, over = t["done"], t["rest"], t["over"]
+        start, end = F.instr(rest, mark), F.instr(piece, ")")
+        inner = F.substring(rest, start + len(mark), F.length(rest)) if keep else F.lit("")
+        before = F.substring(rest, F.lit(1), F.greatest(start - 2, F.lit(0)))  # all but a character that may make a mark with what follows
+        held = F.when(start > 1, F.substring(rest, start - 1, F.lit(1))).otherwise("")
+        state = lambda a, b, c: F.struct(a.alias("done"), b.alias("rest"), c.alias("over"))
+        return (
+            F.when(start == 0, state(F.concat(done, rest, F.lit("](")), piece, F.lit("")))
+            .when(end == 0, state(done, rest, F.concat(over, F.lit("]("), piece)))
+            .otherwise(state(F.concat(done, before), F.concat(held, inner, F.substring(piece, end + 1, F.length(piece))), F.lit("")))
+        )
+
+    pieces = F.split(x, r"\]\(")
+    start = F.struct(F.lit("").alias("done"), F.get(pieces, F.lit(0)).alias("rest"), F.lit("").alias("over"))
+    return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), start, step, lambda t: F.concat(t["done"], t["rest"], t["over"]))
 
 
 def without_heading_marks(x: Column) -> Column:

@@ -1,9 +1,13 @@
 """Stored indexes: recall, versions, and what a load that breaks off leaves, against plain Python."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarnfold.functions import parse as P
+from tarnfold.functions import text as X
 from tarnfold.operators import indexing, text_index, vector_index
 from tarnfold.operators import retrieval as R
 
@@ -206,3 +210,16 @@ def test_a_task_scores_a_bounded_number_of_documents(spark):
     held = R.text_scores(docs, queries, scorer="bm25").groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("doc_id").alias("n")).collect()
     assert sum(r.n for r in held) == n  # all scores of a document in one task
     assert max(r.n for r in held) < 1.5 * R.TASK_DOCS
+
+
+def test_text_of_many_links_is_stripped_in_one_pass(spark):
+    d = spark.createDataFrame([("word [link](a) ![pic](b) " * 10_000 + "[open",)], "t string")
+    began = time.time()
+    got = d.select(P.stripped_markdown(F.col("t")).alias("t")).first().t
+    assert got == ("word link  " * 10_000 + "[open") and time.time() - began < 30
+
+
+def test_odd_characters_are_counted_whatever_their_number(spark):
+    rows = [("a" * 95 + "\x01" * 5,), ("a" * 90 + "�" * 10,), ("a" * 91 + "\x0b\x1f\x00" * 3,), ("a" * 49,), (None,)]
+    got = [r.ok for r in spark.createDataFrame(rows, "t string").select(X.readable(F.col("t")).alias("ok")).collect()]
+    assert got == [True, False, True, False, None]
