@@ -60,6 +60,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def rows_at_once(lists: int, probes: int) -> int:
+    """Rows that are placed together: at most 2 million cosines, and 32,768 rows of output."""
+    return max(1, min(2_000_000 // max(lists, 1), 32_768 // max(probes, 1)))
+
+
 def placed(vectors: DataFrame, pivots: np.ndarray, probes: int = 1) -> DataFrame:
     """(list, place, id, embedding, sketch): each row of vectors (id, embedding) with its nearest pivots, by cosine to six places."""
     ship(vectors.sparkSession)
@@ -67,9 +72,8 @@ def placed(vectors: DataFrame, pivots: np.ndarray, probes: int = 1) -> DataFrame
     unit, planes = _unit(pivots), np.array([pattern(b, dims) for b in range(BITS)], dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        step = rows_at_once(len(unit), probes)
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             x = _matrix(b.column("embedding"), dims)
             near = _unit(x) @ unit.T
             near = np.sign(near) * np.floor(np.abs(near) * 1e6 + 0.5)

@@ -223,3 +223,13 @@ def test_odd_characters_are_counted_whatever_their_number(spark):
     rows = [("a" * 95 + "\x01" * 5,), ("a" * 90 + "�" * 10,), ("a" * 91 + "\x0b\x1f\x00" * 3,), ("a" * 49,), (None,)]
     got = [r.ok for r in spark.createDataFrame(rows, "t string").select(X.readable(F.col("t")).alias("ok")).collect()]
     assert got == [True, False, True, False, None]
+
+
+def test_rows_are_placed_in_steps_of_bounded_size(spark):
+    for lists, probes in ((1, 1), (4096, 1), (4096, 3482)):
+        n = vector_index.rows_at_once(lists, probes)
+        assert n >= 1 and n * lists <= 2_000_000 and n * probes <= 32_768
+    d = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "id long, embedding array<double>").coalesce(1)
+    pivots = np.array([[float(i % 7), 1.0 + i // 7] for i in range(4000)])
+    got = vector_index.placed(d, pivots, 3400).groupBy("id").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()
+    assert sorted((r.id, r.n, r.last) for r in got) == [(i, 3400, 3400) for i in range(50)]
